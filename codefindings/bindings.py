@@ -164,12 +164,28 @@ static_findings AS (SELECT * FROM findings WHERE ord % 2 = 0),
 ai_findings AS (SELECT * REPLACE (line_number + CASE WHEN ord % 3 = 0 THEN 1 ELSE 0 END AS line_number)
   FROM findings WHERE ord % 2 = 1)"""
 
+FILE_LANGUAGES = ['python', 'java', '', 'go']
+
+
+def analyzed_files(spark, sf) -> DataFrame:
+    """repo, path, language: the files behind the findings and clean ones, one per customer."""
+    k = F.col('c_custkey')
+    return table(spark, sf, 'customer').select(
+        F.concat(F.lit('repo'), (k % 7).cast('string')).alias('repo'),
+        F.concat(F.lit('dir'), (k % 5).cast('string'), F.lit('/u'), k.cast('string'), F.lit('.py'))
+        .alias('path'), pick(FILE_LANGUAGES, F.col('c_nationkey') % 4).alias('language'))
+
+
+ANALYZED_SQL = f"""analyzed_files AS (SELECT 'repo' || (c_custkey % 7) AS repo,
+  'dir' || (c_custkey % 5) || '/u' || c_custkey || '.py' AS path,
+  {sql_list(FILE_LANGUAGES)}[c_nationkey % 4 + 1] AS language FROM customer)"""
+
 # ---- predictions and ground truth ----------------------------------------------------------
 
 
 def predictions(spark, sf) -> DataFrame:
     e = table(spark, sf, 'events')
-    return e.select(F.expr("concat('dir/u', CAST(user_id % 40 AS STRING), '.py')").alias('file'),
+    return e.select(F.expr("concat('dir/u', CAST(user_id % 40 + 100 AS STRING), '.py')").alias('file'),
                     pick(TYPES[:8], F.col('event_id') % 8).alias('type'),
                     F.expr('1 + event_id % 250').alias('line'), F.col('event_id').alias('ord'))
 
@@ -177,17 +193,17 @@ def predictions(spark, sf) -> DataFrame:
 def ground_truth(spark, sf) -> DataFrame:
     """Truth lines lie four apart within a (file, type)."""
     e = table(spark, sf, 'events')
-    return (e.select(F.expr("concat('u', CAST(user_id % 40 AS STRING), '.py')").alias('file'),
+    return (e.select(F.expr("concat('u', CAST(user_id % 40 + 100 AS STRING), '.py')").alias('file'),
                      pick(TYPES[:8], F.floor(F.col('event_id') / 3) % 8).alias('type'),
                      F.expr('4 * (1 + event_id % 50)').alias('line'))
             .distinct())
 
 
 TRUTH_SQL = f"""predictions AS (
-  SELECT 'u' || (user_id % 40) || '.py' AS file, {sql_list(TYPES[:8])}[event_id % 8 + 1] AS type,
+  SELECT 'u' || (user_id % 40 + 100) || '.py' AS file, {sql_list(TYPES[:8])}[event_id % 8 + 1] AS type,
          1 + event_id % 250 AS line, event_id AS ord FROM events),
 ground_truth AS (
-  SELECT DISTINCT 'u' || (user_id % 40) || '.py' AS file,
+  SELECT DISTINCT 'u' || (user_id % 40 + 100) || '.py' AS file,
          {sql_list(TYPES[:8])}[(event_id // 3) % 8 + 1] AS type, 4 * (1 + event_id % 50) AS line
   FROM events)"""
 
@@ -283,7 +299,7 @@ def manifests(spark, sf) -> DataFrame:
     content = F.when(F.lit(False), '')
     for i, text in enumerate(MANIFEST_TEXTS):
         content = content.when(kind == i, _spark_template(text))
-    return p.select(F.col('p_brand').alias('repo'),
+    return p.select(F.concat(F.lit('repo'), (F.col('p_partkey') % 7).cast('string')).alias('repo'),
                     F.concat(F.lit('m'), F.col('p_partkey').cast('string'), F.lit('/'),
                              pick(MANIFEST_NAMES, kind)).alias('manifest'),
                     pick(MANIFEST_NAMES, kind).alias('filename'), content.alias('content'))
@@ -291,7 +307,7 @@ def manifests(spark, sf) -> DataFrame:
 
 _WHEN = ' '.join(f'WHEN {i} THEN {_sql_template(t)}' for i, t in enumerate(MANIFEST_TEXTS))
 MANIFESTS_SQL = f"""manifests AS (
-  SELECT p_brand AS repo,
+  SELECT 'repo' || (p_partkey % 7) AS repo,
     'm' || p_partkey || '/' || {sql_list(MANIFEST_NAMES)}[p_partkey % {len(MANIFEST_NAMES)} + 1] AS manifest,
     {sql_list(MANIFEST_NAMES)}[p_partkey % {len(MANIFEST_NAMES)} + 1] AS filename,
     CASE p_partkey % {len(MANIFEST_NAMES)} {_WHEN} END AS content FROM part)"""

@@ -191,13 +191,13 @@ def structure_summary(spark, sf):
         'path', 'functions', 'classes', 'imports', 'complexity')
 
 
-@query('py_symbols', sql='UNION ALL'.join(
+@query('py_symbols', sql=' UNION ALL '.join(
     'SELECT * FROM (' + capture_sql('(?m)' + pattern, groups, "language = 'python'", f"""
 SELECT path, '{kind}' AS kind, {name} AS name, {detail} AS detail, line_start FROM captured""") + ')'
     for kind, pattern, groups, name, detail in [
-        ('function', structure.PY_FUNCTION, 2, 'g2', "g1 <> ''"),
-        ('class', structure.PY_CLASS, 2, 'g1', "g2 <> ''"),
-        ('import', structure.PY_IMPORT, 2, "coalesce(nullif(g1, ''), g2)", "g1 <> ''")]))
+        ('function', structure.PY_FUNCTION, 2, 'g2', "coalesce(g1, '') <> ''"),
+        ('class', structure.PY_CLASS, 2, 'g1', "coalesce(g2, '') <> ''"),
+        ('import', structure.PY_IMPORT, 2, "coalesce(nullif(g1, ''), g2)", "coalesce(g1, '') <> ''")]))
 def py_symbols(spark, sf):
     return structure.py_symbols(b.code_files(spark, sf).filter("language = 'python'")).select(
         'path', 'kind', 'name', 'detail', 'line_start')

@@ -73,8 +73,8 @@ def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[s
     def file_hits(low):
         wanted = F.filter(table, lambda r: (
             (r['language'].isNull() | (r['language'] == language))
-            & F.forall(r['needles'], lambda needle: low.contains(needle))
-            & text.rlike(r['pattern'])))
+            & F.forall(r['needles'], lambda needle: F.contains(low, needle))
+            & F.rlike(text, r['pattern'])))
         return bind(lines(text), lambda text_lines: F.flatten(
             F.transform(wanted, lambda r: _hits_of(text, r, text_lines))))
 
