@@ -92,16 +92,17 @@ SNIPPETS = [
 
 def code_files(spark, sf) -> DataFrame:
     """repo, path, filename, language, content, doc_id: documents with a code snippet inside."""
-    d = table(spark, sf, 'documents')
+    return code_files_of(table(spark, sf, 'documents'))
+
+
+def code_files_of(documents: DataFrame) -> DataFrame:
     k = F.col('doc_id') % len(SNIPPETS)
     half = F.floor(F.length('text') / 2).cast('int')
     name = F.concat(F.lit('f'), F.col('doc_id').cast('string'), F.lit('.'),
                     pick([s[0] for s in SNIPPETS], k))
-    lang = {'py': 'python', 'js': 'javascript', 'ts': 'typescript', 'java': 'java', 'php': 'php',
-            'c': 'c', 'cpp': 'cpp', 'go': 'go', 'rb': 'ruby'}
-    return balanced(d, 'doc_id').select(
+    return balanced(documents, 'doc_id').select(
         F.col('source').alias('repo'), F.concat(F.lit('src/'), name).alias('path'),
-        name.alias('filename'), pick([lang[s[0]] for s in SNIPPETS], k).alias('language'),
+        name.alias('filename'), pick([_LANGS[s[0]] for s in SNIPPETS], k).alias('language'),
         F.concat(F.substring(F.col('text'), F.lit(1), half), F.lit('\n'),
                  pick([s[1] for s in SNIPPETS], k), F.lit('\n'),
                  F.substr(F.col('text'), half + 1)).alias('content'), 'doc_id')
@@ -142,8 +143,11 @@ _FINDING_COLUMNS = [
 
 def findings(spark, sf) -> DataFrame:
     """Flat findings, one per event: repo, path, line, type, severity, confidence, texts, ord, ts."""
-    e = table(spark, sf, 'events')
-    return e.select(*[F.expr(s).alias(n) for s, _, n in _FINDING_COLUMNS],
+    return findings_of(table(spark, sf, 'events'))
+
+
+def findings_of(events: DataFrame) -> DataFrame:
+    return events.select(*[F.expr(s).alias(n) for s, _, n in _FINDING_COLUMNS],
                     pick(TYPES, F.col('event_id') % len(TYPES)).alias('vulnerability_type'),
                     F.col('ts').alias('found_at'))
 
@@ -244,7 +248,11 @@ _STATUS = """CASE WHEN event_type = 'purchase' THEN 'completed' WHEN event_type
 
 
 def scan_log(spark, sf) -> DataFrame:
-    return table(spark, sf, 'events').select(
+    return scan_log_of(table(spark, sf, 'events'))
+
+
+def scan_log_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col('user_id').alias('analysis_id'), F.expr(_STATUS).alias('status'), 'ts', 'event_id',
         F.expr('event_id % 60').alias('progress'), F.expr('user_id % 20').alias('file_count'))
 
@@ -254,7 +262,11 @@ SCAN_LOG_SQL = f"""scan_log AS (SELECT user_id AS analysis_id, {_STATUS} AS stat
 
 
 def history(spark, sf) -> DataFrame:
-    return table(spark, sf, 'events').select(
+    return history_of(table(spark, sf, 'events'))
+
+
+def history_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.expr('user_id % 50').alias('repo_id'), F.col('event_id').alias('ord'), 'ts',
         F.expr('event_id % 300').alias('repo_score'), F.expr('event_id % 4').alias('critical'),
         F.expr('event_id % 6').alias('high'))

@@ -4,7 +4,7 @@ from codefindings.catalog.registry import ORACLES, QUERIES
 
 
 def _load():
-    from codefindings.catalog import basics, findings, scans  # noqa: F401
+    from codefindings.catalog import basics, findings, pipelines, scans  # noqa: F401
 
 
 def queries():

@@ -216,7 +216,7 @@ def agg_ui_summary(spark, sf):
 
 @query('agg_executive_summary', sql=with_sql(b.FINDINGS_SQL, b.ANALYZED_SQL, f"""tops AS (
   SELECT repo, string_agg(coalesce(t, 'UNKNOWN'), ',' ORDER BY n DESC, f) AS most_common FROM (
-    SELECT repo, vulnerability_type AS t, count(*) AS n, min(ord) AS f FROM findings GROUP BY ALL
+    SELECT repo, vulnerability_type AS t, count(*) AS n, min(ord) AS f FROM findings GROUP BY repo, vulnerability_type
     QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, f) <= 5) GROUP BY repo)""", body=f"""
 SELECT c.*, files_analyzed, files_with_issues, languages, most_common,
   CASE WHEN c.critical > 0 THEN 'CRITICAL' WHEN c.high >= 2 THEN 'HIGH'

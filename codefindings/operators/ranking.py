@@ -118,8 +118,9 @@ def failover(requests: DataFrame, model_limits: DataFrame) -> DataFrame:
         x['model'].alias('model'))))
     numbered = position(requests.drop('model').withColumn('day', F.to_date('ts')), ['day'],
                         ['ts', 'request_id'], 'nth')
-    fits = F.filter(bounds.scalar(), lambda x: F.col('nth') <= x['upto'])
-    return numbered.withColumn('model', F.get(fits, F.lit(0))['model'])
+    fits = F.filter('_bounds', lambda x: F.col('nth') <= x['upto'])
+    return (numbered.withColumn('_bounds', bounds.scalar())
+            .withColumn('model', F.get(fits, F.lit(0))['model']).drop('_bounds'))
 
 
 def stage_progress(files: DataFrame, keys: list[str], order: list[str], start: int, span: int) -> DataFrame:
