@@ -282,7 +282,7 @@ SELECT t.repo, files_discovered, languages, c.* EXCLUDE (repo), coalesce(depende
   file_score + coalesce(dependency_risk, 0) AS repo_score, CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high >= 5 THEN 'HIGH'
     WHEN high >= 2 THEN 'MEDIUM' WHEN high = 1 AND medium >= 5 THEN 'MEDIUM' WHEN high = 1 THEN 'LOW' WHEN medium >= 10 THEN 'LOW' ELSE 'MINIMAL' END AS risk_level
 FROM (SELECT repo, count(*) AS files_discovered, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM code_files GROUP BY repo) t
-JOIN (SELECT repo, {fq.COUNTS_SQL}, {fq.KNOWN_SQL}, count(DISTINCT path) AS files_with_issues, CAST(sum({fq.RISK_SQL}) AS BIGINT) AS file_score
+JOIN (SELECT repo, {fq.COUNTS_SQL}, count(DISTINCT path) AS files_with_issues, CAST(sum({fq.RISK_SQL}) AS BIGINT) AS file_score
       FROM found GROUP BY repo) c USING (repo)
 LEFT JOIN (SELECT 'src' || substr(repo, 5) AS repo, dependency_risk FROM dep_risk) d USING (repo)"""))
 def repo_scan(spark, sf):
@@ -347,7 +347,8 @@ def stream_findings(spark, sf):
 @query('stream_scan', sql=sq.scan_sql(enabled_rules(), """
 SELECT path, rule_id, line_number, severity, code_snippet FROM found"""))
 def stream_scan(spark, sf):
-    found = jobs.scan_new_files(b.code_files_of(stream(spark, sf, 'documents')))
+    found = jobs.scan_new_files(b.code_files_of(stream(spark, sf, 'documents')),
+                                spread=spark.sparkContext.defaultParallelism)
     out = _run(spark, found.select('path', 'rule_id', 'line_number', 'severity', 'code_snippet'))
     return spark.read.parquet(out)
 

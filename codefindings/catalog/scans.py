@@ -67,8 +67,7 @@ for _name, _check in [('scan_secrets', 'secrets'), ('scan_passwords', 'passwords
 SELECT path, rule_id, line_number, vulnerability_type, severity, code_snippet, confidence,
   bool_or(severity = 'CRITICAL') OVER (PARTITION BY path) AS critical_issues FROM found"""))
 def scan_all(spark, sf):
-    found = scan.hits(b.code_files(spark, sf))
-    return scan.per_match(scan.with_critical_flag(found)).select(
+    return scan.findings(b.code_files(spark, sf)).select(
         'path', 'rule_id', 'line_number', 'vulnerability_type', 'severity', 'code_snippet',
         'confidence', 'critical_issues')
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims import limits
 
@@ -20,6 +20,18 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def rows_of(df: DataFrame, keep, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element (elements are never NULL); empty arrays give no row.
+
+    A plain explode makes the optimizer add a filter on the array's size, which it then pushes below
+    projections and exchanges, so that a costly array is computed twice. The outer form has no such
+    filter; the NULL row it adds for an empty array is dropped afterwards.
+    """
+    made = (F.explode_outer(array).alias(name) if position is None
+            else F.posexplode_outer(array).alias(position, name))
+    return df.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     r"""The Java pattern matching what Python's ``re`` matches for ``pattern``.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import tomllib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codefindings.functions.risk import cvss_bucket, risk_weight
-from codefindings.functions.text import SPACE, java_pattern, strip
+from codefindings.functions.text import SPACE, java_pattern, rows_of, strip
 
 # Requirement line, ecosystems, package.json sections.
 REQUIREMENT = r'^([A-Za-z0-9_.\-]+)\s*(==|>=|<=|~=|!=)?\s*([A-Za-z0-9_.\-]+)?'
@@ -18,7 +18,7 @@ ANY_VERSION = '*'
 
 def _lines(manifests: DataFrame, keep) -> DataFrame:
     raw = F.split('content', r'\r\n|\r|\n', -1)
-    return manifests.select(*keep, F.explode(F.transform(raw, strip)).alias('line'))
+    return rows_of(manifests, keep, F.transform(raw, strip), 'line')
 
 
 def _named(kind: str, *names: str) -> Column:
@@ -45,13 +45,13 @@ def package_json(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
                          {'columnNameOfCorruptRecord': 'broken', 'allowSingleQuotes': 'false'})
     entries = F.flatten(F.array(*[F.coalesce(F.map_entries(F.col(f'p.{s}')), F.expr(
         'cast(array() as array<struct<key:string,value:string>>)')) for s in SECTIONS]))
-    return (manifests.select(*keep, parsed.alias('p')).filter('p.broken IS NULL')
-            .select(*keep, F.explode(entries).alias('e'))
+    good = manifests.select(*keep, parsed.alias('p')).filter('p.broken IS NULL')
+    return (rows_of(good, keep, entries, 'e')
             .select(*keep, F.lit('npm').alias('ecosystem'), F.col('e.key').alias('name'),
                     F.coalesce('e.value', F.lit('None')).alias('version')))
 
 
-@F.pandas_udf('array<struct<name:string,version:string>>')
+@F.pandas_udf(T.ArrayType(T.StructType().add('name', 'string').add('version', 'string')))
 def _toml_dependencies(content: pd.Series) -> pd.Series:
     """[dependencies] of one manifest; TOML needs a real parser and these files are tiny."""
     def one(text):
@@ -66,7 +66,7 @@ def _toml_dependencies(content: pd.Series) -> pd.Series:
 
 
 def cargo_toml(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    return (manifests.select(*keep, F.explode(_toml_dependencies('content')).alias('d'))
+    return (rows_of(manifests, keep, _toml_dependencies('content'), 'd')
             .select(*keep, F.lit('crates.io').alias('ecosystem'), 'd.name', 'd.version'))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims import limits
 from codefindings.functions.naming import basename
-from codefindings.functions.text import normalize_type
+from codefindings.functions.text import normalize_type, rows_of
 
 FINDING = ('struct<line_number:bigint,vulnerability_type:string,severity:string,description:string,'
            'code_snippet:string,fix_suggestion:string,confidence:double>')
@@ -68,7 +68,7 @@ def errors(parsed: DataFrame) -> DataFrame:
 
 def findings(usable: DataFrame, keep) -> DataFrame:
     """One row per finding of the usable replies, in reply order."""
-    return usable.select(*keep, F.posexplode('vulnerabilities').alias('ord', 'v')).select(
+    return rows_of(usable, keep, F.col('vulnerabilities'), 'v', 'ord').select(
         *keep, 'ord', 'v.*', F.lit(None).cast('string').alias('detection_method'))
 
 
@@ -89,9 +89,10 @@ def stored_predictions(documents: DataFrame, keep=()) -> DataFrame:
     """
     def given(*columns):
         return F.coalesce(*[F.nullif(F.col(c), F.lit('')) for c in columns])
-    rows = (documents.select(*keep, F.explode(F.from_json('json', STORED)).alias('key', 'a'))
-            .select(*keep, basename(given('a.metadata.filename', 'a.file', 'key')).alias('file'),
-                    F.posexplode('a.vulnerabilities').alias('ord', 'v')))
+    tests = rows_of(documents, keep, F.map_entries(F.from_json('json', STORED)), 't')
+    named = tests.select(*keep, basename(given('t.value.metadata.filename', 't.value.file', 't.key'))
+                         .alias('file'), F.col('t.value.vulnerabilities').alias('found'))
+    rows = rows_of(named, [*keep, 'file'], F.col('found'), 'v', 'ord')
     line = F.coalesce(F.nullif('v.line_number', F.lit(0)), F.nullif('v.line', F.lit(0)), F.lit(-1))
     kind = F.coalesce(F.nullif('v.vulnerability_type', F.lit('')), 'v.type', F.lit(''))
     return rows.select(*keep, 'file', normalize_type(kind).alias('type'),

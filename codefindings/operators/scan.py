@@ -8,17 +8,14 @@ match and comparing line lengths, so the work stays linear in the text however m
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims.rules import Rule, enabled_rules
-from codefindings.functions.text import bind, java_pattern, lines, strip
+from codefindings.dims.severity import RISK_WEIGHTS, SEVERITIES
+from codefindings.functions.text import bind, java_pattern, lines, rows_of, strip
 
-RULE_TYPE = ('array<struct<rule_id:int,check_name:string,pattern:string,language:string,'
-             'vulnerability_type:string,severity:string,description:string,fix_suggestion:string,'
-             'confidence:double,needles:array<string>>>')
 METHOD = 'static_pattern'
 MAX_RULES = 5000
 
@@ -31,13 +28,35 @@ def rules_from(df: DataFrame) -> list[Rule]:
     return [Rule(**{**row.asDict(), 'needles': tuple(row['needles'] or ())}) for row in rows]
 
 
-def rule_array(rules: Iterable[Rule]) -> Column:
-    rows = [dict(rule_id=r.rule_id, check_name=r.check,
-                 pattern=java_pattern(r.pattern, r.ignore_case), language=r.language,
-                 vulnerability_type=r.vulnerability_type, severity=r.severity,
-                 description=r.description, fix_suggestion=r.fix_suggestion,
-                 confidence=r.confidence, needles=list(r.needles)) for r in rules]
-    return F.from_json(F.lit(json.dumps(rows)), RULE_TYPE)
+def _sql(value) -> str:
+    """A value as a Spark SQL literal."""
+    if value is None:
+        return 'CAST(NULL AS STRING)'
+    if isinstance(value, str):
+        return "'" + value.replace('\\', '\\\\').replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f'{value!r}D'
+    if isinstance(value, (list, tuple)):
+        return 'CAST(array(' + ', '.join(map(_sql, value)) + ') AS ARRAY<STRING>)'
+    return str(value)
+
+
+def rule_array(rules: Iterable[Rule], **fields) -> Column:
+    """The rules as an array of structs; ``fields`` name functions of a rule. Folds to one literal."""
+    return F.expr('array(' + ', '.join('named_struct(' + ', '.join(
+        f"'{name}', {_sql(of(r))}" for name, of in fields.items()) + ')' for r in rules) + ')')
+
+
+def _matchers(rules: Iterable[Rule]) -> Column:
+    return rule_array(rules, rule_id=lambda r: r.rule_id, language=lambda r: r.language,
+                      needles=lambda r: r.needles,
+                      pattern=lambda r: java_pattern(r.pattern, r.ignore_case))
+
+
+def _descriptions(rules: Iterable[Rule]) -> Column:
+    return rule_array(rules, check_name=lambda r: r.check, vulnerability_type=lambda r: r.vulnerability_type,
+                      severity=lambda r: r.severity, description=lambda r: r.description,
+                      fix_suggestion=lambda r: r.fix_suggestion, confidence=lambda r: r.confidence)
 
 
 def folded(text: Column) -> Column:
@@ -60,15 +79,9 @@ def _hits_of(text: Column, rule: Column, text_lines: Column) -> Column:
         strip(F.element_at(text_lines, x['line_number'])).alias('code_snippet')))
 
 
-def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[str] = ('path',)) -> DataFrame:
-    """One row per (file, rule, line) with the number of matches starting there.
-
-    ``files`` needs ``language`` and ``content``. This is the compact form: a line's text is stored
-    once, however often a rule matches on it.
-    """
-    rules = list(enabled_rules() if rules is None else rules)
-    table = rule_array(rules)
-    text, language = F.col('content'), F.lower('language')
+def _per_file(files: DataFrame, rules: list[Rule], keep: Iterable[str]) -> DataFrame:
+    """``keep`` plus ``hits``: all (rule, line) places of one file as an array."""
+    table, text, language = _matchers(rules), F.col('content'), F.lower('language')
 
     def file_hits(low):
         wanted = F.filter(table, lambda r: (
@@ -78,18 +91,55 @@ def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[s
         return bind(lines(text), lambda text_lines: F.flatten(
             F.transform(wanted, lambda r: _hits_of(text, r, text_lines))))
 
-    by_id = F.create_map(*[c for i, r in enumerate(rules) for c in (F.lit(r.rule_id), F.lit(i + 1))]) \
-        if [r.rule_id for r in rules] != list(range(1, len(rules) + 1)) else None
-    position = F.col('hit.rule_id') if by_id is None else by_id[F.col('hit.rule_id')]
-    rule = F.element_at(table, position)
-    return (files.select(*keep, F.explode(bind(folded(text), file_hits)).alias('hit'))
-            .select(*keep, 'hit.*', rule.alias('rule'))
-            .select(*keep, 'rule_id', 'line_number', 'n_matches', 'code_snippet',
+    return files.select(*keep, bind(folded(text), file_hits).alias('hits'))
+
+
+def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[str] = ('path',)) -> DataFrame:
+    """One row per (file, rule, line) with the number of matches starting there.
+
+    ``files`` needs ``language`` and ``content``. This is the compact form: a line's text is stored
+    once, however often a rule matches on it. ``critical_issues`` tells whether the file has any
+    CRITICAL finding; it is worked out inside the file's row.
+    """
+    rules = list(enabled_rules() if rules is None else rules)
+    critical = [r.rule_id for r in rules if r.severity == 'CRITICAL']
+    has_critical = F.exists('hits', lambda h: h['rule_id'].isin(critical)) if critical else F.lit(False)
+    numbers = [r.rule_id for r in rules]
+    place = F.array_position(F.array(*[F.lit(n) for n in numbers]), F.col('hit.rule_id')).cast('int')
+    rule = F.element_at(_descriptions(rules), place)
+    flagged = _per_file(files, rules, keep).withColumn('critical_issues', has_critical)
+    return (rows_of(flagged, [*keep, 'critical_issues'], F.col('hits'), 'hit')
+            .select(*keep, 'critical_issues', 'hit.*', rule.alias('rule'))
+            .select(*keep, 'rule_id', 'line_number', 'n_matches', 'code_snippet', 'critical_issues',
                     'rule.check_name', 'rule.vulnerability_type', 'rule.severity',
                     'rule.description', 'rule.fix_suggestion', 'rule.confidence',
                     F.lit(METHOD).alias('detection_method')))
 
 
+def file_counts(files: DataFrame, rules: Iterable[Rule] | None = None,
+                keep: Iterable[str] = ('path',)) -> DataFrame:
+    """One row per file, clean files included: total, critical … info and the risk score.
+
+    Counted inside the row: no explode, no shuffle.
+    """
+    rules = list(enabled_rules() if rules is None else rules)
+
+    def count(wanted: list[Rule], weight: int = 1) -> Column:
+        ids = [r.rule_id for r in wanted]
+        if not ids:
+            return F.lit(0).cast('bigint')
+        return F.aggregate(F.filter('hits', lambda h: h['rule_id'].isin(ids)),
+                           F.lit(0).cast('bigint'), lambda n, h: n + h['n_matches']) * weight
+
+    per_severity = {s: [r for r in rules if r.severity.upper() == s] for s in SEVERITIES}
+    score = F.lit(0).cast('bigint')
+    for weight in sorted({RISK_WEIGHTS.get(r.severity.upper(), 1) for r in rules}):
+        score = score + count([r for r in rules if RISK_WEIGHTS.get(r.severity.upper(), 1) == weight], weight)
+    return _per_file(files, rules, keep).select(
+        *keep, count(rules).alias('total'),
+        *[count(of).alias(s.lower()) for s, of in per_severity.items()], score.alias('score'))
+
+
 def per_match(found: DataFrame) -> DataFrame:
     """One row per match; ``occurrence`` numbers the matches of a rule on one line from 1."""
     return (found.withColumn('occurrence', F.explode(F.sequence(F.lit(1), F.col('n_matches'))))
@@ -118,19 +168,8 @@ def capture(files: DataFrame, pattern: str, groups: int, keep: Iterable[str] = (
         return F.arrays_zip(*parts)
 
     zipped = F.when(text.rlike(java), bind(match_counts(text, F.lit(java)), per_file))
-    return (files.select(*keep, F.posexplode(zipped).alias('pos', 'm'))
+    return (rows_of(files, keep, zipped, 'm', 'pos')
             .select(*keep, F.col('m.line_number').alias('line_number'),
                     (F.col('pos') + 1).alias('ord'),
                     *[F.col(f'm.g{g}').alias(f'g{g}') for g in range(1, groups + 1)]))
 
-
-def with_critical_flag(found: DataFrame, key: str = 'path') -> DataFrame:
-    """Add ``critical_issues``: whether the file has any CRITICAL finding.
-
-    The flagged files are found with a map-side combined distinct and joined back, rather than by a
-    window over all findings of a file.
-    """
-    flagged = (found.filter(F.col('severity') == 'CRITICAL').select(key).distinct()
-               .withColumn('_critical', F.lit(True)))
-    return (found.join(flagged, key, 'left')
-            .withColumn('critical_issues', F.coalesce('_critical', F.lit(False))).drop('_critical'))

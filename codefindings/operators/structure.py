@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.functions.naming import extension
-from codefindings.functions.text import complexity, java_pattern
+from codefindings.functions.text import complexity, java_pattern, rows_of
 from codefindings.operators.scan import capture
 
 # Patterns.
@@ -43,8 +43,9 @@ def import_edges(files: DataFrame, keep=('path',), outer: bool = False) -> DataF
     language, text = F.lower('language'), F.col('content')
     modules = (F.when(language == 'python', python_imports(text))
                .when(language.isin('javascript', 'typescript'), js_imports(text)))
-    explode = F.explode_outer if outer else F.explode
-    return files.select(*keep, explode(modules).alias('module'))
+    if outer:
+        return files.select(*keep, F.explode_outer(modules).alias('module'))
+    return rows_of(files, keep, modules, 'module')
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 from codefindings.functions import risk
 from codefindings.operators import aggregate, merge, prompts, replies, scan, snapshots
 from codefindings.sources.files import discover
+from codefindings.sources.scratch import checkpointed
 
 
 @dataclass
 class StagedScan:
-    """What the staged scan yields; every part is lazy."""
+    """What the staged scan yields."""
     findings: DataFrame
     prompts: DataFrame
     skipped: DataFrame
@@ -22,17 +23,18 @@ class StagedScan:
 def staged(files: DataFrame, instructions: DataFrame, answered: DataFrame) -> StagedScan:
     """Static rules first; only files without a critical finding go on to the model.
 
+    The static findings are needed three times, so they are scanned once and checkpointed; they are
+    small next to the contents.
+
     ``answered`` is the table of model findings (path, ord and the finding columns, plus ``failed``
     rows for replies that could not be used). A file whose reply failed keeps its static findings.
     """
-    static = scan.findings(files, keep=('path',)).withColumn(
-        'ord', F.struct('rule_id', 'line_number', 'occurrence'))
+    static = checkpointed(scan.findings(files).drop('check_name', 'critical_issues'))
     critical = static.filter(F.col('severity') == 'CRITICAL').select('path').distinct()
     to_model = files.join(critical, 'path', 'left_anti')
     usable = (answered.join(critical, 'path', 'left_anti')
               .filter(~F.col('failed')).drop('failed'))
-    plain = static.drop('rule_id', 'occurrence', 'check_name', 'ord')
-    merged = merge.merge(plain.withColumn('ord', F.lit(None).cast('bigint')), usable)
+    merged = merge.merge(static, usable)
     return StagedScan(merged, prompts.build(to_model, instructions), files.join(critical, 'path', 'left_semi'))
 
 
@@ -46,25 +48,19 @@ def scan_repository(files: DataFrame, dependency_risk: DataFrame, changed: DataF
                     key: str = 'repo') -> DataFrame:
     """Discover, optionally keep changed files, scan, score and summarize: one row per repository.
 
-    The scan is a narrow pass over the file contents. What is shuffled afterwards is one row per
-    (file, rule, line), already reduced map-side to one row per file.
+    One narrow pass over the contents counts the findings of each file inside its row; what is
+    shuffled are per-repository sums, combined map-side.
     """
     found_files = discover(files, keys=(key,))
     if changed is not None:
         found_files = snapshots.only_changed(found_files, changed, key)
-    hits = scan.hits(found_files, keep=(key, 'path'))
-    counts = aggregate.by_severity(hits, key, 'path')
-    scores = aggregate.file_scores(hits, key, 'path')
-    per_file = counts.join(scores, [key, 'path'])
-    totals = [F.sum(c).cast('bigint').alias(c) for c in ['total', 'total_known', *aggregate.COUNTS]]
+    per_file = scan.file_counts(found_files, keep=(key, 'path', 'language'))
+    sums = {'total': 'total', **{c: c for c in aggregate.COUNTS}, 'score': 'file_score'}
     per_repo = per_file.groupBy(key).agg(
-        *totals, F.count(F.lit(1)).alias('files_with_issues'),
-        F.sum('score').cast('bigint').alias('file_score'))
-    per_tree = found_files.groupBy(key).agg(
         F.count(F.lit(1)).alias('files_discovered'),
-        F.array_join(F.array_sort(F.collect_set('language')), ',').alias('languages'))
-    joined = per_tree.join(per_repo, key, 'left').join(dependency_risk, key, 'left')
-    zero = ['total', 'total_known', *aggregate.COUNTS, 'files_with_issues', 'file_score', 'dependency_risk']
-    return (joined.na.fill(0, zero)
+        F.count_if(F.col('total') > 0).alias('files_with_issues'),
+        F.array_join(F.array_sort(F.collect_set('language')), ',').alias('languages'),
+        *[F.sum(c).cast('bigint').alias(name) for c, name in sums.items()])
+    return (per_repo.join(dependency_risk, key, 'left').na.fill(0, ['dependency_risk'])
             .withColumn('repo_score', F.col('file_score') + F.col('dependency_risk'))
             .withColumn('risk_level', risk.ladder('repository')))

@@ -2,49 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from codefindings.dims import names
 from codefindings.functions import naming
 from codefindings.operators import filters
+from codefindings.operators.ordered import running_sum
 
 
-def list_tree(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
-    """path (relative), filename and size of every file under ``root``; contents are not read."""
-    return _relative(_binary(spark, root, name_glob).select('path', F.col('length').alias('size')),
-                     root)
-
-
-def read_contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """Add ``content`` (bytes) to the listed files. The size bound is pushed into the reader."""
-    raw = (_binary(spark, root).filter(filters.sized(F.col('length')))
-           .select('path', 'content'))
-    return wanted.join(_relative(raw, root).drop('filename'), 'path')
-
+def read_tree(spark: SparkSession, root: str, repo: str, name_glob: str | None = None) -> DataFrame:
+    """repo, path (relative), filename, size and content (bytes) of every file under ``root``.
 
-def _binary(spark: SparkSession, root: str, name_glob: str | None = None) -> DataFrame:
+    Lazy: without ``content`` among the used columns no file is opened, and bounds on ``size`` are
+    pushed into the reader.
+    """
     reader = spark.read.format('binaryFile').option('recursiveFileLookup', True)
     if name_glob:
         reader = reader.option('pathGlobFilter', name_glob)
-    return reader.load(root)
-
-
-def _relative(df: DataFrame, root: str) -> DataFrame:
-    base = root.split(':', 1)[-1].rstrip('/') + '/'
-    # Paths come as scheme:/path or scheme://authority/path.
-    plain = F.substring_index('path', base, -1) if '/' not in base.strip('/') else F.expr(
-        f"substring(path, locate('{base}', path) + {len(base)})")
-    return df.withColumn('path', plain).withColumn('filename', naming.basename(F.col('path')))
+    base = root.split(':', 1)[-1].strip('/')
+    # Paths come back as scheme:/path or scheme://authority/path.
+    relative = F.regexp_replace('path', r'^[a-z0-9]+:/*(?:[^/]*/)?\Q' + base + r'\E/', '')
+    return reader.load(root).select(
+        F.lit(repo).alias('repo'), relative.alias('path'), naming.basename(F.col('path')).alias('filename'),
+        F.col('length').alias('size'), 'content')
 
 
 def discover(files: DataFrame, keys=('repo',), variant: str = 'repository') -> DataFrame:
     """Files worth scanning, with language and extension.
 
-    Directory, name and size tests run first, then the size budget per tree over the narrow columns
-    only, and the text test on the content of the survivors.
+    Directory, name and size tests come first, then the size budget per tree, and last the text test
+    on the content of the survivors. Contents are never shuffled or joined on.
     """
     limit = names.MAX_TREE_REPO if variant == 'repository' else names.MAX_TREE
     candidates = (files.filter(~filters.in_ignored_dir(F.col('path'), variant))
@@ -59,41 +47,47 @@ def discover(files: DataFrame, keys=('repo',), variant: str = 'repository') -> D
 
 
 def _within_tree_budget(files: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Apply the per-tree budget; only trees above it pay for the running total.
+    """Apply the per-tree size budget.
 
-    Tree totals are a map-side combined sum. Trees within the limit keep every file, so their rows
-    are passed through; ordering is worked out for the other trees alone.
+    Sizes are positive, so a tree's budget ends at one path: what is joined to the files is the last
+    kept path of each tree above the limit. There are at most (all bytes / limit) such trees, some
+    200 000 in 100 TB, hence the broadcast. Without any such tree nothing is joined at all.
     """
-    totals = files.groupBy(*keys).agg(F.sum('size').alias('_tree'))
-    large = totals.filter(F.col('_tree') > limit).select(*keys)
-    narrow = files.select(*keys, 'path', 'size').join(large, keys, 'left_semi')
-    cut = (narrow.withColumn('_over', F.lit(True)).drop('size')
-           .join(filters.within_budget(narrow, limit, keys).select(*keys, 'path'),
-                 [*keys, 'path'], 'left_anti'))
-    return files.join(cut, [*keys, 'path'], 'left_anti')
+    sizes = files.select(*keys, 'path', 'size')
+    large = (sizes.groupBy(*keys).agg(F.sum('size').alias('_tree'))
+             .filter(F.col('_tree') > limit).select(*keys))
+    if large.isEmpty():
+        return files
+    running = running_sum(sizes.join(large, keys, 'left_semi'), keys, ['path'], F.col('size'), '_run')
+    ends = running.groupBy(*keys).agg(
+        F.max(F.when(F.col('_run') <= limit, F.col('path'))).alias('_last'),
+        F.lit(True).alias('_large'))
+    return (files.join(F.broadcast(ends), keys, 'left')
+            .filter(F.col('_large').isNull() | (F.col('path') <= F.col('_last')))
+            .drop('_large', '_last'))
 
 
 def decode(df: DataFrame) -> DataFrame:
     """bytes ``content`` -> ``text`` and ``encoding``: UTF-8, else UTF-16, else Latin-1.
 
-    Valid UTF-8 stays in the JVM. Only the other rows pass through Python, where UTF-16 follows the
-    byte order mark and, without one, the machine's little-endian order.
+    Valid UTF-8 is decoded in the JVM; only the other contents are handed to Python, in the same
+    pass. There UTF-16 follows the byte order mark and, without one, little-endian order.
     """
-    as_utf8 = F.try_validate_utf8(F.col('content').cast('string'))
-    tried = df.withColumn('text', as_utf8)
-    good = tried.filter('text IS NOT NULL OR content IS NULL').withColumn('encoding', F.lit('utf-8'))
-    rest = tried.filter('text IS NULL AND content IS NOT NULL').withColumn(
-        'decoded', _fallback(F.col('content')))
-    other = rest.withColumn('text', F.col('decoded.text')).withColumn(
-        'encoding', F.col('decoded.encoding')).drop('decoded')
-    return good.drop('content').unionByName(other.drop('content'))
+    tried = df.withColumn('_utf8', F.try_validate_utf8(F.col('content').cast('string')))
+    rest = tried.withColumn('_other', _fallback(F.when(F.col('_utf8').isNull(), F.col('content'))))
+    return (rest.withColumn('text', F.coalesce('_utf8', '_other.text'))
+            .withColumn('encoding', F.when(F.col('content').isNotNull(), F.coalesce(
+                F.col('_other.encoding'), F.lit('utf-8'))))
+            .drop('_utf8', '_other', 'content'))
 
 
-@F.pandas_udf('text string, encoding string')
+@F.pandas_udf(T.StructType().add('text', 'string').add('encoding', 'string'))
 def _fallback(content: pd.Series) -> pd.DataFrame:
-    def one(raw: bytes) -> tuple[str, str]:
+    def one(raw):
+        if raw is None:
+            return None, None
         try:
-            return raw.decode('utf-16'), 'utf-16'
+            return bytes(raw).decode('utf-16'), 'utf-16'
         except UnicodeDecodeError:
-            return raw.decode('latin-1'), 'latin-1'
-    return pd.DataFrame([one(bytes(raw)) for raw in content], columns=['text', 'encoding'])
+            return bytes(raw).decode('latin-1'), 'latin-1'
+    return pd.DataFrame([one(raw) for raw in content], columns=['text', 'encoding'], dtype=object)

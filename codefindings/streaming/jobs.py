@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from codefindings.dims import limits
 from codefindings.dims.rules import Rule
 from codefindings.operators import scan
+from codefindings.operators.merge import first_per_place
 from codefindings.plans.report import alerts
 
 LATENESS = '10 minutes'
@@ -26,9 +27,13 @@ def run_available(df: DataFrame, sink: Callable[[DataFrame, int], None] | str, c
 
 
 def scan_new_files(files: DataFrame, rules: Iterable[Rule] | None = None,
-                   keep: Iterable[str] = ('path',)) -> DataFrame:
-    """Findings of arriving files: the batch scan is a projection, so it runs on a stream as it is."""
-    return scan.findings(files, rules, keep)
+                   keep: Iterable[str] = ('path',), spread: int | None = None) -> DataFrame:
+    """Findings of arriving files: the batch scan is a projection, so it runs on a stream as it is.
+
+    ``spread`` distributes the files of each micro-batch over that many tasks, for sources whose
+    batches hold few input splits.
+    """
+    return scan.findings(files if spread is None else files.repartition(spread), rules, keep)
 
 
 def severity_trend(found: DataFrame, width: str = '1 day', ts: str = 'ts') -> DataFrame:
@@ -81,8 +86,7 @@ def alert_sink(path: str, seen_key: str = 'scan_id') -> Callable[[DataFrame, int
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = Window.partitionBy(seen_key).orderBy('ord')
-        new = (alerts(batch).withColumn('_n', F.row_number().over(first)).filter('_n = 1').drop('_n'))
+        new = first_per_place(alerts(batch), [seen_key])
         if batch_id > 0:
             earlier = (spark.read.option('basePath', path).parquet(path)
                        .filter(F.col('batch') < batch_id).select(seen_key))
