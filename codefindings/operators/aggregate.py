@@ -47,8 +47,8 @@ def languages(files: DataFrame, *keys: str) -> DataFrame:
     """Sorted distinct non-empty languages per ``keys``, and how many there are."""
     named = files.filter(F.coalesce('language', F.lit('')) != '')
     return named.groupBy(*keys).agg(
-        F.array_sort(F.collect_set('language')).alias('languages'),
-        F.countDistinct('language').alias('n_languages'))
+        F.array_sort(F.collect_set('language')).alias('languages')).withColumn(
+        'n_languages', F.size('languages').cast('bigint'))
 
 
 def success_rate(discovered: DataFrame, analyzed: DataFrame, *keys: str) -> DataFrame:
@@ -140,15 +140,17 @@ def top_types(found: DataFrame, keys: list[str], n: int = 5) -> DataFrame:
 def executive_summary(files: DataFrame, found: DataFrame, ladder: str = 'codebase',
                       key: str = 'repo') -> DataFrame:
     """One row per repository: risk, counts, files, languages, most common types."""
-    counts = by_severity(found, key)
+    # Counted per file first: the same pass yields the number of files with findings.
+    names = ['total', *COUNTS, 'total_known']
+    counts = by_severity(found, key, 'path').groupBy(key).agg(
+        *[F.sum(c).cast('bigint').alias(c) for c in names], F.count(F.lit(1)).alias('files_with_issues'))
     per_repo = files.groupBy(key).agg(
         F.countDistinct('path').alias('files_analyzed'),
         F.array_join(F.array_sort(F.collect_set(F.nullif('language', F.lit('')))), ',').alias('languages'))
-    issues = found.groupBy(key).agg(F.countDistinct('path').alias('files_with_issues'))
     # At most five entries per repository are collected here.
     common = top_types(found, [key]).groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct('position', F.coalesce('vulnerability_type', F.lit('UNKNOWN')).alias('t')))),
         lambda x: x['t']), ',').alias('most_common'))
-    joined = per_repo.join(counts, key, 'left').join(issues, key, 'left').join(common, key, 'left')
+    joined = per_repo.join(counts, key, 'left').join(common, key, 'left')
     return (joined.na.fill(0, ['total', 'total_known', *COUNTS, 'files_with_issues'])
             .na.fill('', ['most_common']).withColumn('risk_level', risk.ladder(ladder)))

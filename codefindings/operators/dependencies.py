@@ -95,13 +95,18 @@ def all_dependencies(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFra
 def advisories_for(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Advisories of each dependency: those listing its version, or all for version '*'.
 
-    Duplicated dependencies give duplicated hits. Spark picks broadcast or sort-merge by size, and
-    a package used almost everywhere is split by the adaptive skew join.
+    Duplicated dependencies give duplicated hits. Listed versions become join keys, so a widely used
+    package with many advisories is not paired with all of them first. Spark picks broadcast or
+    sort-merge by size and splits skewed keys at run time.
     """
     known = advisories.select('ecosystem', 'name', 'id', 'summary', 'versions',
                               cvss_bucket(F.col('severity')).alias('severity'))
-    applies = (F.col('version') == ANY_VERSION) | F.array_contains('versions', F.col('version'))
-    return dependencies.join(known, ['ecosystem', 'name']).filter(applies).drop('versions')
+    fixed = F.col('version') != ANY_VERSION
+    listed = rows_of(known, ['ecosystem', 'name', 'id', 'summary', 'severity'],
+                     F.array_distinct('versions'), 'version')
+    exact = dependencies.filter(fixed).join(listed, ['ecosystem', 'name', 'version'])
+    open_ended = dependencies.filter(~fixed).join(known.drop('versions'), ['ecosystem', 'name'])
+    return exact.unionByName(open_ended)
 
 
 def risk_by_repo(hits: DataFrame, key: str = 'repo') -> DataFrame:

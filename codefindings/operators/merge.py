@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, functions as F
 
 KEY = ['path', 'line_number', 'vulnerability_type']
@@ -22,10 +25,7 @@ def merge(static: DataFrame, ai: DataFrame, key=KEY) -> DataFrame:
     """All static rows, plus the first model row of each place the static rows do not cover."""
     new = first_per_place(ai, key)
     covered = static.select(*[F.col(k).alias(f'_{k}') for k in key]).distinct()
-    same = None
-    for k in key:
-        part = F.col(k).eqNullSafe(F.col(f'_{k}'))
-        same = part if same is None else same & part
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f'_{k}')) for k in key])
     return static.unionByName(new.join(covered, same, 'left_anti'), allowMissingColumns=True)
 
 

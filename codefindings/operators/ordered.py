@@ -7,6 +7,9 @@ totals of earlier slices (one row per group and slice) are added.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codefindings.sources.scratch import checkpointed
@@ -28,17 +31,21 @@ def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, name
         .withColumn('_slice', F.spark_partition_id()))
     earlier = Window.partitionBy(*keys).orderBy('_slice').rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sliced.groupBy(*keys, '_slice').agg(F.sum('_value').alias('_total'))
-               .select(*[F.col(k).alias(f'_k_{k}') for k in keys], F.col('_slice').alias('_s'),
-                       F.coalesce(F.sum('_total').over(earlier), F.lit(0)).alias('_before')))
-    same = F.col('_slice') == F.col('_s')
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f'_k_{k}'))
+               .withColumn('_before', F.coalesce(F.sum('_total').over(earlier), F.lit(0)))
+               .drop('_total'))
     inside = (Window.partitionBy('_slice', *keys).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
-    return (sliced.withColumn('_inside', F.sum('_value').over(inside))
-            .join(offsets, same, 'left')
+    summed = sliced.withColumn('_inside', F.sum('_value').over(inside))
+    return (_left_join(summed, offsets, [*keys, '_slice'])
             .withColumn(name, F.col('_inside') + F.col('_before'))
-            .drop('_value', '_slice', '_inside', '_before', '_s', *[f'_k_{k}' for k in keys]))
+            .drop('_value', '_slice', '_inside', '_before'))
+
+
+def _left_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys that may be NULL."""
+    renamed = right.withColumnsRenamed({k: f'_r_{k}' for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f'_r_{k}')) for k in keys])
+    return left.join(renamed, same, 'left').drop(*[f'_r_{k}' for k in keys])
 
 
 def position(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
@@ -58,8 +65,7 @@ def previous(df: DataFrame, keys: list[str], micros: str, name: str,
     by_key = Window.partitionBy(*keys).orderBy('_bucket')
     last = (cut.groupBy(*keys, '_bucket').agg(F.max(micros).alias('_last'))
             .withColumn('_carried', F.lag('_last').over(by_key)).drop('_last'))
-    return (cut.withColumn('_inside', F.lag(micros).over(inside))
-            .join(last, [*keys, '_bucket'])
+    return (_left_join(cut.withColumn('_inside', F.lag(micros).over(inside)), last, [*keys, '_bucket'])
             .withColumn(name, F.coalesce('_inside', '_carried'))
             .drop('_inside', '_carried', '_bucket'))
 

@@ -59,9 +59,13 @@ def _descriptions(rules: Iterable[Rule]) -> Column:
                       fix_suggestion=lambda r: r.fix_suggestion, confidence=lambda r: r.confidence)
 
 
+# Non-ASCII characters that equal i, i, s, k when case is ignored.
+_FOLDING = ('\u0130\u0131\u017f\u212a', 'iisk')
+
+
 def folded(text: Column) -> Column:
     """Text in which every character that equals an ASCII letter ignoring case is that letter."""
-    return F.lower(F.upper(F.translate(text, 'İ', 'i')))
+    return F.lower(F.translate(text, *_FOLDING))
 
 
 def match_counts(text: Column, pattern: Column) -> Column:

@@ -3,45 +3,53 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from codefindings.dims import names
 from codefindings.functions import naming
 from codefindings.operators import filters
 from codefindings.operators.ordered import running_sum
+from codefindings.operators.snapshots import only_changed
+from codefindings.sources import trees
 
 
-def read_tree(spark: SparkSession, root: str, repo: str, name_glob: str | None = None) -> DataFrame:
-    """repo, path (relative), filename, size and content (bytes) of every file under ``root``.
-
-    Lazy: without ``content`` among the used columns no file is opened, and bounds on ``size`` are
-    pushed into the reader.
-    """
-    reader = spark.read.format('binaryFile').option('recursiveFileLookup', True)
-    if name_glob:
-        reader = reader.option('pathGlobFilter', name_glob)
-    base = root.split(':', 1)[-1].strip('/')
-    # Paths come back as scheme:/path or scheme://authority/path.
-    relative = F.regexp_replace('path', r'^[a-z0-9]+:/*(?:[^/]*/)?\Q' + base + r'\E/', '')
-    return reader.load(root).select(
-        F.lit(repo).alias('repo'), relative.alias('path'), naming.basename(F.col('path')).alias('filename'),
-        F.col('length').alias('size'), 'content')
+def select_entries(files: DataFrame, keys=('repo',), variant: str = 'repository') -> DataFrame:
+    """Directory, name and size tests, then the size budget per tree. Contents are not looked at."""
+    limit = names.MAX_TREE_REPO if variant == 'repository' else names.MAX_TREE
+    candidates = (files.filter(~filters.in_ignored_dir(F.col('path'), variant))
+                  .filter(~filters.is_ignored_name(F.col('filename'), variant))
+                  .filter(filters.sized(F.col('size'))))
+    return _within_tree_budget(candidates, list(keys), limit)
 
 
 def discover(files: DataFrame, keys=('repo',), variant: str = 'repository') -> DataFrame:
     """Files worth scanning, with language and extension.
 
-    Directory, name and size tests come first, then the size budget per tree, and last the text test
-    on the content of the survivors. Contents are never shuffled or joined on.
+    ``files`` holds path, filename, size and content. The content is tested last, and neither
+    shuffled nor joined on.
     """
-    limit = names.MAX_TREE_REPO if variant == 'repository' else names.MAX_TREE
-    candidates = (files.filter(~filters.in_ignored_dir(F.col('path'), variant))
-                  .filter(~filters.is_ignored_name(F.col('filename'), variant))
-                  .filter(filters.sized(F.col('size'))))
+    return _text_files(select_entries(files, keys, variant), variant)
+
+
+def discover_trees(roots: DataFrame, variant: str = 'repository',
+                   changed: DataFrame | None = None) -> DataFrame:
+    """Files worth scanning under the given (repo, root) folders; only selected files are opened.
+
+    With a ``changed`` (repo, path) table the listing is reduced to it before any file is opened.
+    """
+    entries = select_entries(trees.list_trees(roots, variant), ('repo', 'root'), variant)
+    if changed is not None:
+        entries = only_changed(entries, changed)
+    return _text_files(trees.with_contents(entries), variant)
+
+
+def _text_files(files: DataFrame, variant: str) -> DataFrame:
     is_text = filters.is_text_bytes if variant == 'repository' else filters.is_text_chars
     language = naming.language_repo if variant == 'repository' else naming.language_full
-    return (_within_tree_budget(candidates, list(keys), limit)
-            .filter(is_text(F.col('content')))
+    content = F.col('content')
+    if variant != 'repository' and dict(files.dtypes)['content'] == 'binary':
+        files = decode(files).withColumnRenamed('text', 'content')
+    return (files.filter(is_text(content))
             .withColumn('language', language(F.col('filename')))
             .withColumn('extension', naming.extension(F.col('filename'))))
 

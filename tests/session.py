@@ -16,6 +16,7 @@ def session(cpus: str | int | None = None) -> SparkSession:
              .config('spark.ui.enabled', 'false')
              .config('spark.ui.showConsoleProgress', 'false')
              .config('spark.driver.memory', '8g')
+             .config('spark.cleaner.referenceTracking.cleanCheckpoints', 'true')
              .config('spark.sql.files.openCostInBytes', str(1024 * 1024))
              .getOrCreate())
     spark.sparkContext.setLogLevel('ERROR')

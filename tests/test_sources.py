@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codefindings.dims import names
 from codefindings.operators import dependencies, replies
-from codefindings.sources import files as sources, sinks
+from codefindings.sources import files as sources, sinks, trees
 
 PY = 'import os\nos.system("ls")\n'
 
@@ -14,17 +14,18 @@ PY = 'import os\nos.system("ls")\n'
 def test_tree_discovery(spark, tmp_path):
     root = tmp_path / 'tree'
     content = {'src/a.py': PY, 'node_modules/b.py': PY, 'src/.hidden': PY, 'docs/readme.md': 'hello world', 'src/empty.py': '',
-               'x/logo.png': PY, 'x/bin.dat': '\x00' * 50, 'x/.env': 'A=1', 'Build/c.py': PY, 'x/a.min.js': PY, 'build.py': PY}
+               'x/logo.png': PY, 'x/bin.dat': '\x00' * 50, 'x/.env': 'A=1', 'Build/c.py': PY, 'deep/a/b/c/__init__.py': PY, 'x/a.min.js': PY, 'build.py': PY}
     for path, text in content.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_text(text)
-    files = sources.read_tree(spark, str(root), 'r')
-    found = {r.path: r for r in sources.discover(files).collect()}
-    assert set(found) == {'src/a.py', 'docs/readme.md', 'x/.env', 'build.py'}
-    assert found['src/a.py'].language == 'python' and found['src/a.py'].extension == '.py'
-    listing = files.select('path', 'size')._jdf.queryExecution().executedPlan().toString()
-    assert 'content' not in listing
-    assert 'PushedFilters' in sources.discover(files)._jdf.queryExecution().executedPlan().toString()
+    (root / 'src' / 'loop').symlink_to(root)
+    roots = spark.createDataFrame([('r', root.as_uri())], 'repo string, root string')
+    found = {r.path: r for r in sources.discover_trees(roots).collect()}
+    assert set(found) == {'src/a.py', 'docs/readme.md', 'x/.env', 'build.py', 'deep/a/b/c/__init__.py'}
+    assert found['src/a.py'].language == 'python' and bytes(found['src/a.py'].content) == PY.encode()
+    assert 'node_modules' not in {r.path.split('/')[0] for r in trees.list_trees(roots).collect()}
+    upload = {r.path: r.content for r in sources.discover_trees(roots, 'upload').collect()}
+    assert upload['deep/a/b/c/__init__.py'] == PY and 'x/.env' in upload
 
 
 def test_budget_cuts_in_path_order(spark):
@@ -35,10 +36,10 @@ def test_budget_cuts_in_path_order(spark):
 
 
 def test_decode(spark):
-    cases = {'utf-8': 'é'.encode(), 'utf-16': '﻿é漢'.encode('utf-16-le'), 'latin-1': b'caf\xe9!!'[:7], 'empty': b''}
+    cases = {'utf-8': 'é'.encode(), 'utf-16': '﻿é漢'.encode('utf-16-le'), 'latin-1': b'caf\xe9!', 'empty': b''}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()] + [('null', None)], 'k string, content binary')
     got = {r.k: (r.text, r.encoding) for r in sources.decode(df).collect()}
-    assert got == {'utf-8': ('é', 'utf-8'), 'utf-16': ('é漢', 'utf-16'), 'latin-1': ('café!!'[:7], 'latin-1'),
+    assert got == {'utf-8': ('é', 'utf-8'), 'utf-16': ('é漢', 'utf-16'), 'latin-1': ('café!', 'latin-1'),
                    'empty': ('', 'utf-8'), 'null': (None, None)}
 
 
