@@ -279,7 +279,7 @@ SELECT path, day, i AS position, keys[i] AS rule FROM (
 
 def _recs(spark, sf, keys):
     return scans(spark, sf).select('path', 'day', F.posexplode(keys).alias('i', 'rule')).select(
-        'path', 'day', (F.col('i') + 1).alias('position'), 'rule')
+        'path', 'day', (F.col('i') + 1).cast('bigint').alias('position'), 'rule')
 
 
 _S = 'critical + high + medium > 0'
@@ -299,7 +299,7 @@ def recs_codebase(spark, sf):
 def recs_repository(spark, sf):
     wide = scans(spark, sf).withColumn('files_analyzed', (F.col('files_analyzed') / 9 * 30).cast('bigint'))
     return wide.select('path', 'day', F.posexplode(recommend.repository()).alias('i', 'rule')).select(
-        'path', 'day', (F.col('i') + 1).alias('position'), 'rule')
+        'path', 'day', (F.col('i') + 1).cast('bigint').alias('position'), 'rule')
 
 
 @query('recs_report', sql=_recs_sql(_keys_sql(
@@ -382,7 +382,8 @@ SELECT repo, left(sha, 8) AS short_sha, row_number() OVER (PARTITION BY repo ORD
 FROM commits QUALIFY position <= 5"""))
 def recent_commits(spark, sf):
     return ranking.recent_commits(b.commits(spark, sf)).select(
-        'repo', F.substring('sha', 1, 8).alias('short_sha'), 'position')
+        'repo', F.substring('sha', 1, 8).alias('short_sha'),
+        F.col('position').cast('bigint').alias('position'))
 
 
 HISTORY20_SQL = """SELECT repo_id, ord, repo_score, critical, high, strftime(ts, '%H:%M') AS label

@@ -143,7 +143,7 @@ def fn_extract_json(spark, sf):
 
 
 @query('ai_parse_reply', sql=with_sql(PARSED_SQL, body="""
-SELECT reply_id, CAST(n_found AS BIGINT) AS n_found, CASE WHEN json_extract(j, '$.summary') IS NULL THEN n_found
+SELECT reply_id, CAST(n_found AS BIGINT) AS n_found, CASE WHEN json_extract(j, '$.summary') IS NULL THEN CAST(n_found AS BIGINT)
     ELSE CAST(json_extract(j, '$.summary.total_vulnerabilities') AS BIGINT) END AS total_vulnerabilities,
   coalesce(CAST(json_extract(j, '$.summary.high_count') AS BIGINT), 0) AS high_count,
   coalesce(CAST(json_extract(j, '$.metadata.tokens_used') AS BIGINT),
@@ -158,7 +158,7 @@ def ai_parse_reply(spark, sf):
 
 @query('ai_error_rows', sql=with_sql(PARSED_SQL, body='SELECT reply_id, error, CASE error ' + ' '.join(
     f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in replies.MESSAGES.items()) + """ END AS message,
-  left(coalesce(reply, ''), 500) AS raw_response, 0 AS total_vulnerabilities FROM parsed WHERE error IS NOT NULL"""))
+  left(coalesce(reply, ''), 500) AS raw_response, CAST(0 AS BIGINT) AS total_vulnerabilities FROM parsed WHERE error IS NOT NULL"""))
 def ai_error_rows(spark, sf):
     return replies.errors(replies.parse(b.ai_responses(spark, sf))).select(
         'reply_id', 'error', 'message', 'raw_response', 'total_vulnerabilities')
@@ -193,7 +193,7 @@ FROM (SELECT event_id, ord, json_extract(a, '$.vulnerabilities[' || ord || ']')
   coalesce(nullif(json_extract_string(a, '$.metadata.filename'), ''), nullif(json_extract_string(a, '$.file'), ''), key) AS f FROM items)""")
 def src_results_json(spark, sf):
     stored = b.table(spark, sf, 'events').select('event_id', F.expr(_STORED_SPARK).alias('json'))
-    return replies.stored_predictions(stored, ['event_id']).select('event_id', 'file', 'type', 'line', 'ord')
+    return replies.stored_predictions(stored, ['event_id']).select('event_id', 'file', 'type', 'line', F.col('ord').cast('bigint').alias('ord'))
 
 
 # ---- reports -------------------------------------------------------------------------------
@@ -216,7 +216,7 @@ def report_details(spark, sf):
 
 @query('dashboard_cards', sql=with_sql(b.FINDINGS_SQL, b.ANALYZED_SQL, """stored AS (SELECT 'repo' || s_suppkey AS repo,
   CASE WHEN s_suppkey % 2 = 0 THEN 0 ELSE 1000 + s_suppkey END AS t, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS c FROM supplier)""", body="""
-SELECT repo, files, 1 AS languages, coalesce(nullif(t, 0), n, 0) AS issues, coalesce(nullif(c, 0), k, 0) AS critical
+SELECT repo, files, CAST(1 AS BIGINT) AS languages, coalesce(nullif(t, 0), n, 0) AS issues, coalesce(nullif(c, 0), k, 0) AS critical
 FROM (SELECT repo, count(DISTINCT path) AS files FROM analyzed_files GROUP BY repo)
 LEFT JOIN (SELECT repo, count(*) AS n, count(*) FILTER (severity = 'CRITICAL') AS k FROM findings GROUP BY repo) USING (repo)
 LEFT JOIN stored USING (repo)"""))

@@ -78,7 +78,7 @@ UNION ALL SELECT 'model', path, line_number, vulnerability_type FROM
   (SELECT path, 1 AS line_number, 'CSRF' AS vulnerability_type FROM code_files)"""))
 def union_findings(spark, sf):
     files = b.code_files(spark, sf)
-    replies = files.select(F.lit('model').alias('check_name'), 'path', F.lit(1).alias('line_number'),
+    replies = files.select(F.lit('model').alias('check_name'), 'path', F.lit(1).cast('bigint').alias('line_number'),
                            F.lit('CSRF').alias('vulnerability_type'))
     return scan.findings(files).select('check_name', 'path', 'line_number',
                                        'vulnerability_type').unionByName(replies)

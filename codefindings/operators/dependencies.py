@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codefindings.functions.risk import cvss_bucket, risk_weight
-from codefindings.functions.text import SPACE, java_pattern, rows_of, strip
+from codefindings.functions.text import SPACE, bind, java_pattern, rows_of, strip
 
 # Requirement line, ecosystems, package.json sections.
 REQUIREMENT = r'^([A-Za-z0-9_.\-]+)\s*(==|>=|<=|~=|!=)?\s*([A-Za-z0-9_.\-]+)?'
@@ -16,39 +16,34 @@ SECTIONS = ('dependencies', 'devDependencies', 'peerDependencies')
 ANY_VERSION = '*'
 
 
-def _lines(manifests: DataFrame, keep) -> DataFrame:
-    raw = F.split('content', r'\r\n|\r|\n', -1)
-    return rows_of(manifests, keep, F.transform(raw, strip), 'line')
+def _lines(content: Column) -> Column:
+    return F.transform(F.split(content, r'\r\n|\r|\n', -1), strip)
 
 
-def _named(kind: str, *names: str) -> Column:
-    return F.lower(F.substring_index(kind, '/', -1)).isin(*names)
+def _entry(ecosystem: str, name: Column, version: Column) -> Column:
+    return F.struct(F.lit(ecosystem).alias('ecosystem'), name.alias('name'), version.alias('version'))
 
 
-def _out(keep, ecosystem: str, name: Column, version: Column):
-    return [*keep, F.lit(ecosystem).alias('ecosystem'), name.alias('name'),
-            F.coalesce(F.nullif(version, F.lit('')), F.lit(ANY_VERSION)).alias('version')]
+def _requirements(content: Column) -> Column:
+    pattern = java_pattern(REQUIREMENT)
+    wanted = F.filter(_lines(content), lambda line: (line != '') & ~F.startswith(line, F.lit('#'))
+                      & line.rlike(pattern))
+    return F.transform(wanted, lambda line: _entry('PyPI', F.regexp_extract(line, pattern, 1), F.coalesce(
+        F.nullif(F.regexp_extract(line, pattern, 3), F.lit('')), F.lit(ANY_VERSION))))
 
 
-def requirements(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    pattern, line = java_pattern(REQUIREMENT), F.col('line')
-    return (_lines(manifests, keep)
-            .filter((line != '') & ~line.startswith('#') & line.rlike(pattern))
-            .select(*_out(keep, 'PyPI', F.regexp_extract(line, pattern, 1),
-                          F.regexp_extract(line, pattern, 3))))
-
-
-def package_json(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    """Union of the three dependency sections; a manifest that does not parse gives no rows."""
+def _package_json(content: Column) -> Column:
+    """The three dependency sections; NULL for a manifest that does not parse."""
     fields = ', '.join(f'{s} map<string,string>' for s in SECTIONS)
-    parsed = F.from_json('content', f'struct<{fields}, broken string>',
+    parsed = F.from_json(content, f'struct<{fields}, broken string>',
                          {'columnNameOfCorruptRecord': 'broken', 'allowSingleQuotes': 'false'})
-    entries = F.flatten(F.array(*[F.coalesce(F.map_entries(F.col(f'p.{s}')), F.expr(
-        'cast(array() as array<struct<key:string,value:string>>)')) for s in SECTIONS]))
-    good = manifests.select(*keep, parsed.alias('p')).filter('p.broken IS NULL')
-    return (rows_of(good, keep, entries, 'e')
-            .select(*keep, F.lit('npm').alias('ecosystem'), F.col('e.key').alias('name'),
-                    F.coalesce('e.value', F.lit('None')).alias('version')))
+    none = F.expr('CAST(array() AS ARRAY<STRUCT<key: STRING, value: STRING>>)')
+
+    def entries(p):
+        pairs = F.flatten(F.array(*[F.coalesce(F.map_entries(p[s]), none) for s in SECTIONS]))
+        return F.when(p['broken'].isNull(), F.transform(pairs, lambda e: _entry(
+            'npm', e['key'], F.coalesce(e['value'], F.lit('None')))))
+    return bind(parsed, entries)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add('name', 'string').add('version', 'string')))
@@ -65,48 +60,67 @@ def _toml_dependencies(content: pd.Series) -> pd.Series:
     return content.map(one)
 
 
+def _cargo_toml(content: Column) -> Column:
+    return F.transform(_toml_dependencies(content), lambda d: _entry('crates.io', d['name'], d['version']))
+
+
+def _go_mod(content: Column) -> Column:
+    """First two words of every line that is no comment and no module line."""
+    wanted = F.filter(_lines(content), lambda line: (line != '') & ~F.startswith(line, F.lit('//'))
+                      & ~F.startswith(line, F.lit('module ')))
+    words = F.transform(wanted, lambda line: F.split(
+        strip(F.replace(line, F.lit('require '), F.lit(''))), f'[{SPACE}]+', -1))
+    return F.transform(F.filter(words, lambda w: F.size(w) >= 2), lambda w: _entry('Go', w[0], w[1]))
+
+
+def _parsed(manifests: DataFrame, keep, entries: Column) -> DataFrame:
+    return rows_of(manifests, keep, entries, 'd').select(*keep, 'd.*')
+
+
+def requirements(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
+    return _parsed(manifests, keep, _requirements(F.col('content')))
+
+
+def package_json(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
+    return _parsed(manifests, keep, _package_json(F.col('content')))
+
+
 def cargo_toml(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    return (rows_of(manifests, keep, _toml_dependencies('content'), 'd')
-            .select(*keep, F.lit('crates.io').alias('ecosystem'), 'd.name', 'd.version'))
+    return _parsed(manifests, keep, _cargo_toml(F.col('content')))
 
 
 def go_mod(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    """First two words of every line that is no comment and no module line."""
-    line = F.col('line')
-    words = F.split(strip(F.replace(line, F.lit('require '), F.lit(''))), f'[{SPACE}]+', -1)
-    return (_lines(manifests, keep)
-            .filter((line != '') & ~line.startswith('//') & ~line.startswith('module '))
-            .select(*keep, words.alias('w')).filter(F.size('w') >= 2)
-            .select(*keep, F.lit('Go').alias('ecosystem'), F.col('w')[0].alias('name'),
-                    F.col('w')[1].alias('version')))
+    return _parsed(manifests, keep, _go_mod(F.col('content')))
 
 
 def all_dependencies(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    """Dependencies of every supported manifest, chosen by file name; lock files give none."""
-    parts = [('requirements.txt', requirements), ('package.json', package_json),
-             ('cargo.toml', cargo_toml), ('go.mod', go_mod)]
-    (name, parse), *rest = parts
-    out = parse(manifests.filter(_named('filename', name)), keep)
-    for name, parse in rest:
-        out = out.unionByName(parse(manifests.filter(_named('filename', name)), keep))
-    return out
+    """Dependencies of every supported manifest, chosen by file name; lock files give none.
+
+    One pass over the manifests. Only Cargo texts are handed to the TOML parser.
+    """
+    name, content = F.lower(F.substring_index('filename', '/', -1)), F.col('content')
+    cargo = name == 'cargo.toml'
+    entries = (F.when(name == 'requirements.txt', _requirements(content))
+               .when(name == 'package.json', _package_json(content))
+               .when(name == 'go.mod', _go_mod(content))
+               .when(cargo, _cargo_toml(F.when(cargo, content))))
+    return _parsed(manifests, keep, entries)
 
 
 def advisories_for(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Advisories of each dependency: those listing its version, or all for version '*'.
 
-    Duplicated dependencies give duplicated hits. Listed versions become join keys, so a widely used
-    package with many advisories is not paired with all of them first. Spark picks broadcast or
+    Duplicated dependencies give duplicated hits. Listed versions, and '*' for all, become join keys,
+    so a widely used package with many advisories is not paired with all of them first. Spark picks broadcast or
     sort-merge by size and splits skewed keys at run time.
     """
-    known = advisories.select('ecosystem', 'name', 'id', 'summary', 'versions',
+    known = advisories.select('ecosystem', 'name', 'id', 'summary',
+                              F.array_union(F.coalesce('versions', F.expr('CAST(array() AS ARRAY<STRING>)')),
+                                            F.array(F.lit(ANY_VERSION))).alias('versions'),
                               cvss_bucket(F.col('severity')).alias('severity'))
-    fixed = F.col('version') != ANY_VERSION
     listed = rows_of(known, ['ecosystem', 'name', 'id', 'summary', 'severity'],
-                     F.array_distinct('versions'), 'version')
-    exact = dependencies.filter(fixed).join(listed, ['ecosystem', 'name', 'version'])
-    open_ended = dependencies.filter(~fixed).join(known.drop('versions'), ['ecosystem', 'name'])
-    return exact.unionByName(open_ended)
+                     F.col('versions'), 'version')
+    return dependencies.join(listed, ['ecosystem', 'name', 'version'])
 
 
 def risk_by_repo(hits: DataFrame, key: str = 'repo') -> DataFrame:

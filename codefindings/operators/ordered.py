@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codefindings.sources.scratch import checkpointed
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, name: str,
-                payload: bool = True) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, name: str) -> DataFrame:
     """Add the inclusive running sum of ``value`` per ``keys`` in ``order``.
 
     ``order`` (column names or sort columns) should be a total order within a group. The sliced

@@ -78,7 +78,7 @@ def _hits_of(text: Column, rule: Column, text_lines: Column) -> Column:
     numbered = F.transform(match_counts(text, rule['pattern']), lambda n, i: F.struct(
         (i + 1).alias('line_number'), n.alias('n_matches')))
     return F.transform(F.filter(numbered, lambda x: x['n_matches'] > 0), lambda x: F.struct(
-        rule['rule_id'].alias('rule_id'), x['line_number'].alias('line_number'),
+        rule['rule_id'].alias('rule_id'), x['line_number'].cast('bigint').alias('line_number'),
         x['n_matches'].alias('n_matches'),
         strip(F.element_at(text_lines, x['line_number'])).alias('code_snippet')))
 
