@@ -59,7 +59,7 @@ def previous(df: DataFrame, keys: list[str], micros: str, name: str,
     Hot keys are split into time buckets; the first row of a bucket takes the last value of the
     previous non-empty bucket, from a table with one row per key and bucket.
     """
-    cut = df.withColumn('_bucket', F.floor(F.col(micros) / bucket))
+    cut = df.withColumn('_bucket', F.expr(f'`{micros}` div {bucket}'))
     inside = Window.partitionBy(*keys, '_bucket').orderBy(micros)
     by_key = Window.partitionBy(*keys).orderBy('_bucket')
     last = (cut.groupBy(*keys, '_bucket').agg(F.max(micros).alias('_last'))
@@ -75,7 +75,7 @@ def count_before(df: DataFrame, keys: list[str], micros: str, span: int, name: s
     Time is cut into buckets of ``span``; every row is also handed to the next bucket as history, so
     a key is split over as many tasks as it has buckets and each row moves twice.
     """
-    own = F.floor(F.col(micros) / span)
+    own = F.expr(f'`{micros}` div {span}')
     both = df.withColumn('_copy', F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         '_bucket', own + F.col('_copy'))
     frame = Window.partitionBy(*keys, '_bucket').orderBy(micros).rangeBetween(-(span - 1), -1)
