@@ -91,7 +91,7 @@ SNIPPETS = [
 
 
 def code_files(spark, sf) -> DataFrame:
-    """repo, path, filename, language, content, doc_id: documents with a code snippet inside."""
+    """repo, path, filename, language, size, content, doc_id: documents with a code snippet inside."""
     return code_files_of(table(spark, sf, 'documents'))
 
 
@@ -105,7 +105,9 @@ def code_files_of(documents: DataFrame) -> DataFrame:
         name.alias('filename'), pick([_LANGS[s[0]] for s in SNIPPETS], k).alias('language'),
         F.concat(F.substring(F.col('text'), F.lit(1), half), F.lit('\n'),
                  pick([s[1] for s in SNIPPETS], k), F.lit('\n'),
-                 F.substr(F.col('text'), half + 1)).alias('content'), 'doc_id')
+                 F.substr(F.col('text'), half + 1)).alias('content'), 'doc_id',
+        (F.octet_length('text') + 2 + F.octet_length(pick([s[1] for s in SNIPPETS], k)))
+        .cast('bigint').alias('size'))
 
 
 _LANGS = {'py': 'python', 'js': 'javascript', 'ts': 'typescript', 'java': 'java', 'php': 'php',

@@ -266,8 +266,8 @@ def staged_scan(spark, sf):
 
 
 def scan_input(spark, sf):
-    """Code files with size, as a source tree would give them."""
-    return b.code_files(spark, sf).withColumn('size', F.octet_length('content').cast('bigint')).drop('language')
+    """Code files without their language, as a source tree would give them."""
+    return b.code_files(spark, sf).drop('language')
 
 
 _LANG = basics._map(basics.languages.REPO_EXTENSIONS, "regexp_extract(path, '\\.[a-z]+$')")
