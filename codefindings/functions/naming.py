@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codefindings.dims import languages as dim, names
@@ -38,18 +40,20 @@ def directories(path: Column) -> Column:
     return F.slice(parts, 1, F.size(parts) - 1)
 
 
-def _any(column: Column, method: str, values: list[str]) -> Column:
-    test = getattr(column, method)(values[0])
-    for value in values[1:]:
-        test = test | getattr(column, method)(value)
-    return test
+def contains_any(column: Column, values: list[str]) -> Column:
+    """Whether one of the literals occurs; a single pattern keeps the expression small."""
+    return column.rlike('|'.join(map(re.escape, values)))
+
+
+def ends_with_any(column: Column, values: list[str]) -> Column:
+    return column.rlike('(?:' + '|'.join(map(re.escape, values)) + r')\z')
 
 
 def language_full(name: Column) -> Column:
     low = F.lower(name)
     by_words = F.when(F.lit(False), F.lit(None).cast('string'))
     for words, language in dim.NAME_WORDS:
-        by_words = by_words.when(_any(low, 'contains', list(words)), language)
+        by_words = by_words.when(contains_any(low, list(words)), language)
     return F.when(F.coalesce(name, F.lit('')) == '', 'text').otherwise(F.coalesce(
         lookup(dim.FULL_EXTENSIONS, extension(name)), lookup(dim.FULL_NAMES, low),
         F.when(extension(name) == '', by_words), F.lit('text')))
@@ -96,7 +100,7 @@ def repo_parts(url: Column) -> dict[str, Column]:
     """owner and name of a repository URL; NULL (owner) or the last part for unknown hosts."""
     clean = F.regexp_replace(url, r'\.git\z', '')
     parts = F.split(clean, '/', -1)
-    known = _any(clean, 'contains', names.REPO_HOSTS)
+    known = contains_any(clean, names.REPO_HOSTS)
     public = F.split(F.replace(F.replace(url, F.lit('https://github.com/'), F.lit('')),
                                F.lit('.git'), F.lit('')), '/', -1)
     is_public = url.contains('github.com') & (F.size(public) >= 2)

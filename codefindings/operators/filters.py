@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims import limits, names
 from codefindings.functions import text
-from codefindings.functions.naming import (_any, basename, directories, extension, ui_extension)
+from codefindings.functions.naming import (basename, contains_any, directories, ends_with_any,
+                                           extension, ui_extension)
 from codefindings.operators.ordered import running_sum
 
 VARIANTS = ('upload', 'repository')
@@ -22,13 +23,13 @@ def is_ignored_name(name: Column, variant: str = 'upload') -> Column:
     repo = variant == 'repository'
     hidden = low.startswith('.') & ~low.isin(
         names.VISIBLE_DOTFILES_REPO if repo else names.VISIBLE_DOTFILES)
-    test = (hidden | _any(low, 'endswith', names.TEMP_SUFFIXES_REPO if repo else names.TEMP_SUFFIXES)
+    test = (hidden | ends_with_any(low, names.TEMP_SUFFIXES_REPO if repo else names.TEMP_SUFFIXES)
             | extension(name).isin(names.REPO_BINARY_EXT if repo else names.BINARY_EXT)
-            | _any(low, 'contains', names.GENERATED_PARTS))
+            | contains_any(low, names.GENERATED_PARTS))
     if repo:
         test = (test | low.contains(':zone.identifier') | low.endswith('.identifier')
-                | _any(low, 'endswith', names.REPO_IMAGE_EXT + names.MEDIA_EXT + names.FONT_EXT)
-                | _any(low, 'contains', names.ICON_PARTS))
+                | ends_with_any(low, names.REPO_IMAGE_EXT + names.MEDIA_EXT + names.FONT_EXT)
+                | contains_any(low, names.ICON_PARTS))
     return test
 
 
@@ -65,7 +66,7 @@ def has_content(content: Column) -> Column:
 def upload_reason(name: Column, size: Column, as_archive: Column) -> Column:
     """Why an upload is refused; NULL when it is accepted."""
     single = F.when(is_binary_upload(name), 'binary').when(size > names.MAX_UPLOAD, 'too_large')
-    archive = (F.when(~_any(name, 'endswith', names.ARCHIVE_SUFFIXES), 'not_an_archive')
+    archive = (F.when(~ends_with_any(name, names.ARCHIVE_SUFFIXES), 'not_an_archive')
                .when(size > names.MAX_ARCHIVE, 'too_large'))
     return F.when(as_archive, archive).otherwise(single)
 
@@ -78,7 +79,7 @@ def split_by_file_count(files: DataFrame, keys=('repo',)) -> tuple[DataFrame, Da
 
 
 def is_supported_repo(url: Column) -> Column:
-    return F.coalesce(_any(url, 'contains', names.REPO_HOSTS), F.lit(False))
+    return F.coalesce(contains_any(url, names.REPO_HOSTS), F.lit(False))
 
 
 def is_manifest(path: Column) -> Column:
