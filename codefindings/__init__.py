@@ -1,0 +1 @@
+"""Analysis of source code and text corpora with Spark."""

@@ -8,7 +8,7 @@ from codefindings import bindings as b
 from codefindings.bindings import quoted, with_sql
 from codefindings.catalog.basics import COMPLEXITY_SQL, STRIP_SQL
 from codefindings.catalog.registry import query
-from codefindings.dims.rules import default_rules, enabled_rules, rules_of
+from codefindings.dims.rules import enabled_rules, rules_of
 from codefindings.operators import scan, structure
 
 COLUMNS = ['path', 'rule_id', 'line_number', 'vulnerability_type', 'severity', 'description',

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims import limits
 from codefindings.functions.naming import basename
-from codefindings.functions.text import normalize_type, rows_of
+from codefindings.functions.text import bind, normalize_type, rows_of
 
 FINDING = ('struct<line_number:bigint,vulnerability_type:string,severity:string,description:string,'
            'code_snippet:string,fix_suggestion:string,confidence:double>')
@@ -31,16 +31,23 @@ def parse(replies: DataFrame) -> DataFrame:
     """Add ``parsed`` (struct or NULL) and ``error`` (kind or NULL).
 
     The object is parsed as the only element of an array: text after the object then is an error
-    instead of being ignored.
+    instead of being ignored. Both columns come out of one row-producing step, so filters on
+    ``error`` do not repeat the parsing below it.
     """
-    as_list = F.from_json(F.concat(F.lit('['), F.col('json'), F.lit(']')), f'array<{REPLY}>',
-                          {'allowSingleQuotes': 'false'})
-    error = (F.when(F.col('reply').isNull(), 'no_reply').when(F.col('json') == '', 'no_json')
-             .when(F.coalesce(F.size('list'), F.lit(0)) != 1, 'bad_json'))
-    return (replies.withColumn('json', json_text(F.col('reply'))).withColumn('list', as_list)
-            .withColumn('error', error)
-            .withColumn('parsed', F.when(F.col('error').isNull(), F.get('list', F.lit(0))))
-            .drop('json', 'list'))
+    reply = F.col('reply')
+
+    def judged(json, found):
+        error = (F.when(reply.isNull(), 'no_reply').when(json == '', 'no_json')
+                 .when(F.coalesce(F.size(found), F.lit(0)) != 1, 'bad_json'))
+        return F.struct(error.alias('error'), F.when(error.isNull(), F.get(found, F.lit(0))).alias('parsed'))
+
+    def parsed(json):
+        as_list = F.from_json(F.concat(F.lit('['), json, F.lit(']')), f'array<{REPLY}>',
+                              {'allowSingleQuotes': 'false'})
+        return bind(as_list, lambda found: judged(json, found))
+
+    keep = replies.columns
+    return rows_of(replies, keep, F.array(bind(json_text(reply), parsed)), 'r').select(*keep, 'r.*')
 
 
 def good(parsed: DataFrame) -> DataFrame:
