@@ -6,7 +6,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ['mixing', 'sharding', 'licenses', 'fingerprints', 'packing', 'neardup']
+MODULES = ['mixing', 'sharding', 'licenses', 'fingerprints', 'packing', 'neardup', 'rules']
 
 
 def query(name: str, sql: str | None = None):
