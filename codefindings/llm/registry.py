@@ -6,7 +6,8 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-MODULES = ['mixing', 'sharding', 'licenses', 'fingerprints', 'packing', 'neardup', 'rules']
+MODULES = ['mixing', 'sharding', 'licenses', 'fingerprints', 'packing', 'neardup', 'rules',
+           'quality']
 
 
 def query(name: str, sql: str | None = None):
