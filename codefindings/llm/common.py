@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codefindings.sources.scratch import new_folder
 
 WORD = r'[^\x20\x09-\x0D]+'
+SHORT_SHUFFLES = 'spark.sql.classic.shuffleDependency.fileCleanup.enabled'
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,15 +27,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast('bigint')
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in folders ``by`` columns, and read it back.
 
-    Later steps read the files, so a lost executor costs a re-read, not the work above. The folder
-    is the one of ``spark.checkpoint.dir``; what lies there may be deleted once the job has ended.
+    Later steps read the files, so a lost executor costs a re-read, not the work above. Shuffle files
+    of the write are removed once it has ended. The folder is under ``spark.checkpoint.dir``; what
+    lies there may be deleted once the job has ended.
     """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    before = spark.conf.get(SHORT_SHUFFLES)
+    spark.conf.set(SHORT_SHUFFLES, 'true')
+    try:
+        df.write.partitionBy(*by).parquet(folder)
+    finally:
+        spark.conf.set(SHORT_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

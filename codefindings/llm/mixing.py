@@ -75,12 +75,12 @@ def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP,
                    .groupBy('source').agg(F.sum('size').alias('size')), 'mix-sizes')
     targets = source_targets(sizes, share, weights, cap)
     rate = F.when(F.col('source_size') > 0, F.col('target') / F.col('source_size')).otherwise(0.0)
-    rates = targets.select(F.struct(F.col('source').alias('source'), rate.alias('rate')).alias('_mix'))
-    joined = docs.join(rates, docs['source'].eqNullSafe(F.col('_mix.source')))
-    own = F.col('_mix.rate')
-    times = F.floor(own) + F.when(unit_draw(seed, doc_key()) < own - F.floor(own), 1).otherwise(0)
-    return (joined.withColumn('_mix', F.explode(F.array_repeat(F.lit(1), times.cast('int'))))
-            .select(*[docs[c] for c in docs.columns]))
+    rates = targets.select(F.col('source').alias('_source'), rate.alias('_rate'))
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias('_row'), doc_key().alias('_key'))
+    whole = F.floor('_rate')
+    times = whole + F.when(unit_draw(seed, F.col('_key')) < F.col('_rate') - whole, 1).otherwise(0)
+    return (keyed.join(rates, F.col('_row.source').eqNullSafe(F.col('_source')))
+            .withColumn('_copy', F.explode(F.array_repeat(F.lit(1), times.cast('int')))).select('_row.*'))
 
 
 SQL = r"""
