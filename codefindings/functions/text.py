@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims import limits
@@ -32,30 +34,69 @@ def rows_of(df: DataFrame, keep, array: Column, name: str, position: str | None
     return df.select(*keep, made).filter(F.col(name).isNotNull())
 
 
+class UnsupportedPattern(ValueError):
+    """A pattern uses something whose meaning differs between the regular expression engines."""
+
+
+def translated(pattern: str, classes: dict[str, str], inside: dict[str, str]) -> str:
+    r"""``pattern`` with backslash pairs and named groups replaced.
+
+    ``classes`` holds the replacements outside a character class, ``inside`` those within one. A
+    ``\b`` next to a literal word character needs to look at one side only.
+    """
+    out, i, start = [], 0, -1
+    while i < len(pattern):
+        two, rest = pattern[i:i + 2], pattern[i + 2:]
+        if two[0] == '\\':
+            table = classes if start < 0 else inside
+            if two == r'\b' and start < 0 and re.match('[A-Za-z0-9_]', rest):
+                out.append(table.get('word_begins', two))
+            elif start >= 0 and two in (r'\W', r'\S', r'\D') and pattern[start:start + 2] == '[^':
+                raise UnsupportedPattern(f'{two} in a negated class: {pattern}')
+            else:
+                out.append(table.get(two, two))
+            i += 2
+            continue
+        if start >= 0:
+            if two[0] == ']' and i > start + 1 + (pattern[start + 1:start + 2] == '^'):
+                start = -1
+            elif two[0] == '[' or two == '&&':
+                out.append('\\')
+        elif two[0] == '[':
+            start = i
+        elif two == '(?':
+            named = re.match(r'\(\?P<(\w+)>|\(\?P=(\w+)\)', pattern[i:])
+            if named:
+                if '_' in named.group():
+                    raise UnsupportedPattern(f'underscore in a group name: {pattern}')
+                out.append(f'(?<{named[1]}>' if named[1] else f'\\k<{named[2]}>')
+                i += named.end()
+                continue
+            if re.match(r'\(\?[aLu(]', pattern[i:]):
+                raise UnsupportedPattern(pattern)
+        out.append(two[0])
+        i += 1
+    return ''.join(out)
+
+
+# Python's meaning of the classes and anchors, in Java's words.
+_BOUNDARY = f'(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))'
+_NO_BOUNDARY = f'(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))'
+_JAVA = {r'\s': f'[{SPACE}]', r'\S': f'[^{SPACE}]', r'\w': f'[{WORD}]', r'\W': f'[^{WORD}]', r'\d': r'\p{Nd}',
+         r'\D': r'\P{Nd}', r'\b': _BOUNDARY, r'\B': _NO_BOUNDARY, r'\Z': r'\z', 'word_begins': f'(?<![{WORD}])'}
+_JAVA_INSIDE = {r'\s': SPACE, r'\S': f'[^{SPACE}]', r'\w': WORD, r'\W': f'[^{WORD}]', r'\d': r'\p{Nd}',
+                r'\D': r'\P{Nd}', r'\b': r'\x08'}
+
+
 def java_pattern(pattern: str, ignore_case: bool = False, multiline: bool = False) -> str:
     r"""The Java pattern matching what Python's ``re`` matches for ``pattern``.
 
-    ``\s``, ``\w`` and a ``\b`` before a word are spelled out with Python's character sets, and
-    only a line feed ends a line (flag ``d``).
+    Classes, word boundaries, ``\Z`` and named groups are spelled out with Python's meaning, and only
+    a line feed ends a line (flag ``d``). What has no equal (inline ASCII and locale flags,
+    conditionals, a negated shorthand inside a negated class) raises :class:`UnsupportedPattern`.
     """
-    out, i, in_class = [], 0, False
-    while i < len(pattern):
-        two = pattern[i:i + 2]
-        if two == r'\s':
-            out.append(SPACE if in_class else f'[{SPACE}]')
-        elif two == r'\w':
-            out.append(WORD if in_class else f'[{WORD}]')
-        elif two == r'\b':
-            out.append(f'(?<![{WORD}])')
-        elif two[0] == '\\':
-            out.append(two)
-        else:
-            in_class = (in_class or two[0] == '[') and two[0] != ']'
-            out.append(two[0])
-            i -= 1
-        i += 2
     flags = 'd' + ('iu' if ignore_case else '') + ('m' if multiline else '')
-    return f'(?{flags})' + ''.join(out)
+    return f'(?{flags})' + translated(pattern, _JAVA, _JAVA_INSIDE)
 
 
 def strip(text: Column) -> Column:

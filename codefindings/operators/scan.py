@@ -4,28 +4,41 @@ One narrow pass over the files, without any shuffle or join: the rule table trav
 as a literal array. For each file the rules are first reduced to those whose literals occur in the
 text, and only these run their pattern. Line numbers come from inserting one mark in front of every
 match and comparing line lengths, so the work stays linear in the text however many matches it has.
+
+Patterns with several open-ended parts could make a backtracking engine retry without end on one long
+line. They are matched by Arrow's engine, which is linear in the text, and which only gets the
+contents that hold all literals of such a rule.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from codefindings.dims.rules import Rule, enabled_rules
 from codefindings.dims.severity import RISK_WEIGHTS, SEVERITIES
-from codefindings.functions.text import bind, java_pattern, lines, rows_of, strip
+from codefindings.functions.text import (SPACE, UnsupportedPattern, bind, java_pattern, lines, rows_of, strip,
+                                         translated)
 
 METHOD = 'static_pattern'
-MAX_RULES = 5000
+RULE_BATCH = 500
+PLACES = 'array<struct<rule_id:bigint,line_number:bigint,n_matches:int>>'
 
 
 def rules_from(df: DataFrame) -> list[Rule]:
-    """Read a user's rule table (columns as in :class:`Rule`); rules are configuration-sized."""
-    rows = df.limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f'more than {MAX_RULES} rules')
-    return [Rule(**{**row.asDict(), 'needles': tuple(row['needles'] or ())}) for row in rows]
+    """Read a user's rule table (columns as in :class:`Rule`). Every rule counts, there is no limit."""
+    return [Rule(**{**row.asDict(), 'needles': tuple(row['needles'] or ())}) for row in df.toLocalIterator()]
+
+
+def batches_of(rules: Iterable[Rule], size: int = RULE_BATCH) -> list[list[Rule]]:
+    """The rules in batches that each fit one plan; the scan unions the batches' findings."""
+    rules = list(rules)
+    return [rules[i:i + size] for i in range(0, len(rules), size)] or [[]]
 
 
 def _sql(value) -> str:
@@ -83,19 +96,86 @@ def _hits_of(text: Column, rule: Column, text_lines: Column) -> Column:
         strip(F.element_at(text_lines, x['line_number'])).alias('code_snippet')))
 
 
+def open_ended(rule: Rule) -> bool:
+    """Several parts of the pattern may take any number of characters."""
+    return len(re.findall(r'\.[*+]', rule.pattern)) > 1
+
+
+def linear_pattern(rule: Rule) -> str:
+    """The rule's pattern in the syntax of Arrow's engine; raises for what that engine lacks."""
+    if re.search(r'\\[bBdDSWZ0-9]|\(\?[^:]|[*+?}][+]', rule.pattern):
+        raise UnsupportedPattern(rule.pattern)
+    flags = '(?i)' if rule.ignore_case else ''
+    return flags + translated(rule.pattern, {r'\s': f'[{SPACE}]', r'\w': r'[\p{L}\p{N}_]'},
+                              {r'\s': SPACE, r'\w': r'\p{L}\p{N}_'})
+
+
+def _is_linear(rule: Rule) -> bool:
+    try:
+        return open_ended(rule) and bool(linear_pattern(rule))
+    except UnsupportedPattern:
+        return False
+
+
+def _with_places(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``_places``: the (rule, line, matches) places of open-ended rules, NULL where there are none.
+
+    Texts pass through one Arrow step; a rule's pattern runs on those that hold all its literals.
+    """
+    wanted = [(r.rule_id, r.language, r.needles, linear_pattern(r), r.ignore_case) for r in rules]
+    fold = dict(zip(map(ord, _FOLDING[0]), _FOLDING[1]))
+    schema = T.StructType([*files.schema.fields, T.StructField('_places', T.DataType.fromDDL(PLACES))])
+
+    def places(text: str, language: str | None) -> list | None:
+        plain = text.translate(fold)
+        low, found = plain.lower(), []
+        for rule_id, meant, needles, pattern, ignore_case in wanted:
+            if meant not in (None, (language or '').lower()) or not all(n in low for n in needles):
+                continue
+            given = plain if ignore_case else text
+            marked = pc.replace_substring_regex(pa.array([given], pa.large_string()), pattern, '\x01\\0')[0].as_py()
+            if len(marked) != len(given):
+                found += [(rule_id, n, len(b) - len(a)) for n, (a, b) in
+                          enumerate(zip(given.split('\n'), marked.split('\n')), 1) if len(a) != len(b)]
+        return [dict(zip(('rule_id', 'line_number', 'n_matches'), x)) for x in found] or None
+
+    def run(batches):
+        kind = pa.list_(pa.struct([('rule_id', pa.int64()), ('line_number', pa.int64()), ('n_matches', pa.int32())]))
+        for batch in batches:
+            texts, languages = batch.column('content').to_pylist(), batch.column('language').to_pylist()
+            made = [None if t is None else places(t, n) for t, n in zip(texts, languages)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, '_places'])
+
+    return files.mapInArrow(run, schema)
+
+
 def _per_file(files: DataFrame, rules: list[Rule], keep: Iterable[str]) -> DataFrame:
     """``keep`` plus ``hits``: all (rule, line) places of one file as an array."""
-    table, text, language = _matchers(rules), F.col('content'), F.lower('language')
+    linear = [r for r in rules if _is_linear(r)]
+    usual = [r for r in rules if r not in linear]
+    text, language = F.col('content'), F.lower('language')
+    nothing = F.expr('CAST(array() AS array<struct<rule_id:int,line_number:bigint,n_matches:int,code_snippet:string>>)')
+
+    def applies(low):
+        def test(r):
+            return ((r['language'].isNull() | (r['language'] == language))
+                    & F.forall(r['needles'], lambda needle: F.contains(low, needle)))
+        return test
 
     def file_hits(low):
-        wanted = F.filter(table, lambda r: (
-            (r['language'].isNull() | (r['language'] == language))
-            & F.forall(r['needles'], lambda needle: F.contains(low, needle))
-            & F.rlike(text, r['pattern'])))
+        wanted = F.filter(_matchers(usual), lambda r: applies(low)(r) & F.rlike(text, r['pattern']))
         return bind(lines(text), lambda text_lines: F.flatten(
             F.transform(wanted, lambda r: _hits_of(text, r, text_lines))))
 
-    return files.select(*keep, bind(folded(text), file_hits).alias('hits'))
+    hits = bind(folded(text), file_hits) if usual else nothing
+    if not linear:
+        return files.select(*keep, hits.alias('hits'))
+    narrow = files.select(*dict.fromkeys([*keep, 'content', 'language']))
+    marked = _with_places(narrow, linear)
+    more = bind(lines(text), lambda text_lines: F.transform('_places', lambda p: F.struct(
+        p['rule_id'].cast('int').alias('rule_id'), p['line_number'].alias('line_number'), p['n_matches'].alias('n_matches'),
+        strip(F.element_at(text_lines, p['line_number'].cast('int'))).alias('code_snippet'))))
+    return marked.select(*keep, F.when(F.col('_places').isNull(), hits).otherwise(F.concat(hits, more)).alias('hits'))
 
 
 def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[str] = ('path',)) -> DataFrame:
@@ -103,9 +183,12 @@ def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[s
 
     ``files`` needs ``language`` and ``content``. This is the compact form: a line's text is stored
     once, however often a rule matches on it. ``critical_issues`` tells whether the file has any
-    CRITICAL finding; it is worked out inside the file's row.
+    CRITICAL finding (of the batch, if there are more than ``RULE_BATCH`` rules); it is worked out
+    inside the file's row.
     """
     rules = list(enabled_rules() if rules is None else rules)
+    if len(rules) > RULE_BATCH:
+        return reduce(DataFrame.unionByName, [hits(files, some, keep) for some in batches_of(rules)])
     critical = [r.rule_id for r in rules if r.severity == 'CRITICAL']
     has_critical = F.exists('hits', lambda h: h['rule_id'].isin(critical)) if critical else F.lit(False)
     numbers = [r.rule_id for r in rules]
@@ -128,20 +211,23 @@ def file_counts(files: DataFrame, rules: Iterable[Rule] | None = None,
     """
     rules = list(enabled_rules() if rules is None else rules)
 
-    def count(wanted: list[Rule], weight: int = 1) -> Column:
-        ids = [r.rule_id for r in wanted]
-        if not ids:
-            return F.lit(0).cast('bigint')
-        return F.aggregate(F.filter('hits', lambda h: h['rule_id'].isin(ids)),
-                           F.lit(0).cast('bigint'), lambda n, h: n + h['n_matches']) * weight
-
-    per_severity = {s: [r for r in rules if r.severity.upper() == s] for s in SEVERITIES}
-    score = F.lit(0).cast('bigint')
-    for weight in sorted({RISK_WEIGHTS.get(r.severity.upper(), 1) for r in rules}):
-        score = score + count([r for r in rules if RISK_WEIGHTS.get(r.severity.upper(), 1) == weight], weight)
-    return _per_file(files, rules, keep).select(
-        *keep, count(rules).alias('total'),
-        *[count(of).alias(s.lower()) for s, of in per_severity.items()], score.alias('score'))
+    names = [s.lower() for s in SEVERITIES]
+    kinds = rule_array(rules, severity=lambda r: r.severity.upper(), weight=lambda r: RISK_WEIGHTS.get(r.severity.upper(), 1))
+    place = F.array(*[F.lit(r.rule_id) for r in rules])
+    zero = F.lit(0).cast('bigint')
+    start = F.struct(*[zero.alias(n) for n in ['total', *names, 'score']])
+
+    def add(sums, hit):
+        def of(kind):
+            n = hit['n_matches'].cast('bigint')
+            return F.struct((sums['total'] + n).alias('total'),
+                            *[(sums[s.lower()] + F.when(kind['severity'] == s, n).otherwise(zero)).alias(s.lower())
+                              for s in SEVERITIES],
+                            (sums['score'] + n * kind['weight']).alias('score'))
+        return bind(F.element_at(kinds, F.array_position(place, hit['rule_id']).cast('int')), of)
+
+    counts = F.aggregate('hits', start, add) if rules else start
+    return _per_file(files, rules, keep).withColumn('_counts', counts).select(*keep, '_counts.*')
 
 
 def per_match(found: DataFrame) -> DataFrame:
