@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codefindings.sources.scratch import balanced
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f'{sf}/{name}.parquet')
@@ -100,7 +98,7 @@ def code_files_of(documents: DataFrame) -> DataFrame:
     half = F.floor(F.length('text') / 2).cast('int')
     name = F.concat(F.lit('f'), F.col('doc_id').cast('string'), F.lit('.'),
                     pick([s[0] for s in SNIPPETS], k))
-    return balanced(documents, 'doc_id').select(
+    return documents.select(
         F.col('source').alias('repo'), F.concat(F.lit('src/'), name).alias('path'),
         name.alias('filename'), pick([_LANGS[s[0]] for s in SNIPPETS], k).alias('language'),
         F.concat(F.substring(F.col('text'), F.lit(1), half), F.lit('\n'),
@@ -130,8 +128,8 @@ _SEVERITY = """CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 89 = 0 THEN
     WHEN event_type = 'click' THEN 'MEDIUM' WHEN event_type = 'view' THEN 'low' ELSE 'INFO' END"""
 _FINDING_COLUMNS = [
     ("concat('repo', CAST(user_id % 7 AS STRING))", "'repo' || (user_id % 7)", 'repo'),
-    ("concat('dir', CAST(user_id % 5 AS STRING), '/u', CAST(user_id AS STRING), '.py')",
-     "'dir' || (user_id % 5) || '/u' || user_id || '.py'", 'path'),
+    ("concat('dir', CAST(user_id div 7 % 5 AS STRING), '/u', CAST(user_id div 7 AS STRING), '.py')",
+     "'dir' || (user_id // 7 % 5) || '/u' || (user_id // 7) || '.py'", 'path'),
     ('1 + event_id % 40', '1 + event_id % 40', 'line_number'),
     (_SEVERITY.replace("'low'", "'LOW'"), _SEVERITY.replace("'low'", "'LOW'"), 'severity'),
     ('CAST(50 + event_id % 50 AS DOUBLE) / CAST(100 AS DOUBLE)',
@@ -178,12 +176,12 @@ def analyzed_files(spark, sf) -> DataFrame:
     k = F.col('c_custkey')
     return table(spark, sf, 'customer').select(
         F.concat(F.lit('repo'), (k % 7).cast('string')).alias('repo'),
-        F.concat(F.lit('dir'), (k % 5).cast('string'), F.lit('/u'), k.cast('string'), F.lit('.py'))
+        F.expr("concat('dir', CAST(c_custkey div 7 % 5 AS STRING), '/u', CAST(c_custkey div 7 AS STRING), '.py')")
         .alias('path'), pick(FILE_LANGUAGES, F.col('c_nationkey') % 4).alias('language'))
 
 
 ANALYZED_SQL = f"""analyzed_files AS (SELECT 'repo' || (c_custkey % 7) AS repo,
-  'dir' || (c_custkey % 5) || '/u' || c_custkey || '.py' AS path,
+  'dir' || (c_custkey // 7 % 5) || '/u' || (c_custkey // 7) || '.py' AS path,
   {sql_list(FILE_LANGUAGES)}[c_nationkey % 4 + 1] AS language FROM customer)"""
 
 # ---- predictions and ground truth ----------------------------------------------------------
@@ -217,20 +215,22 @@ ground_truth AS (
 
 
 def snapshots(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(base, head): head misses some files, changes some and adds some."""
+    """(base, head): head misses some files, changes some and adds some; repository 'same' is unchanged."""
     base = files(spark, sf)
+    same = base.filter('doc_id % 13 = 0').withColumn('repo', F.lit('same'))
     kept = base.filter('doc_id % 7 <> 0').withColumn(
         'content', F.when(F.col('doc_id') % 5 == 0, F.concat('content', F.lit('x')))
         .otherwise(F.col('content')))
     added = base.filter('doc_id % 11 = 0').withColumn('path', F.concat('path', F.lit('.new')))
-    return base, kept.unionByName(added)
+    return base.unionByName(same), kept.unionByName(added).unionByName(same)
 
 
 SNAPSHOT_SQL = FILES_SQL + """,
-base AS (SELECT * FROM files),
+base AS (SELECT * FROM files UNION ALL SELECT * REPLACE ('same' AS repo) FROM files WHERE doc_id % 13 = 0),
 head AS (SELECT * REPLACE (content || CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE '' END AS content)
          FROM files WHERE doc_id % 7 <> 0
-         UNION ALL SELECT * REPLACE (path || '.new' AS path) FROM files WHERE doc_id % 11 = 0)"""
+         UNION ALL SELECT * REPLACE (path || '.new' AS path) FROM files WHERE doc_id % 11 = 0
+         UNION ALL SELECT * REPLACE ('same' AS repo) FROM files WHERE doc_id % 13 = 0)"""
 
 # ---- requests, scan log, history -----------------------------------------------------------
 MODELS = ['model-a', 'model-b', 'model-c', 'model-d']

@@ -50,11 +50,11 @@ _NAMES_UPLOAD = f"""NOT ((starts_with(low, '.') AND low NOT IN {_in(names.VISIBL
    OR {_ends(names.TEMP_SUFFIXES)} OR ext IN {_in(names.BINARY_EXT)} OR {_has(names.GENERATED_PARTS)})"""
 _NAMED = f'SELECT *, lower(filename) AS low, {EXT_SQL.format("filename")} AS ext FROM files'
 _PRINTABLE_PAIR = '(0[9AD]|[2-6][0-9A-F]|7[0-9A-E])|(..)'
-# Share of printable ASCII among the first 4096 bytes; bytes are looked at as hex pairs.
+# Share of printable ASCII; bytes are looked at as hex pairs.
 RATIOS_SQL = f"""ratios AS (
   SELECT path, CAST(length(hx) - length(regexp_replace(hx, '{_PRINTABLE_PAIR}', '\\2', 'g')) AS DOUBLE)
     / nullif(length(hx), 0) AS ratio
-  FROM (SELECT path, left(hex(encode(content)), 8192) AS hx FROM files))"""
+  FROM (SELECT path, hex(encode(content)) AS hx FROM files))"""
 _REPO_LANGUAGE = f"coalesce({_map(languages.REPO_EXTENSIONS, 'ext')}, 'unknown')"
 
 
@@ -62,23 +62,40 @@ _REPO_LANGUAGE = f"coalesce({_map(languages.REPO_EXTENSIONS, 'ext')}, 'unknown')
 SELECT repo, path, filename, size, {_REPO_LANGUAGE} AS language, ext AS extension
 FROM named JOIN ratios USING (path)
 WHERE NOT {_overlap(names.IGNORED_DIRS_REPO)} AND {_NAMES_REPO}
-  AND size > 0 AND size <= {names.MAX_FILE} AND ratio > 0.7"""))
+  AND size > 0 AND ratio > 0.7"""))
 def src_files(spark, sf):
     return file_sources.discover(b.files(spark, sf), keys=('repo',)).select(
         'repo', 'path', 'filename', 'size', 'language', 'extension')
 
 
-@query('src_decode')
+# Latin-1 rows have an odd number of bytes, so they are no UTF-16; without an accent they are UTF-8.
+_ODD = "text || CASE WHEN length(text) % 2 = 0 THEN 'x' ELSE '' END"
+
+
+@query('src_decode', sql=f"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'utf-16' WHEN doc_id % 3 = 1 AND strlen(t) > length(t) THEN 'latin-1' ELSE 'utf-8' END AS encoding,
+  CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN {_ODD} ELSE text END AS t FROM documents)""")
 def src_decode(spark, sf):
     d = b.table(spark, sf, 'documents')
     k = F.col('doc_id') % 3
-    raw = (F.when(k == 0, F.encode('text', 'UTF-8')).when(k == 1, F.encode('text', 'ISO-8859-1'))
+    odd = F.concat('text', F.when(F.length('text') % 2 == 0, 'x').otherwise(''))
+    raw = (F.when(k == 0, F.encode('text', 'UTF-8')).when(k == 1, F.encode(odd, 'ISO-8859-1'))
            .otherwise(F.concat(F.unhex(F.lit('FFFE')), F.encode('text', 'UTF-16LE'))))
     decoded = file_sources.decode(d.select('doc_id', raw.alias('content')))
     return decoded.select('doc_id', 'encoding', F.length('text').cast('bigint').alias('n_chars'),
                           F.md5('text').alias('text_md5'))
 
 
+@query('src_report', sql=with_sql(b.FILES_SQL, f'named AS ({_NAMED})', RATIOS_SQL, body=f"""
+SELECT repo, status, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS bytes FROM (
+  SELECT repo, size, CASE WHEN {_overlap(names.IGNORED_DIRS_REPO)} THEN 'ignored_dir' WHEN NOT {_NAMES_REPO} THEN 'ignored_name'
+    WHEN size <= 0 THEN 'empty' WHEN size > 5000 THEN 'too_large' WHEN ratio > 0.7 THEN 'scanned' ELSE 'not_text' END AS status
+  FROM named JOIN ratios USING (path)) GROUP BY repo, status"""))
+def src_report(spark, sf):
+    return file_sources.status_counts(file_sources.report(b.files(spark, sf), max_file=5000))
+
+
 # ---- filters -------------------------------------------------------------------------------
 @query('flt_dirs', sql=with_sql(b.FILES_SQL, body=f"""
 SELECT path, NOT {_overlap(names.IGNORED_DIRS)} AS keep_upload,
@@ -137,38 +154,39 @@ def flt_binary_ext(spark, sf):
                                      (~filters.is_binary_ui(name)).alias('keep_ui'))
 
 
-_CUT = "CASE doc_id % 4 WHEN 0 THEN left(content, 12) WHEN 1 THEN '  ' || chr(9) || left(content, 8) || chr(10) ELSE content END"
-
-
-def _cut_content():
-    k = F.col('doc_id') % 4
-    return (F.when(k == 0, F.substring('content', 1, 12))
-            .when(k == 1, F.concat(F.lit('  \t'), F.substring('content', 1, 8), F.lit('\n')))
-            .otherwise(F.col('content')))
+_SHORT = """SELECT path, content FROM files UNION ALL SELECT path || '.short',
+  CASE doc_id % 2 WHEN 0 THEN left(content, 12) ELSE '  ' || chr(9) || left(content, 8) || chr(10) END FROM files"""
 
 
-@query('flt_min_content', sql=with_sql(b.FILES_SQL, f'cut AS (SELECT path, {_CUT} AS content FROM files)', body=f"""
-SELECT path, CAST(length(content) AS BIGINT) AS n FROM cut
+@query('flt_min_content', sql=with_sql(b.FILES_SQL, f'both_kinds AS ({_SHORT})', body=f"""
+SELECT path, CAST(length(content) AS BIGINT) AS n FROM both_kinds
 WHERE length({STRIP_SQL.format('content')}) >= {limits.MIN_CONTENT_CHARS}"""))
 def flt_min_content(spark, sf):
-    cut = b.files(spark, sf).select('path', _cut_content().alias('content'))
-    return cut.filter(filters.has_content(F.col('content'))).select(
+    files = b.files(spark, sf)
+    short = (F.when(F.col('doc_id') % 2 == 0, F.substring('content', 1, 12))
+             .otherwise(F.concat(F.lit('  \t'), F.substring('content', 1, 8), F.lit('\n'))))
+    both = files.select('path', 'content').unionByName(
+        files.select(F.concat('path', F.lit('.short')).alias('path'), short.alias('content')))
+    return both.filter(filters.has_content(F.col('content'))).select(
         'path', F.length('content').cast('bigint').alias('n'))
 
 
+TREE_FILES = 30
+
+
 @query('flt_upload_limits', sql=with_sql(b.FILES_SQL, f'named AS ({_NAMED})', body=f"""
 SELECT path, n_files, CASE WHEN doc_id % 2 = 0 THEN
     CASE WHEN NOT {_ends(names.ARCHIVE_SUFFIXES, 'filename')} THEN 'not_an_archive'
          WHEN size * 100000 > {names.MAX_ARCHIVE} THEN 'too_large' END
   ELSE CASE WHEN ext IN {_in(names.UPLOAD_BINARY_EXT)} THEN 'binary'
          WHEN size * 10000 > {names.MAX_UPLOAD} THEN 'too_large' END END AS reason,
-  n_files > {names.MAX_FILES_PER_TREE} AS tree_refused
+  n_files > {TREE_FILES} AS tree_refused
 FROM named JOIN (SELECT repo, count(*) AS n_files FROM files GROUP BY repo) USING (repo)"""))
 def flt_upload_limits(spark, sf):
     files = b.files(spark, sf)
     archive = F.col('doc_id') % 2 == 0
     size = F.col('size') * F.when(archive, 100000).otherwise(10000)
-    accepted, refused = filters.split_by_file_count(files)
+    accepted, refused = filters.split_by_file_count(files, limit=TREE_FILES)
     trees = (accepted.withColumn('tree_refused', F.lit(False))
              .unionByName(refused.withColumn('tree_refused', F.lit(True))))
     return files.join(trees, 'repo').select(
@@ -230,11 +248,11 @@ def fn_language_repo(spark, sf):
     return b.files(spark, sf).select('path', naming.language_repo(F.col('filename')).alias('language'))
 
 
-_MARKERS_SQL = ' '.join(f"WHEN contains(lower(left(content, 1000)), {quoted(m)}) THEN {quoted(lang)}"
+_MARKERS_SQL = ' '.join(f"WHEN contains(lower(content), {quoted(m)}) THEN {quoted(lang)}"
                         for m, lang in languages.CONTENT_MARKERS)
 _SNIPPET_FIRST = ("SELECT path, doc_id, CASE doc_id % 4 WHEN 0 THEN 'f' || doc_id WHEN 1 THEN 'Makefile' "
                   "WHEN 2 THEN filename ELSE '.gitignore' END AS filename, "
-                  "substr(content, length(content) // 2 - 20) AS content FROM code_files")
+                  "content FROM code_files")
 
 
 @query('fn_language_content', sql=with_sql(b.CODE_SQL, f'heads AS ({_SNIPPET_FIRST})', body=f"""
@@ -248,7 +266,7 @@ def fn_language_content(spark, sf):
         'path', F.when(k == 0, F.concat(F.lit('f'), F.col('doc_id').cast('string')))
         .when(k == 1, 'Makefile').when(k == 2, F.col('filename')).otherwise('.gitignore')
         .alias('filename'),
-        F.expr('substr(content, int(floor(length(content) / 2)) - 20)').alias('content'))
+        'content')
     return heads.select('path', naming.language_content(F.col('filename'), F.col('content'))
                         .alias('language'))
 
@@ -308,32 +326,35 @@ def fn_number_lines(spark, sf):
         'path', F.md5(text.number_lines(F.col('content'))).alias('numbered_md5'))
 
 
-TRUNCATED_SQL = f"""CASE WHEN length(array_to_string({NUMBERED_SQL}, chr(10))) > {limits.PROMPT_MAX_CHARS}
-  THEN array_to_string(({NUMBERED_SQL})[1:{limits.PROMPT_KEEP_LINES}], chr(10)) || {quoted(limits.TRUNCATION_MARK)}
-  ELSE array_to_string({NUMBERED_SQL}, chr(10)) END"""
+PARTS_SQL = f"""CASE WHEN length(array_to_string({NUMBERED_SQL}, chr(10))) > {limits.PROMPT_MAX_CHARS}
+  THEN list_transform(generate_series(1, len(string_split(content, chr(10))), {limits.PROMPT_PART_LINES}),
+    lambda s: array_to_string(({NUMBERED_SQL})[s:s + {limits.PROMPT_PART_LINES - 1}], chr(10)))
+  ELSE [array_to_string({NUMBERED_SQL}, chr(10))] END"""
+PARTED_SQL = f"""parted AS (SELECT path, language, unnest(parts) AS t, unnest(generate_series(1, len(parts))) AS part
+  FROM (SELECT path, language, {PARTS_SQL} AS parts FROM code_files))"""
 
 
-@query('fn_truncate', sql=with_sql(b.CODE_SQL, body=f"""
-SELECT path, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT path, {TRUNCATED_SQL} AS t FROM code_files)"""))
+@query('fn_truncate', sql=with_sql(b.CODE_SQL, PARTED_SQL, body="""
+SELECT path, part, length(t) AS n_chars, md5(t) AS text_md5 FROM parted"""))
 def fn_truncate(spark, sf):
-    cut = b.code_files(spark, sf).select('path', text.truncate_numbered(F.col('content')).alias('t'))
-    return cut.select('path', F.length('t').cast('bigint').alias('n_chars'), F.md5('t').alias('text_md5'))
+    parts = text.rows_of(b.code_files(spark, sf), ['path'], text.prompt_parts(F.col('content')), 't', 'part')
+    return parts.select('path', (F.col('part') + 1).cast('bigint').alias('part'),
+                        F.length('t').cast('bigint').alias('n_chars'), F.md5('t').alias('text_md5'))
 
 
 _PROMPT_CASE = ("CASE language WHEN 'python' THEN 'Review Python' WHEN 'java' THEN 'Review Java' "
                 "WHEN 'javascript' THEN 'Review JavaScript' ELSE 'Review code' END")
 PROMPTS = [('python', 'Review Python'), ('java', 'Review Java'), ('javascript', 'Review JavaScript'),
            ('default', 'Review code')]
-PROMPT_SQL = (f"{_PROMPT_CASE} || chr(10) || chr(10) || 'CODE TO ANALYZE:' || chr(10) || '```' || language || chr(10) || "
-              f"{TRUNCATED_SQL} || chr(10) || '```' || chr(10) || chr(10) || 'Return only the JSON response:'")
+PROMPT_SQL = (f"{_PROMPT_CASE} || {quoted(prompts.CODE_HEADER)} || language || chr(10) || t || {quoted(prompts.TRAILER)}")
 
 
-@query('fn_prompt', sql=with_sql(b.CODE_SQL, body=f"""
-SELECT path, length(p) AS n_chars, md5(p) AS prompt_md5 FROM (SELECT path, {PROMPT_SQL} AS p FROM code_files)"""))
+@query('fn_prompt', sql=with_sql(b.CODE_SQL, PARTED_SQL, body=f"""
+SELECT path, part, length(p) AS n_chars, md5(p) AS prompt_md5 FROM (SELECT path, part, {PROMPT_SQL} AS p FROM parted)"""))
 def fn_prompt(spark, sf):
     dim = spark.createDataFrame(PROMPTS, 'language string, instruction string')
     made = prompts.build(b.code_files(spark, sf), dim)
-    return made.select('path', F.length('prompt').cast('bigint').alias('n_chars'),
+    return made.select('path', F.col('part').cast('bigint').alias('part'), F.length('prompt').cast('bigint').alias('n_chars'),
                        F.md5('prompt').alias('prompt_md5'))
 
 
@@ -467,16 +488,6 @@ def fn_norm_type(spark, sf):
     return b.findings(spark, sf).select('ord', text.normalize_type(raw).alias('type'))
 
 
-@query('fn_retry_delay', sql=with_sql(b.SCAN_LOG_SQL, body="""
-SELECT event_id, event_id % 3 AS attempt, CAST(5 * pow(2, event_id % 3) AS BIGINT) AS delay_seconds,
-  event_id % 3 < 2 AS retries_left FROM scan_log WHERE status = 'failed'"""))
-def fn_retry_delay(spark, sf):
-    attempt = F.col('event_id') % limits.MAX_RETRIES
-    return b.scan_log(spark, sf).filter("status = 'failed'").select(
-        'event_id', attempt.alias('attempt'), risk.retry_delay(attempt).alias('delay_seconds'),
-        (attempt < limits.MAX_RETRIES - 1).alias('retries_left'))
-
-
 @query('fn_cvss_bucket', sql=with_sql(b.ADVISORIES_SQL, r"""scored AS (SELECT id, list_filter(list_transform(
   list_filter(severity, lambda s: s.type IN ('CVSS_V3', 'CVSS_V2')),
   lambda s: try_cast(split_part(s.score, '/', 1) AS DOUBLE)), lambda x: x IS NOT NULL)[1] AS score FROM advisories)""", body="""

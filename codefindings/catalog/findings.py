@@ -39,10 +39,10 @@ def scans(spark, sf):
 
 # ---- roll-ups ------------------------------------------------------------------------------
 @query('agg_severity_file', sql=with_sql(b.FINDINGS_SQL, body=f"""
-SELECT path, {COUNTS_SQL}, {KNOWN_SQL}, count(*) FILTER (severity = 'CRITICAL') > 0 AS critical_issues
-FROM findings GROUP BY path"""))
+SELECT repo, path, {COUNTS_SQL}, {KNOWN_SQL}, count(*) FILTER (severity = 'CRITICAL') > 0 AS critical_issues
+FROM findings GROUP BY repo, path"""))
 def agg_severity_file(spark, sf):
-    return aggregate.by_severity(b.findings(spark, sf), 'path').withColumn(
+    return aggregate.by_severity(b.findings(spark, sf), 'repo', 'path').withColumn(
         'critical_issues', F.col('critical') > 0)
 
 
@@ -87,7 +87,7 @@ def agg_success_rate(spark, sf):
 
 
 @query('discovered_vs_analyzed', sql=with_sql(b.ANALYZED_SQL, b.FINDINGS_SQL, body="""
-SELECT repo, path, path IN (SELECT path FROM findings) AS analyzed FROM analyzed_files"""))
+SELECT repo, path, (repo, path) IN (SELECT (repo, path) FROM findings) AS analyzed FROM analyzed_files"""))
 def discovered_vs_analyzed(spark, sf):
     done = b.findings(spark, sf).select('repo', 'path').distinct().withColumn('analyzed', F.lit(True))
     return b.analyzed_files(spark, sf).join(done, ['repo', 'path'], 'left').select(
@@ -95,11 +95,11 @@ def discovered_vs_analyzed(spark, sf):
 
 
 @query('files_left_findings', sql=with_sql(b.ANALYZED_SQL, b.FINDINGS_SQL, body="""
-SELECT a.path, count(f.path) AS n_findings FROM analyzed_files a LEFT JOIN findings f USING (path)
-GROUP BY a.path"""))
+SELECT a.repo, a.path, count(f.path) AS n_findings FROM analyzed_files a LEFT JOIN findings f ON a.repo = f.repo AND a.path = f.path
+GROUP BY a.repo, a.path"""))
 def files_left_findings(spark, sf):
     return merge.with_finding_counts(b.analyzed_files(spark, sf), b.findings(spark, sf)).select(
-        'path', 'n_findings')
+        'repo', 'path', 'n_findings')
 
 
 RISK_SQL = """CASE upper(coalesce(nullif(severity, ''), 'LOW')) WHEN 'CRITICAL' THEN 10 WHEN 'HIGH' THEN 5
@@ -107,9 +107,9 @@ RISK_SQL = """CASE upper(coalesce(nullif(severity, ''), 'LOW')) WHEN 'CRITICAL'
 
 
 @query('score_file', sql=with_sql(b.FINDINGS_SQL, body=f"""
-SELECT path, CAST(sum({RISK_SQL}) AS BIGINT) AS score FROM findings GROUP BY path"""))
+SELECT repo, path, CAST(sum({RISK_SQL}) AS BIGINT) AS score FROM findings GROUP BY repo, path"""))
 def score_file(spark, sf):
-    return aggregate.file_scores(b.findings(spark, sf), 'path')
+    return aggregate.file_scores(b.findings(spark, sf), 'repo', 'path')
 
 
 def dependency_risk(spark, sf):
@@ -168,36 +168,41 @@ def agg_model_usage(spark, sf):
 
 
 MERGED_SQL = """first_ai AS (SELECT * FROM ai_findings
-  QUALIFY row_number() OVER (PARTITION BY path, line_number, vulnerability_type ORDER BY ord) = 1),
+  QUALIFY row_number() OVER (PARTITION BY repo, path, line_number, vulnerability_type ORDER BY ord) = 1),
 merged AS (SELECT * FROM static_findings UNION ALL BY NAME SELECT * FROM first_ai a
-  WHERE NOT EXISTS (SELECT 1 FROM static_findings s WHERE s.path = a.path AND s.line_number = a.line_number
+  WHERE NOT EXISTS (SELECT 1 FROM static_findings s WHERE s.repo = a.repo AND s.path = a.path AND s.line_number = a.line_number
     AND s.vulnerability_type IS NOT DISTINCT FROM a.vulnerability_type))"""
 
 
 @query('join_merge_findings', sql=with_sql(b.STATIC_AI_SQL, MERGED_SQL, body="""
-SELECT path, line_number, vulnerability_type, severity, ord FROM merged"""))
+SELECT repo, path, line_number, vulnerability_type, severity, ord FROM merged"""))
 def join_merge_findings(spark, sf):
     return merge.merge(*b.static_and_ai(spark, sf)).select(
-        'path', 'line_number', 'vulnerability_type', 'severity', 'ord')
+        'repo', 'path', 'line_number', 'vulnerability_type', 'severity', 'ord')
 
 
 @query('win_dedupe_first', sql=with_sql(b.STATIC_AI_SQL, MERGED_SQL, body="""
-SELECT path, line_number, vulnerability_type, severity, ord FROM first_ai"""))
+SELECT repo, path, line_number, vulnerability_type, severity, ord FROM first_ai"""))
 def win_dedupe_first(spark, sf):
     return merge.first_per_place(b.static_and_ai(spark, sf)[1]).select(
-        'path', 'line_number', 'vulnerability_type', 'severity', 'ord')
+        'repo', 'path', 'line_number', 'vulnerability_type', 'severity', 'ord')
 
 
-@query('agg_merge_meta', sql=with_sql(b.STATIC_AI_SQL, MERGED_SQL, body="""
-SELECT path, coalesce(s.n, 0) AS static_issues, coalesce(a.n, 0) AS ai_issues, m.n AS merged_total,
+# Some files have static findings only.
+_META = b.STATIC_AI_SQL.replace('static_findings AS (', """static_findings AS (
+  SELECT * REPLACE (path || '.static' AS path) FROM findings WHERE ord % 10 = 0 UNION ALL """)
+
+
+@query('agg_merge_meta', sql=with_sql(_META, MERGED_SQL, body="""
+SELECT repo, path, coalesce(s.n, 0) AS static_issues, coalesce(a.n, 0) AS ai_issues, m.n AS merged_total,
   CASE WHEN a.n > 0 THEN 'static_plus_ai' ELSE 'static_only' END AS method
-FROM (SELECT path, count(*) AS n FROM merged GROUP BY path) m
-LEFT JOIN (SELECT path, count(*) AS n FROM static_findings GROUP BY path) s USING (path)
-LEFT JOIN (SELECT path, count(*) AS n FROM ai_findings WHERE repo <> 'repo3' GROUP BY path) a USING (path)
-""").replace("FROM findings WHERE ord % 2 = 1)", "FROM findings WHERE ord % 2 = 1 AND repo <> 'repo3')"))
+FROM (SELECT repo, path, count(*) AS n FROM merged GROUP BY ALL) m
+LEFT JOIN (SELECT repo, path, count(*) AS n FROM static_findings GROUP BY ALL) s USING (repo, path)
+LEFT JOIN (SELECT repo, path, count(*) AS n FROM ai_findings GROUP BY ALL) a USING (repo, path)"""))
 def agg_merge_meta(spark, sf):
     static, ai = b.static_and_ai(spark, sf)
-    ai = ai.filter("repo <> 'repo3'")
+    alone = b.findings(spark, sf).filter('ord % 10 = 0').withColumn('path', F.concat('path', F.lit('.static')))
+    static = static.unionByName(alone)
     return aggregate.merge_meta(static, ai, merge.merge(static, ai))
 
 
@@ -304,9 +309,14 @@ def recs_repository(spark, sf):
 
 @query('recs_report', sql=_recs_sql(_keys_sql(
     ('critical > 0', 'critical'), ('high > 0', 'high'), ('critical_sql', 'sql'),
-    ('critical_secrets', 'secrets'), ('true', 'scanning'), ('true', 'training')) + '[1:5]'))
+    ('critical_secrets', 'secrets'), ('true', 'scanning'), ('true', 'training'))).replace(
+    'keys[i] AS rule FROM', 'keys[i] AS rule, ' + f'i <= {recommend.REPORT_SHOWN} AS shown, ' + ', '.join(
+        'CASE keys[i] ' + ' '.join(f'WHEN {quoted(k)} THEN {quoted(v[n])}' for k, v in recommend.REPORT.items())
+        + f' END AS {name}' for n, name in enumerate(recommend.ENTRY)) + ' FROM'))
 def recs_report(spark, sf):
-    return _recs(spark, sf, recommend.report())
+    entry = recommend.report_entry(F.col('rule'))
+    return _recs(spark, sf, recommend.report()).withColumn('shown', F.col('position') <= recommend.REPORT_SHOWN).withColumns(
+        {name: entry[name] for name in recommend.ENTRY})
 
 
 # ---- rankings ------------------------------------------------------------------------------
@@ -317,11 +327,11 @@ def top_types(spark, sf):
     return aggregate.top_types(b.findings(spark, sf), [])
 
 
-PROBLEM_SQL = """SELECT path, CAST(sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 8 ELSE 3 END) AS BIGINT) AS score,
+PROBLEM_SQL = """SELECT repo, path, CAST(sum(CASE severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 8 ELSE 3 END) AS BIGINT) AS score,
   count(*) AS total_issues, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high,
   count(*) FILTER (severity = 'MEDIUM') AS medium,
   count(*) FILTER (severity IS NULL OR severity NOT IN ('CRITICAL', 'HIGH', 'MEDIUM')) AS low, min(ord) AS first_ord
-FROM findings GROUP BY path ORDER BY score DESC, first_ord LIMIT 5"""
+FROM findings GROUP BY repo, path ORDER BY score DESC, first_ord LIMIT 5"""
 
 
 @query('top_problem_files', sql=with_sql(b.FINDINGS_SQL, body=PROBLEM_SQL))
@@ -329,32 +339,32 @@ def top_problem_files(spark, sf):
     return ranking.problem_files(b.findings(spark, sf))
 
 
-SCORED_SQL = f"""scored AS (SELECT a.path, CASE WHEN a.language = 'go' THEN 0 ELSE coalesce(s.score, 0) END AS score,
+SCORED_SQL = f"""scored AS (SELECT a.repo, a.path, CASE WHEN a.language = 'go' THEN 0 ELSE coalesce(s.score, 0) END AS score,
   coalesce(s.n, 0) AS n_findings FROM analyzed_files a LEFT JOIN (
-  SELECT path, CAST(sum({RISK_SQL}) AS BIGINT) AS score, count(*) AS n FROM findings GROUP BY path) s USING (path)),
-valued AS (SELECT path, coalesce(nullif(score, 0), n_findings) AS value FROM scored)"""
+  SELECT repo, path, CAST(sum({RISK_SQL}) AS BIGINT) AS score, count(*) AS n FROM findings GROUP BY repo, path) s USING (repo, path)),
+valued AS (SELECT repo, path, coalesce(nullif(score, 0), n_findings) AS value FROM scored)"""
 
 
 def scored(spark, sf):
     found = b.findings(spark, sf)
-    per_file = aggregate.file_scores(found, 'path')
+    per_file = aggregate.file_scores(found, 'repo', 'path')
     files = merge.with_finding_counts(b.analyzed_files(spark, sf), found)
-    return files.join(per_file, 'path', 'left').withColumn(
+    return files.join(per_file, ['repo', 'path'], 'left').withColumn(
         'score', F.when(F.col('language') == 'go', 0).otherwise(F.coalesce('score', F.lit(0))))
 
 
 @query('top_files_bar', sql=with_sql(b.FINDINGS_SQL, b.ANALYZED_SQL, SCORED_SQL, body="""
-SELECT path, value FROM valued WHERE value > 0 ORDER BY value DESC, path LIMIT 15"""))
+SELECT repo, path, value FROM valued WHERE value > 0 ORDER BY value DESC, repo, path LIMIT 15"""))
 def top_files_bar(spark, sf):
-    return ranking.top_files(scored(spark, sf)).select('path', 'value')
+    return ranking.top_files(scored(spark, sf)).select('repo', 'path', 'value')
 
 
 @query('heatmap_files', sql=with_sql(b.FINDINGS_SQL, b.ANALYZED_SQL, SCORED_SQL, body="""
-SELECT path, value, CASE WHEN value >= 3 THEN '#FF3B30' WHEN value = 2 THEN '#FF9500'
+SELECT repo, path, value, CASE WHEN value >= 3 THEN '#FF3B30' WHEN value = 2 THEN '#FF9500'
   WHEN value = 1 THEN '#FFD60A' ELSE '#34C759' END AS colour
-FROM valued ORDER BY value DESC, path LIMIT 25"""))
+FROM valued ORDER BY value DESC, repo, path LIMIT 25"""))
 def heatmap_files(spark, sf):
-    return ranking.heatmap(scored(spark, sf)).select('path', 'value', 'colour')
+    return ranking.heatmap(scored(spark, sf)).select('repo', 'path', 'value', 'colour')
 
 
 REPORT_RANK_SQL = """CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2
@@ -362,19 +372,19 @@ REPORT_RANK_SQL = """CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHE
 
 
 @query('order_findings', sql=with_sql(b.FINDINGS_SQL, body=f"""
-SELECT path, ord, severity, line_number, row_number() OVER (PARTITION BY path
+SELECT repo, path, ord, severity, line_number, row_number() OVER (PARTITION BY repo, path
   ORDER BY {REPORT_RANK_SQL}, line_number, ord) AS position FROM findings"""))
 def order_findings(spark, sf):
     return ranking.report_order(b.findings(spark, sf)).select(
-        'path', 'ord', 'severity', 'line_number', 'position')
+        'repo', 'path', 'ord', 'severity', 'line_number', 'position')
 
 
 @query('order_findings_ui', sql=with_sql(b.FINDINGS_SQL, body="""
-SELECT path, ord, severity, row_number() OVER (PARTITION BY path ORDER BY CASE severity WHEN 'CRITICAL' THEN 0
+SELECT repo, path, ord, severity, row_number() OVER (PARTITION BY repo, path ORDER BY CASE severity WHEN 'CRITICAL' THEN 0
   WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 WHEN 'INFO' THEN 4 ELSE 5 END, ord) AS position
 FROM findings"""))
 def order_findings_ui(spark, sf):
-    return ranking.ui_order(b.findings(spark, sf)).select('path', 'ord', 'severity', 'position')
+    return ranking.ui_order(b.findings(spark, sf)).select('repo', 'path', 'ord', 'severity', 'position')
 
 
 @query('recent_commits', sql=with_sql(b.COMMITS_SQL, body="""
@@ -407,10 +417,12 @@ def rate_60s(spark, sf):
 
 @query('min_gap', sql=with_sql(b.REQUESTS_SQL, body="""
 SELECT request_id, gap_us, CASE WHEN gap_us IS NULL THEN 0 ELSE greatest(0, 5 - gap_us / 1e6) END AS wait_seconds
-FROM (SELECT request_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY key % 3 ORDER BY ts, request_id) AS gap_us
-  FROM requests)"""))
+FROM (SELECT request_id, t - lag(t) OVER (PARTITION BY key % 3 ORDER BY t, request_id) AS gap_us
+  FROM (SELECT request_id, key, epoch_us(date_trunc('minute', ts)) AS t FROM requests))"""))
 def min_gap(spark, sf):
-    requests = b.requests(spark, sf).withColumn('key', F.col('key') % 3)
+    # Times cut to the minute, so that many are equal.
+    requests = b.requests(spark, sf).withColumn('key', F.col('key') % 3).withColumn(
+        'ts', F.date_trunc('minute', 'ts').cast('timestamp_ntz'))
     return ranking.request_gap(requests).select('request_id', 'gap_us', 'wait_seconds')
 
 
@@ -423,15 +435,6 @@ def quota_24h(spark, sf):
         'request_id', 'model', 'nth', 'accepted')
 
 
-@query('model_failover', sql=with_sql(b.REQUESTS_SQL, LIMITS_SQL, """bounds AS (
-  SELECT model, sum(daily_limit) OVER (ORDER BY preference) AS upto,
-    sum(daily_limit) OVER (ORDER BY preference) - daily_limit AS above FROM limits)""", body="""
-SELECT request_id, nth, b.model FROM (SELECT request_id, row_number() OVER (PARTITION BY CAST(ts AS DATE)
-  ORDER BY ts, request_id) AS nth FROM requests) LEFT JOIN bounds b ON nth > above AND nth <= upto"""))
-def model_failover(spark, sf):
-    return ranking.failover(b.requests(spark, sf), model_limits(spark)).select('request_id', 'nth', 'model')
-
-
 LATEST_SQL = """SELECT analysis_id, status, progress, file_count FROM scan_log
 QUALIFY row_number() OVER (PARTITION BY analysis_id ORDER BY ts DESC, event_id DESC) = 1"""
 
@@ -452,24 +455,6 @@ def lookup_scan(spark, sf):
         'analysis_id', 'status', 'answer')
 
 
-def _stage_sql():
-    return ' UNION ALL '.join(f"""
-SELECT '{name}' AS stage, path, CAST({start} + trunc(CAST(nth - 1 AS DOUBLE) / n * {span}) AS BIGINT) AS progress FROM numbered"""
-                              for name, (start, span) in limits.STAGE_SPANS.items())
-
-
-@query('fn_stage_progress', sql=with_sql(b.ANALYZED_SQL, """numbered AS (SELECT path, row_number() OVER (PARTITION BY repo
-  ORDER BY path) AS nth, count(*) OVER (PARTITION BY repo) AS n FROM analyzed_files)""", body=_stage_sql()))
-def fn_stage_progress(spark, sf):
-    files = b.analyzed_files(spark, sf).select('repo', 'path')
-    numbered = ranking.stage_progress(files, ['repo'], ['path'], 0, 1).drop('progress')
-    share = (F.col('nth') - 1) / F.col('n')
-    stages = F.array(*[F.struct(F.lit(name).alias('stage'), (F.lit(start) + (share * span).cast('bigint'))
-                                .cast('bigint').alias('progress'))
-                       for name, (start, span) in limits.STAGE_SPANS.items()])
-    return numbered.select('path', F.inline(stages)).select('stage', 'path', 'progress')
-
-
 # ---- evaluation ----------------------------------------------------------------------------
 # Truth rows lie four lines apart, so no prediction has two candidates: the earliest one wins.
 MATCH_SQL = """matched AS (

@@ -99,11 +99,15 @@ def deps_risk(spark, sf):
 @query('score_repo', sql=with_sql(HITS_SQL, b.FINDINGS_SQL, body=f"""
 SELECT repo, coalesce(file_score, 0) AS file_score, coalesce(dependency_risk, 0) AS dependency_risk,
   coalesce(file_score, 0) + coalesce(dependency_risk, 0) AS repo_score
-FROM (SELECT repo, CAST(sum({fq.RISK_SQL}) AS BIGINT) AS file_score FROM findings WHERE repo <> 'repo2' GROUP BY repo)
-FULL JOIN dep_risk USING (repo)"""))
+FROM (SELECT repo, CAST(sum({fq.RISK_SQL}) AS BIGINT) AS file_score FROM (SELECT repo, severity FROM findings
+  UNION ALL SELECT 'found', severity FROM findings WHERE ord % 101 = 0) GROUP BY repo)
+FULL JOIN (SELECT * FROM dep_risk UNION ALL SELECT 'needed', dependency_risk FROM dep_risk WHERE repo = 'repo2') USING (repo)"""))
 def score_repo(spark, sf):
-    return aggregate.repo_scores(b.findings(spark, sf).filter("repo <> 'repo2'"),
-                                 fq.dependency_risk(spark, sf))
+    # One more repository with findings only, and one with dependencies only.
+    found, needs = b.findings(spark, sf), fq.dependency_risk(spark, sf)
+    found = found.unionByName(found.filter('ord % 101 = 0').withColumn('repo', F.lit('found')))
+    needs = needs.unionByName(needs.filter("repo = 'repo2'").withColumn('repo', F.lit('needed')))
+    return aggregate.repo_scores(found, needs)
 
 
 # ---- snapshots -----------------------------------------------------------------------------
@@ -118,12 +122,11 @@ def snapshot_diff(spark, sf):
 
 
 @query('join_changed_files', sql=with_sql(_DIFF, body="""
-SELECT repo, path FROM head WHERE (repo, path) IN (SELECT (repo, path) FROM diffs WHERE repo NOT IN ('src1', 'src2'))
-  OR repo NOT IN (SELECT repo FROM diffs WHERE repo NOT IN ('src1', 'src2'))"""))
+SELECT repo, path FROM head WHERE (repo, path) IN (SELECT (repo, path) FROM diffs)
+  OR repo NOT IN (SELECT repo FROM diffs)"""))
 def join_changed_files(spark, sf):
     base, head = b.snapshots(spark, sf)
-    changed = snapshots.diff(base, head).filter(~F.col('repo').isin('src1', 'src2'))
-    return snapshots.only_changed(head, changed).select('repo', 'path')
+    return snapshots.only_changed(head, snapshots.diff(base, head)).select('repo', 'path')
 
 
 # ---- model replies -------------------------------------------------------------------------
@@ -158,10 +161,10 @@ def ai_parse_reply(spark, sf):
 
 @query('ai_error_rows', sql=with_sql(PARSED_SQL, body='SELECT reply_id, error, CASE error ' + ' '.join(
     f'WHEN {quoted(k)} THEN {quoted(v)}' for k, v in replies.MESSAGES.items()) + """ END AS message,
-  left(coalesce(reply, ''), 500) AS raw_response, CAST(0 AS BIGINT) AS total_vulnerabilities FROM parsed WHERE error IS NOT NULL"""))
+  reply, left(coalesce(reply, ''), 500) AS raw_response, CAST(0 AS BIGINT) AS total_vulnerabilities FROM parsed WHERE error IS NOT NULL"""))
 def ai_error_rows(spark, sf):
     return replies.errors(replies.parse(b.ai_responses(spark, sf))).select(
-        'reply_id', 'error', 'message', 'raw_response', 'total_vulnerabilities')
+        'reply_id', 'error', 'message', 'reply', 'raw_response', 'total_vulnerabilities')
 
 
 @query('agg_tokens', sql=with_sql(PARSED_SQL, body="""
@@ -207,8 +210,8 @@ def report_overview(spark, sf):
 
 
 @query('report_details', sql=with_sql(b.FINDINGS_SQL, body=f"""
-SELECT path, severity, vulnerability_type, line_number, description, code_snippet, fix_suggestion,
-  CAST(round(confidence * 100) AS BIGINT) AS confidence_percent, row_number() OVER (PARTITION BY path
+SELECT repo, path, severity, vulnerability_type, line_number, description, code_snippet, fix_suggestion,
+  CAST(round(confidence * 100) AS BIGINT) AS confidence_percent, row_number() OVER (PARTITION BY repo, path
   ORDER BY {fq.REPORT_RANK_SQL}, line_number, ord) AS position FROM findings"""))
 def report_details(spark, sf):
     return report.details(b.findings(spark, sf))
@@ -234,35 +237,38 @@ def model_answers(spark, sf):
     """Model findings for the code files: two per file, one on a line the rules may cover too."""
     lines = F.explode(F.array(F.lit(2), F.lit(3))).alias('line_number')
     return b.code_files(spark, sf).select(
-        'path', lines, F.lit('WEAK_CRYPTO').alias('vulnerability_type'), F.lit('MEDIUM').alias('severity'),
+        'repo', 'path', lines, F.lit('WEAK_CRYPTO').alias('vulnerability_type'), F.lit('MEDIUM').alias('severity'),
         (F.col('doc_id') % 4 == 3).alias('failed')).withColumn('ord', F.col('line_number').cast('bigint'))
 
 
 def _critical(found):
-    return f"SELECT DISTINCT path FROM {found} WHERE severity = 'CRITICAL'"
+    return f"SELECT (repo, path) FROM {found} WHERE severity = 'CRITICAL'"
 
 
 _STAGED = sq.FOUND_SQL + f""",
-answers AS (SELECT path, doc_id % 4 = 3 AS failed, unnest([2, 3]) AS line_number FROM code_files),
-usable AS (SELECT path, line_number, 'WEAK_CRYPTO' AS vulnerability_type FROM answers WHERE NOT failed AND path NOT IN ({_critical('found')})),
-merged AS (SELECT path, line_number, vulnerability_type, severity, 'static_pattern' AS method FROM found UNION ALL
-  SELECT path, line_number, vulnerability_type, 'MEDIUM', 'model' FROM usable u WHERE NOT EXISTS (SELECT 1 FROM found f
-    WHERE f.path = u.path AND f.line_number = u.line_number AND f.vulnerability_type = u.vulnerability_type))"""
-
-
-@query('staged_scan', sql=with_sql(b.CODE_SQL, sq.rules_sql(enabled_rules()), _STAGED, body=f"""
-SELECT path, line_number, vulnerability_type, severity, method, 'finding' AS kind FROM merged
-UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'prompt' FROM code_files WHERE path NOT IN ({_critical('found')})
-UNION ALL SELECT path, NULL, NULL, NULL, NULL, 'skipped' FROM code_files WHERE path IN ({_critical('found')})"""))
+answers AS (SELECT repo, path, doc_id % 4 = 3 AS failed, unnest([2, 3]) AS line_number FROM code_files),
+usable AS (SELECT repo, path, line_number, 'WEAK_CRYPTO' AS vulnerability_type FROM answers WHERE NOT failed AND (repo, path) NOT IN ({_critical('found')})),
+merged AS (SELECT repo, path, line_number, vulnerability_type, severity, 'static_pattern' AS method FROM found UNION ALL
+  SELECT repo, path, line_number, vulnerability_type, 'MEDIUM', 'model' FROM usable u WHERE NOT EXISTS (SELECT 1 FROM found f
+    WHERE f.repo = u.repo AND f.path = u.path AND f.line_number = u.line_number AND f.vulnerability_type = u.vulnerability_type))"""
+
+
+@query('staged_scan', sql=with_sql(b.CODE_SQL, sq.rules_sql(enabled_rules()), _STAGED, basics.PARTED_SQL.replace(
+    'SELECT path, language,', 'SELECT repo, path, language,'), body=f"""
+SELECT repo, path, NULL AS part, line_number, vulnerability_type, severity, method, 'finding' AS kind FROM merged
+UNION ALL SELECT repo, path, part, NULL, NULL, NULL, md5({basics.PROMPT_SQL}), 'prompt' FROM parted WHERE (repo, path) NOT IN ({_critical('found')})
+UNION ALL SELECT repo, path, NULL, NULL, NULL, NULL, NULL, 'skipped' FROM code_files WHERE (repo, path) IN ({_critical('found')})"""))
 def staged_scan(spark, sf):
     dim = spark.createDataFrame(basics.PROMPTS, 'language string, instruction string')
     done = scans_plan.staged(b.code_files(spark, sf), dim, model_answers(spark, sf))
-    merged = done.findings.select('path', 'line_number', 'vulnerability_type', 'severity',
+    merged = done.findings.select('repo', 'path', F.lit(None).cast('bigint').alias('part'), 'line_number', 'vulnerability_type', 'severity',
                                   F.coalesce('detection_method', F.lit('model')).alias('method'),
                                   F.lit('finding').alias('kind'))
-    asked = done.prompts.select('path', F.lit('prompt').alias('kind'))
-    skipped = done.skipped.select('path', F.lit('skipped').alias('kind'))
-    return merged.unionByName(asked.unionByName(skipped), allowMissingColumns=True)
+    asked = done.prompts.select('repo', 'path', F.col('part').cast('bigint').alias('part'),
+                                F.md5('prompt').alias('method'), F.lit('prompt').alias('kind'))
+    skipped = done.skipped.select('repo', 'path', F.lit('skipped').alias('kind'))
+    return (merged.unionByName(asked, allowMissingColumns=True)
+            .unionByName(skipped, allowMissingColumns=True))
 
 
 def scan_input(spark, sf):
@@ -273,21 +279,41 @@ def scan_input(spark, sf):
 _LANG = basics._map(basics.languages.REPO_EXTENSIONS, "regexp_extract(path, '\\.[a-z]+$')")
 
 
-@query('repo_scan', sql=with_sql(HITS_SQL, b.CODE_SQL.replace('code_files AS', 'all_code AS'), """
+_NEEDED = "SELECT 'src' || substr(repo, 5) AS repo, dependency_risk FROM dep_risk UNION ALL SELECT 'needed', dependency_risk FROM dep_risk WHERE repo = 'repo2'"
+
+
+def _repo_scan_sql(code='all_code'):
+    return with_sql(HITS_SQL, b.CODE_SQL.replace('code_files AS', 'every_code AS'), f"all_code AS (SELECT * FROM every_code {'' if code == 'all_code' else code})", """
 files AS (SELECT path, content FROM all_code)""", basics.RATIOS_SQL, f"""
 code_files AS (SELECT all_code.* REPLACE (coalesce({_LANG}, 'unknown') AS language) FROM all_code JOIN ratios USING (path)
-  WHERE ratio > 0.7 AND strlen(content) > 0 AND strlen(content) <= {names.MAX_FILE})""",
-                                 sq.rules_sql(enabled_rules()), sq.FOUND_SQL, body=f"""
-SELECT t.repo, files_discovered, languages, c.* EXCLUDE (repo), coalesce(dependency_risk, 0) AS dependency_risk,
-  file_score + coalesce(dependency_risk, 0) AS repo_score, CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high >= 5 THEN 'HIGH'
+  WHERE ratio > 0.7 AND strlen(content) > 0)""",
+                    sq.rules_sql(enabled_rules()), sq.FOUND_SQL, body=f"""
+SELECT *, file_score + dependency_risk AS repo_score, CASE WHEN critical > 0 THEN 'CRITICAL' WHEN high >= 5 THEN 'HIGH'
     WHEN high >= 2 THEN 'MEDIUM' WHEN high = 1 AND medium >= 5 THEN 'MEDIUM' WHEN high = 1 THEN 'LOW' WHEN medium >= 10 THEN 'LOW' ELSE 'MINIMAL' END AS risk_level
-FROM (SELECT repo, count(*) AS files_discovered, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM code_files GROUP BY repo) t
-JOIN (SELECT repo, {fq.COUNTS_SQL}, count(DISTINCT path) AS files_with_issues, CAST(sum({fq.RISK_SQL}) AS BIGINT) AS file_score
-      FROM found GROUP BY repo) c USING (repo)
-LEFT JOIN (SELECT 'src' || substr(repo, 5) AS repo, dependency_risk FROM dep_risk) d USING (repo)"""))
+FROM (SELECT repo, coalesce(files_discovered, 0) AS files_discovered, coalesce(languages, '') AS languages,
+  {', '.join(f'coalesce({c}, 0) AS {c}' for c in ['total', *fq.COUNTS, 'files_with_issues', 'file_score', 'dependency_risk'])}
+  FROM (SELECT repo, count(*) AS files_discovered, string_agg(DISTINCT language, ',' ORDER BY language) AS languages FROM code_files GROUP BY repo) t
+  LEFT JOIN (SELECT repo, {fq.COUNTS_SQL}, count(DISTINCT path) AS files_with_issues, CAST(sum({fq.RISK_SQL}) AS BIGINT) AS file_score
+        FROM found GROUP BY repo) c USING (repo)
+  FULL JOIN ({_NEEDED}) d USING (repo))""")
+
+
+def _needed(spark, sf):
+    risk = fq.dependency_risk(spark, sf)
+    return risk.withColumn('repo', F.concat(F.lit('src'), F.substring('repo', 5, 9))).unionByName(
+        risk.filter("repo = 'repo2'").withColumn('repo', F.lit('needed')))
+
+
+@query('repo_scan', sql=_repo_scan_sql())
 def repo_scan(spark, sf):
-    risk = fq.dependency_risk(spark, sf).withColumn('repo', F.concat(F.lit('src'), F.substring('repo', 5, 9)))
-    return scans_plan.scan_repository(scan_input(spark, sf), risk)
+    return scans_plan.scan_repository(scan_input(spark, sf), _needed(spark, sf))
+
+
+@query('repo_scan_changed', sql=_repo_scan_sql("WHERE doc_id % 3 = 0 OR repo NOT IN (SELECT repo FROM every_code WHERE doc_id % 3 = 0 AND repo <> 'src1')"))
+def repo_scan_changed(spark, sf):
+    files = scan_input(spark, sf)
+    changed = files.filter("doc_id % 3 = 0 AND repo <> 'src1'").select('repo', 'path')
+    return scans_plan.scan_repository(files, _needed(spark, sf), changed)
 
 
 # ---- sinks ---------------------------------------------------------------------------------
@@ -347,38 +373,36 @@ def stream_findings(spark, sf):
 @query('stream_scan', sql=sq.scan_sql(enabled_rules(), """
 SELECT path, rule_id, line_number, severity, code_snippet FROM found"""))
 def stream_scan(spark, sf):
-    found = jobs.scan_new_files(b.code_files_of(stream(spark, sf, 'documents')),
-                                spread=spark.sparkContext.defaultParallelism)
+    found = jobs.scan_new_files(b.code_files_of(stream(spark, sf, 'documents')))
     out = _run(spark, found.select('path', 'rule_id', 'line_number', 'severity', 'code_snippet'))
     return spark.read.parquet(out)
 
 
 @query('stream_severity_trend', sql=with_sql(b.FINDINGS_SQL, body="""
 SELECT strftime(date_trunc('day', found_at), '%Y-%m-%d') AS day, severity, count(*) AS n FROM findings
-GROUP BY date_trunc('day', found_at), severity
-HAVING date_trunc('day', found_at) + INTERVAL 1 DAY <= (SELECT max(found_at) FROM findings) - INTERVAL 10 MINUTE"""))
+GROUP BY date_trunc('day', found_at), severity"""))
 def stream_severity_trend(spark, sf):
-    out = _run(spark, jobs.severity_trend(stream_findings(spark, sf).select('ts', 'severity')))
-    return spark.read.parquet(out).select(F.date_format('start', 'yyyy-MM-dd').alias('day'), 'severity', 'n')
+    trend = jobs.severity_trend(stream_findings(spark, sf).select('ts', 'severity'))
+    out = _run(spark, trend, 'update', jobs.append_versions)
+    return jobs.newest_versions(spark, out, ['start', 'severity']).select(F.date_format('start', 'yyyy-MM-dd').alias('day'), 'severity', 'n')
 
 
 @query('stream_rate', sql=with_sql(b.REQUESTS_SQL, body="""
 SELECT key, w AS start_second, count(*) AS n, count(*) >= 12 AS breach FROM (
   SELECT key % 3 AS key, unnest(generate_series(CAST(floor(epoch_us(ts) / 1e7) AS BIGINT) * 10 - 50,
-    CAST(floor(epoch_us(ts) / 1e7) AS BIGINT) * 10, 10)) AS w FROM requests) GROUP BY key, w
-HAVING w + 60 <= (SELECT max(epoch_us(ts)) FROM requests) / 1e6 - 600"""))
+    CAST(floor(epoch_us(ts) / 1e7) AS BIGINT) * 10, 10)) AS w FROM requests) GROUP BY key, w"""))
 def stream_rate(spark, sf):
     requests = stream(spark, sf, 'events').select((F.col('user_id') % 3).alias('key'),
                                                   jobs.as_instant('ts').alias('ts'))
-    out = _run(spark, jobs.request_windows(requests))
-    return spark.read.parquet(out).select('key', F.unix_seconds('start').alias('start_second'), 'n', 'breach')
+    out = _run(spark, jobs.request_windows(requests), 'update', jobs.append_versions)
+    return jobs.newest_versions(spark, out, ['start', 'key']).select('key', F.unix_seconds('start').alias('start_second'), 'n', 'breach')
 
 
 @query('stream_dedupe', sql=with_sql(b.FINDINGS_SQL, body="""
-SELECT DISTINCT path, line_number, vulnerability_type FROM findings"""))
+SELECT DISTINCT repo, path, line_number, vulnerability_type FROM findings"""))
 def stream_dedupe(spark, sf):
-    found = stream_findings(spark, sf).select('path', 'line_number', 'vulnerability_type', 'ts')
-    out = _run(spark, jobs.drop_repeats(found, merge.KEY))
+    found = stream_findings(spark, sf).select(*merge.KEY, 'ts')
+    out = _run(spark, found, 'append', lambda path: jobs.first_sightings(path, merge.KEY))
     return spark.read.parquet(out).select(*merge.KEY)
 
 

@@ -2,10 +2,7 @@
 
 # Request limits of the repository path.
 REQUESTS_PER_MINUTE = 12
-REQUESTS_PER_DAY = 1200
 MIN_GAP_SECONDS = 5
-MAX_RETRIES = 3
-BACKOFF = 2
 SECONDS_PER_FILE = 45
 PROGRESS_CEILING = 85
 
@@ -18,13 +15,10 @@ def model_limits(names: list[str]) -> list[tuple[str, int, int]]:
     return [(name, i, limit) for i, (name, limit) in enumerate(zip(names, MODEL_LIMITS))]
 
 
-# Prompt truncation and reply excerpts.
+# Length up to which a prompt stays whole, lines of a part beyond it, reply excerpts.
 PROMPT_MAX_CHARS = 15000
-PROMPT_KEEP_LINES = 200
-TRUNCATION_MARK = '\n... [File truncated for analysis] ...'
+PROMPT_PART_LINES = 200
 RAW_EXCERPT = 500
 MIN_CONTENT_CHARS = 10
 
-# Stage progress, (start, span) per pipeline.
-STAGE_SPANS = {'archive': (10, 80), 'repository': (25, 65), 'worker': (30, 60), 'batch': (0, 100)}
 HISTORY_KEPT = 20

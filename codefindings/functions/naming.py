@@ -63,8 +63,9 @@ def language_repo(name: Column) -> Column:
     return F.coalesce(lookup(dim.REPO_EXTENSIONS, extension(name)), F.lit('unknown'))
 
 
-def language_content(name: Column, content: Column) -> Column:
-    head = F.lower(F.substring(content, 1, 1000))
+def language_content(name: Column, content: Column, sample: int | None = None) -> Column:
+    """Language by extension, name, else by the first marker in the content (or in its first ``sample`` characters)."""
+    head = F.lower(content if sample is None else F.substring(content, 1, sample))
     markers = F.when(F.lit(False), F.lit(None).cast('string'))
     for marker, language in dim.CONTENT_MARKERS:
         markers = markers.when(head.contains(marker), language)

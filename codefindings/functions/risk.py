@@ -163,8 +163,3 @@ def elapsed(start_text: Column, now: Column) -> dict[str, Column]:
     return {'elapsed_value': value, 'elapsed_unit': unit,
             'elapsed_text': F.when(seconds.isNull(), 'Unknown').otherwise(
                 F.concat(F.format_string('%.1f', value), F.lit(' '), unit))}
-
-
-def retry_delay(attempt: Column) -> Column:
-    """Seconds to back off after a rejected attempt (numbered from zero)."""
-    return (limits.MIN_GAP_SECONDS * F.pow(F.lit(limits.BACKOFF), attempt)).cast('bigint')

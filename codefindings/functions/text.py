@@ -81,7 +81,8 @@ def translated(pattern: str, classes: dict[str, str], inside: dict[str, str]) ->
 
 # Python's meaning of the classes and anchors, in Java's words.
 _BOUNDARY = f'(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))'
-_NO_BOUNDARY = f'(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))'
+# An empty text has no place that is not a boundary.
+_NO_BOUNDARY = f'(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}])(?!\\A\\z))'
 _JAVA = {r'\s': f'[{SPACE}]', r'\S': f'[^{SPACE}]', r'\w': f'[{WORD}]', r'\W': f'[^{WORD}]', r'\d': r'\p{Nd}',
          r'\D': r'\P{Nd}', r'\b': _BOUNDARY, r'\B': _NO_BOUNDARY, r'\Z': r'\z', 'word_begins': f'(?<![{WORD}])'}
 _JAVA_INSIDE = {r'\s': SPACE, r'\S': f'[^{SPACE}]', r'\w': WORD, r'\W': f'[^{WORD}]', r'\d': r'\p{Nd}',
@@ -160,13 +161,17 @@ def number_lines(text: Column) -> Column:
     return F.array_join(_numbered(text), '\n')
 
 
-def truncate_numbered(text: Column) -> Column:
-    """Numbered text, cut to its first lines when it is too long for one request."""
+def prompt_parts(text: Column) -> Column:
+    """Numbered text as an array of parts that together hold every line.
+
+    One part, unless the whole is too long for one request: then parts of a fixed number of lines.
+    """
     def cut(numbered):
-        head = F.array_join(F.slice(numbered, 1, limits.PROMPT_KEEP_LINES), '\n')
+        size = limits.PROMPT_PART_LINES
+        many = F.transform(F.sequence(F.lit(1), F.size(numbered), F.lit(size)),
+                           lambda start: F.array_join(F.slice(numbered, start, size), '\n'))
         return bind(F.array_join(numbered, '\n'), lambda whole: F.when(
-            F.length(whole) > limits.PROMPT_MAX_CHARS,
-            F.concat(head, F.lit(limits.TRUNCATION_MARK))).otherwise(whole))
+            F.length(whole) > limits.PROMPT_MAX_CHARS, many).otherwise(F.array(whole)))
     return bind(_numbered(text), cut)
 
 
@@ -174,18 +179,19 @@ def normalize_type(kind: Column) -> Column:
     return F.upper(strip(kind))
 
 
-def text_ratio(content: Column) -> Column:
-    """Share of printable ASCII bytes among the first 4096 bytes (NULL for empty content)."""
-    head = F.decode(F.substring(content.cast('binary'), 1, 4096), 'ISO-8859-1')
+def text_ratio(content: Column, sample: int | None = None) -> Column:
+    """Share of printable ASCII bytes of the content, or of its first ``sample`` bytes (NULL for empty content)."""
+    raw = content.cast('binary')
+    head = F.decode(raw if sample is None else F.substring(raw, 1, sample), 'ISO-8859-1')
     return bind(head, lambda s: F.length(F.regexp_replace(s, r'[^\x20-\x7e\t\n\r]', ''))
                 / F.nullif(F.length(s), F.lit(0)))
 
 
-def printable_ratio(text: Column) -> Column:
-    """Share of printable or white-space characters among the first 4096 characters.
+def printable_ratio(text: Column, sample: int | None = None) -> Column:
+    """Share of printable or white-space characters of the text, or of its first ``sample`` ones.
 
-    NULL when the sample is blank.
+    NULL when that part is blank.
     """
     bad = f'[\\p{{C}}\\p{{Z}}&&[^{SPACE}]]'
-    return bind(F.substring(text, 1, 4096), lambda s: F.when(
+    return bind(text if sample is None else F.substring(text, 1, sample), lambda s: F.when(
         ~is_blank(s), F.length(F.regexp_replace(s, bad, '')) / F.nullif(F.length(s), F.lit(0))))

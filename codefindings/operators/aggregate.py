@@ -112,16 +112,16 @@ def status_line(model: Column, used: Column, limit: Column, percent: Column) ->
     return F.format_string('- %s: %d/%d (%.1f%%)', model, used, limit, percent)
 
 
-def merge_meta(static: DataFrame, ai: DataFrame, merged: DataFrame, key: str = 'path') -> DataFrame:
+def merge_meta(static: DataFrame, ai: DataFrame, merged: DataFrame, keys=('repo', 'path')) -> DataFrame:
     """Numbers of static, model and merged findings per file, and how they came about.
 
     A file with a critical static finding was not sent to a model; neither was one without replies.
     """
     def count(df, name):
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    stat = static.groupBy(key).agg(F.count(F.lit(1)).alias('static_issues'))
-    out = (stat.join(count(ai, 'ai_issues'), key, 'full_outer')
-           .join(count(merged, 'merged_total'), key, 'full_outer').na.fill(0))
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    stat = static.groupBy(*keys).agg(F.count(F.lit(1)).alias('static_issues'))
+    out = (stat.join(count(ai, 'ai_issues'), list(keys), 'full_outer')
+           .join(count(merged, 'merged_total'), list(keys), 'full_outer').na.fill(0))
     return out.withColumn('method', F.when(F.col('ai_issues') > 0, 'static_plus_ai')
                           .otherwise('static_only'))
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tomllib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.functions.risk import cvss_bucket, risk_weight
 from codefindings.functions.text import SPACE, bind, java_pattern, rows_of, strip
@@ -46,22 +43,28 @@ def _package_json(content: Column) -> Column:
     return bind(parsed, entries)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add('name', 'string').add('version', 'string')))
-def _toml_dependencies(content: pd.Series) -> pd.Series:
-    """[dependencies] of one manifest; TOML needs a real parser and these files are tiny."""
-    def one(text):
-        try:
-            table = tomllib.loads(text).get('dependencies') or {}
-            return [{'name': name, 'version': str((spec.get('version') or ANY_VERSION)
-                                                  if isinstance(spec, dict) else spec)}
-                    for name, spec in table.items()]
-        except (tomllib.TOMLDecodeError, AttributeError, TypeError):
-            return []
-    return content.map(one)
+# A manifest is TOML; only its dependency tables are looked at.
+_TOML_SECTION = r'(?ms)^[ \t]*\[dependencies\][ \t]*(?:#[^\n]*)?$(.*?)(?=^[ \t]*\[|\z)'
+_TOML_ENTRY = r'(?m)^[ \t]*["\']?([A-Za-z0-9_-]+)["\']?[ \t]*=[ \t]*(?:["\']([^"\'\n]*)["\']|\{([^\n]*)\})'
+_TOML_TABLE = r'(?ms)^[ \t]*\[dependencies\.["\']?([A-Za-z0-9_-]+)["\']?\][ \t]*(?:#[^\n]*)?$(.*?)(?=^[ \t]*\[|\z)'
+_TOML_VERSION = r'(?m)(?:^|[,{\s])version[ \t]*=[ \t]*["\']([^"\'\n]+)["\']'
 
 
 def _cargo_toml(content: Column) -> Column:
-    return F.transform(_toml_dependencies(content), lambda d: _entry('crates.io', d['name'], d['version']))
+    """Entries of [dependencies] (string or inline table) and [dependencies.name] tables."""
+    def every(text, pattern, group):
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+    def version(given, table):
+        return F.coalesce(F.nullif(given, F.lit('')), F.nullif(F.regexp_extract(table, _TOML_VERSION, 1), F.lit('')),
+                          F.lit(ANY_VERSION))
+    section = F.array_join(every(content, _TOML_SECTION, 1), '\n')
+    inline = F.arrays_zip(every(section, _TOML_ENTRY, 1).alias('name'), every(section, _TOML_ENTRY, 2).alias('given'),
+                          every(section, _TOML_ENTRY, 3).alias('body'))
+    tables = F.arrays_zip(every(content, _TOML_TABLE, 1).alias('name'), every(content, _TOML_TABLE, 2).alias('body'))
+    return F.concat(
+        F.transform(inline, lambda d: _entry('crates.io', d['name'], version(d['given'], d['body']))),
+        F.transform(tables, lambda d: _entry('crates.io', d['name'], version(F.lit(''), d['body']))))
 
 
 def _go_mod(content: Column) -> Column:

@@ -33,8 +33,9 @@ def is_ignored_name(name: Column, variant: str = 'upload') -> Column:
     return test
 
 
-def sized(size: Column) -> Column:
-    return (size > 0) & (size <= names.MAX_FILE)
+def sized(size: Column, limit: int | None = names.MAX_FILE) -> Column:
+    """Not empty and, if there is a limit, not larger."""
+    return size > 0 if limit is None else (size > 0) & (size <= limit)
 
 
 def within_budget(files: DataFrame, limit: int, keys=('repo',)) -> DataFrame:
@@ -43,12 +44,12 @@ def within_budget(files: DataFrame, limit: int, keys=('repo',)) -> DataFrame:
         F.col('running_size') <= limit)
 
 
-def is_text_bytes(content: Column) -> Column:
-    return F.coalesce(text.text_ratio(content) > 0.7, F.lit(False))
+def is_text_bytes(content: Column, sample: int | None = None) -> Column:
+    return F.coalesce(text.text_ratio(content, sample) > 0.7, F.lit(False))
 
 
-def is_text_chars(content: Column) -> Column:
-    return F.coalesce(text.printable_ratio(content) > 0.7, F.lit(False))
+def is_text_chars(content: Column, sample: int | None = None) -> Column:
+    return F.coalesce(text.printable_ratio(content, sample) > 0.7, F.lit(False))
 
 
 def is_binary_upload(name: Column) -> Column:
@@ -71,10 +72,11 @@ def upload_reason(name: Column, size: Column, as_archive: Column) -> Column:
     return F.when(as_archive, archive).otherwise(single)
 
 
-def split_by_file_count(files: DataFrame, keys=('repo',)) -> tuple[DataFrame, DataFrame]:
-    """(trees, refused trees): a tree with more than 1000 files is refused as a whole."""
+def split_by_file_count(files: DataFrame, keys=('repo',),
+                        limit: int = names.MAX_FILES_PER_TREE) -> tuple[DataFrame, DataFrame]:
+    """(trees, refused trees): a tree with more than ``limit`` files is refused as a whole."""
     counts = files.groupBy(*keys).agg(F.count(F.lit(1)).alias('n_files'))
-    over = F.col('n_files') > names.MAX_FILES_PER_TREE
+    over = F.col('n_files') > limit
     return counts.filter(~over), counts.filter(over)
 
 

@@ -7,7 +7,7 @@ from operator import and_
 
 from pyspark.sql import DataFrame, functions as F
 
-KEY = ['path', 'line_number', 'vulnerability_type']
+KEY = ['repo', 'path', 'line_number', 'vulnerability_type']
 
 
 def first_per_place(found: DataFrame, key=KEY) -> DataFrame:
@@ -29,7 +29,7 @@ def merge(static: DataFrame, ai: DataFrame, key=KEY) -> DataFrame:
     return static.unionByName(new.join(covered, same, 'left_anti'), allowMissingColumns=True)
 
 
-def with_finding_counts(files: DataFrame, found: DataFrame, keys=('path',)) -> DataFrame:
+def with_finding_counts(files: DataFrame, found: DataFrame, keys=('repo', 'path')) -> DataFrame:
     """Every file with its number of findings, 0 for clean files."""
     counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias('n_findings'))
     return files.join(counts, list(keys), 'left').na.fill(0, ['n_findings'])

@@ -53,14 +53,16 @@ def position(df: DataFrame, keys: list[str], order: list, name: str) -> DataFram
 
 
 def previous(df: DataFrame, keys: list[str], micros: str, name: str,
-             bucket: int = 3_600_000_000) -> DataFrame:
+             bucket: int = 3_600_000_000, tie: str | None = None) -> DataFrame:
     """Add the previous value of an integer time column per ``keys`` (NULL on the first row).
 
+    Equal times are ordered by the column ``tie``.
+
     Hot keys are split into time buckets; the first row of a bucket takes the last value of the
     previous non-empty bucket, from a table with one row per key and bucket.
     """
     cut = df.withColumn('_bucket', F.expr(f'`{micros}` div {bucket}'))
-    inside = Window.partitionBy(*keys, '_bucket').orderBy(micros)
+    inside = Window.partitionBy(*keys, '_bucket').orderBy(micros, *([tie] if tie else []))
     by_key = Window.partitionBy(*keys).orderBy('_bucket')
     last = (cut.groupBy(*keys, '_bucket').agg(F.max(micros).alias('_last'))
             .withColumn('_carried', F.lag('_last').over(by_key)).drop('_last'))

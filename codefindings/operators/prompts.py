@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from codefindings.functions.text import truncate_numbered
+from codefindings.functions.text import prompt_parts, rows_of
 
-# The frame around the code.
-CODE_HEADER = '\n\nCODE TO ANALYZE:\n```'
-TRAILER = '\n```\n\nReturn only the JSON response:'
+# The frame around the code.
+CODE_HEADER = '\n\nSource:\n```'
+TRAILER = '\n```\n\nAnswer with the JSON object alone.'
 DEFAULT_KEY = 'default'
 
 
@@ -24,7 +24,9 @@ def with_instruction(files: DataFrame, instructions: DataFrame) -> DataFrame:
 
 
 def build(files: DataFrame, instructions: DataFrame) -> DataFrame:
-    """Add ``prompt``, the complete request text of each file."""
-    prompt = F.concat('instruction', F.lit(CODE_HEADER), 'language', F.lit('\n'),
-                      truncate_numbered(F.col('content')), F.lit(TRAILER))
-    return with_instruction(files, instructions).withColumn('prompt', prompt)
+    """One row per part of a file (``part`` from 1): its columns but ``content``, and ``prompt``, a complete request."""
+    keep = [c for c in files.columns if c != 'content']
+    parts = rows_of(files, keep, prompt_parts(F.col('content')), 'code', 'part')
+    prompt = F.concat('instruction', F.lit(CODE_HEADER), 'language', F.lit('\n'), 'code', F.lit(TRAILER))
+    return (with_instruction(parts, instructions).withColumn('prompt', prompt)
+            .withColumn('part', F.col('part') + 1).drop('code'))

@@ -9,13 +9,16 @@ from codefindings.functions import risk
 from codefindings.operators.ordered import count_before, position, previous
 
 
+KEYS = ['repo', 'path']
+
+
 def problem_files(found: DataFrame, n: int = 5) -> DataFrame:
     """Worst files by 25/15/8 points, every other severity 3 and counted as low; ties by first ``ord``."""
     named = ['CRITICAL', 'HIGH', 'MEDIUM']
     other = dim.REPORT_WEIGHTS['LOW']
     points = F.coalesce(risk.weight_of({s: dim.REPORT_WEIGHTS[s] for s in named}, F.col('severity')),
                         F.lit(other))
-    per_file = found.groupBy('path').agg(
+    per_file = found.groupBy(*KEYS).agg(
         F.sum(points).cast('bigint').alias('score'), F.count(F.lit(1)).alias('total_issues'),
         *[F.count_if(F.col('severity') == s).alias(s.lower()) for s in named],
         F.count_if(~F.coalesce(F.col('severity').isin(named), F.lit(False))).alias('low'),
@@ -29,19 +32,17 @@ def bar_values(files: DataFrame) -> DataFrame:
 
 
 def top_files(files: DataFrame, n: int = 15) -> DataFrame:
-    return bar_values(files).filter('value > 0').orderBy(F.desc('value'), 'path').limit(n)
+    return bar_values(files).filter('value > 0').orderBy(F.desc('value'), *KEYS).limit(n)
 
 
 def heatmap(files: DataFrame, n: int = 25) -> DataFrame:
-    return (bar_values(files).orderBy(F.desc('value'), 'path').limit(n)
+    return (bar_values(files).orderBy(F.desc('value'), *KEYS).limit(n)
             .withColumn('colour', risk.heat_colour(F.col('value'))))
 
 
 def _with_position(found: DataFrame, rank: Column, order: list) -> DataFrame:
-    """Number the findings of each file over narrow rows, then join the rest back on path and ord."""
-    narrow = found.select('path', 'line_number', 'ord', rank.alias('rank'))
-    numbered = position(narrow, ['path'], order, 'position').drop('line_number')
-    return found.join(numbered, ['path', 'ord'])
+    """Number the findings of each file. The rows are range-partitioned once, with all their columns."""
+    return position(found.withColumn('rank', rank), KEYS, order, 'position')
 
 
 def report_order(found: DataFrame) -> DataFrame:
@@ -89,11 +90,14 @@ def request_rate(requests: DataFrame, key: str = 'key') -> DataFrame:
 
 
 def request_gap(requests: DataFrame, key: str = 'key') -> DataFrame:
-    """Microseconds since the previous request of the key, and seconds still to wait (at least 5 apart)."""
+    """Microseconds since the previous request of the key, and seconds still to wait (at least 5 apart).
+
+    Requests at the same time follow each other by ``request_id``.
+    """
     timed = requests.withColumn('us', micros(F.col('ts')))
     gap = F.col('us') - F.col('_previous')
     wait = F.greatest(F.lit(0.0), F.lit(float(limits.MIN_GAP_SECONDS)) - F.col('gap_us') / F.lit(1e6))
-    return (previous(timed, [key], 'us', '_previous').withColumn('gap_us', gap).drop('_previous')
+    return (previous(timed, [key], 'us', '_previous', tie='request_id').withColumn('gap_us', gap).drop('_previous')
             .withColumn('wait_seconds', F.when(F.col('gap_us').isNull(), 0.0).otherwise(wait)))
 
 
@@ -103,29 +107,3 @@ def daily_quota(requests: DataFrame, model_limits: DataFrame) -> DataFrame:
                         ['ts', 'request_id'], 'nth')
     return numbered.join(model_limits, 'model').withColumn(
         'accepted', F.col('nth') <= F.col('daily_limit'))
-
-
-def failover(requests: DataFrame, model_limits: DataFrame) -> DataFrame:
-    """Assign the day's requests to models in preference order, each up to its limit.
-
-    ``model`` is NULL for requests beyond all limits. The limit table has a handful of rows; its
-    cumulative bounds travel as one array, so nothing is range-joined.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct('preference', 'daily_limit', 'model')))
-    bounds = model_limits.agg(ordered.alias('o')).select(F.transform('o', lambda x, i: F.struct(
-        F.aggregate(F.slice('o', 1, i + 1), F.lit(0).cast('bigint'),
-                    lambda total, y: total + y['daily_limit']).alias('upto'),
-        x['model'].alias('model'))))
-    numbered = position(requests.drop('model').withColumn('day', F.to_date('ts')), ['day'],
-                        ['ts', 'request_id'], 'nth')
-    fits = F.filter('_bounds', lambda x: F.col('nth') <= x['upto'])
-    return (numbered.withColumn('_bounds', bounds.scalar())
-            .withColumn('model', F.get(fits, F.lit(0))['model']).drop('_bounds'))
-
-
-def stage_progress(files: DataFrame, keys: list[str], order: list[str], start: int, span: int) -> DataFrame:
-    """Progress shown while working on the i-th of n files: start + int(i / n * span)."""
-    totals = files.groupBy(*keys).agg(F.count(F.lit(1)).alias('n'))
-    numbered = position(files, keys, order, 'nth').join(totals, keys)
-    share = (F.col('nth') - 1) / F.col('n') * span
-    return numbered.withColumn('progress', (F.lit(start) + share.cast('bigint')).cast('bigint'))

@@ -15,14 +15,20 @@ TEXTS = {
     'all_good': 'Nothing serious found: keep reviewing regularly',
 }
 
-# Report rules: key -> (priority, title, action).
+# Report rules: key -> (priority, title, description, action, impact).
 REPORT = {
-    'critical': ('URGENT', 'Resolve critical findings', 'Fix within a day'),
-    'high': ('HIGH', 'Resolve high findings', 'Fix within two weeks'),
-    'sql': ('CRITICAL', 'Bind query parameters', 'Stop building SQL from strings'),
-    'secrets': ('CRITICAL', 'Move secrets out of the code', 'Use a secret store'),
-    'scanning': ('MEDIUM', 'Scan automatically', 'Add the scan to the build'),
-    'training': ('MEDIUM', 'Train developers', 'Teach the patterns that were found'),
+    'critical': ('URGENT', 'Resolve critical findings', 'At least one finding can be exploited directly',
+                 'Fix within a day', 'Closes the most dangerous holes'),
+    'high': ('HIGH', 'Resolve high findings', 'Findings that need little effort to exploit',
+             'Fix within two weeks', 'Removes most of the remaining risk'),
+    'sql': ('CRITICAL', 'Bind query parameters', 'Statements are put together from strings',
+            'Stop building SQL from strings', 'Input can no longer change a statement'),
+    'secrets': ('CRITICAL', 'Move secrets out of the code', 'Keys or passwords are in the source',
+                'Use a secret store', 'A leaked source no longer opens other systems'),
+    'scanning': ('MEDIUM', 'Scan automatically', 'Findings come up late when scans are started by hand',
+                 'Add the scan to the build', 'New findings are seen the day they are written'),
+    'training': ('MEDIUM', 'Train developers', 'The same patterns come back',
+                 'Teach the patterns that were found', 'Fewer findings per change'),
 }
 REPORT_SHOWN = 5
 
@@ -52,11 +58,10 @@ def repository() -> Column:
 
 
 def report() -> Column:
-    """Report rule keys, the first five shown; needs flags critical_sql and critical_secrets."""
-    keys = _list((F.col('critical') > 0, 'critical'), (F.col('high') > 0, 'high'),
+    """All report rule keys in order; needs flags critical_sql and critical_secrets."""
+    return _list((F.col('critical') > 0, 'critical'), (F.col('high') > 0, 'high'),
                  (F.col('critical_sql'), 'sql'), (F.col('critical_secrets'), 'secrets'),
                  (F.lit(True), 'scanning'), (F.lit(True), 'training'))
-    return F.slice(keys, 1, REPORT_SHOWN)
 
 
 def text_of(key: Column) -> Column:
@@ -66,10 +71,12 @@ def text_of(key: Column) -> Column:
     return expr
 
 
+ENTRY = ['priority', 'title', 'description', 'action', 'impact']
+
+
 def report_entry(key: Column) -> Column:
-    """(priority, title, action) of a report rule key."""
-    expr = F.when(F.lit(False), F.lit(None).cast('struct<priority:string,title:string,action:string>'))
-    for name, (priority, title, action) in REPORT.items():
-        expr = expr.when(key == name, F.struct(F.lit(priority).alias('priority'),
-                                               F.lit(title).alias('title'), F.lit(action).alias('action')))
+    """The ``ENTRY`` texts of a report rule key, as a struct."""
+    expr = F.when(F.lit(False), F.lit(None).cast('struct<' + ','.join(f'{n}:string' for n in ENTRY) + '>'))
+    for name, texts in REPORT.items():
+        expr = expr.when(key == name, F.struct(*[F.lit(t).alias(n) for n, t in zip(ENTRY, texts)]))
     return expr

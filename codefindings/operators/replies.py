@@ -64,13 +64,13 @@ def good(parsed: DataFrame) -> DataFrame:
 
 
 def errors(parsed: DataFrame) -> DataFrame:
-    """Dead-letter rows: error kind, message and the start of the reply."""
+    """Dead-letter rows: error kind, message, the whole reply and its start as an excerpt."""
     message = F.when(F.lit(False), F.lit(None).cast('string'))
     for kind, text in MESSAGES.items():
         message = message.when(F.col('error') == kind, text)
     return (parsed.filter('error IS NOT NULL').withColumn('message', message)
             .withColumn('raw_response', F.substring(F.coalesce('reply', F.lit('')), 1, limits.RAW_EXCERPT))
-            .withColumn('total_vulnerabilities', F.lit(0).cast('bigint')).drop('parsed', 'reply'))
+            .withColumn('total_vulnerabilities', F.lit(0).cast('bigint')).drop('parsed'))
 
 
 def findings(usable: DataFrame, keep) -> DataFrame:

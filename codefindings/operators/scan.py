@@ -230,6 +230,12 @@ def file_counts(files: DataFrame, rules: Iterable[Rule] | None = None,
     return _per_file(files, rules, keep).withColumn('_counts', counts).select(*keep, '_counts.*')
 
 
+def without_critical(files: DataFrame, rules: Iterable[Rule] | None = None) -> DataFrame:
+    """The files in which no critical rule matches: a filter in the row, nothing is joined."""
+    critical = [r for r in (enabled_rules() if rules is None else rules) if r.severity == 'CRITICAL']
+    return _per_file(files, critical, files.columns).filter(F.size('hits') == 0).drop('hits')
+
+
 def per_match(found: DataFrame) -> DataFrame:
     """One row per match; ``occurrence`` numbers the matches of a rule on one line from 1."""
     return (found.withColumn('occurrence', F.explode(F.sequence(F.lit(1), F.col('n_matches'))))
@@ -242,13 +248,9 @@ def findings(files: DataFrame, rules: Iterable[Rule] | None = None,
     return per_match(hits(files, rules, keep))
 
 
-def capture(files: DataFrame, pattern: str, groups: int, keep: Iterable[str] = ('path',)) -> DataFrame:
-    """Start line and captured groups of every match of one pattern.
-
-    Returns ``keep``, ``line_number``, ``ord`` (match order within the file) and ``g1`` … ``gN``
-    ('' for a group that took no part).
-    """
-    text, java = F.col('content'), java_pattern(pattern)
+def captured(text: Column, pattern: str, groups: int) -> Column:
+    """Array of (line_number, g1 … gN), one per match in order; NULL without a match."""
+    java = java_pattern(pattern)
 
     def per_file(counts):
         start_lines = F.flatten(F.transform(counts, lambda n, i: F.array_repeat(i + 1, n)))
@@ -256,10 +258,16 @@ def capture(files: DataFrame, pattern: str, groups: int, keep: Iterable[str] = (
             F.regexp_extract_all(text, F.lit(java), F.lit(g)).alias(f'g{g}')
             for g in range(1, groups + 1)]
         return F.arrays_zip(*parts)
+    return F.when(text.rlike(java), bind(match_counts(text, F.lit(java)), per_file))
 
-    zipped = F.when(text.rlike(java), bind(match_counts(text, F.lit(java)), per_file))
-    return (rows_of(files, keep, zipped, 'm', 'pos')
+
+def capture(files: DataFrame, pattern: str, groups: int, keep: Iterable[str] = ('path',)) -> DataFrame:
+    """Start line and captured groups of every match of one pattern.
+
+    Returns ``keep``, ``line_number``, ``ord`` (match order within the file) and ``g1`` … ``gN``
+    ('' for a group that took no part).
+    """
+    return (rows_of(files, keep, captured(F.col('content'), pattern, groups), 'm', 'pos')
             .select(*keep, F.col('m.line_number').alias('line_number'),
                     (F.col('pos') + 1).alias('ord'),
                     *[F.col(f'm.g{g}').alias(f'g{g}') for g in range(1, groups + 1)]))
-

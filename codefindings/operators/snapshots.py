@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from codefindings.sources.scratch import checkpointed
+
 
 def diff(base: DataFrame, head: DataFrame, keys=('repo', 'path')) -> DataFrame:
     """Paths added, deleted or changed between two snapshots. Only digests are shuffled."""
@@ -16,8 +18,11 @@ def diff(base: DataFrame, head: DataFrame, keys=('repo', 'path')) -> DataFrame:
 
 
 def only_changed(files: DataFrame, changed: DataFrame, key: str = 'repo') -> DataFrame:
-    """Files on the changed list; a repository without any changed path is scanned in full."""
-    listed = changed.select(key, 'path').distinct().withColumn('_listed', F.lit(True))
-    with_diff = changed.select(key).distinct().withColumn('_has_diff', F.lit(True))
+    """Files on the changed list; a repository without any changed path is scanned in full.
+
+    The changed paths are worked out once and checkpointed.
+    """
+    listed = checkpointed(changed.select(key, 'path').distinct()).withColumn('_listed', F.lit(True))
+    with_diff = listed.select(key).distinct().withColumn('_has_diff', F.lit(True))
     return (files.join(listed, [key, 'path'], 'left').join(with_diff, key, 'left')
             .filter(F.col('_listed') | F.col('_has_diff').isNull()).drop('_listed', '_has_diff'))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.functions.naming import extension
 from codefindings.functions.text import complexity, java_pattern, rows_of
-from codefindings.operators.scan import capture
+from codefindings.operators.scan import capture, captured
 
 # Patterns.
 PY_IMPORT_LINE = r'^(?:from\s+([\w\.]+)\s+import|import\s+([\w\.]+))'
@@ -50,11 +50,11 @@ def import_edges(files: DataFrame, keep=('path',), outer: bool = False) -> DataF
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Modules by number of importing files, and files by number of imported modules."""
-    fan_in = edges.groupBy(F.col('module').alias('name')).agg(
-        F.countDistinct('path').alias('degree')).select(F.lit('module').alias('kind'), 'name', 'degree')
-    fan_out = edges.groupBy(F.col('path').alias('name')).agg(
-        F.count(F.lit(1)).alias('degree')).select(F.lit('file').alias('kind'), 'name', 'degree')
-    return fan_in.unionByName(fan_out)
+    # The edges of a file are distinct, so counting them is enough; both sides come from one pass.
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.lit('module').alias('kind'), F.col('module').alias('name')),
+        F.struct(F.lit('file').alias('kind'), F.col('path').alias('name')))).alias('e'))
+    return ends.groupBy('e.kind', 'e.name').agg(F.count(F.lit(1)).alias('degree'))
 
 
 def _first(*names: str) -> Column:
@@ -78,14 +78,21 @@ def js_module_refs(files: DataFrame, keep=('path',)) -> DataFrame:
 
 
 def py_symbols(files: DataFrame, keep=('path',)) -> DataFrame:
-    """Functions (detail: async), classes (detail: has bases) and imports (detail: from-import)."""
+    """Functions (detail: async), classes (detail: has bases) and imports (detail: from-import).
+
+    The three patterns are matched in one pass; ``ord`` counts the symbols of a kind within a file.
+    """
     def one(kind, pattern, name, detail):
-        found = capture(files, '(?m)' + pattern, 2, keep)
-        return found.select(*keep, F.lit(kind).alias('kind'), name.alias('name'),
-                            detail.alias('detail'), F.col('line_number').alias('line_start'), 'ord')
-    return (one('function', PY_FUNCTION, F.col('g2'), F.col('g1') != '')
-            .unionByName(one('class', PY_CLASS, F.col('g1'), F.col('g2') != ''))
-            .unionByName(one('import', PY_IMPORT, _first('g1', 'g2'), F.col('g1') != '')))
+        def shaped(m, i):
+            return F.struct(F.lit(kind).alias('kind'), name(m).alias('name'), detail(m).alias('detail'),
+                            m['line_number'].alias('line_start'), (i + 1).alias('ord'))
+        return F.transform(F.coalesce(captured(F.col('content'), '(?m)' + pattern, 2), F.array()), shaped)
+    given = lambda c: F.nullif(c, F.lit(''))
+    symbols = F.concat(
+        one('function', PY_FUNCTION, lambda m: m['g2'], lambda m: m['g1'] != ''),
+        one('class', PY_CLASS, lambda m: m['g1'], lambda m: m['g2'] != ''),
+        one('import', PY_IMPORT, lambda m: F.coalesce(given(m['g1']), given(m['g2'])), lambda m: m['g1'] != ''))
+    return rows_of(files, keep, symbols, 's').select(*keep, 's.*')
 
 
 def summary(files: DataFrame, keep=('path',)) -> DataFrame:

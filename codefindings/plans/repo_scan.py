@@ -20,28 +20,30 @@ class StagedScan:
     skipped: DataFrame
 
 
+KEYS = ['repo', 'path']
+
+
 def staged(files: DataFrame, instructions: DataFrame, answered: DataFrame) -> StagedScan:
     """Static rules first; only files without a critical finding go on to the model.
 
-    The static findings are needed three times, so they are scanned once and checkpointed; they are
-    small next to the contents.
+    The findings are scanned once and checkpointed; they are small next to the contents, which are
+    neither shuffled nor joined: whether a file has a critical finding is known inside its row.
 
-    ``answered`` is the table of model findings (path, ord and the finding columns, plus ``failed``
-    rows for replies that could not be used). A file whose reply failed keeps its static findings.
+    ``answered`` is the table of model findings (repo, path, ord and the finding columns, plus
+    ``failed`` rows for replies that could not be used). A file whose reply failed keeps its static
+    findings. ``skipped`` holds repo and path.
     """
-    static = checkpointed(scan.findings(files).drop('check_name', 'critical_issues'))
-    critical = static.filter(F.col('severity') == 'CRITICAL').select('path').distinct()
-    to_model = files.join(critical, 'path', 'left_anti')
-    usable = (answered.join(critical, 'path', 'left_anti')
-              .filter(~F.col('failed')).drop('failed'))
-    merged = merge.merge(static, usable)
-    return StagedScan(merged, prompts.build(to_model, instructions), files.join(critical, 'path', 'left_semi'))
+    found = checkpointed(scan.findings(files, keep=KEYS).drop('check_name'))
+    critical = found.filter('critical_issues').select(*KEYS).distinct()
+    usable = answered.join(critical, KEYS, 'left_anti').filter(~F.col('failed')).drop('failed')
+    merged = merge.merge(found.drop('critical_issues'), usable)
+    return StagedScan(merged, prompts.build(scan.without_critical(files), instructions), critical)
 
 
 def model_findings(responses: DataFrame) -> DataFrame:
-    """Findings of raw model replies (path, reply) in the form :func:`staged` takes."""
+    """Findings of raw model replies (repo, path, reply) in the form :func:`staged` takes."""
     usable = replies.good(replies.parse(responses))
-    return replies.findings(usable, ['path']).withColumn('failed', F.lit(False))
+    return replies.findings(usable, KEYS).withColumn('failed', F.lit(False))
 
 
 def scan_repository(files: DataFrame, dependency_risk: DataFrame, changed: DataFrame | None = None,
@@ -49,7 +51,8 @@ def scan_repository(files: DataFrame, dependency_risk: DataFrame, changed: DataF
     """Discover, optionally keep changed files, scan, score and summarize: one row per repository.
 
     One narrow pass over the contents counts the findings of each file inside its row; what is
-    shuffled are per-repository sums, combined map-side.
+    shuffled are per-repository sums, combined map-side. A repository of which only dependencies are
+    known has a row too.
     """
     found_files = discover(files, keys=(key,))
     if changed is not None:
@@ -61,6 +64,7 @@ def scan_repository(files: DataFrame, dependency_risk: DataFrame, changed: DataF
         F.count_if(F.col('total') > 0).alias('files_with_issues'),
         F.array_join(F.array_sort(F.collect_set('language')), ',').alias('languages'),
         *[F.sum(c).cast('bigint').alias(name) for c, name in sums.items()])
-    return (per_repo.join(dependency_risk, key, 'left').na.fill(0, ['dependency_risk'])
+    numbers = ['files_discovered', 'files_with_issues', 'total', *aggregate.COUNTS, 'file_score', 'dependency_risk']
+    return (per_repo.join(dependency_risk, key, 'full_outer').na.fill(0, numbers).na.fill('', ['languages'])
             .withColumn('repo_score', F.col('file_score') + F.col('dependency_risk'))
             .withColumn('risk_level', risk.ladder('repository')))

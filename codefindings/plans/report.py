@@ -21,7 +21,7 @@ def overview(files: DataFrame, found: DataFrame, key: str = 'repo') -> DataFrame
 def details(found: DataFrame) -> DataFrame:
     """Findings in report order with snippet, advice and confidence in percent."""
     return ranking.report_order(found).select(
-        'path', 'position', 'severity', 'vulnerability_type', 'line_number', 'description',
+        'repo', 'path', 'position', 'severity', 'vulnerability_type', 'line_number', 'description',
         'code_snippet', 'fix_suggestion',
         risk.confidence_percent(F.col('confidence')).alias('confidence_percent'))
 

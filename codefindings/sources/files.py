@@ -5,74 +5,95 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from codefindings.dims import names
 from codefindings.functions import naming
 from codefindings.operators import filters
-from codefindings.operators.ordered import running_sum
 from codefindings.operators.snapshots import only_changed
 from codefindings.sources import trees
+from codefindings.sources.scratch import checkpointed
 
 
-def select_entries(files: DataFrame, keys=('repo',), variant: str = 'repository') -> DataFrame:
-    """Directory, name and size tests, then the size budget per tree. Contents are not looked at."""
-    limit = names.MAX_TREE_REPO if variant == 'repository' else names.MAX_TREE
-    candidates = (files.filter(~filters.in_ignored_dir(F.col('path'), variant))
-                  .filter(~filters.is_ignored_name(F.col('filename'), variant))
-                  .filter(filters.sized(F.col('size'))))
-    return _within_tree_budget(candidates, list(keys), limit)
+def marked(files: DataFrame, keys=('repo',), variant: str = 'repository', max_file: int | None = None,
+           max_tree: int | None = None) -> DataFrame:
+    """Add ``status``: why a listed file is not looked into, NULL for all others.
 
-
-def discover(files: DataFrame, keys=('repo',), variant: str = 'repository') -> DataFrame:
-    """Files worth scanning, with language and extension.
+    Reasons: missing_root, ignored_dir, ignored_name, empty, too_large (over ``max_file`` bytes),
+    over_budget (its tree, in path order, has reached ``max_tree`` bytes). Without the two limits every
+    file of a wanted name and place is looked into. Contents are not touched.
+    """
+    size = F.col('size')
+    status = F.when(F.lit(False), F.lit(None).cast('string'))
+    if 'problem' in files.columns:
+        status = status.when(F.col('problem').isNotNull(), F.col('problem'))
+    status = (status.when(filters.in_ignored_dir(F.col('path'), variant), 'ignored_dir')
+              .when(filters.is_ignored_name(F.col('filename'), variant), 'ignored_name')
+              .when(~F.coalesce(filters.sized(size, None), F.lit(False)), 'empty'))
+    if max_file is not None:
+        status = status.when(size > max_file, 'too_large')
+    named = files.withColumn('status', status).drop('problem')
+    return named if max_tree is None else _with_budget(named, list(keys), max_tree)
+
+
+def report(files: DataFrame, keys=('repo',), variant: str = 'repository', max_file: int | None = None,
+           max_tree: int | None = None) -> DataFrame:
+    """Every file with language, extension and ``status``: scanned, not_text, unreadable or a reason of :func:`marked`.
 
     ``files`` holds path, filename, size and content. The content is tested last, and neither
-    shuffled nor joined on.
+    shuffled nor joined on unless a tree budget is given.
     """
-    return _text_files(select_entries(files, keys, variant), variant)
+    return _tested(marked(files, keys, variant, max_file, max_tree), variant)
+
 
+def discover(files: DataFrame, keys=('repo',), variant: str = 'repository', max_file: int | None = None,
+             max_tree: int | None = None) -> DataFrame:
+    """The files worth scanning: those :func:`report` calls scanned."""
+    return report(files, keys, variant, max_file, max_tree).filter("status = 'scanned'").drop('status')
 
-def discover_trees(roots: DataFrame, variant: str = 'repository',
-                   changed: DataFrame | None = None) -> DataFrame:
-    """Files worth scanning under the given (repo, root) folders; only selected files are opened.
 
-    With a ``changed`` (repo, path) table the listing is reduced to it before any file is opened.
+def report_trees(roots: DataFrame, variant: str = 'repository', changed: DataFrame | None = None,
+                 max_file: int | None = None, max_tree: int | None = None) -> DataFrame:
+    """:func:`report` of all files under the given (repo, root) folders; only files worth it are opened.
+
+    Folders are listed once, into the checkpoint folder. With a ``changed`` (repo, path) table the
+    listing is reduced to it before any file is opened.
     """
-    entries = select_entries(trees.list_trees(roots, variant), ('repo', 'root'), variant)
+    listed = checkpointed(marked(trees.list_trees(roots, variant), ('repo', 'root'), variant, max_file, max_tree))
     if changed is not None:
-        entries = only_changed(entries, changed)
-    return _text_files(trees.with_contents(entries), variant)
+        listed = only_changed(listed, changed)
+    opened = _tested(trees.with_contents(listed.filter('status IS NULL')), variant)
+    return opened.unionByName(listed.filter('status IS NOT NULL'), allowMissingColumns=True)
+
 
+def discover_trees(roots: DataFrame, variant: str = 'repository', changed: DataFrame | None = None,
+                   max_file: int | None = None, max_tree: int | None = None) -> DataFrame:
+    """The files under the given (repo, root) folders that are worth scanning."""
+    return report_trees(roots, variant, changed, max_file, max_tree).filter("status = 'scanned'").drop('status')
 
-def _text_files(files: DataFrame, variant: str) -> DataFrame:
+
+def status_counts(files: DataFrame, keys=('repo',)) -> DataFrame:
+    """Number and bytes of files per ``keys`` and status."""
+    return files.groupBy(*keys, 'status').agg(F.count(F.lit(1)).alias('n_files'), F.sum('size').alias('bytes'))
+
+
+def _tested(files: DataFrame, variant: str) -> DataFrame:
     is_text = filters.is_text_bytes if variant == 'repository' else filters.is_text_chars
     language = naming.language_repo if variant == 'repository' else naming.language_full
     content = F.col('content')
     if variant != 'repository' and dict(files.dtypes)['content'] == 'binary':
         files = decode(files).withColumnRenamed('text', 'content')
-    return (files.filter(is_text(content))
+    tested = F.when(content.isNull(), 'unreadable').when(is_text(content), 'scanned').otherwise('not_text')
+    return (files.withColumn('status', F.when(F.col('status').isNotNull(), F.col('status')).otherwise(tested))
             .withColumn('language', language(F.col('filename')))
             .withColumn('extension', naming.extension(F.col('filename'))))
 
 
-def _within_tree_budget(files: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Apply the per-tree size budget.
-
-    Sizes are positive, so a tree's budget ends at one path: what is joined to the files is the last
-    kept path of each tree above the limit. There are at most (all bytes / limit) such trees, some
-    200 000 in 100 TB, hence the broadcast. Without any such tree nothing is joined at all.
-    """
-    sizes = files.select(*keys, 'path', 'size')
-    large = (sizes.groupBy(*keys).agg(F.sum('size').alias('_tree'))
-             .filter(F.col('_tree') > limit).select(*keys))
-    if large.isEmpty():
-        return files
-    running = running_sum(sizes.join(large, keys, 'left_semi'), keys, ['path'], F.col('size'), '_run')
-    ends = running.groupBy(*keys).agg(
-        F.max(F.when(F.col('_run') <= limit, F.col('path'))).alias('_last'),
-        F.lit(True).alias('_large'))
-    return (files.join(F.broadcast(ends), keys, 'left')
-            .filter(F.col('_large').isNull() | (F.col('path') <= F.col('_last')))
-            .drop('_large', '_last'))
+def _with_budget(files: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Mark what lies behind the path at which a tree's budget ends; one narrow row per tree is joined."""
+    sizes = files.filter('status IS NULL').select(*keys, 'path', 'size')
+    ends = filters.within_budget(sizes, limit, keys).groupBy(*keys).agg(F.max('path').alias('_last'))
+    over = F.col('_last').isNull() | (F.col('path') > F.col('_last'))
+    return (files.join(ends, keys, 'left')
+            .withColumn('status', F.when(F.col('status').isNull() & over, 'over_budget').otherwise(F.col('status')))
+            .drop('_last'))
 
 
 def decode(df: DataFrame) -> DataFrame:

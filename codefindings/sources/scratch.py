@@ -33,15 +33,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
-
-
-def balanced(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows over all cores when the input has too few splits to keep them busy.
-
-    Only the planned number of splits is looked at; no job runs. Inputs with several splits per core
-    pass unchanged. A split may hold no row group at all, hence the margin.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() >= 4 * cores:
-        return df
-    return df.repartition(4 * cores, *keys)

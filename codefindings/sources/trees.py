@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from codefindings.dims import names
 from codefindings.functions import naming
 
-ENTRY = 'repo string, root string, path string, size bigint'
+ENTRY = 'repo string, root string, path string, size bigint, problem string'
 BATCH_ROWS = 5000
 BATCH_BYTES = 64 * names.MIB
 
@@ -25,11 +25,14 @@ BATCH_BYTES = 64 * names.MIB
 def list_trees(roots: DataFrame, variant: str = 'repository', split_depth: int = 2) -> DataFrame:
     """repo, root, path (relative), filename and size of every file under the (repo, root) folders.
 
+    A root that does not exist gives one row with an empty path and ``problem`` missing_root.
+
     The upper levels of each tree are listed first; the folders found at ``split_depth`` are then
     spread over all tasks, so one huge tree is not walked by one task.
     """
     ignored = set(names.IGNORED_DIRS_REPO if variant == 'repository' else names.IGNORED_DIRS)
-    start = roots.select('repo', 'root', F.lit('').alias('path'), F.lit(None).cast('bigint').alias('size'))
+    start = roots.select('repo', 'root', F.lit('').alias('path'), F.lit(None).cast('bigint').alias('size'),
+                         F.lit(None).cast('string').alias('problem'))
     upper = start.mapInPandas(_walker(ignored, split_depth), ENTRY)
     parts = int(roots.sparkSession.conf.get('spark.sql.shuffle.partitions'))
     return (upper.repartition(parts, 'repo', 'root', 'path')
@@ -50,21 +53,24 @@ def _walker(ignored: set[str], depth: int | None) -> Callable[[Iterator[pd.DataF
     def walk(batches):
         rows = []
         for batch in batches:
-            for repo, root, path, size in batch.itertuples(index=False):
-                if pd.notna(size):
-                    rows.append((repo, root, path, int(size)))
+            for repo, root, path, size, problem in batch.itertuples(index=False):
+                if pd.notna(size) or isinstance(problem, str):
+                    rows.append((repo, root, path, None if pd.isna(size) else int(size), problem))
                     continue
                 store, base = fs.FileSystem.from_uri(root)
+                if path == '' and store.get_file_info(base).type != fs.FileType.Directory:
+                    rows.append((repo, root, '', None, 'missing_root'))
+                    continue
                 todo = [(path, 0)]
                 while todo:
                     folder, level = todo.pop()
                     for info in _children(store, f'{base}/{folder}'.rstrip('/')):
                         below = f'{folder}/{info.base_name}'.lstrip('/')
                         if info.type == fs.FileType.File:
-                            rows.append((repo, root, below, info.size))
+                            rows.append((repo, root, below, info.size, None))
                         elif info.type == fs.FileType.Directory and info.base_name.lower() not in ignored:
                             if depth is not None and level + 1 >= depth:
-                                rows.append((repo, root, below, None))
+                                rows.append((repo, root, below, None, None))
                             else:
                                 todo.append((below, level + 1))
                     if len(rows) >= BATCH_ROWS:
@@ -75,12 +81,12 @@ def _walker(ignored: set[str], depth: int | None) -> Callable[[Iterator[pd.DataF
 
 
 def _frame(rows) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=['repo', 'root', 'path', 'size'])
+    frame = pd.DataFrame(rows, columns=['repo', 'root', 'path', 'size', 'problem'])
     return frame.astype({'size': 'Int64'})
 
 
 def with_contents(entries: DataFrame) -> DataFrame:
-    """Add ``content`` (bytes) to listed files; unreadable files are left out.
+    """Add ``content`` (bytes) to listed files; NULL for a file that cannot be read.
 
     The narrow entries are spread by path first, then every task opens its files in batches of
     bounded size.
@@ -99,10 +105,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 with store.open_input_stream(f'{base}/{path}', compression=None) as stream:
                     data = stream.read()
             except OSError:
-                continue
+                data = None
             kept.append(i)
             contents.append(data)
-            held += len(data)
+            held += len(data or b'')
             if held >= BATCH_BYTES:
                 yield batch.loc[kept].assign(content=contents)
                 kept, contents, held = [], [], 0

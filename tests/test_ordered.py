@@ -57,15 +57,18 @@ def test_exactly_sixty_seconds_ago_does_not_count(spark):
     assert {r.in_last_minute for r in ranking.request_rate(df).collect()} == {0}
 
 
-def test_failover_fills_models_in_order(spark):
-    reqs = spark.sql("SELECT id AS request_id, 'x' AS model, timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,0, id) AS ts FROM range(7)")
-    limits = spark.createDataFrame([('b', 1, 3), ('a', 0, 2), ('c', 2, 1)], 'model string, preference int, daily_limit int')
-    got = [r.model for r in ranking.failover(reqs, limits).orderBy('nth').collect()]
-    assert got == ['a', 'a', 'b', 'b', 'b', 'c', None]
-
-
 def test_group_limit_is_applied_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col('id') % 3).alias('repo_id'), F.col('id').alias('ord'),
                                   F.lit('2024-01-01').cast('timestamp_ntz').alias('ts'))
     plan = ranking.recent_history(df, ['repo_id'])._jdf.queryExecution().toString()
     assert 'WindowGroupLimit' in plan and 'Partial' in plan
+
+
+def test_equal_times_follow_each_other_by_id(spark):
+    rows = [(i, 'k', 10_000_000 * (i // 3)) for i in range(9)]
+    want = {i: None if i == 0 else (0 if i % 3 else 10_000_000) for i, _, _ in rows}
+    for seed in range(3):
+        shuffled = random.Random(seed).sample(rows, len(rows))
+        df = spark.createDataFrame(shuffled, 'request_id long, key string, us long').select(
+            'request_id', 'key', F.timestamp_micros('us').cast('timestamp_ntz').alias('ts'))
+        assert {r.request_id: r.gap_us for r in ranking.request_gap(df).collect()} == want

@@ -35,12 +35,32 @@ def test_staged_scan(spark):
     files = source(spark).withColumn('language', F.lit('python'))
     asked = spark.createDataFrame([('default', 'Review')], 'language string, instruction string')
     replies = spark.createDataFrame([
-        ('a.py', '{"vulnerabilities": [{"line_number": 1, "vulnerability_type": "CSRF", "severity": "LOW"}]}'),
-        ('c.py', 'x {"vulnerabilities": [{"line_number": 1, "vulnerability_type": "CSRF", "severity": "LOW"}]}'),
-        ('e.js', 'no json')], 'path string, reply string')
+        ('r1', 'a.py', '{"vulnerabilities": [{"line_number": 1, "vulnerability_type": "CSRF", "severity": "LOW"}]}'),
+        ('r2', 'c.py', 'x {"vulnerabilities": [{"line_number": 1, "vulnerability_type": "CSRF", "severity": "LOW"}]}'),
+        ('r2', 'e.js', 'no json')], 'repo string, path string, reply string')
     done = repo_scan.staged(files, asked, repo_scan.model_findings(replies))
     assert {r.path for r in done.prompts.collect()} == {'c.py', 'e.js'}
     assert {r.path for r in done.skipped.collect()} == {'a.py', 'b.py', 'node_modules/d.py'}
     found = {(r.path, r.vulnerability_type) for r in done.findings.collect()}
     assert found == {('a.py', 'DANGEROUS_FUNCTION'), ('b.py', 'WEAK_CRYPTO'), ('c.py', 'CSRF'), ('e.js', 'PATH_TRAVERSAL'),
                      ('node_modules/d.py', 'DANGEROUS_FUNCTION')}
+
+
+def test_same_path_in_two_repositories(spark):
+    files = spark.createDataFrame([('r1', 'm.py', 'python', 'eval(x)'), ('r2', 'm.py', 'python', 'x = 1\n' * 5000 + 'open("../y")')],
+                                  'repo string, path string, language string, content string')
+    asked = spark.createDataFrame([('default', 'Review')], 'language string, instruction string')
+    none = spark.createDataFrame([], 'repo string, path string, reply string')
+    done = repo_scan.staged(files, asked, repo_scan.model_findings(none))
+    prompts = done.prompts.collect()
+    assert [(r.repo, r.path) for r in done.skipped.collect()] == [('r1', 'm.py')]
+    assert {(r.repo, r.path) for r in prompts} == {('r2', 'm.py')} and len(prompts) == 26
+    assert sum('5001: open("../y")' in r.prompt for r in prompts) == 1
+
+
+def test_no_exchange_carries_contents(spark):
+    risk = spark.createDataFrame([('r9', 7)], 'repo string, dependency_risk long')
+    scanned = repo_scan.scan_repository(source(spark), risk)
+    assert {r.repo: r.files_discovered for r in scanned.collect()}['r9'] == 0
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split('\n') if 'Exchange' in x and 'content' in x]

@@ -24,5 +24,5 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_everything_but_decoding_has_sql():
-    assert set(QUERIES) - set(catalog.oracle_sql()) == {'src_decode'}
+def test_everything_has_sql():
+    assert set(QUERIES) == set(catalog.oracle_sql())

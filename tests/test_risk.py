@@ -65,12 +65,15 @@ def test_cvss(spark):
 
 
 def test_merge_keeps_static_and_first_model_rows(spark):
-    schema = 'path string, line_number int, vulnerability_type string, severity string, ord int'
-    static = spark.createDataFrame([('a', 1, 'X', 'HIGH', 0), ('a', 1, 'X', 'HIGH', 1), ('a', 9, None, 'LOW', 2)], schema)
-    ai = spark.createDataFrame([('a', 1, 'X', 'LOW', 0), ('a', 2, 'X', 'LOW', 2), ('a', 2, 'X', 'HIGH', 1), ('b', 1, 'X', 'LOW', 5),
-                                ('a', 9, None, 'HIGH', 6)], schema)
+    schema = 'repo string, path string, line_number int, vulnerability_type string, severity string, ord int'
+    frame = lambda rows: spark.createDataFrame([('r', *row) for row in rows], schema)
+    static = frame([('a', 1, 'X', 'HIGH', 0), ('a', 1, 'X', 'HIGH', 1), ('a', 9, None, 'LOW', 2)])
+    ai = frame([('a', 1, 'X', 'LOW', 0), ('a', 2, 'X', 'LOW', 2), ('a', 2, 'X', 'HIGH', 1), ('b', 1, 'X', 'LOW', 5),
+                ('a', 9, None, 'HIGH', 6)])
     got = sorted((r.path, r.line_number, r.severity, r.ord) for r in merge.merge(static, ai).collect())
     assert got == [('a', 1, 'HIGH', 0), ('a', 1, 'HIGH', 1), ('a', 2, 'HIGH', 1), ('a', 9, 'LOW', 2), ('b', 1, 'LOW', 5)]
+    other = ai.withColumn('repo', F.lit('other'))
+    assert merge.merge(static, other).filter("repo = 'other'").count() == 4
 
 
 def test_elapsed_and_progress(spark):

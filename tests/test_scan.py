@@ -2,11 +2,15 @@
 
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from codefindings.bindings import SNIPPETS
 from codefindings.dims.rules import Rule, default_rules, enabled_rules
-from codefindings.functions.text import java_pattern
+from codefindings.functions.text import UnsupportedPattern, java_pattern
 from codefindings.operators import scan, structure
 
 GLUE = ['\n', '\r\n', ' ', '\t', ' ', ' ', '\x1c', '\x85', 'é', 'ſ', 'İ', 'ı', 'K', '_', '²',
@@ -63,6 +67,49 @@ def test_many_matches_on_one_long_line(spark):
     assert scan.per_match(scan.hits(files)).count() == 4000
 
 
+def test_open_ended_rules_are_linear_in_the_line(spark):
+    rules = [r for r in enabled_rules() if r.check == 'sql_injection']
+    rows = [('never', 'go', 'select a from b ' * 330_000 + '+ where'), ('once', 'go', 'select ' * 200_000 + ' from x where + y')]
+    files = spark.createDataFrame(rows, 'path string, language string, content string')
+    start = time.time()
+    assert [(h.path, h.line_number, h.n_matches) for h in scan.hits(files, rules).collect()] == [('once', 1, 1)]
+    assert time.time() - start < 60
+
+
+def test_open_ended_rules_equal_python(spark):
+    rules = [r for r in enabled_rules() if r.check == 'sql_injection']
+    rng = random.Random(5)
+    words = ['SELECT', 'from', 'FROM', 'where', '+', 'a', '\n', ' ', 'insert', 'ınto', 'values', 'update', 'set', 'delete', '\x1c']
+    rows = [(f'f{i}', 'go', ''.join(rng.choice(words) + rng.choice(['', ' ', '\n']) for _ in range(rng.randint(0, 60))))
+            for i in range(1500)]
+    want = Counter((path, *hit) for path, _, text in rows for rule in rules for hit in brute(rule, text))
+    files = spark.createDataFrame(rows, 'path string, language string, content string').repartition(4)
+    got = Counter((r.path, r.rule_id, r.line_number, r.code_snippet) for r in scan.findings(files, rules).collect())
+    assert got == want and len(want) > 30
+
+
+PATTERNS = [r'\bfoo\b', r'foo\b', r'\Bfoo', r'\d+', r'[^\d]x', r'\W+', r'\S+', r'[\W]a', r'a$', r'\Aa', r'o\Z', r'(?P<q>a)b(?P=q)',
+            r'[a\]]+', r'x{2,3}?', r'(?:ab)+', r'(?=o)o', r'(?<!f)o', r'\.a', r'[\s\w]+', r'é\b', r'\bé', r'a|b', r'^b', r'(a)\1',
+            r'[^\s]+', r'\x41', r'[]a]+', r'o\b.', r'\b', r'x?\B']
+
+
+def test_foreign_patterns_equal_python(spark):
+    rows = ['a foo b foobar xfoo', 'foo\n', 'é1 ٣ x', 'aba bab aa', '[a]&&xx xxx', 'oo foo', 'A.a\nb', 'é foo_ é', '', 'a\n', 'a]b[']
+    df = spark.createDataFrame(list(enumerate(rows)), 'i int, t string')
+    for pattern in PATTERNS:
+        got = {r.i: r.m for r in df.select('i', F.regexp_extract_all('t', F.lit(java_pattern(pattern)), F.lit(0)).alias('m')).collect()}
+        assert got == {i: [m[0] for m in re.finditer(pattern, t)] for i, t in enumerate(rows)}, pattern
+    for pattern in (r'(?a)\w', r'(a)?(?(1)b|c)', r'[^\W]'):
+        with pytest.raises(UnsupportedPattern):
+            java_pattern(pattern)
+
+
+def test_more_rules_than_one_plan_holds(spark):
+    rules = [Rule(i, 'own', f'word{i}x', False, None, 'T', 'LOW', '', '', 0.5, (f'word{i}x',)) for i in range(1200)]
+    files = spark.createDataFrame([('f', 'go', 'word7x\nword1199x word1199x')], 'path string, language string, content string')
+    assert sorted((h.rule_id, h.n_matches) for h in scan.hits(files, rules).collect()) == [(7, 1), (1199, 2)]
+
+
 def test_empty_and_null_files(spark):
     files = spark.createDataFrame([('a', 'python', ''), ('b', None, None), ('c', None, '../')],
                                   'path string, language string, content string')

@@ -28,11 +28,31 @@ def test_tree_discovery(spark, tmp_path):
     assert upload['deep/a/b/c/__init__.py'] == PY and 'x/.env' in upload
 
 
-def test_budget_cuts_in_path_order(spark):
-    rows = [(repo, f'p{i:03d}.py', 'f.py', 20 * names.MIB, 'text here') for repo in ('big', 'small') for i in range(30 if repo == 'big' else 3)]
+def test_status_tells_what_was_not_scanned(spark, tmp_path):
+    (tmp_path / 'logs').mkdir()
+    for name, text in {'a.py': PY, 'b.py': PY * 40, 'logs/c.py': PY, 'd.bin': 'x', 'e.py': '', 'f.txt': '\x00' * 50, 'z.py': PY}.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / 'g.py').symlink_to(tmp_path / 'nowhere')
+    roots = spark.createDataFrame([('r', tmp_path.as_uri()), ('gone', (tmp_path / 'none').as_uri())], 'repo string, root string')
+    status = lambda **k: {(r.repo, r.path): r.status for r in sources.report_trees(roots, **k).collect()}
+    got = status()
+    assert got == {('r', 'a.py'): 'scanned', ('r', 'b.py'): 'scanned', ('r', 'z.py'): 'scanned', ('r', 'd.bin'): 'ignored_name',
+                   ('r', 'e.py'): 'empty', ('r', 'f.txt'): 'not_text', ('gone', ''): 'missing_root'} | {
+                       k: v for k, v in got.items() if k[1] == 'g.py'}
+    limited = status(max_file=500, max_tree=60)
+    assert limited['r', 'b.py'] == 'too_large' and limited['r', 'z.py'] == 'over_budget' and limited['r', 'a.py'] == 'scanned'
+    counts = {(r.repo, r.status): r.n_files for r in sources.status_counts(sources.report_trees(roots)).collect()}
+    assert counts['r', 'scanned'] == 3 and counts['gone', 'missing_root'] == 1
+
+
+def test_large_files_are_scanned_by_default(spark):
+    rows = [(repo, f'p{i:03d}.py', 'f.py', 30 * names.MIB, 'text here') for repo in ('big', 'small') for i in range(30 if repo == 'big' else 3)]
     df = spark.createDataFrame(rows, 'repo string, path string, filename string, size long, content string')
-    got = sources.discover(df).groupBy('repo').agg(F.count('*').alias('n'), F.max('path').alias('last')).collect()
-    assert {(r.repo, r.n, r.last) for r in got} == {('big', 25, 'p024.py'), ('small', 3, 'p002.py')}
+    count = lambda **k: {r.repo: (r.n, r.last) for r in sources.discover(df, **k).groupBy('repo')
+                         .agg(F.count('*').alias('n'), F.max('path').alias('last')).collect()}
+    assert count() == {'big': (30, 'p029.py'), 'small': (3, 'p002.py')}
+    assert count(max_tree=500 * names.MIB) == {'big': (16, 'p015.py'), 'small': (3, 'p002.py')}
+    assert count(max_file=20 * names.MIB) == {}
 
 
 def test_decode(spark):

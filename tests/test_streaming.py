@@ -83,3 +83,22 @@ def test_sliding_rate_covers_batch_count(spark, tmp_path):
     assert got.agg(F.max('n')).collect()[0][0] == 20 and got.filter('breach').count() > 0
     exact = ranking.request_rate(rows.withColumn('ts', F.col('ts').cast('timestamp_ntz')))
     assert exact.agg(F.max('in_last_minute')).collect()[0][0] == 19
+
+
+def test_first_sightings_over_many_batches(spark, tmp_path):
+    for i in range(6):
+        spark.range(3).select(F.timestamp_seconds(F.lit(1_700_000_000 + 7200 * i)).alias('ts'), F.concat(F.lit('p'), F.col('id') * (i % 2)).alias('path')) \
+            .coalesce(1).write.parquet(f'{tmp_path}/in/{i}')
+    rows = source(spark, str(tmp_path / 'in'), 'ts timestamp, path string')
+    jobs.run_available(rows, jobs.first_sightings(str(tmp_path / 'out'), ['path']), str(tmp_path / 'state'))
+    got = [r.path for r in spark.read.parquet(str(tmp_path / 'out')).select('path').collect()]
+    assert sorted(got) == ['p0', 'p1', 'p2']
+
+
+def test_open_windows_are_read_back(spark, tmp_path):
+    for i in range(6):
+        spark.range(2).select(F.timestamp_seconds(F.lit(1_700_000_000 + 40_000 * i)).alias('ts'), F.lit('HIGH').alias('severity')) \
+            .coalesce(1).write.parquet(f'{tmp_path}/in/{i}')
+    trend = jobs.severity_trend(source(spark, str(tmp_path / 'in'), 'ts timestamp, severity string'))
+    jobs.run_available(trend, jobs.append_versions(str(tmp_path / 'out')), str(tmp_path / 'state'), 'update')
+    assert sum(r.n for r in jobs.newest_versions(spark, str(tmp_path / 'out'), ['start', 'severity']).collect()) == 12
