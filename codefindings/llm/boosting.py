@@ -42,12 +42,14 @@ class Boosted:
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, l2: float = 1.0,
           least: float = 1.0, bins: int = 32) -> Boosted:
     """Fit log loss with Newton steps; splits are searched over at most ``bins`` quantile cuts a feature."""
-    share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+    if not len(x):
+        return Boosted(0.0, [])
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     raw = np.full(len(x), np.log(share / (1 - share)))
-    model = Boosted(float(raw[0]) if len(raw) else 0.0, [])
+    model = Boosted(float(raw[0]), [])
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method='lower')) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(c, x[:, j], 'left') for j, c in enumerate(cuts)], 1) if len(x) else x
-    for _ in range(rounds if len(x) else 0):
+    binned = np.stack([np.searchsorted(c, x[:, j], 'left') for j, c in enumerate(cuts)], 1)
+    for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-raw))
         tree = _tree(binned, cuts, y - p, p * (1 - p), depth, rate, l2, least)
         raw += tree.predict(x)
