@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from codefindings.functions.text import rows_of
 from codefindings.llm.common import documents, whole_text
 from codefindings.llm.license_texts import EQUAL, FRAMES, NAMES, TEXTS
 from codefindings.llm.registry import query
@@ -16,6 +17,7 @@ from codefindings.llm.registry import query
 COPYRIGHT = r'(?m)^[^a-z0-9\n©]*(portions )?(copyright [^a-z]*[0-9(©]|copyright (by|holder:|owner:)|\(c\)|©|all rights reserved)[^\n]*$'
 OTHER = r'[^a-z0-9\x{80}-\x{10FFFF}\n]+'
 SQL_OTHER = OTHER
+BROADCAST_ROWS = 100_000
 
 
 def canonical_lines(text: Column) -> Column:
@@ -52,13 +54,16 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     needs doc_id and text; other columns are left out. NULL and empty texts share the digest of ''
     and match nothing. Repeated rows and rows with NULL id are answered row by row: lines are looked
     up from the distinct digests of a row, and the answer goes back by the digest of its text, so
-    equal texts are looked up once however many copies there are.
+    equal texts are looked up once however many copies there are. ``known`` is broadcast if it has at
+    most ``BROADCAST_ROWS`` rows, else joined by a shuffle.
     """
     texts = (docs.select('doc_id', canonical_lines(whole_text()).alias('_lines'))
              .select('doc_id', F.sha2(_joined(F.col('_lines')), 256).alias('digest'),
                      F.array_distinct(F.transform(F.split('_lines', '\n'), lambda x: F.sha2(F.trim(x), 256))).alias('_each')))
     known = known.select(F.col('digest').alias('_known'), 'license')
-    lines = (texts.select('digest', F.explode('_each').alias('_line'))
+    if known.count() <= BROADCAST_ROWS:
+        known = F.broadcast(known)
+    lines = (rows_of(texts, ['digest'], F.col('_each'), '_line')
              .join(known, F.col('_line') == F.col('_known')).select('digest', 'license').distinct()
              .groupBy('digest').agg(F.concat_ws(',', F.sort_array(F.collect_set('license'))).alias('notices')))
     return (texts.select('doc_id', 'digest')
