@@ -46,6 +46,18 @@ def agg_severity_file(spark, sf):
         'critical_issues', F.col('critical') > 0)
 
 
+_MIXED_CASE = "SELECT repo, CASE WHEN ord % 5 = 0 THEN lower(severity) ELSE severity END AS severity FROM findings"
+
+
+@query('agg_severity_literal', sql=with_sql(b.FINDINGS_SQL, body=f"""
+SELECT repo, count(*) AS total, {', '.join(f"count(*) FILTER (severity = '{c.upper()}') AS {c}" for c in COUNTS)},
+  count(*) FILTER (severity IN ({', '.join(f"'{c.upper()}'" for c in COUNTS)})) AS total_known FROM ({_MIXED_CASE}) GROUP BY repo"""))
+def agg_severity_literal(spark, sf):
+    found = b.findings(spark, sf)
+    mixed = found.withColumn('severity', F.when(F.col('ord') % 5 == 0, F.lower('severity')).otherwise(F.col('severity')))
+    return aggregate.by_severity(mixed, 'repo', fold=False)
+
+
 @query('agg_severity_repo', sql=with_sql(b.FINDINGS_SQL, body=f"""
 SELECT repo, {COUNTS_SQL}, {KNOWN_SQL} FROM findings GROUP BY repo"""))
 def agg_severity_repo(spark, sf):
@@ -67,10 +79,13 @@ def agg_types(spark, sf):
 
 
 @query('agg_languages', sql=with_sql(b.ANALYZED_SQL, body="""
-SELECT repo, string_agg(DISTINCT language, ',' ORDER BY language) AS languages,
-  count(DISTINCT language) AS n_languages FROM analyzed_files WHERE language <> '' GROUP BY repo"""))
+SELECT repo, coalesce(string_agg(DISTINCT nullif(language, ''), ',' ORDER BY nullif(language, '')), '') AS languages,
+  count(DISTINCT nullif(language, '')) AS n_languages
+FROM (SELECT repo, language FROM analyzed_files UNION ALL SELECT 'nameless', '' FROM analyzed_files) GROUP BY repo"""))
 def agg_languages(spark, sf):
-    return aggregate.languages(b.analyzed_files(spark, sf), 'repo').withColumn(
+    files = b.analyzed_files(spark, sf).select('repo', 'language')
+    files = files.unionByName(files.select(F.lit('nameless').alias('repo'), F.lit('').alias('language')))
+    return aggregate.languages(files, 'repo').withColumn(
         'languages', F.array_join('languages', ','))
 
 
@@ -160,7 +175,9 @@ LIMITS_SQL = 'limits(model, preference, daily_limit) AS (VALUES ' + ', '.join(
 
 @query('agg_model_usage', sql=with_sql(b.REQUESTS_SQL, LIMITS_SQL, body="""
 SELECT model, strftime(day, '%Y-%m-%d') AS day, n AS requests_used, daily_limit,
-  CAST(n AS DOUBLE) / daily_limit * 100 AS usage_percent, n < daily_limit AS can_make_request
+  CAST(n AS DOUBLE) / daily_limit * 100 AS usage_percent, n < daily_limit AS can_make_request,
+  printf('- %s: %d/%d (%d.%d%%)', model, n, daily_limit, (n * 2000 + daily_limit) // (2 * daily_limit) // 10,
+    (n * 2000 + daily_limit) // (2 * daily_limit) % 10) AS status_line
 FROM (SELECT model, CAST(ts AS DATE) AS day, count(*) AS n FROM requests GROUP BY ALL) JOIN limits USING (model)"""))
 def agg_model_usage(spark, sf):
     return aggregate.model_usage(b.requests(spark, sf), model_limits(spark)).withColumn(

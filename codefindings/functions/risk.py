@@ -8,10 +8,10 @@ from codefindings.dims import limits, severity as dim
 from codefindings.functions.naming import lookup
 
 
-def severity_counts(severity: Column, weight: Column | None = None) -> list[Column]:
-    """Aggregates critical … info; case-insensitive. ``weight`` counts pre-grouped rows."""
+def severity_counts(severity: Column, weight: Column | None = None, fold: bool = True) -> list[Column]:
+    """Aggregates critical … info, ignoring case unless ``fold`` is off. ``weight`` counts pre-grouped rows."""
     unit = F.lit(1) if weight is None else weight
-    upper = F.upper(severity)
+    upper = F.upper(severity) if fold else severity
     return [F.coalesce(F.sum(F.when(upper == s, unit)), F.lit(0)).cast('bigint')
             .alias(s.lower()) for s in dim.SEVERITIES]
 

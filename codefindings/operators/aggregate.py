@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codefindings.dims import severity as dim
 from codefindings.functions import risk
+from codefindings.sources.scratch import checkpointed
 
+FEW_GROUPS = 10_000
 COUNTS = [s.lower() for s in dim.SEVERITIES]
 
 
@@ -19,12 +21,15 @@ def _weight(found: DataFrame) -> Column | None:
     return F.col('n_matches') if 'n_matches' in found.columns else None
 
 
-def by_severity(found: DataFrame, *keys: str) -> DataFrame:
-    """total, critical … info and total_known (known severities only) per ``keys``."""
+def by_severity(found: DataFrame, *keys: str, fold: bool = True) -> DataFrame:
+    """total, critical … info and total_known (known severities only) per ``keys``.
+
+    With ``fold`` off only severities written in capitals count, as in results of the static scan alone.
+    """
     weight = _weight(found)
-    known = F.upper('severity').isin(dim.SEVERITIES)
+    known = (F.upper('severity') if fold else F.col('severity')).isin(dim.SEVERITIES)
     return found.groupBy(*keys).agg(
-        risk.total(weight), *risk.severity_counts(F.col('severity'), weight),
+        risk.total(weight), *risk.severity_counts(F.col('severity'), weight, fold),
         F.coalesce(F.sum(F.when(known, F.lit(1) if weight is None else weight)), F.lit(0))
         .cast('bigint').alias('total_known'))
 
@@ -44,10 +49,9 @@ def by_type(found: DataFrame, *keys: str) -> DataFrame:
 
 
 def languages(files: DataFrame, *keys: str) -> DataFrame:
-    """Sorted distinct non-empty languages per ``keys``, and how many there are."""
-    named = files.filter(F.coalesce('language', F.lit('')) != '')
-    return named.groupBy(*keys).agg(
-        F.array_sort(F.collect_set('language')).alias('languages')).withColumn(
+    """Sorted distinct non-empty languages per ``keys``, and how many there are (none: an empty list)."""
+    return files.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.nullif('language', F.lit('')))).alias('languages')).withColumn(
         'n_languages', F.size('languages').cast('bigint'))
 
 
@@ -79,11 +83,14 @@ def repo_scores(found: DataFrame, dependency_risk: DataFrame, key: str = 'repo')
 def breakdown(found: DataFrame) -> DataFrame:
     """severity -> type -> findings, flat: every finding with the size of its group.
 
-    Group sizes are aggregated and joined back, so no group is gathered anywhere.
+    Group sizes are aggregated first. The findings stay where they are if there are at most
+    ``FEW_GROUPS`` groups, which then are broadcast; else both sides are joined by a shuffle.
     """
     keys = ['severity', 'vulnerability_type']
-    sizes = found.groupBy(*[F.col(k).alias(f'_{k}') for k in keys]).agg(
-        F.count(F.lit(1)).alias('group_size'))
+    sizes = checkpointed(found.groupBy(*[F.col(k).alias(f'_{k}') for k in keys]).agg(
+        F.count(F.lit(1)).alias('group_size')))
+    if sizes.count() <= FEW_GROUPS:
+        sizes = F.broadcast(sizes)
     same = F.col(keys[0]).eqNullSafe(F.col('_' + keys[0])) & F.col(keys[1]).eqNullSafe(
         F.col('_' + keys[1]))
     return found.join(sizes, same).drop(*['_' + k for k in keys])
@@ -105,11 +112,14 @@ def model_usage(requests: DataFrame, limits: DataFrame) -> DataFrame:
     return used.join(limits, 'model').select(
         'model', 'day', 'requests_used', 'daily_limit',
         (F.col('requests_used') / F.col('daily_limit') * 100).alias('usage_percent'),
-        (F.col('requests_used') < F.col('daily_limit')).alias('can_make_request'))
+        (F.col('requests_used') < F.col('daily_limit')).alias('can_make_request')).withColumn(
+        'status_line', status_line(*[F.col(c) for c in ('model', 'requests_used', 'daily_limit')]))
 
 
-def status_line(model: Column, used: Column, limit: Column, percent: Column) -> Column:
-    return F.format_string('- %s: %d/%d (%.1f%%)', model, used, limit, percent)
+def status_line(model: Column, used: Column, limit: Column) -> Column:
+    """Use of a model as text; tenths of a percent, halves rounded up."""
+    tenths = F.floor((used * 2000 + limit) / (limit * 2))
+    return F.format_string('- %s: %d/%d (%d.%d%%)', model, used, limit, F.floor(tenths / 10), F.pmod(tenths, F.lit(10)))
 
 
 def merge_meta(static: DataFrame, ai: DataFrame, merged: DataFrame, keys=('repo', 'path')) -> DataFrame:

@@ -35,8 +35,10 @@ def running_sum(df: DataFrame, keys: list[str], order: list, value: Column, name
     inside = (Window.partitionBy('_slice', *keys).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
     summed = sliced.withColumn('_inside', F.sum('_value').over(inside))
-    return (_left_join(summed, offsets, [*keys, '_slice'])
-            .withColumn(name, F.col('_inside') + F.col('_before'))
+    # Only the first group of a slice can have rows in earlier ones: at most one offset per slice.
+    carried = F.broadcast(offsets.filter('_before <> 0'))
+    return (_left_join(summed, carried, [*keys, '_slice'])
+            .withColumn(name, F.col('_inside') + F.coalesce('_before', F.lit(0)))
             .drop('_value', '_slice', '_inside', '_before'))
 
 

@@ -111,20 +111,9 @@ def newest_versions(spark: SparkSession, path: str, key: Iterable[str]) -> DataF
 
 
 def alert_sink(path: str, seen_key: str = 'scan_id') -> Callable[[DataFrame, int], None]:
-    """Batch function writing one alert per scan, also across batches.
-
-    Scans alerted in an earlier batch are dropped by an anti join with what is already written; a
-    repeated batch replaces its own folder and ignores its earlier output.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = first_per_place(alerts(batch), [seen_key])
-        if batch_id > 0:
-            earlier = (spark.read.option('basePath', path).parquet(path)
-                       .filter(F.col('batch') < batch_id).select(seen_key))
-            new = new.join(earlier, seen_key, 'left_anti')
-        new.write.mode('overwrite').parquet(f'{path}/batch={batch_id}')
-    return write
+    """Batch function writing one alert per scan, also across batches: the first one, by ``ord``."""
+    write = first_sightings(path, [seen_key])
+    return lambda batch, batch_id: write(first_per_place(alerts(batch), [seen_key]), batch_id)
 
 
 def as_instant(ts: str = 'ts') -> Column:
