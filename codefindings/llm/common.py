@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codefindings.sources.scratch import new_folder
 
 WORD = r'[^\x20\x09-\x0D]+'
-SHORT_SHUFFLES = 'spark.sql.classic.shuffleDependency.fileCleanup.enabled'
+#: While a table is written: shuffle files go when the write ends, and Arrow batches are small.
+WRITING = {'spark.sql.classic.shuffleDependency.fileCleanup.enabled': 'true',
+           'spark.sql.execution.arrow.maxRecordsPerBatch': '1000'}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +25,11 @@ def whole_text() -> Column:
     return F.coalesce(F.col('text'), F.lit(''))
 
 
+def doc_id() -> Column:
+    """The id as a bigint, whatever integer type it has."""
+    return F.col('doc_id').cast('bigint').alias('doc_id')
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast('bigint')
 
@@ -36,15 +43,22 @@ def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
     """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    before = spark.conf.get(SHORT_SHUFFLES)
-    spark.conf.set(SHORT_SHUFFLES, 'true')
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
-        df.write.partitionBy(*by).parquet(folder)
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
+        df.write.partitionBy(*by).option('compression', 'zstd').parquet(folder)
     finally:
-        spark.conf.set(SHORT_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small Arrow batches from now on: whole texts may be long, memory is shared."""
+    spark.conf.set('spark.sql.execution.arrow.maxRecordsPerBatch', '1000')
+
+
 def doc_key() -> Column:
     """A string that names the document: its id, or a digest of its text where the id is NULL."""
     return F.coalesce(F.col('doc_id').cast('string'), F.concat(F.lit('text:'), F.md5(whole_text())))

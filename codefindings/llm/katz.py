@@ -30,15 +30,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from codefindings.llm.common import documents, stored, whole_text
+from codefindings.llm.common import doc_id, documents, stored, whole_text
 from codefindings.llm.registry import query
-from codefindings.llm.words import buffer_of, mixed, slices, word_hashes
+from codefindings.llm.words import buffer_of, distinct, mixed, slices, word_hashes
 
 START, END = np.uint64(0x5350414E5F535441), np.uint64(0x5350414E5F454E44)
 TOP = 5
 FOLDS, FOLD = 7, 2
-CHUNK_TOKENS = 1_500_000
-BUCKET_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_600_000
+BUCKET_TOKENS = 2_200_000
 
 
 def learns(doc_id):
@@ -192,12 +192,17 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _blocks(held: list[tuple], first: int, spread: Spread) -> Iterator[pa.RecordBatch]:
-    words, contexts, doc = (np.concatenate(c) for c in zip(*held))
-    bucket = spread.bucket(words, contexts)
-    order = np.lexsort((doc, contexts, words, bucket))
-    words, contexts, doc, bucket = words[order], contexts[order], doc[order], bucket[order]
+    columns = [np.concatenate(c) for c in zip(*held)]
+    held.clear()
+    columns.append(spread.bucket(columns[0], columns[1]).astype(np.int32))
+    order = np.lexsort((columns[2], columns[1], columns[0], columns[3]))
+    for i in range(len(columns)):
+        columns[i] = columns[i][order]
+    del order
+    words, contexts, doc, bucket = columns
     at = runs_of(bucket, words, contexts, doc)
     times = np.diff(np.append(at, len(words)))
+    columns.clear()
     words, contexts, doc, bucket = words[at], contexts[at], doc[at], bucket[at]
     edges = np.append(runs_of(bucket), len(bucket))
     for a, b in zip(edges[:-1], edges[1:]):
@@ -251,45 +256,60 @@ def _table(kind: str, a, b=None, n=None, x=None, y=None, r: np.ndarray | None =
 
 
 def _counted(rows: list[dict], spread: Spread) -> Iterator[pa.RecordBatch]:
-    parts = []
-    for row in rows:
+    columns: list[list] = [[], [], [], [], []]
+    while rows:
+        row = rows.pop()
         n = row['n']
-        doc = unsmall(row['doc'], n)
+        doc, times = unsmall(row['doc'], n), unsmall(row['times'], n).astype(np.int32)
         table = np.frombuffer(row['words'], np.uint64)
-        parts.append((np.repeat(table, unsmall(row['runs'], len(table))),
-                      np.frombuffer(row['contexts'], np.uint64)[unsmall(row['context'], n)],
-                      row['base'] + (doc >> 1), (doc & 1) * (times := unsmall(row['times'], n)), times))
-    rows.clear()
-    words, contexts, doc, learnt, times = (np.concatenate(c) for c in zip(*parts))
-    parts.clear()
-    order = np.lexsort((contexts, words))
-    words, contexts, doc, learnt, times = (c[order] for c in (words, contexts, doc, learnt, times))
+        for column, part in zip(columns, (
+                np.repeat(table, unsmall(row['runs'], len(table))),
+                np.frombuffer(row['contexts'], np.uint64)[unsmall(row['context'], n)],
+                row['base'] + (doc >> 1), (doc & 1).astype(np.int32) * times, times)):
+            column.append(part)
+    for i, parts in enumerate(columns):  # one column at a time: the parts of a bucket are its largest data
+        columns[i] = np.concatenate(parts)
+        parts.clear()
+    order = np.lexsort((columns[1], columns[0]))
+    for i in range(len(columns)):
+        columns[i] = columns[i][order]
+    words, contexts, doc, learnt, times = columns
+    columns.clear()
+    del order
     pair_at, word_at = runs_of(words, contexts), runs_of(words)
-    pair_n, word_n = np.add.reduceat(learnt, pair_at), np.add.reduceat(learnt, word_at)
+    pair_n, word_n = np.add.reduceat(learnt, pair_at), np.add.reduceat(learnt, word_at).astype(np.int64)
+    del learnt
     many, place = spread.frequent(words[word_at])
     known = int(((word_n > 0) & ~many).sum())
     word_n = np.where(many, spread.counts[place], word_n)
     cw = np.repeat(word_n, np.diff(np.append(word_at, len(words))))
     cp = np.repeat(pair_n, np.diff(np.append(pair_at, len(words))))
-    logs = np.log10(cw + 1.0)
-    yield from _per_document(doc, times, cw, cp, logs)
     open_ = cp == 0
     yield _table('unseen', contexts[open_].view(np.int64), doc[open_], times[open_])
+    yield _per_document(doc, times, cw, cp)
+    del doc, times, cp, open_
     seen = pair_n > 0
-    yield _table('pair', words[pair_at][seen].view(np.int64), contexts[pair_at][seen].view(np.int64), pair_n[seen])
-    yield _per_context(contexts[pair_at][seen], cw[pair_at][seen], pair_n[seen])
+    words, contexts, cw, pair_n_seen = words[pair_at][seen], contexts[pair_at][seen], cw[pair_at][seen], pair_n[seen]
+    yield _table('pair', words.view(np.int64), contexts.view(np.int64), pair_n_seen)
+    del words
+    yield _per_context(contexts, cw, pair_n_seen)
     counts = np.bincount(np.minimum(pair_n, TOP + 2), minlength=TOP + 3)
     yield _table('stat', np.arange(TOP + 2), n=np.concatenate([[known], counts[1:TOP + 2]]))
 
 
-def _per_document(doc, times, cw, cp, logs) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(doc, kind='stable')
-    doc, times, cw, cp, logs = (c[order] for c in (doc, times, cw, cp, logs))
-    at = runs_of(doc)
-    total = lambda x: np.add.reduceat(x, at)
-    rest = np.where(cp > TOP, np.log10(np.maximum(cp, 1)), np.where(cp == 0, logs, 0.0))
-    r = np.stack([total(times * (cw > 0)), *[total(times * (cp == k)) for k in range(TOP + 1)]], 1)
-    yield _table('doc', doc[at], n=total(times), x=total(times * logs), y=total(times * rest), r=r)
+def _per_document(doc, times, cw, cp) -> pa.RecordBatch:
+    docs = distinct(doc)
+    own = np.searchsorted(docs, doc)
+    total = lambda weights: np.bincount(own, weights, len(docs))
+    whole = lambda weights: total(weights).astype(np.int64)
+    logs = np.log10(cw + 1.0)
+    logs *= times
+    x = total(logs)
+    logs[cp > 0] = 0.0
+    often = cp > TOP
+    logs[often] = times[often] * np.log10(cp[often])
+    r = np.stack([whole(times * (cw > 0)), *[whole(times * (cp == k)) for k in range(TOP + 1)]], 1)
+    return _table('doc', docs, n=whole(times), x=x, y=total(logs), r=r)
 
 
 def _per_context(contexts, cw, n) -> pa.RecordBatch:
@@ -298,8 +318,8 @@ def _per_context(contexts, cw, n) -> pa.RecordBatch:
     at = runs_of(contexts)
     if not len(contexts):
         return _table('context', [], [], [], r=np.zeros((0, TOP + 1)))
-    total = lambda x: np.add.reduceat(x, at)
-    r = np.stack([*[total((n == k).astype(np.int64)) for k in range(1, TOP + 1)], total(n * (n > TOP))], 1)
+    total = lambda x: np.add.reduceat(x.astype(np.int64), at)
+    r = np.stack([*[total(n == k) for k in range(1, TOP + 1)], total(n * (n > TOP))], 1)
     return _table('context', contexts[at].view(np.int64), total(cw + 1), total(n), r=r)
 
 
@@ -325,7 +345,7 @@ def score(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     Repeated rows are rows of their own, in training too. Without training rows nothing is known and
     every token has probability 1 / (0 + 0 + 1). The tables stay in the shared folder, by kind.
     """
-    own = docs.select('doc_id', whole_text().alias('text'), learns(F.col('doc_id')).alias('learn'))
+    own = docs.select(doc_id(), whole_text().alias('text'), learns(F.col('doc_id')).alias('learn'))
     spread, sums = spread_of(own, bucket_tokens)
     model = stored(tables(postings(own, spread), spread), 'katz', 'kind')
     kind = lambda k: model.filter(F.col('kind') == k)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE = 4 << 20
+SLICE = 2 << 20
 PIECE = 1 << 20
 LONGEST = 1 << 18
 BASE = 0x9E3779B97F4A7C15
@@ -63,20 +63,23 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of at most ``SLICE`` text bytes, or of one row."""
+    """The batch in runs of rows of at most ``SLICE`` text bytes, or of one row.
+
+    Memory that Arrow keeps for later is given back after each batch: workers outlive their stage.
+    """
     _, offsets = buffer_of(batch.column(column))
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, 'right')) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the words of document ``i`` are ``hashes[bounds[i]:bounds[i + 1]]``."""
-    docs = len(offsets) - 1
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of all words; a document's end ends a word."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(docs + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~SPACE[data]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     starting = word.copy()
@@ -85,7 +88,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     ending = word.copy()
     ending[:-1] &= ~word[1:]
     ending[inner - 1] = word[inner - 1]
-    starts, ends = np.flatnonzero(starting), np.flatnonzero(ending) + 1
+    return np.flatnonzero(starting), np.flatnonzero(ending) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the words of document ``i`` are ``hashes[bounds[i]:bounds[i + 1]]``."""
+    starts, ends = word_spans(data, offsets)
+    return span_hashes(data, starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of every span of bytes, A-Z read as a-z. Spans are in order and do not overlap."""
     hashes = np.empty(len(starts), np.uint64)
     power, inverse = _powers()
     at = 0
@@ -106,7 +119,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         for long in np.flatnonzero(e - s > LONGEST):
             hashes[at + long] = xxhash.xxh64_intdigest(LOWER[data[base + s[long]:base + e[long]]].tobytes())
         at = end
-    return hashes, np.searchsorted(starts, offsets).astype(np.int64)
+    return hashes
 
 
 def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
