@@ -15,66 +15,134 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codefindings.llm.common import documents, stored, whole_text
+from codefindings.llm.common import doc_id, documents, stored, whole_text
 from codefindings.llm.registry import query
-from codefindings.llm.words import slices
+from codefindings.llm.words import buffer_of, slices, span_hashes, word_spans
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = 'word_bpe_49k.json'
-CACHED = 400_000
+CACHED = 2_000_000
+MARKS = '!#$%&*+,-./:;=?@\\^_`|~()[]{}"'
+SPECIAL = b'<|'
 
 
-class WordTokens(dict):
-    """Ids of single words as little-endian unsigned 32-bit bytes, remembered for frequent words.
+class WordTokens:
+    """Ids of texts, word by word, without a Python object per word.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    words in turn. A word of letters followed by ASCII punctuation is two tokenizer units; letters
-    are looked up in lower case. Every other word goes to the tokenizer whole. Two generations of at
-    most ``CACHED`` words bound the memory.
+    The tokenizer lower-cases, drops white space and never joins across it, so a text's ids are those
+    of its words in turn. Words are told apart by their 64-bit hashes; a sorted table leads from a
+    hash to the word's ids. A new word of Latin letters followed by ASCII punctuation is one or two
+    units, each of which the tokenizer keeps together and ends with an id of its own kind; new units
+    are encoded in one call and told apart by those ids. Every other new word, and every text that
+    may hold a special token, goes to the tokenizer by itself. The table starts anew at ``CACHED``
+    words, which bounds the memory.
     """
 
-    MARKS = frozenset('!#$%&*+,-./:;=?@\\^_`|~()[]{}"')
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.older: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.split(word.decode())
-        if len(self) >= CACHED:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def split(self, word: str) -> bytes:
-        letters = word.rstrip('!#$%&*+,-./:;=?@\\^_`|~()[]{}"')
-        if letters.isascii() and letters.isalpha():
-            marks = word[len(letters):]
-            return self.unit(letters.lower()) + (self.unit(marks) if marks else b'')
-        return self.encoded(word)
-
-    def unit(self, text: str) -> bytes:
-        ids = self.units.get(text)
-        if ids is None:
-            ids = self.encoded(text)
-            if len(self.units) >= CACHED:
-                self.units.clear()
-            self.units[text] = ids
-        return ids
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith('</w>')]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.place = np.zeros((0, 2), np.int64)
+        self.ids = np.zeros(1 << 16, '<u4')
+        self.used = 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, known) of each hash; a place is a start in ``ids`` and a length."""
+        if not len(self.keys):
+            return np.zeros((len(hashes), 2), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.place[at], self.keys[at] == hashes
+
+    def add(self, hashes: np.ndarray, ids: list[bytes]) -> None:
+        """Enter new words; hashes may be in any order and hold repeats of equal words."""
+        lengths = np.array([len(i) for i in ids], np.int64) // 4
+        new = np.frombuffer(b''.join(ids), '<u4')
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + len(new)] = new
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(new)
+        hashes, first = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.place = np.insert(self.place, at, np.stack([starts, lengths], 1)[first], 0)
+
+    def learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+        """Enter words that the table does not have."""
+        lowered = b'\n'.join(words).decode().lower().split('\n') if words else []
+        whole, cut = [], []
+        for i, (word, low) in enumerate(zip(words, lowered, strict=True)):
+            letters = low.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < '\u0250'):
+                cut.append((i, letters, low[len(letters):]))
+            else:
+                whole.append((i, self.encoded(word.decode())))
+        units = self.units({u for _, letters, marks in cut for u in (letters, marks) if u})
+        entries = whole + [(i, units[letters] + units[marks] if marks else units[letters]) for i, letters, marks in cut]
+        if entries:
+            self.add(hashes[[i for i, _ in entries]], [ids for _, ids in entries])
+
+    def units(self, units: set[str]) -> dict[str, bytes]:
+        """The ids of units, from the table if a word of that spelling is in it."""
+        order = sorted(units)
+        if not order:
+            return {}
+        data, offsets = buffer_of(pa.array(order))
+        place, known = self.find(span_hashes(data, offsets[:-1], offsets[1:]))
+        out = {order[i]: self.ids[place[i, 0]:place[i, 0] + place[i, 1]].tobytes() for i in np.flatnonzero(known)}
+        new = [order[i] for i in np.flatnonzero(~known)]
+        ids = np.array(self.tokenizer.encode(' '.join(new), add_special_tokens=False).ids, '<u4')
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(new):
+            return out | {u: self.encoded(u) for u in new}
+        raw, start = ids.tobytes(), 0
+        for unit, end in zip(new, (4 * cuts).tolist()):
+            out[unit] = raw[start:end]
+            start = end
+        return out
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, '<u4').tobytes()
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of text ``i`` with the end id are ``ids[bounds[i]:bounds[i + 1]]``."""
+        if len(self.keys) >= CACHED:
+            self.forget()
+        data, offsets = buffer_of(texts)
+        starts, ends = word_spans(data, offsets)
+        hashes = span_hashes(data, starts, ends)
+        order = np.argsort(hashes, kind='stable')
+        ranked = hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else order
+        distinct_hashes = ranked[first]
+        _, known = self.find(distinct_hashes)
+        fresh = order[first][~known]
+        raw = data.tobytes()
+        self.learn([raw[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist())], hashes[fresh])
+        place, _ = self.find(distinct_hashes)
+        which = np.empty(len(hashes), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(ranked))))
+        begin, count = place[which, 0], place[which, 1]
+        doc = np.searchsorted(offsets, starts, 'right') - 1
+        total = np.bincount(doc, count, len(texts)).astype(np.int64) + 1
+        bounds = np.concatenate([[0], np.cumsum(total)])
+        out = np.full(bounds[-1], END, '<u4')
+        before = np.cumsum(count) - count
+        step = np.arange(int(count.sum()))
+        out[step + np.repeat(doc, count)] = self.ids[step + np.repeat(begin - before, count)]
+        return out, bounds
+
 
 PIECES = 'doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, place bigint'
 
@@ -93,21 +161,24 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
         end = np.array([END], '<u4').tobytes()
         for batch in batches:
             for run in slices(batch, 'text'):
-                rows = []
-                texts = run.column('text').cast(pa.large_binary())
-                for doc_id, text in zip(run.column('doc_id').to_pylist(), texts):
-                    ids = b''.join(map(words.__getitem__, text.as_py().split())) + end
-                    for piece, at in enumerate(range(0, len(ids), size)):
-                        own = ids[at:at + size]
-                        length = len(own) // 4
-                        rows.append((doc_id, piece, at // 4, length, zlib.crc32(own), part, seen[length]))
+                rows, texts = [], run.column('text')
+                ids, bounds = words.encode(texts)
+                special = pc.match_substring(texts, SPECIAL.decode()).to_pylist()
+                for k, doc_id in enumerate(run.column('doc_id').to_pylist()):
+                    own = ids[bounds[k]:bounds[k + 1]].tobytes()
+                    if special[k]:
+                        own = words.encoded(texts[k].as_py()) + end
+                    for piece, at in enumerate(range(0, len(own), size)):
+                        part_ids = own[at:at + size]
+                        length = len(part_ids) // 4
+                        rows.append((doc_id, piece, at // 4, length, zlib.crc32(part_ids), part, seen[length]))
                         seen[length] += 1
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
                         pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
                         names=['doc_id', 'piece', 'start', 'length', 'ids_crc32', 'part', 'place'])
 
-    return docs.select('doc_id', whole_text().alias('text')).mapInArrow(cut, PIECES)
+    return docs.select(doc_id(), whole_text().alias('text')).mapInArrow(cut, PIECES)
 
 
 class Room:
