@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from codefindings.llm.common import documents, stored, whole_text
+from codefindings.llm.common import doc_id, documents, stored, whole_text
 from codefindings.llm.components import components
 from codefindings.llm.registry import query
 from codefindings.llm.words import buffer_of, distinct, mixed, shingle_hashes, slices, word_hashes
@@ -101,7 +101,7 @@ def sketched(docs: DataFrame, how: Likeness) -> DataFrame:
                     pa.array([digest_of(s) for s in sets]), pa.array(made, pa.binary())],
                     names=['doc_id', 'text_hash', 'n_shingles', 'digest', 'signature'])
 
-    return (docs.select('doc_id', F.xxhash64(whole_text()).alias('text_hash'), whole_text().alias('text'))
+    return (docs.select(doc_id(), F.xxhash64(whole_text()).alias('text_hash'), whole_text().alias('text'))
             .mapInArrow(sketch, 'doc_id bigint, text_hash bigint, n_shingles bigint, digest string, signature binary'))
 
 
@@ -210,7 +210,7 @@ def verified_links(docs: DataFrame, members: DataFrame, how: Likeness) -> DataFr
     """
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
-    texts = docs.select('doc_id', F.xxhash64(whole_text()).alias('_hash'), whole_text().alias('text'))
+    texts = docs.select(doc_id(), F.xxhash64(whole_text()).alias('_hash'), whole_text().alias('text'))
     chosen = (texts.join(members, F.col('doc_id').eqNullSafe(F.col('id')) & (F.col('_hash') == F.col('text_hash')))
               .select('digest', 'cluster', 'weight', 'text'))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codefindings.llm.boosting import Boosted, boost
-from codefindings.llm.common import doc_key, documents, leading_bits, whole_text
+from codefindings.llm.common import doc_id, doc_key, documents, leading_bits, whole_text
 from codefindings.llm.registry import query
 from codefindings.llm.words import slices
 
@@ -291,7 +291,7 @@ def find(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
                      pa.array([named(b + m) for b, m in zip(base, more)])],
                     names=['doc_id', 'n_email', 'n_ip', 'n_card', 'n_phone', 'base_sha256', 'spans'])
 
-    return docs.select('doc_id', whole_text().alias('text')).mapInArrow(
+    return docs.select(doc_id(), whole_text().alias('text')).mapInArrow(
         run, 'doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string')
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from codefindings.llm.common import documents, labels, stored, whole_text
+from codefindings.llm.common import doc_id, documents, labels, stored, whole_text
 from codefindings.llm.registry import query
 from codefindings.llm.words import SPACE, buffer_of, distinct, shingle_hashes, slices, word_hashes
 
@@ -121,7 +121,7 @@ def measured(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
                 yield pa.RecordBatch.from_arrays([piece.column('doc_id'), lists], names=['doc_id', 'x'])
 
-    return docs.select('doc_id', whole_text().alias('text')).mapInArrow(run, 'doc_id bigint, x array<double>')
+    return docs.select(doc_id(), whole_text().alias('text')).mapInArrow(run, 'doc_id bigint, x array<double>')
 
 
 def fit(table: DataFrame, quality: DataFrame, folds: int = FOLDS) -> Discriminant | None:
