@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from codefindings.llm import mixing, neardup, packing, pii, quality
-from codefindings.llm.common import documents, labels, stored
+from codefindings.llm.common import documents, labels, small_batches, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows the classifier accepts (score 0.3 or more)."""
+    small_batches(spark)
     return quality.accepted(docs, labels(spark, sf_dir))
 
 
@@ -25,6 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by the name of its kind."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
