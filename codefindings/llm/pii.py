@@ -2,33 +2,44 @@
 
 Fixed patterns (``base_spans``) find e-mail addresses, IP addresses, card and phone numbers; they
 always count. Generators propose many more, overlapping spans. Boosted trees score a proposal from
-its form and the characters around it; the kind's threshold decides. The trees learn from a bounded
-sample of the documents at hand: matches of the fixed patterns are positive, and so are other
-spellings of them put in the same place; proposals apart from any match, and numbers that are no
-personal data put in the same place, are negative. Examples of a fifth of the sample's documents
-are kept back to set the thresholds.
+its form and the characters around it; the kind's threshold decides. Every document gives examples:
+matches of the fixed patterns are positive, and so are other spellings of them put in the same place;
+proposals apart from any match, and numbers that are no personal data put in the same place, are
+negative. The trees learn from a bounded number of examples per kind and label, drawn by hash from
+four fifths of all documents. The thresholds come from the scores of the examples of every document
+that gave the trees none.
 """
 
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heappush, heappushpop
 from random import Random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from codefindings.llm.boosting import Boosted, boost
-from codefindings.llm.common import doc_id, doc_key, documents, leading_bits, whole_text
+from codefindings.llm.common import doc_id, documents, leading_bits, whole_text
 from codefindings.llm.registry import query
 from codefindings.llm.words import slices
 
+LOG = logging.getLogger(__name__)
 KINDS = ['email', 'ip', 'card', 'phone', 'secret', 'ssn']
-SAMPLE_DOCS = 1500
+#: Examples per kind and label that the trees learn from.
+FIT_EXAMPLES = 2000
+#: Documents whose hash leaves no rest are kept back from the trees.
+FOLDS = 5
 PRECISION = 0.98
+#: Lower ends of the score bins: 0, then steps of 0.05 in log-odds.
+BINS = np.concatenate([[0.0], 1.0 / (1.0 + np.exp(-np.arange(-600, 601) / 20))])
+#: Examples scored at a time.
+SCORED_AT_ONCE = 4096
 
 LOCAL = re.compile(r'[A-Za-z0-9._%+-]+\Z')
 DOMAIN = re.compile(r'[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')
@@ -148,24 +159,23 @@ def overlaps(span: Span, others: list[Span]) -> bool:
     return any(span[1] < e and s < span[2] for _, s, e in others)
 
 
-def examples(text: str, seed: str) -> list[tuple[list[float], int]]:
-    """(features, label) from one document: its proposals, and rewritten base matches in their places."""
-    base, out, rng = base_spans(text), [], Random(seed)
+def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
+    """(text, span in it, label) from one document: its proposals, and rewritten base matches in their places."""
+    base, rng = base_spans(text), Random(seed)
     kept = set(base)
     for span in proposals(text):
-        before = text[max(0, span[1] - 40):span[1]]
         if span in kept:
-            out.append((described(text, span), 1))
+            yield text, span, 1
         elif span[0] == 'secret':
+            before = text[max(0, span[1] - 40):span[1]]
             named = re.search(r'(?:token|key|secret|password|passwd|auth)\w*\s*[=:]\s*["\']?$', before, re.I)
-            out.append((described(text, span), int(bool(named) and any(c.isdigit() for c in text[span[1]:span[2]]))))
+            yield text, span, int(bool(named) and any(c.isdigit() for c in text[span[1]:span[2]]))
         elif not overlaps(span, base):
-            out.append((described(text, span), 0))
+            yield text, span, 0
 
-    def put(kind: str, start: int, end: int, own: str, label: int) -> None:
-        changed = text[max(0, start - 60):start] + own + text[end:end + 20]
+    def put(kind: str, start: int, end: int, own: str, label: int) -> tuple[str, Span, int]:
         at = min(start, 60)
-        out.append((described(changed, (kind, at, at + len(own))), label))
+        return text[max(0, start - 60):start] + own + text[end:end + 20], (kind, at, at + len(own)), label
 
     number = lambda n: ''.join(rng.choice('0123456789') for _ in range(n))
     for kind, start, end in base:
@@ -175,32 +185,31 @@ def examples(text: str, seed: str) -> list[tuple[list[float], int]]:
             d = (digits + number(10))[-10:]
             for form in ('({}) {}-{}', '{}-{}-{}', '{}.{}.{}', '{} {} {}', f'+{digits[:1] or 1} ({{}}) {{}}-{{}}',
                          f'+{digits[:2]} {{}} {{}} {{}}', f'+{digits[:2]}{{}}{{}}{{}}'):
-                put('phone', start, end, form.format(d[:3], d[3:6], d[6:]), 1)
-            put('ssn', start, end, f'{number(3)}-{number(2)}-{number(4)}', 1)
+                yield put('phone', start, end, form.format(d[:3], d[3:6], d[6:]), 1)
         elif kind == 'email':
             user, _, host = own.partition('@')
-            put('email', start, end, f'{user} [at] {host}', 1)
-            put('email', start, end, f'{user}(at){host.replace(".", "(dot)")}', 1)
-            put('email', start, end, f'{user} at {host.replace(".", " dot ")}', 1)
+            yield put('email', start, end, f'{user} [at] {host}', 1)
+            yield put('email', start, end, f'{user}(at){host.replace(".", "(dot)")}', 1)
+            yield put('email', start, end, f'{user} at {host.replace(".", " dot ")}', 1)
             plain = [''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(rng.randrange(2, 10))) for _ in range(3)]
-            put('email', start, end, '{} [at] {}.{}'.format(*plain), 1)
-            put('email', start, end, '{} at {} dot {}'.format(*plain), 1)
+            yield put('email', start, end, '{} [at] {}.{}'.format(*plain), 1)
+            yield put('email', start, end, '{} at {} dot {}'.format(*plain), 1)
         elif kind == 'ip':
-            put('ip', start, end, ':'.join(f'{rng.randrange(65536):x}' for _ in range(8)), 1)
+            yield put('ip', start, end, ':'.join(f'{rng.randrange(65536):x}' for _ in range(8)), 1)
             wrong = [rng.choice((rng.randrange(10), rng.randrange(256))) for _ in range(4)]
             wrong[rng.randrange(4)] = rng.randrange(256, 1000)
-            put('ip', start, end, '.'.join(map(str, wrong)), 0)
+            yield put('ip', start, end, '.'.join(map(str, wrong)), 0)
         elif kind == 'card':
             wrong = digits[:-1] + str((int(digits[-1]) + 1 + rng.randrange(9)) % 10)
             for number_, label in ((digits, 1), (wrong, 0)):
-                put('card', start, end, number_, label)
+                yield put('card', start, end, number_, label)
                 if len(number_) == 16:
-                    put('card', start, end, ' '.join(number_[i:i + 4] for i in range(0, 16, 4)), label)
-                    put('card', start, end, '-'.join(number_[i:i + 4] for i in range(0, 16, 4)), label)
-        put('phone', start, end, number(rng.randrange(7, 13)), 0)
-        put('phone', start, end, f'{rng.randrange(1900, 2100)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}', 0)
-        put('secret', start, end, ''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(rng.randrange(20, 40))), 0)
-    return out
+                    yield put('card', start, end, ' '.join(number_[i:i + 4] for i in range(0, 16, 4)), label)
+                    yield put('card', start, end, '-'.join(number_[i:i + 4] for i in range(0, 16, 4)), label)
+        yield put('ssn', start, end, f'{number(3)}-{number(2)}-{number(4)}', 1)
+        yield put('phone', start, end, number(rng.randrange(7, 13)), 0)
+        yield put('phone', start, end, f'{rng.randrange(1900, 2100)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}', 0)
+        yield put('secret', start, end, ''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(rng.randrange(20, 40))), 0)
 
 
 @dataclass
@@ -225,45 +234,106 @@ class Detector:
         return out
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, precision: float = PRECISION) -> Detector:
-    """Fit trees and thresholds on the ``sample`` documents with a digit or an @ whose id hashes lowest.
+def learn(docs: DataFrame, most: int = FIT_EXAMPLES, precision: float = PRECISION) -> Detector:
+    """Fit trees on a sample of the examples in ``docs``, set thresholds from all others.
 
-    A kind's threshold lies halfway below the lowest score from which on at least ``precision`` of the
-    kept-back examples are positive, and not under 0.5; a kind without positive ones adds no spans. The result does not depend on
-    the order of the rows.
+    Per kind and label the trees get the ``most`` examples whose hash is lowest, of documents outside
+    the fold kept back. A document that gave none counts for the thresholds, with all its examples;
+    Spark sums them per kind and score bin, so the driver gets at most 2 * 6 * ``most`` examples and
+    6 * 1,202 sums. Equal texts share a fold and count once for the trees. A kind's threshold is the
+    lowest bin from which on at least ``precision`` of its examples are positive, and not under 0.5.
+    A kind without positive examples takes the threshold of all kinds together; one that never gets
+    that precise adds no spans. Both are logged. The result does not depend on the order of the rows.
     """
-    rows = (docs.select(leading_bits(doc_key(), 15).alias('_order'), whole_text().alias('text'))
-            .filter(F.col('text').rlike('[0-9@]')).orderBy('_order', 'text').limit(sample)
-            .mapInArrow(_example_rows, 'fold int, label int, x array<double>').collect())
-    rows = sorted((r.fold, r.label, tuple(r.x)) for r in rows)
-    x = np.array([r[2] for r in rows]) if rows else np.zeros((0, len(KINDS) + 22 + len(HINTS)))
-    y, fold = np.array([r[1] for r in rows], float), np.array([r[0] for r in rows], int)
-    trees = boost(x[fold != 0], y[fold != 0])
-    held, truth = x[fold == 0], y[fold == 0]
-    scores = trees.predict(held) if len(held) else np.zeros(0)
-    thresholds = {}
-    for k, kind in enumerate(KINDS):
-        own = np.flatnonzero(held[:, k] == 1) if len(held) else []
-        order = sorted(own, key=lambda i: -scores[i])
-        hits, cut = 0.0, 2.0
-        for n, i in enumerate(order, 1):
-            hits += truth[i]
-            below = scores[order[n]] if n < len(order) else 0.0
-            if hits and hits / n >= precision and below < scores[i]:
-                cut = (scores[i] + below) / 2
-        thresholds[kind] = max(float(cut), 0.5)
-    return Detector(trees, thresholds)
-
-
-def _example_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(whole_text().alias('text')).select(leading_bits(F.col('text'), 15).alias('_order'), 'text')
+    rank = F.dense_rank().over(Window.partitionBy('kind', 'label').orderBy('_hash'))
+    rows = (texts.mapInArrow(lambda batches: _drawn(batches, most),
+                             'kind int, label int, _hash bigint, _order bigint, x array<double>')
+            .withColumn('_rank', rank).filter(F.col('_rank') <= most)
+            .dropDuplicates(['kind', 'label', '_hash']).collect())
+    rows = sorted((r.kind, r.label, r._hash, r._order, tuple(r.x)) for r in rows)
+    trees = boost(np.array([r[4] for r in rows]), np.array([r[1] for r in rows], float))
+    fitted = frozenset(r[3] for r in rows)
+    sums = np.zeros((len(KINDS), len(BINS), 2))
+    for r in (texts.mapInArrow(lambda batches: _binned(batches, trees, fitted), 'kind int, bin int, label int, n bigint')
+              .groupBy('kind', 'bin', 'label').agg(F.sum('n').alias('n')).collect()):
+        sums[r.kind, r.bin, r.label] = r.n
+    return Detector(trees, thresholds_of(sums, precision))
+
+
+def thresholds_of(sums: np.ndarray, precision: float) -> dict[str, float]:
+    """Per kind the threshold, from examples counted by kind, score bin and label; 2 if no bin is precise enough."""
+    def lowest(own: np.ndarray) -> float:
+        above = own[::-1].cumsum(0)[::-1]
+        good = np.flatnonzero((above[:, 1] > 0) & (above[:, 1] >= precision * above.sum(1)))
+        return max(float(BINS[good[0]]), 0.5) if len(good) else 2.0
+
+    out = {}
+    for kind, own in zip(KINDS, sums):
+        unseen = not own[:, 1].any()
+        out[kind] = lowest(sums.sum(0) if unseen else own)
+        if unseen:
+            LOG.warning('%s: no positive example kept back, the threshold is that of all kinds (%.3f)', kind, out[kind])
+        elif out[kind] > 1:
+            LOG.warning('%s: no threshold reaches a precision of %g, only fixed patterns count', kind, precision)
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
     for batch in batches:
-        rows = []
-        for order, text in zip(batch.column('_order').to_pylist(), batch.column('text').to_pylist()):
-            rows += [(order % 5, label, x) for x, label in examples(text, str(order))]
-        if rows:
-            fold, label, x = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(label, pa.int32()),
-                                              pa.array(x, pa.list_(pa.float64()))], names=['fold', 'label', 'x'])
+        for piece in slices(batch, 'text'):
+            yield from zip(piece.column('_order').to_pylist(), piece.column('text').to_pylist())
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Per kind and label the ``most`` examples of these rows with the lowest hash; only such are described."""
+    kept: dict[tuple[int, int], tuple[list[int], dict]] = {}
+    for order, text in _texts(batches):
+        if order % FOLDS == 0:
+            continue
+        for n, (around, span, label) in enumerate(examples(text, str(order))):
+            heap, rows = kept.setdefault((KINDS.index(span[0]), label), ([], {}))
+            own = int.from_bytes(hashlib.blake2b(f'{order}:{n}'.encode(), digest_size=7).digest())
+            if own in rows or len(heap) >= most and own > -heap[0]:
+                continue
+            if len(heap) < most:
+                heappush(heap, -own)
+            else:
+                del rows[-heappushpop(heap, -own)]
+            rows[own] = order, np.array(described(around, span))
+    for (kind, label), (_, rows) in kept.items():
+        orders, x = zip(*rows.values())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(x), pa.int32()), pa.array([label] * len(x), pa.int32()), pa.array(list(rows), pa.int64()),
+             pa.array(orders, pa.int64()), pa.array(x, pa.list_(pa.float64()))],
+            names=['kind', 'label', '_hash', '_order', 'x'])
+
+
+def _binned(batches: Iterator[pa.RecordBatch], trees: Boosted, fitted: frozenset[int]) -> Iterator[pa.RecordBatch]:
+    """Examples of documents that gave the trees none, counted by kind, bin of their score, and label."""
+    sums = np.zeros((len(KINDS), len(BINS), 2), np.int64)
+    kinds, labels, x = [], [], []
+
+    def count() -> None:
+        bins = np.searchsorted(BINS, trees.predict(np.array(x)), 'right') - 1
+        np.add.at(sums, (np.array(kinds), bins, np.array(labels)), 1)
+        for part in (kinds, labels, x):
+            part.clear()
+
+    for order, text in _texts(batches):
+        if order in fitted:
+            continue
+        for around, span, label in examples(text, str(order)):
+            kinds.append(KINDS.index(span[0]))
+            labels.append(label)
+            x.append(described(around, span))
+            if len(x) >= SCORED_AT_ONCE:
+                count()
+    if x:
+        count()
+    at = np.nonzero(sums)
+    yield pa.RecordBatch.from_arrays([*(pa.array(a, pa.int32()) for a in at), pa.array(sums[at], pa.int64())],
+                                     names=['kind', 'bin', 'label', 'n'])
 
 
 def named(spans: list[Span]) -> str:

@@ -329,6 +329,42 @@ def test_spans_of_a_corpus(spark):
     assert pii.find(cases.empty(spark)).count() == 0
 
 
+def test_rare_kinds_get_trees_and_thresholds(spark):
+    rng = random.Random(3)
+    plain = [(i, f'item {rng.randrange(10**4)} of {cases.prose(12, i)}') for i in range(8000)]
+    rare = [(10_000 + i, f'{cases.prose(5, i)} call +1 (555) {rng.randrange(100, 1000)}-{rng.randrange(1000, 10**4)} now {i}') for i in range(8)]
+    docs = spark.createDataFrame(plain + rare, 'doc_id long, text string').repartition(5)
+    detector = pii.learn(docs)
+    found = 'Call (555) 123-4567 now'
+    assert {k for k, _, _ in detector.more([found], [[]])[0]} == {'phone'}
+    assert pii.learn(docs.repartition(2)).thresholds == detector.thresholds
+
+
+def test_thresholds_cover_all_examples_kept_back(spark):
+    docs = spark.read.parquet('/root/testdata/sf0.001/documents.parquet').select('doc_id', 'text')
+    texts = docs.select(pii.leading_bits(pii.whole_text(), 15), pii.whole_text()).collect()
+    sums = np.zeros((len(pii.KINDS), 2), int)
+    for order, text in texts:
+        for _, span, label in pii.examples(text, str(order)):
+            sums[pii.KINDS.index(span[0]), label] += 1
+    batch = pa.RecordBatch.from_arrays([pa.array([t[0] for t in texts]), pa.array([t[1] for t in texts])], names=['_order', 'text'])
+    got = np.zeros_like(sums)
+    for k, _, label, n in zip(*(c.to_pylist() for c in next(pii._binned(iter([batch]), boosting.Boosted(0.0, []), frozenset())).columns)):
+        got[k, label] += n
+    assert sums.sum() and (got == sums).all()
+    for part in pii._drawn(iter([batch, batch]), 3):
+        assert len(set(part.column('_hash').to_pylist())) == len(part) <= 3
+
+
+def test_kind_without_positive_examples_is_not_switched_off():
+    sums = np.zeros((len(pii.KINDS), len(pii.BINS), 2))
+    sums[0, -1, 1] = sums[0, 5, 0] = 100
+    cuts = pii.thresholds_of(sums, 0.98)
+    assert cuts['ssn'] == cuts['email'] <= 1
+    sums[5, -1] = 50, 50
+    assert pii.thresholds_of(sums, 0.98)['ssn'] == 2.0
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (2000, 4)).astype(float)
