@@ -1,5 +1,10 @@
 """Texts and notices whose digests are known, and spellings that count as equal."""
 
+from __future__ import annotations
+
+import re
+from pathlib import Path
+
 TEXTS = {
     'MIT': '''Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -40,6 +45,58 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.''',
 }
 
+#: Longer licences, a file each; a name may go on with ~ and a number for another wording.
+FILES = Path(__file__).with_name('license_files')
+
+#: Headings put before the texts that have none of their own.
+TITLES = {
+    '0BSD': ['BSD Zero Clause License', 'Zero-Clause BSD', 'Zero-Clause BSD License'],
+    'BSD-2-Clause': ['BSD 2-Clause License', 'The BSD 2-Clause License', 'The 2-Clause BSD License', 'Simplified BSD License',
+                     'BSD 2-Clause "Simplified" License'],
+    'BSD-3-Clause': ['BSD 3-Clause License', 'The BSD 3-Clause License', 'The 3-Clause BSD License', 'New BSD License',
+                     'BSD 3-Clause "New" or "Revised" License', 'BSD License', 'The BSD License'],
+    'BSL-1.0': ['Boost Software License', 'Boost Software License - Version 1.0', 'Boost Software License - Version 1.0 - August 17th, 2003'],
+    'ISC': ['ISC License', 'The ISC License', 'ISC License (ISC)'],
+    'MIT': ['MIT License', 'The MIT License', 'The MIT License (MIT)', 'MIT License (MIT)', 'MIT'],
+    'MIT-0': ['MIT No Attribution', 'MIT No Attribution License', 'MIT-0'],
+    'Unlicense': ['Unlicense', 'The Unlicense', 'The Unlicense (Unlicense)'],
+    'Zlib': ['zlib License', 'The zlib License', 'zlib/libpng License', 'Zlib'],
+}
+#: Paragraphs of heading at the start of the files, 1 unless given.
+HEADS = {'BSD-3-Clause': 0, 'Unlicense': 0, 'CC0-1.0': 2, 'CC-BY-SA-4.0': 2, 'GPL-2.0~2': 2, 'GPL-3.0~2': 2}
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of every known licence in its usual forms, sorted.
+
+    With and without heading, and as far as the text has them: with and without the pages after its
+    end, http or https in links, the copyright line to fill in or gone, items numbered or not, lines
+    broken or one a paragraph.
+    """
+    out = set()
+    for name, text in [*TEXTS.items(), *((f.stem, f.read_text()) for f in sorted(FILES.glob('*.txt')))]:
+        license = name.split('~')[0]
+        text = text.replace('\f', '\n').strip()
+        paragraphs = re.split(r'\n\s*\n', text)
+        heads = HEADS.get(name, 1) if name not in TEXTS else 0
+        forms = {'\n\n'.join(paragraphs[n:]) for n in range(heads + 1)}
+        forms |= {f'{title}\n\n{text}' for title in TITLES.get(license, [])}
+        forms |= {part for f in forms for part in _ends(f)}
+        forms |= {f.replace('http://', 'https://') for f in forms} | {f.replace('https://', 'http://') for f in forms}
+        forms |= {re.sub(r'(?m)^.*[\[{<]yyyy[\]}>].*$', '', f) for f in forms}
+        if license.startswith('BSD-'):
+            forms |= {re.sub(r'(?m)^ *[0-9]\. +', '', f) for f in forms}
+        forms |= {'\n\n'.join(' '.join(p.split()) for p in re.split(r'\n\s*\n', f)) for f in forms}
+        out |= {(license, f) for f in forms}
+    return sorted(out)
+
+
+def _ends(text: str) -> list[str]:
+    """The text up to and with its closing line, and up to that line, if it has one."""
+    end = re.search(r'(?m)^.*END OF TERMS AND CONDITIONS.*$', text)
+    return [text[:end.end()], text[:end.start()]] if end else []
+
+
 NAMES = {
     'Apache-2.0': ['Apache License, Version 2.0', 'Apache License 2.0', 'Apache-2.0'],
     'BSD-2-Clause': ['BSD 2-Clause License', 'BSD-2-Clause'],

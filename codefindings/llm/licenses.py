@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codefindings.functions.text import rows_of
 from codefindings.llm.common import documents, whole_text
-from codefindings.llm.license_texts import EQUAL, FRAMES, NAMES, TEXTS
+from codefindings.llm.license_texts import EQUAL, FRAMES, NAMES, TEXTS, whole_texts
 from codefindings.llm.registry import query
 
 COPYRIGHT = r'(?m)^[^a-z0-9\n©]*(portions )?(copyright [^a-z]*[0-9(©]|copyright (by|holder:|owner:)|\(c\)|©|all rights reserved)[^\n]*$'
@@ -30,16 +30,17 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(license, text): whole licences, and the notices made of ``FRAMES`` and ``NAMES``."""
+    """(license, text): whole licences in their usual forms, and the notices made of ``FRAMES`` and ``NAMES``."""
     notices = [(spdx, frame.format(name)) for spdx, names in NAMES.items() for name in names for frame in FRAMES]
-    return sorted(TEXTS.items()) + notices
+    return whole_texts() + notices
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license), one row per digest, from (license, text) pairs."""
+    """(digest, license), one row per digest, from (license, text) pairs; the texts are read once, here."""
     table = spark.createDataFrame(known_texts() if texts is None else texts, 'license string, text string')
-    return (table.select('license', F.sha2(_joined(canonical_lines(F.col('text'))), 256).alias('digest'))
-            .groupBy('digest').agg(F.min('license').alias('license')))
+    rows = (table.select('license', F.sha2(_joined(canonical_lines(F.col('text'))), 256).alias('digest'))
+            .groupBy('digest').agg(F.min('license').alias('license')).collect())
+    return spark.createDataFrame(sorted(map(tuple, rows)), 'digest string, license string')
 
 
 def _joined(lines: Column) -> Column:

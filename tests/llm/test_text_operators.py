@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codefindings.llm import components, fingerprints, licenses, neardup, words
+from codefindings.llm import components, fingerprints, license_texts, licenses, neardup, words
 from tests.llm import cases
 
 
@@ -163,3 +164,19 @@ def test_license_scan(spark):
     assert licenses.scan(cases.empty(spark), known).count() == 0
     own = licenses.known_digests(spark, [('Own', 'Do what you like!')])
     assert [r.license for r in licenses.scan(frame.limit(1).withColumn('text', F.lit('do what YOU like')), own).collect()] == ['Own']
+
+
+def test_license_files_with_and_without_heading(spark):
+    mit, bsd = licenses.TEXTS['MIT'], licenses.TEXTS['BSD-2-Clause']
+    long = {f.stem: f.read_text() for f in license_texts.FILES.glob('*.txt')}
+    apache = long['Apache-2.0']
+    texts = [('MIT', 'MIT License\n\nCopyright (c) 2020 Some One\n\n' + mit), ('BSD-2-Clause', 'BSD 2-Clause License\n\n' + bsd),
+             ('Apache-2.0', apache[:apache.index('   APPENDIX')]),
+             ('Apache-2.0', apache.replace('Copyright [yyyy] [name of copyright owner]', 'Copyright 2021 Some One')),
+             ('BSD-3-Clause', 'Copyright 2020 X\nAll rights reserved.\n\n' + re.sub(r'(?m)^[123]\.', '*', long['BSD-3-Clause'])),
+             ('GPL-3.0', long['GPL-3.0'].split('\n', 2)[2].replace('https://', 'http://')), ('GPL-2.0', '// ' + long['GPL-2.0'].replace('\n', '\n// ')),
+             *((name.split('~')[0], text) for name, text in sorted(long.items())), (None, apache.replace('royalty', 'loyalty'))]
+    frame = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], 'doc_id long, text string')
+    got = {r.doc_id: r.license for r in licenses.scan(frame, licenses.known_digests(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == [want for want, _ in texts]
+    assert {'Apache-2.0', 'GPL-2.0', 'GPL-3.0', 'LGPL-3.0', 'MPL-2.0', 'BSD-3-Clause', 'Unlicense', 'CC0-1.0', 'CC-BY-SA-4.0'} <= set(got.values())
