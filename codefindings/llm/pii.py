@@ -52,17 +52,20 @@ DIGIT = re.compile(r'[0-9]')
 #: Proposals: kind and pattern. The text must contain a digit, or for e-mail one of the marks below.
 PROPOSALS = [
     ('email', re.compile(r'[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,64}(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]{1,64}){1,4}', re.I)),
-    ('email', re.compile(r'(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,64}(?: dot [A-Za-z0-9-]{1,64}){1,4}(?![A-Za-z])')),
+    ('email', re.compile(r'(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,64}(?:(?: dot |\.)[A-Za-z0-9-]{1,64}){1,4}(?![A-Za-z])', re.I)),
     ('phone', re.compile(r'\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])')),
-    ('phone', re.compile(r'(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])')),
+    ('phone', re.compile(r'(?<![0-9.+-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-]|\.[0-9])')),
     ('phone', re.compile(r'(?<![0-9+])[0-9]{7,12}(?![0-9])')),
     ('ip', re.compile(r'(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])')),
     ('ip', re.compile(r'(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])')),
+    ('ip', re.compile(r'(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])')),
     ('card', re.compile(r'(?<![0-9])[0-9]{13,19}(?![0-9])')),
     ('card', re.compile(r'(?<![0-9-])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])')),
     ('ssn', re.compile(r'(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])')),
     ('secret', re.compile(r'(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])')),
 ]
+#: Names of hexadecimal letters only: with :: between them they look like addresses.
+WORDS = ['Add', 'Bad', 'cafe', 'dead', 'Dad', 'face', 'fade', 'Bee', 'add', 'De']
 HINTS = [re.compile(p, re.I) for p in (
     r'phone|tel\b|tel[.:]|call|mobile|fax|cell', r'mail|contact|write', r'card|visa|credit|pay',
     r'\bip\b|host|server|addr|from', r'token|key|secret|passw|auth|api|cred', r'ssn|social|security',
@@ -119,17 +122,21 @@ def base_spans(text: str) -> list[Span]:
 def proposals(text: str) -> list[Span]:
     """Overlapping spans of all generators; each needs what its pattern cannot do without."""
     digits = DIGIT.search(text) is not None
-    low_at = any(mark in text for mark in ('[at]', '(at)', '{at}', '[AT]', '(AT)', '{AT}'))
-    spoken = ' dot ' in text
+    low = text.lower()
+    gates = {0: any(mark in low for mark in ('[at]', '(at)', '{at}')), 1: ' at ' in low, 6: digits and text.count(':') >= 4,
+             7: '::' in text}
     found: set[Span] = set()
     for i, (kind, pattern) in enumerate(PROPOSALS):
-        if (kind == 'email' and (low_at if i == 0 else spoken)) or (kind != 'email' and digits):
-            if i == 6 and text.count(':') < 4:
-                continue
-            found.update((kind, m.start(), m.end()) for m in pattern.finditer(text))
+        if gates.get(i, digits):
+            found.update((kind, m.start(), m.end()) for m in pattern.finditer(text) if i != 7 or _compressed(m.group()))
     return sorted(found)
 
 
+def _compressed(own: str) -> bool:
+    """An IPv6 address with :: that stands for one group or more, and with at least one group written out."""
+    return 1 <= sum(map(bool, own.split(':'))) <= 7
+
+
 def _side(c: str) -> float:
     return 0.0 if not c else 1.0 if c.isspace() else 2.0 if c.isalpha() else 3.0 if c.isdigit() else 4.0
 
@@ -183,7 +190,7 @@ def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
         digits = re.sub(r'\D', '', own)
         if kind == 'phone':
             d = (digits + number(10))[-10:]
-            for form in ('({}) {}-{}', '{}-{}-{}', '{}.{}.{}', '{} {} {}', f'+{digits[:1] or 1} ({{}}) {{}}-{{}}',
+            for form in ('({}) {}-{}', '({}){}-{}', '{}-{}-{}', '{}.{}.{}', '{} {} {}', f'+{digits[:1] or 1} ({{}}) {{}}-{{}}',
                          f'+{digits[:2]} {{}} {{}} {{}}', f'+{digits[:2]}{{}}{{}}{{}}'):
                 yield put('phone', start, end, form.format(d[:3], d[3:6], d[6:]), 1)
         elif kind == 'email':
@@ -191,11 +198,18 @@ def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
             yield put('email', start, end, f'{user} [at] {host}', 1)
             yield put('email', start, end, f'{user}(at){host.replace(".", "(dot)")}', 1)
             yield put('email', start, end, f'{user} at {host.replace(".", " dot ")}', 1)
+            yield put('email', start, end, f'{user} [At] {host}', 1)
+            yield put('email', start, end, f'{user} at {host}', 1)
+            yield put('email', start, end, f'{user} AT {host.replace(".", " DOT ")}', 1)
             plain = [''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(rng.randrange(2, 10))) for _ in range(3)]
             yield put('email', start, end, '{} [at] {}.{}'.format(*plain), 1)
             yield put('email', start, end, '{} at {} dot {}'.format(*plain), 1)
         elif kind == 'ip':
             yield put('ip', start, end, ':'.join(f'{rng.randrange(65536):x}' for _ in range(8)), 1)
+            groups = [f'{rng.randrange(1, 65536):x}' for _ in range(rng.randrange(2, 7))]
+            cut = rng.randrange(1, len(groups) + 1)
+            yield put('ip', start, end, ':'.join(groups[:cut]) + '::' + ':'.join(groups[cut:]), 1)
+            yield put('ip', start, end, '::'.join(rng.choice(WORDS) for _ in range(2)), 0)
             wrong = [rng.choice((rng.randrange(10), rng.randrange(256))) for _ in range(4)]
             wrong[rng.randrange(4)] = rng.randrange(256, 1000)
             yield put('ip', start, end, '.'.join(map(str, wrong)), 0)

@@ -365,6 +365,21 @@ def test_kind_without_positive_examples_is_not_switched_off():
     assert pii.thresholds_of(sums, 0.98)['ssn'] == 2.0
 
 
+@pytest.mark.parametrize('kind, own', [
+    ('email', 'john [At] mail.com'), ('email', 'john at host.com'), ('email', 'JOHN AT HOST DOT COM'), ('email', 'john At mail Dot com'),
+    ('ip', '2001:db8::1'), ('ip', 'fe80::1'), ('ip', '::1'), ('ip', '2001:db8::'), ('ip', '2001:0db8:0:0:0:0:0:1'),
+    ('phone', '(555)123-4567'), ('phone', '(555) 123-4567'), ('phone', '555-123-4567')])
+def test_spellings_are_proposed(kind, own):
+    for text in (own, f'so, {own} is it', f'({own}).'):
+        at = text.index(own)
+        assert (kind, at, at + len(own)) in pii.proposals(text), text
+
+
+def test_no_address_is_proposed_between_names():
+    for text in ('std::vector', 'a :: b', 'x::y', '::', '1:2:3:4:5:6:7::8', '12:30::pm'):
+        assert not [p for p in pii.proposals(text) if p[0] == 'ip'], text
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (2000, 4)).astype(float)
