@@ -15,9 +15,11 @@ from __future__ import annotations
 import hashlib
 import logging
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heappush, heappushpop
+from itertools import accumulate
 from random import Random
 
 import numpy as np
@@ -162,14 +164,32 @@ def described(text: str, span: Span) -> list[float]:
             + [float(bool(h.search(before))) for h in HINTS])
 
 
-def overlaps(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < e and s < span[2] for _, s, e in others)
+class Cover:
+    """Spans sorted by start, with the furthest end so far: whether another touches one takes a bisect."""
+
+    def __init__(self, spans: list[Span]):
+        ordered = sorted((start, end) for _, start, end in spans)
+        self.starts = [start for start, _ in ordered]
+        self.ends = list(accumulate((end for _, end in ordered), max))
+
+    def touches(self, span: Span) -> bool:
+        before = bisect_left(self.starts, span[2])
+        return before > 0 and self.ends[before - 1] > span[1]
+
+
+def placed(taken: list[tuple[int, int]], span: Span) -> bool:
+    """Put the span among sorted ones that do not overlap, unless it touches one."""
+    at = bisect_left(taken, (span[2],))
+    free = not at or taken[at - 1][1] <= span[1]
+    if free:
+        taken.insert(at, (span[1], span[2]))
+    return free
 
 
 def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
     """(text, span in it, label) from one document: its proposals, and rewritten base matches in their places."""
     base, rng = base_spans(text), Random(seed)
-    kept = set(base)
+    kept, cover = set(base), Cover(base)
     for span in proposals(text):
         if span in kept:
             yield text, span, 1
@@ -177,7 +197,7 @@ def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
             before = text[max(0, span[1] - 40):span[1]]
             named = re.search(r'(?:token|key|secret|password|passwd|auth)\w*\s*[=:]\s*["\']?$', before, re.I)
             yield text, span, int(bool(named) and any(c.isdigit() for c in text[span[1]:span[2]]))
-        elif not overlaps(span, base):
+        elif not cover.touches(span):
             yield text, span, 0
 
     def put(kind: str, start: int, end: int, own: str, label: int) -> tuple[str, Span, int]:
@@ -235,15 +255,17 @@ class Detector:
         """Per text, the proposals over their kind's threshold that touch neither a base match nor a better proposal."""
         open_, rows = [], []
         for i, (text, own) in enumerate(zip(texts, base)):
+            cover = Cover(own)
             for span in proposals(text):
-                if self.thresholds[span[0]] <= 1 and not overlaps(span, own):
+                if self.thresholds[span[0]] <= 1 and not cover.touches(span):
                     open_.append((i, span))
                     rows.append(described(text, span))
         out: list[list[Span]] = [[] for _ in texts]
+        taken: list[list[tuple[int, int]]] = [[] for _ in texts]
         if rows:
             scores = self.trees.predict(np.array(rows))
             for score, (i, span) in sorted(zip(scores, open_), key=lambda x: (-x[0], x[1])):
-                if score >= self.thresholds[span[0]] and not overlaps(span, out[i]):
+                if score >= self.thresholds[span[0]] and placed(taken[i], span):
                     out[i].append(span)
         return out
 

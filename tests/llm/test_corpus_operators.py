@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -380,6 +381,29 @@ def test_no_address_is_proposed_between_names():
         assert not [p for p in pii.proposals(text) if p[0] == 'ip'], text
 
 
+def test_overlap_by_bisect():
+    rng = random.Random(2)
+    for _ in range(300):
+        spans = [('ip', s, s + rng.randint(1, 12)) for s in rng.choices(range(60), k=rng.randint(0, 8))]
+        cover, taken, plain = pii.Cover(spans), [], []
+        for s in rng.choices(range(70), k=20):
+            span = 'phone', s, s + rng.randint(1, 9)
+            touched = lambda others: any(s < e and b < span[2] for _, b, e in others)
+            assert cover.touches(span) == touched(spans)
+            assert pii.placed(taken, span) == (not touched(plain))
+            plain += [] if touched(plain) else [span]
+
+
+def test_log_of_addresses_takes_linear_time_and_a_bounded_sample():
+    text = '\n'.join(f'10.{i >> 8 & 255}.{i & 255}.7 from 5551234' for i in range(40_000))
+    begun = time.monotonic()
+    assert sum(1 for _ in pii.examples(text, '1')) > 200_000
+    assert time.monotonic() - begun < 60
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=['_order', 'text'])
+    parts = list(pii._drawn(iter([batch]), 50))
+    assert parts and all(len(p) <= 50 and len({*zip(p['kind'].to_pylist(), p['label'].to_pylist())}) == 1 for p in parts)
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 10, (2000, 4)).astype(float)
