@@ -72,3 +72,21 @@ def leading_bits(key: Column, digits: int) -> Column:
 def unit_draw(seed: str, key: Column) -> Column:
     """A number in [0, 1) fixed by seed and key (52 bits of an MD5)."""
     return leading_bits(F.concat(F.lit(f'{seed}:'), key), 13) / F.lit(float(1 << 52))
+
+
+#: A key is heavy if it has more than one in so many of the rows; so there are at most so many of them.
+HEAVY = 1000
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, own_key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has one row per key and the number of ``rows`` it meets.
+
+    Keys with more than one in ``HEAVY`` of the rows, at most ``HEAVY`` of them, are met by broadcast, so
+    their rows stay where they are; all others by a join of Spark's choice. NULL keys meet nothing.
+    """
+    total = keyed.agg(F.sum(count)).first()[0] or 0
+    heavy = keyed.filter(F.col(count) * HEAVY > total)
+    light = keyed.filter(F.col(count) * HEAVY <= total)
+    usual = rows.join(F.broadcast(heavy.select(own_key)), F.col(key) == F.col(own_key), 'left_anti')
+    return (rows.join(F.broadcast(heavy), F.col(key) == F.col(own_key))
+            .unionByName(usual.join(light, F.col(key) == F.col(own_key))).drop(own_key))

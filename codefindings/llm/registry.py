@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 MODULES = ['mixing', 'sharding', 'licenses', 'fingerprints', 'packing', 'neardup', 'rules',
-           'quality', 'pii', 'katz']
+           'quality', 'pii', 'katz', 'linededup', 'negatives', 'centroids']
 
 
 def query(name: str, sql: str | None = None):
