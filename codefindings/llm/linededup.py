@@ -123,9 +123,12 @@ def kept_lines(text: Column, words: str) -> Column:
 
 
 def without_shared_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): every row of ``docs`` with what its bitmap keeps of the text."""
+    """(doc_id, n_lines, n_dropped, text): every row of ``docs`` with what its bitmap keeps of the text.
+
+    Texts meet their bitmaps in a sort-merge join at any size: bitmaps grow with the documents.
+    """
     b = bitmaps.select(F.col('doc_id').alias('_id'), F.col('text_hash').alias('_text'), words_of(F.col('keep')).alias('words'))
-    whole = named(docs).join(b, F.col('doc_id').eqNullSafe(F.col('_id')) & (F.col('text_hash') == F.col('_text')), 'left')
+    whole = named(docs).join(b.hint('merge'), F.col('doc_id').eqNullSafe(F.col('_id')) & (F.col('text_hash') == F.col('_text')), 'left')
     count = F.size(text_lines(F.col('text')))
     kept = whole.select('doc_id', 'text', count.cast('bigint').alias('n_lines'),
                         F.when(F.col('words').isNotNull(), kept_lines(F.col('text'), 'words')).alias('kept'))
