@@ -1,24 +1,25 @@
 """Pattern scan: files -> findings.
 
 One narrow pass over the files, without any shuffle or join: the rule table travels inside the plan
-as a literal array. For each file the rules are first reduced to those whose literals occur in the
-text, and only these run their pattern. Line numbers come from inserting one mark in front of every
-match and comparing line lengths, so the work stays linear in the text however many matches it has.
+as a literal array. One pattern made of all rules' literals, looked for once in a text, tells which of
+them it holds; only rules that have all of theirs run their own pattern. Line numbers come from
+inserting one mark in front of every match and comparing line lengths, so the work stays linear in the
+text however many matches it has.
 
 Patterns with several open-ended parts could make a backtracking engine retry without end on one long
-line. They are matched by Arrow's engine, which is linear in the text, and which only gets the
-contents that hold all literals of such a rule.
+line. They are matched by Arrow's engine, which is linear in the text. It is handed one column, which is
+NULL for all texts but those that hold all literals of such a rule, and returns places only.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.dims.rules import Rule, enabled_rules
 from codefindings.dims.severity import RISK_WEIGHTS, SEVERITIES
@@ -26,8 +27,9 @@ from codefindings.functions.text import (SPACE, UnsupportedPattern, bind, java_p
                                          translated)
 
 METHOD = 'static_pattern'
-RULE_BATCH = 500
 PLACES = 'array<struct<rule_id:bigint,line_number:bigint,n_matches:int>>'
+#: Rules per array literal; the literals are concatenated when the plan is made.
+RULES_PER_LITERAL = 500
 
 
 def rules_from(df: DataFrame) -> list[Rule]:
@@ -35,12 +37,6 @@ def rules_from(df: DataFrame) -> list[Rule]:
     return [Rule(**{**row.asDict(), 'needles': tuple(row['needles'] or ())}) for row in df.toLocalIterator()]
 
 
-def batches_of(rules: Iterable[Rule], size: int = RULE_BATCH) -> list[list[Rule]]:
-    """The rules in batches that each fit one plan; the scan unions the batches' findings."""
-    rules = list(rules)
-    return [rules[i:i + size] for i in range(0, len(rules), size)] or [[]]
-
-
 def _sql(value) -> str:
     """A value as a Spark SQL literal."""
     if value is None:
@@ -54,16 +50,17 @@ def _sql(value) -> str:
     return str(value)
 
 
-def rule_array(rules: Iterable[Rule], **fields) -> Column:
-    """The rules as an array of structs; ``fields`` name functions of a rule. Folds to one literal."""
-    return F.expr('array(' + ', '.join('named_struct(' + ', '.join(
-        f"'{name}', {_sql(of(r))}" for name, of in fields.items()) + ')' for r in rules) + ')')
+def literal_array(values: Iterable[str]) -> Column:
+    """An array of SQL literals, however many. Folds to one literal."""
+    values = list(values)
+    return F.concat(*[F.expr('array(' + ', '.join(values[i:i + RULES_PER_LITERAL]) + ')')
+                      for i in range(0, len(values), RULES_PER_LITERAL)])
 
 
-def _matchers(rules: Iterable[Rule]) -> Column:
-    return rule_array(rules, rule_id=lambda r: r.rule_id, language=lambda r: r.language,
-                      needles=lambda r: r.needles,
-                      pattern=lambda r: java_pattern(r.pattern, r.ignore_case))
+def rule_array(rules: Iterable[Rule], **fields) -> Column:
+    """The rules as an array of structs; ``fields`` name functions of a rule."""
+    return literal_array('named_struct(' + ', '.join(f"'{name}', {_sql(of(r))}" for name, of in fields.items()) + ')'
+                         for r in rules)
 
 
 def _descriptions(rules: Iterable[Rule]) -> Column:
@@ -117,65 +114,113 @@ def _is_linear(rule: Rule) -> bool:
         return False
 
 
-def _with_places(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add ``_places``: the (rule, line, matches) places of open-ended rules, NULL where there are none.
+def any_of(words: Iterable[str]) -> str:
+    """A pattern that matches, without taking characters, where one of ``words`` starts; group 1 is the longest.
 
-    Texts pass through one Arrow step; a rule's pattern runs on those that hold all its literals.
+    Common beginnings are written once, so the work per character hardly grows with the words.
     """
-    wanted = [(r.rule_id, r.language, r.needles, linear_pattern(r), r.ignore_case) for r in rules]
-    fold = dict(zip(map(ord, _FOLDING[0]), _FOLDING[1]))
-    schema = T.StructType([*files.schema.fields, T.StructField('_places', T.DataType.fromDDL(PLACES))])
-
-    def places(text: str, language: str | None) -> list | None:
-        plain = text.translate(fold)
-        low, found = plain.lower(), []
-        for rule_id, meant, needles, pattern, ignore_case in wanted:
-            if meant not in (None, (language or '').lower()) or not all(n in low for n in needles):
-                continue
-            given = plain if ignore_case else text
-            marked = pc.replace_substring_regex(pa.array([given], pa.large_string()), pattern, '\x01\\0')[0].as_py()
-            if len(marked) != len(given):
-                found += [(rule_id, n, len(b) - len(a)) for n, (a, b) in
-                          enumerate(zip(given.split('\n'), marked.split('\n')), 1) if len(a) != len(b)]
-        return [dict(zip(('rule_id', 'line_number', 'n_matches'), x)) for x in found] or None
-
-    def run(batches):
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[''] = {}
+
+    def written(node: dict) -> str:
+        ways = [(c if c.isalnum() else f'\\x{{{ord(c):x}}}') + written(rest) for c, rest in sorted(node.items()) if c]
+        if not ways:
+            return ''
+        return f'(?:{"|".join(ways)})' + ('?' if '' in node else '') if '' in node or len(ways) > 1 else ways[0]
+    return f'(?=({written(tree)}))'
+
+
+class Literals:
+    """The literals of some rules. Single characters are looked for one by one: they occur everywhere."""
+
+    def __init__(self, rules: Iterable[Rule]):
+        every = {n for r in rules for n in r.needles if n}
+        self.words = sorted(n for n in every if len(n) > 1)
+        self.characters = sorted(n for n in every if len(n) == 1)
+
+    def held(self, low: Column) -> Column:
+        """The literals found in a folded text: of several starting at one place, the longest."""
+        none = F.expr('CAST(array() AS array<string>)')
+        words = F.array_distinct(F.regexp_extract_all(low, F.lit(any_of(self.words)), F.lit(1))) if self.words else none
+        found = F.filter(F.array(*map(F.lit, self.characters)), lambda c: F.contains(low, c)) if self.characters else none
+        return F.concat(words, found)
+
+    def ways(self, needle: str) -> list[str]:
+        """The literals that show that ``needle`` occurs: those that start with it."""
+        return [w for w in self.words if w.startswith(needle)] if len(needle) > 1 else [needle]
+
+
+def candidates(rules: list[Rule], text: Column, language: Column) -> Column:
+    """The ids of the rules of the file's language all of whose literals the text holds."""
+    literals = Literals(rules)
+    tests = rule_array(rules, rule_id=lambda r: r.rule_id, language=lambda r: r.language)
+    groups = literal_array('CAST(array(' + ', '.join(map(_sql, (literals.ways(n) for n in r.needles if n))) + ') AS array<array<string>>)'
+                           for r in rules)
+
+    def those(held):
+        may = F.zip_with(tests, groups, lambda r, ways: F.when(
+            (r['language'].isNull() | (r['language'] == F.lower(language)))
+            & F.forall(ways, lambda some: F.arrays_overlap(held, some)), r['rule_id']))
+        return F.filter(may, lambda i: i.isNotNull())
+    return bind(bind(folded(text), literals.held), those)
+
+
+def _places_of(rules: list[Rule]):
+    """An Arrow function of (content or NULL, candidate ids): the places at which open-ended rules match."""
+    wanted = [(r.rule_id, linear_pattern(r), r.ignore_case) for r in rules]
+
+    @F.arrow_udf(PLACES)
+    def places(content: pa.Array, may: pa.Array) -> pa.Array:
+        found: list[list] = [[] for _ in range(len(content))]
+        given = np.flatnonzero(content.is_valid().to_numpy(zero_copy_only=False))
+        texts = content.take(pa.array(given)).cast(pa.large_string())
+        ids = [set(x) for x in may.take(pa.array(given)).to_pylist()]
+        plain = texts
+        for one, other in zip(*_FOLDING):
+            plain = pc.replace_substring(plain, one, other)
+        for rule_id, pattern, ignore_case in wanted:
+            at = pa.array([i for i, some in enumerate(ids) if rule_id in some], pa.int64())
+            before = (plain if ignore_case else texts).take(at)
+            marked = pc.replace_substring_regex(before, pattern, '\x01\\0')
+            longer = pc.not_equal(pc.binary_length(marked), pc.binary_length(before))
+            for i, a, b in zip(*(x.filter(longer).to_pylist() for x in (at, before, marked))):
+                found[given[i]] += [(rule_id, n, len(y) - len(x)) for n, (x, y) in
+                                    enumerate(zip(a.split('\n'), b.split('\n')), 1) if len(x) != len(y)]
         kind = pa.list_(pa.struct([('rule_id', pa.int64()), ('line_number', pa.int64()), ('n_matches', pa.int32())]))
-        for batch in batches:
-            texts, languages = batch.column('content').to_pylist(), batch.column('language').to_pylist()
-            made = [None if t is None else places(t, n) for t, n in zip(texts, languages)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*batch.schema.names, '_places'])
-
-    return files.mapInArrow(run, schema)
+        return pa.array([[dict(zip(('rule_id', 'line_number', 'n_matches'), x)) for x in some] or None for some in found], kind)
+    return places
 
 
 def _per_file(files: DataFrame, rules: list[Rule], keep: Iterable[str]) -> DataFrame:
     """``keep`` plus ``hits``: all (rule, line) places of one file as an array."""
     linear = [r for r in rules if _is_linear(r)]
     usual = [r for r in rules if r not in linear]
-    text, language = F.col('content'), F.lower('language')
-    nothing = F.expr('CAST(array() AS array<struct<rule_id:int,line_number:bigint,n_matches:int,code_snippet:string>>)')
-
-    def applies(low):
-        def test(r):
-            return ((r['language'].isNull() | (r['language'] == language))
-                    & F.forall(r['needles'], lambda needle: F.contains(low, needle)))
-        return test
-
-    def file_hits(low):
-        wanted = F.filter(_matchers(usual), lambda r: applies(low)(r) & F.rlike(text, r['pattern']))
-        return bind(lines(text), lambda text_lines: F.flatten(
-            F.transform(wanted, lambda r: _hits_of(text, r, text_lines))))
-
-    hits = bind(folded(text), file_hits) if usual else nothing
+    text = F.col('content')
+    hits = F.expr('CAST(array() AS array<struct<rule_id:int,line_number:bigint,n_matches:int,code_snippet:string>>)')
+    if not rules:
+        return files.select(*keep, hits.alias('hits'))
+    may = candidates(rules, text, F.col('language'))
+    if usual:
+        patterns = rule_array(usual, rule_id=lambda r: r.rule_id, pattern=lambda r: java_pattern(r.pattern, r.ignore_case))
+
+        def found(ids):
+            wanted = F.filter(patterns, lambda r: F.array_contains(ids, r['rule_id']) & F.rlike(text, r['pattern']))
+            return bind(lines(text), lambda text_lines: F.flatten(F.transform(wanted, lambda r: _hits_of(text, r, text_lines))))
+        # Bound, as the optimizer would put a column's expression into the filter, once per rule.
+        hits = bind(F.col('_may') if linear else may, found)
     if not linear:
         return files.select(*keep, hits.alias('hits'))
-    narrow = files.select(*dict.fromkeys([*keep, 'content', 'language']))
-    marked = _with_places(narrow, linear)
+    tried = files.select(*dict.fromkeys([*keep, 'content']), may.alias('_may'))
+    some = F.arrays_overlap('_may', literal_array(str(r.rule_id) for r in linear))
+    tried = tried.withColumn('_places', _places_of(linear)(F.when(some, text), F.when(some, F.col('_may'))))
     more = bind(lines(text), lambda text_lines: F.transform('_places', lambda p: F.struct(
         p['rule_id'].cast('int').alias('rule_id'), p['line_number'].alias('line_number'), p['n_matches'].alias('n_matches'),
         strip(F.element_at(text_lines, p['line_number'].cast('int'))).alias('code_snippet'))))
-    return marked.select(*keep, F.when(F.col('_places').isNull(), hits).otherwise(F.concat(hits, more)).alias('hits'))
+    return tried.select(*keep, F.when(F.col('_places').isNull(), hits).otherwise(F.concat(hits, more)).alias('hits'))
 
 
 def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[str] = ('path',)) -> DataFrame:
@@ -183,16 +228,13 @@ def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[s
 
     ``files`` needs ``language`` and ``content``. This is the compact form: a line's text is stored
     once, however often a rule matches on it. ``critical_issues`` tells whether the file has any
-    CRITICAL finding (of the batch, if there are more than ``RULE_BATCH`` rules); it is worked out
-    inside the file's row.
+    CRITICAL finding, whatever the number of rules; it is worked out inside the file's row.
     """
     rules = list(enabled_rules() if rules is None else rules)
-    if len(rules) > RULE_BATCH:
-        return reduce(DataFrame.unionByName, [hits(files, some, keep) for some in batches_of(rules)])
-    critical = [r.rule_id for r in rules if r.severity == 'CRITICAL']
-    has_critical = F.exists('hits', lambda h: h['rule_id'].isin(critical)) if critical else F.lit(False)
-    numbers = [r.rule_id for r in rules]
-    place = F.array_position(F.array(*[F.lit(n) for n in numbers]), F.col('hit.rule_id')).cast('int')
+    critical = literal_array(str(r.rule_id) for r in rules if r.severity == 'CRITICAL') \
+        if any(r.severity == 'CRITICAL' for r in rules) else None
+    has_critical = F.lit(False) if critical is None else F.exists('hits', lambda h: F.array_contains(critical, h['rule_id']))
+    place = F.array_position(literal_array(str(r.rule_id) for r in rules), F.col('hit.rule_id')).cast('int')
     rule = F.element_at(_descriptions(rules), place)
     flagged = _per_file(files, rules, keep).withColumn('critical_issues', has_critical)
     return (rows_of(flagged, [*keep, 'critical_issues'], F.col('hits'), 'hit')
@@ -212,8 +254,9 @@ def file_counts(files: DataFrame, rules: Iterable[Rule] | None = None,
     rules = list(enabled_rules() if rules is None else rules)
 
     names = [s.lower() for s in SEVERITIES]
-    kinds = rule_array(rules, severity=lambda r: r.severity.upper(), weight=lambda r: RISK_WEIGHTS.get(r.severity.upper(), 1))
-    place = F.array(*[F.lit(r.rule_id) for r in rules])
+    kinds = rule_array(rules, severity=lambda r: r.severity.upper(), weight=lambda r: RISK_WEIGHTS.get(r.severity.upper(), 1)) \
+        if rules else None
+    place = literal_array(str(r.rule_id) for r in rules) if rules else None
     zero = F.lit(0).cast('bigint')
     start = F.struct(*[zero.alias(n) for n in ['total', *names, 'score']])
 

@@ -110,6 +110,45 @@ def test_more_rules_than_one_plan_holds(spark):
     assert sorted((h.rule_id, h.n_matches) for h in scan.hits(files, rules).collect()) == [(7, 1), (1199, 2)]
 
 
+def test_critical_flag_knows_all_rules(spark):
+    rules = [Rule(i, 'own', f'word{i}x', False, None, 'T', 'CRITICAL' if i == 501 else 'LOW', '', '', 0.5, (f'word{i}x',))
+             for i in range(1, 502)]
+    rows = [('both', 'go', 'word1x\nword501x'), ('one', 'go', 'word1x')]
+    files = spark.createDataFrame(rows, 'path string, language string, content string')
+    assert sorted((h.path, h.rule_id, h.critical_issues) for h in scan.hits(files, rules).collect()) == [
+        ('both', 1, True), ('both', 501, True), ('one', 1, False)]
+    assert {r.path: (r.total, r.critical) for r in scan.file_counts(files, rules).collect()} == {'both': (2, 1), 'one': (1, 0)}
+    assert [r.path for r in scan.without_critical(files, rules).collect()] == ['one']
+
+
+def test_literals_that_begin_and_hold_others(spark):
+    words = ['pass', 'password', 'word', 'sword', 'wo', 'a.b', 'a|b', 'é', '(', 'ss', 'x y', '\t\n']
+    rules = [Rule(i, 'own', re.escape(w), False, None, 'T', 'LOW', '', '', 0.5, (w,)) for i, w in enumerate(words)]
+    rules.append(Rule(99, 'own', 'p', False, None, 'T', 'LOW', '', '', 0.5, ('pass', 'a.b', '')))
+    rng = random.Random(1)
+    rows = [(f'f{i}', 'go', ''.join(rng.choice(words + ['p', 'as', 'wor', 'd', 'a', '.', 'b', ' ']) for _ in range(rng.randrange(6))))
+            for i in range(300)]
+    files = spark.createDataFrame(rows, 'path string, language string, content string')
+    got = {r.path: sorted(r.may) for r in files.select(
+        'path', scan.candidates(rules, F.col('content'), F.col('language')).alias('may')).collect()}
+    assert got == {p: [r.rule_id for r in rules if all(n in t for n in r.needles)] for p, _, t in rows}
+
+
+def test_contents_do_not_leave_the_jvm(spark):
+    files = spark.createDataFrame(list(texts(5)), 'path string, language string, content string').withColumn('other', F.lit(1))
+    plan = scan.findings(files)._jdf.queryExecution().executedPlan().toString()
+    assert 'MapInArrow' not in plan
+    handed, = re.findall(r'ArrowEvalPython \[places\((CASE WHEN arrays_overlap.*? END), (CASE WHEN arrays_overlap.*? END)\)', plan)
+    assert not any('ELSE' in x for x in handed)
+
+
+def test_literals_are_looked_for_once(spark):
+    files = spark.createDataFrame(list(texts(5)), 'path string, language string, content string')
+    for rules in (enabled_rules(), [r for r in enabled_rules() if r.check == 'xss']):
+        plan = scan.file_counts(files, rules)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count('regexp_extract_all') == 1
+
+
 def test_empty_and_null_files(spark):
     files = spark.createDataFrame([('a', 'python', ''), ('b', None, None), ('c', None, '../')],
                                   'path string, language string, content string')
