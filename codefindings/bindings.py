@@ -365,6 +365,22 @@ ADVISORIES_SQL = f"""advisories AS (
     'issue in ' || s_name AS summary FROM supplier)"""
 
 
+def ranged_advisories(spark, sf) -> DataFrame:
+    """Advisories that say by ranges which versions they are about; some ends are open or pre-releases."""
+    k = F.regexp_extract('id', '[0-9]+', 0).cast('bigint')
+    minor = lambda n: F.concat(F.lit('1.'), n.cast('string'))
+    fixed = F.when(k % 7 == 0, F.lit(None)).when(k % 4 == 1, F.concat(minor(k % 5 + 8), F.lit('-rc.1'))).otherwise(minor(k % 5 + 8))
+    first = F.struct(F.when(k % 3 == 0, '0').otherwise(minor(k % 5)).alias('introduced'), fixed.alias('fixed'))
+    second = F.struct(minor(k % 6 + 20).alias('introduced'), minor(k % 6 + 30).alias('fixed'))
+    return advisories(spark, sf).withColumn('versions', F.when(k % 6 == 0, F.array(F.lit('1.45')))).withColumn('ranges', F.array(first, second))
+
+
+RANGED_SQL = """ranged AS (
+  SELECT id, ecosystem, name, summary, CAST(substr(id, 5) AS BIGINT) AS k FROM advisories),
+spans AS (SELECT *, CASE WHEN k % 3 = 0 THEN 0 ELSE k % 5 END AS low, CASE WHEN k % 7 = 0 THEN 1000 ELSE k % 5 + 8 END AS high FROM ranged
+  UNION ALL SELECT *, k % 6 + 20, k % 6 + 30 FROM ranged)"""
+
+
 def commits(spark, sf) -> DataFrame:
     return table(spark, sf, 'orders').select(
         F.col('o_custkey').alias('repo'), F.md5(F.col('o_orderkey').cast('string')).alias('sha'),

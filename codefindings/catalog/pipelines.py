@@ -91,6 +91,15 @@ def deps_advisories(spark, sf):
                                        b.advisories(spark, sf))
 
 
+@query('deps_advisory_ranges', sql=with_sql(DEPS_SQL, b.ADVISORIES_SQL, b.RANGED_SQL, body=r"""
+SELECT d.repo, d.manifest, d.ecosystem, d.name, d.version, a.id, a.summary FROM deps d JOIN ranged a USING (ecosystem, name)
+WHERE d.version = '*' OR (a.k % 6 = 0 AND d.version = '1.45') OR EXISTS (SELECT 1 FROM spans s WHERE s.id = a.id
+  AND try_cast(regexp_extract(d.version, '^v?1\.(\d+)$', 1) AS BIGINT) BETWEEN s.low AND s.high - 1)"""))
+def deps_advisory_ranges(spark, sf):
+    found = dependencies.advisories_for(dependencies.all_dependencies(b.manifests(spark, sf)), b.ranged_advisories(spark, sf))
+    return found.select('repo', 'manifest', 'ecosystem', 'name', 'version', 'id', 'summary')
+
+
 @query('deps_risk', sql=with_sql(HITS_SQL, body='SELECT * FROM dep_risk'))
 def deps_risk(spark, sf):
     return fq.dependency_risk(spark, sf)

@@ -9,7 +9,7 @@ from codefindings.bindings import quoted, with_sql
 from codefindings.catalog.basics import COMPLEXITY_SQL, STRIP_SQL
 from codefindings.catalog.registry import query
 from codefindings.dims.rules import enabled_rules, rules_of
-from codefindings.operators import scan, structure
+from codefindings.operators import pysource, scan, structure
 
 COLUMNS = ['path', 'rule_id', 'line_number', 'vulnerability_type', 'severity', 'description',
            'code_snippet', 'fix_suggestion', 'confidence', 'detection_method']
@@ -200,3 +200,10 @@ SELECT path, '{kind}' AS kind, {name} AS name, {detail} AS detail, line_start FR
 def py_symbols(spark, sf):
     return structure.py_symbols(b.code_files(spark, sf).filter("language = 'python'")).select(
         'path', 'kind', 'name', 'detail', 'line_start')
+
+
+@query('py_structure')
+def py_structure(spark, sf):
+    found = pysource.structure(b.code_files(spark, sf).filter("language = 'python'"))
+    return found.select('path', 'ord', 'kind', 'name', 'line_start', 'line_end', 'parent', 'in_class', 'is_async',
+                        F.array_join('args', ',').alias('args'), F.array_join('bases', ',').alias('bases'), 'alias', 'imported')

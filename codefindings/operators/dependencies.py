@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import tomllib
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codefindings.functions.risk import cvss_bucket, risk_weight
 from codefindings.functions.text import SPACE, bind, java_pattern, rows_of, strip
+from codefindings.functions.versions import version_key
+from codefindings.operators.intervals import meet
 
 # Requirement line, ecosystems, package.json sections.
 REQUIREMENT = r'^([A-Za-z0-9_.\-]+)\s*(==|>=|<=|~=|!=)?\s*([A-Za-z0-9_.\-]+)?'
 SECTIONS = ('dependencies', 'devDependencies', 'peerDependencies')
 ANY_VERSION = '*'
+_ENTRIES = T.ArrayType(T.StructType().add('ecosystem', 'string').add('name', 'string').add('version', 'string'))
 
 
 def _lines(content: Column) -> Column:
@@ -43,28 +50,33 @@ def _package_json(content: Column) -> Column:
     return bind(parsed, entries)
 
 
-# A manifest is TOML; only its dependency tables are looked at.
-_TOML_SECTION = r'(?ms)^[ \t]*\[dependencies\][ \t]*(?:#[^\n]*)?$(.*?)(?=^[ \t]*\[|\z)'
-_TOML_ENTRY = r'(?m)^[ \t]*["\']?([A-Za-z0-9_-]+)["\']?[ \t]*=[ \t]*(?:["\']([^"\'\n]*)["\']|\{([^\n]*)\})'
-_TOML_TABLE = r'(?ms)^[ \t]*\[dependencies\.["\']?([A-Za-z0-9_-]+)["\']?\][ \t]*(?:#[^\n]*)?$(.*?)(?=^[ \t]*\[|\z)'
-_TOML_VERSION = r'(?m)(?:^|[,{\s])version[ \t]*=[ \t]*["\']([^"\'\n]+)["\']'
+def _toml_entries(text: str, targets: bool) -> list[dict] | None:
+    """name and version of the dependencies of a Cargo manifest; None for one that is not TOML."""
+    try:
+        manifest = tomllib.loads(text)
+    except (tomllib.TOMLDecodeError, RecursionError):
+        return None
+    tables = [manifest.get('dependencies')]
+    if targets and isinstance(manifest.get('target'), dict):
+        tables += [t.get('dependencies') for t in manifest['target'].values() if isinstance(t, dict)]
+    found = []
+    for table in tables:
+        for name, given in table.items() if isinstance(table, dict) else ():
+            version = given.get('version') or ANY_VERSION if isinstance(given, dict) else given
+            found.append({'ecosystem': 'crates.io', 'name': name, 'version': str(version)})
+    return found
 
 
-def _cargo_toml(content: Column) -> Column:
-    """Entries of [dependencies] (string or inline table) and [dependencies.name] tables."""
-    def every(text, pattern, group):
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _cargo_toml(content: Column, targets: bool = False) -> Column:
+    """Entries of [dependencies], in whatever form TOML allows; with ``targets`` of [target.*.dependencies] too.
 
-    def version(given, table):
-        return F.coalesce(F.nullif(given, F.lit('')), F.nullif(F.regexp_extract(table, _TOML_VERSION, 1), F.lit('')),
-                          F.lit(ANY_VERSION))
-    section = F.array_join(every(content, _TOML_SECTION, 1), '\n')
-    inline = F.arrays_zip(every(section, _TOML_ENTRY, 1).alias('name'), every(section, _TOML_ENTRY, 2).alias('given'),
-                          every(section, _TOML_ENTRY, 3).alias('body'))
-    tables = F.arrays_zip(every(content, _TOML_TABLE, 1).alias('name'), every(content, _TOML_TABLE, 2).alias('body'))
-    return F.concat(
-        F.transform(inline, lambda d: _entry('crates.io', d['name'], version(d['given'], d['body']))),
-        F.transform(tables, lambda d: _entry('crates.io', d['name'], version(F.lit(''), d['body']))))
+    TOML has no reader in the JVM: the contents handed over go through an Arrow function.
+    """
+    @F.arrow_udf(_ENTRIES)
+    def read(contents: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _toml_entries(t, targets) for t in contents.to_pylist()],
+                        to_arrow_type(_ENTRIES))
+    return read(content)
 
 
 def _go_mod(content: Column) -> Column:
@@ -88,8 +100,9 @@ def package_json(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
     return _parsed(manifests, keep, _package_json(F.col('content')))
 
 
-def cargo_toml(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
-    return _parsed(manifests, keep, _cargo_toml(F.col('content')))
+def cargo_toml(manifests: DataFrame, keep=('repo', 'manifest'), targets: bool = False) -> DataFrame:
+    """Dependencies of Cargo manifests; ``targets`` adds those of [target.….dependencies]. What is no TOML gives none."""
+    return _parsed(manifests, keep, _cargo_toml(F.col('content'), targets))
 
 
 def go_mod(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
@@ -99,7 +112,8 @@ def go_mod(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
 def all_dependencies(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFrame:
     """Dependencies of every supported manifest, chosen by file name; lock files give none.
 
-    One pass over the manifests. Only Cargo texts are handed to the TOML parser.
+    One pass over the manifests. Only Cargo texts are handed to the TOML reader, as a column that is NULL
+    for all others.
     """
     name, content = F.lower(F.substring_index('filename', '/', -1)), F.col('content')
     cargo = name == 'cargo.toml'
@@ -111,21 +125,37 @@ def all_dependencies(manifests: DataFrame, keep=('repo', 'manifest')) -> DataFra
 
 
 def advisories_for(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Advisories of each dependency: those listing its version, or all for version '*'.
-
-    Duplicated dependencies give duplicated hits. Listed versions, and '*' for all, become join keys,
-    so a widely used package with many advisories is not paired with all of them first. Spark picks broadcast or
-    sort-merge by size and splits skewed keys at run time.
+    """Advisories of each dependency: those listing its version or having it in a range, or all for version '*'.
+
+    ``advisories`` has versions, an array, and may have ranges, an array of (introduced, fixed): from the
+    first on, before the second; a NULL is open, and introduced '0' too. Versions that are none, such as
+    '^1.2', are met by lists only. Duplicated dependencies give duplicated hits. Listed versions, and '*' for
+    all, become join keys, so a widely used package with many advisories is not paired with all of them
+    first; ranges become versions by :func:`intervals.meet`. Spark picks broadcast or sort-merge by size and
+    splits skewed keys at run time.
     """
-    known = advisories.select('ecosystem', 'name', 'id', 'summary',
-                              F.array_union(F.coalesce('versions', F.expr('CAST(array() AS ARRAY<STRING>)')),
-                                            F.array(F.lit(ANY_VERSION))).alias('versions'),
-                              cvss_bucket(F.col('severity')).alias('severity'))
-    listed = rows_of(known, ['ecosystem', 'name', 'id', 'summary', 'severity'],
-                     F.col('versions'), 'version')
+    facts = ['ecosystem', 'name', 'id', 'summary', 'severity']
+    known = advisories.withColumn('severity', cvss_bucket(F.col('severity')))
+    listed = rows_of(known.withColumn('versions', F.array_union(
+        F.coalesce('versions', F.expr('CAST(array() AS ARRAY<STRING>)')), F.array(F.lit(ANY_VERSION)))), facts, F.col('versions'), 'version')
+    if 'ranges' in advisories.columns:
+        listed = listed.unionByName(_in_ranges(dependencies, known, facts)).distinct()
     return dependencies.join(listed, ['ecosystem', 'name', 'version'])
 
 
+def _in_ranges(dependencies: DataFrame, known: DataFrame, facts: list[str]) -> DataFrame:
+    """``facts`` of the advisories and the versions in use that lie in their ranges."""
+    package = ['ecosystem', 'name']
+    spans = rows_of(known, facts, F.col('ranges'), 'span').select(
+        *facts, F.when(F.coalesce(F.col('span.introduced'), F.lit('0')) == '0', '').otherwise(version_key(F.col('span.introduced'))).alias('low'),
+        F.when(F.col('span.fixed').isNull(), '~').otherwise(version_key(F.col('span.fixed'))).alias('high'))
+    spans = spans.withColumn('interval', F.struct('id', 'low', 'high')).filter('low IS NOT NULL AND high IS NOT NULL')
+    used = dependencies.select(*package, 'version').distinct().withColumn('at', version_key(F.col('version')))
+    met = meet(used, spans.select(*package, 'interval', 'low', 'high').distinct(), package, 'at', 'interval')
+    return (met.join(used, [*package, 'at']).join(spans.drop('low', 'high'), [*package, 'interval'])
+            .select(*facts, 'version').distinct())
+
+
 def risk_by_repo(hits: DataFrame, key: str = 'repo') -> DataFrame:
     return hits.groupBy(key).agg(
         F.sum(risk_weight(F.col('severity'))).cast('bigint').alias('dependency_risk'))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codefindings.functions.naming import extension
 from codefindings.functions.text import complexity, java_pattern, rows_of
-from codefindings.operators.scan import capture, captured
+from codefindings.operators.pysource import symbols_of
+from codefindings.operators.scan import capture
 
 # Patterns.
 PY_IMPORT_LINE = r'^(?:from\s+([\w\.]+)\s+import|import\s+([\w\.]+))'
@@ -80,19 +81,24 @@ def js_module_refs(files: DataFrame, keep=('path',)) -> DataFrame:
 def py_symbols(files: DataFrame, keep=('path',)) -> DataFrame:
     """Functions (detail: async), classes (detail: has bases) and imports (detail: from-import).
 
-    The three patterns are matched in one pass; ``ord`` counts the symbols of a kind within a file.
+    With line_start, line_end, parent (what it lies in, dotted) and in_class. An import statement is one
+    row, named after its first module; ``pysource.structure`` has one per imported name. ``ord`` counts
+    the symbols of a kind within a file. What stands in strings and comments is no symbol.
     """
-    def one(kind, pattern, name, detail):
-        def shaped(m, i):
-            return F.struct(F.lit(kind).alias('kind'), name(m).alias('name'), detail(m).alias('detail'),
-                            m['line_number'].alias('line_start'), (i + 1).alias('ord'))
-        return F.transform(F.coalesce(captured(F.col('content'), '(?m)' + pattern, 2), F.array()), shaped)
-    given = lambda c: F.nullif(c, F.lit(''))
-    symbols = F.concat(
-        one('function', PY_FUNCTION, lambda m: m['g2'], lambda m: m['g1'] != ''),
-        one('class', PY_CLASS, lambda m: m['g1'], lambda m: m['g2'] != ''),
-        one('import', PY_IMPORT, lambda m: F.coalesce(given(m['g1']), given(m['g2'])), lambda m: m['g1'] != ''))
-    return rows_of(files, keep, symbols, 's').select(*keep, 's.*')
+    detail = {'function': lambda s: s['is_async'], 'class': lambda s: F.size(s['bases']) > 0,
+              'import': lambda s: s['imported'].isNotNull()}
+
+    def of(kind, every):
+        def first(s, i):
+            before = F.get(every, i - 1)
+            return (s['kind'] == kind) & ~((s['kind'] == 'import') & F.coalesce(
+                (before['kind'] == 'import') & (before['line_start'] == s['line_start']), F.lit(False)))
+        return F.transform(F.filter(every, first), lambda s, i: F.struct(
+            s['kind'].alias('kind'), s['name'].alias('name'), detail[kind](s).alias('detail'), s['line_start'].alias('line_start'),
+            s['line_end'].alias('line_end'), s['parent'].alias('parent'), s['in_class'].alias('in_class'), (i + 1).alias('ord')))
+    found = files.select(*keep, symbols_of(F.col('content')).alias('_symbols'))
+    symbols = F.concat(*[of(kind, F.col('_symbols')) for kind in detail])
+    return rows_of(found, keep, symbols, 's').select(*keep, 's.*')
 
 
 def summary(files: DataFrame, keep=('path',)) -> DataFrame:

@@ -1,10 +1,13 @@
 """File trees, decoding, manifests, replies and sinks."""
 
 import json
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from codefindings.dims import names
+from codefindings.functions.versions import version_key
 from codefindings.operators import dependencies, replies
 from codefindings.sources import files as sources, sinks, trees
 
@@ -116,3 +119,65 @@ def test_sinks_replace_and_append(spark, tmp_path):
     sinks.append_history(history.filter('ord >= 15'), str(tmp_path / 'h'))
     last = sinks.read_history(spark, str(tmp_path / 'h'), ['k']).collect()
     assert sorted(r.ord for r in last) == list(range(10, 30)) and last[0].label == '10:20'
+
+
+TOML = [
+    ('[dependencies]\na = "1"\n"b.c" = \'2\'\nd = { version = "3", features = [\n  "x", # no\n  "y",\n] }\n[dev-dependencies]\nz = "9"',
+     [('a', '1'), ('b.c', '2'), ('d', '3')]),
+    ('dependencies.a = "1"\ndependencies.b.version = "2"\n', [('a', '1'), ('b', '2')]),
+    ('[package]\ndescription = """\n[dependencies]\nnot = "1"\n"""\n[dependencies.real]\ngit = "x"\n', [('real', '*')]),
+    ('[target."cfg(unix)".dependencies]\nnix = "0.2"\n[dependencies]\nversion = ""\nn = 3\ne = { version = "" }', [('version', ''), ('n', '3'), ('e', '*')]),
+    ('dependencies = 3', []), ('[dependencies]\na = "1"\na = "2"', []), ('', []), ('target = 1', []),
+]
+
+
+def test_toml_manifests_of_every_form(spark):
+    rows = [('r', f'{i}/Cargo.toml', 'Cargo.toml', text) for i, (text, _) in enumerate(TOML)] + [('r', 'n/Cargo.toml', 'Cargo.toml', None)]
+    frame = spark.createDataFrame(rows, 'repo string, manifest string, filename string, content string')
+    got = [[(r.name, r.version) for r in dependencies.all_dependencies(frame.filter(F.col('manifest') == f'{i}/Cargo.toml')).collect()]
+           for i in range(len(TOML))]
+    assert got == [want for _, want in TOML]
+    assert dependencies.all_dependencies(frame).count() == sum(len(w) for _, w in TOML)
+    more = dependencies.cargo_toml(frame, targets=True).filter("manifest = '3/Cargo.toml'")
+    assert ('nix', '0.2') in [(r.name, r.version) for r in more.collect()]
+
+
+ORDERED = ['0', '0.0.1', '1.0.dev1', '1.0-alpha', '1.0.0-alpha.1', '1.0-alpha.2', '1.0-alpha.beta', '1.0b2', '1.0-beta.11', 'v1.0.0-rc.1', '1.0rc10', '1.0',
+           '1.0.post1', '1.0.1', '1.2', '1.10', '1.10.0.1', '2.0.0-pre', '2', '10.0', '20240101.1', '123456789012345678901.0']
+
+
+def test_version_keys_keep_the_order(spark):
+    frame = spark.createDataFrame(list(enumerate(ORDERED)), 'i int, v string').withColumn('k', version_key(F.col('v')))
+    assert [r.i for r in frame.orderBy('k').collect()] == list(range(len(ORDERED)))
+    same = [('1.0', '1.0.0'), ('v2', '2.0+build.5'), ('1.0a1', '1.0-alpha.1'), ('=1.2', ' 1.2 '), ('1.0c2', '1.0.rc2'), ('01.2', '1.02')]
+    pairs = spark.createDataFrame(same, 'a string, b string').select((version_key(F.col('a')) == version_key(F.col('b'))).alias('x'))
+    assert all(r.x for r in pairs.collect())
+    odd = spark.createDataFrame([('',), ('latest',), ('*',), (None,), ('^1.2',)], 'v string')
+    assert [r.k for r in odd.select(version_key(F.col('v')).alias('k')).collect()] == [None] * 5
+
+
+def test_ranges_meet_versions(spark):
+    rng = random.Random(2)
+    place = {v: i for i, v in enumerate(ORDERED)}
+    known, listed = [], []
+    for i in range(200):
+        spans = []
+        for _ in range(rng.randrange(3)):
+            a, b = sorted(rng.sample(range(len(ORDERED)), 2))
+            spans.append((rng.choice([ORDERED[a], ORDERED[a], '0', None]), rng.choice([ORDERED[b], ORDERED[b], None])))
+        listed.append((i % 3, spans, rng.sample(ORDERED, 2) if i % 5 == 0 else None))
+        known.append((f'A{i}', 'npm', f'p{i % 3}', listed[-1][2], [{'introduced': a, 'fixed': b} for a, b in spans] or None, None, 's'))
+    found = [(f'r{i % 4}', 'm', 'npm', f'p{rng.randrange(4)}', rng.choice([*ORDERED, '*', 'odd'])) for i in range(300)]
+    deps_ = spark.createDataFrame(found, 'repo string, manifest string, ecosystem string, name string, version string')
+    advisories = spark.createDataFrame(known, 'id string, ecosystem string, name string, versions array<string>, ranges array<struct<introduced:string,'
+                                       'fixed:string>>, severity array<struct<type:string,score:string>>, summary string')
+
+    def hit(version, spans, versions):
+        at = place.get(version)
+        return version == '*' or version in (versions or ()) or (at is not None and any(
+            (a is None or place[a] <= at) and (b is None or at < place[b]) for a, b in spans))
+    want = Counter((*d, f'A{i}') for d in found for i, (k, spans, versions) in enumerate(listed) if d[3] == f'p{k}' and hit(d[4], spans, versions))
+    got = Counter((r.repo, r.manifest, r.ecosystem, r.name, r.version, r.id) for r in dependencies.advisories_for(deps_, advisories).collect())
+    assert got == want and len(want) > 500
+    assert dependencies.advisories_for(deps_.limit(0), advisories).count() == 0
+    assert dependencies.advisories_for(deps_, advisories.limit(0)).count() == 0
