@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from codefindings.functions import risk
 from codefindings.operators import aggregate, evaluate
 
@@ -56,6 +58,30 @@ def test_random_cases_equal_greedy(spark):
     check(spark, preds, truth)
 
 
+@pytest.mark.parametrize('most', [200_000, 30])
+def test_long_chains_and_large_islands_equal_greedy(spark, monkeypatch, most):
+    monkeypatch.setattr(evaluate, 'ISLAND_ROWS', most)
+    rng = random.Random(8)
+    n = 10_000 if most > 1000 else 60
+    preds = [(rng.choice(['a.py', 'src/a.py']), 'X', i + rng.choice([0, 0, 1])) for i in range(n)]
+    truth = [('a.py', 'x ', i) for i in range(1, n)] + [('b.py', 'X', 7)]
+    preds += [('b.py', 'X', 7), ('b.py', 'X', 900), (None, 'X', 1), ('b.py', None, 7), ('b.py', 'X', None)]
+    if most < 1000:
+        rng.shuffle(preds)
+        rng.shuffle(truth)
+    used, by_line, want = set(), {}, {}
+    for j, g in enumerate(truth):
+        by_line.setdefault(g[2], []).append(j)
+    for i, p in enumerate(preds):
+        near = sorted(j for d in (-1, 0, 1) for j in by_line.get(p[2] + d, ())) if None not in p else ()
+        free = [j for j in near if j not in used and agrees(p, truth[j])]
+        if free:
+            used.add(free[0])
+            want[i] = free[0]
+    p, g = frames(spark, preds, truth)
+    assert {r.ord: r.truth_ord for r in evaluate.match(p, g).collect()} == want and len(want) > n / 2
+
+
 def test_hot_place(spark):
     preds = [('a.py', 'X', 5)] * 60 + [('a.py', 'X', 6)] * 10
     check(spark, preds, [('a.py', 'X', 5)] * 40)
