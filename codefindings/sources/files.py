@@ -16,7 +16,7 @@ def marked(files: DataFrame, keys=('repo',), variant: str = 'repository', max_fi
            max_tree: int | None = None) -> DataFrame:
     """Add ``status``: why a listed file is not looked into, NULL for all others.
 
-    Reasons: missing_root, ignored_dir, ignored_name, empty, too_large (over ``max_file`` bytes),
+    Reasons: missing_root, linked_dir, unreadable_dir, ignored_dir, ignored_name, empty, too_large (over ``max_file`` bytes),
     over_budget (its tree, in path order, has reached ``max_tree`` bytes). Without the two limits every
     file of a wanted name and place is looked into. Contents are not touched.
     """

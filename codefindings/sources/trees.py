@@ -8,7 +8,9 @@ are not descended into, and only files that survived the name and size tests are
 from __future__ import annotations
 
 import os
+from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
@@ -16,66 +18,80 @@ from pyspark.sql import DataFrame, functions as F
 
 from codefindings.dims import names
 from codefindings.functions import naming
+from codefindings.sources.scratch import checkpointed
 
 ENTRY = 'repo string, root string, path string, size bigint, problem string'
 BATCH_ROWS = 5000
+FOLDERS_PER_TASK = 500
 BATCH_BYTES = 64 * names.MIB
 
 
-def list_trees(roots: DataFrame, variant: str = 'repository', split_depth: int = 2) -> DataFrame:
+def list_trees(roots: DataFrame, variant: str = 'repository', folders_per_task: int = FOLDERS_PER_TASK) -> DataFrame:
     """repo, root, path (relative), filename and size of every file under the (repo, root) folders.
 
-    A root that does not exist gives one row with an empty path and ``problem`` missing_root.
+    What is not looked into has a row with a ``problem``: missing_root (path empty), linked_dir (a linked
+    folder, which may lead back into the tree) or unreadable_dir. Ignored folders have none.
 
-    The upper levels of each tree are listed first; the folders found at ``split_depth`` are then
-    spread over all tasks, so one huge tree is not walked by one task.
+    The trees are listed in rounds. In each, the folders known but not listed yet are dealt to all tasks; a
+    task lists up to ``folders_per_task`` of them and of what it finds in them and hands the rest back. So
+    neither one huge tree, one wide folder nor one deep chain keeps a single task busy for long.
+    Every round is checkpointed: no folder is listed twice, also after a lost executor.
     """
     ignored = set(names.IGNORED_DIRS_REPO if variant == 'repository' else names.IGNORED_DIRS)
-    start = roots.select('repo', 'root', F.lit('').alias('path'), F.lit(None).cast('bigint').alias('size'),
-                         F.lit(None).cast('string').alias('problem'))
-    upper = start.mapInPandas(_walker(ignored, split_depth), ENTRY)
     parts = int(roots.sparkSession.conf.get('spark.sql.shuffle.partitions'))
-    return (upper.repartition(parts, 'repo', 'root', 'path')
-            .mapInPandas(_walker(ignored, None), ENTRY)
-            .withColumn('filename', naming.basename(F.col('path'))))
-
-
-def _children(store: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
+    todo = roots.select('repo', 'root', F.lit('').alias('path'), F.lit(None).cast('bigint').alias('size'),
+                        F.lit(None).cast('string').alias('problem'))
+    found = []
+    is_folder = F.col('size').isNull() & F.col('problem').isNull()
+    while True:
+        seen = checkpointed(todo.repartition(parts, 'repo', 'root', 'path').mapInPandas(_walker(ignored, folders_per_task), ENTRY))
+        found.append(seen.filter(~is_folder))
+        todo = seen.filter(is_folder)
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, found).withColumn('filename', naming.basename(F.col('path')))
+
+
+def _children(store: fs.FileSystem, folder: str) -> list[tuple[fs.FileInfo, bool]]:
+    """What a folder holds, and whether it is a linked folder."""
     found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
-    if isinstance(store, fs.LocalFileSystem):
-        # A linked folder may lead back into the tree.
-        found = [i for i in found if i.type != fs.FileType.Directory or not os.path.islink(i.path)]
-    return found
+    local = isinstance(store, fs.LocalFileSystem)
+    return [(i, local and i.type == fs.FileType.Directory and os.path.islink(i.path)) for i in found]
 
 
-def _walker(ignored: set[str], depth: int | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Passes files on and replaces folders (size NULL) by what they hold, ``depth`` levels down."""
+def _walker(ignored: set[str], most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Lists folders, nearest first; those beyond the first ``most`` are passed on as they are."""
     def walk(batches):
-        rows = []
+        rows, listed = [], 0
         for batch in batches:
-            for repo, root, path, size, problem in batch.itertuples(index=False):
-                if pd.notna(size) or isinstance(problem, str):
-                    rows.append((repo, root, path, None if pd.isna(size) else int(size), problem))
+            todo = deque((repo, root, path) for repo, root, path, *_ in batch.itertuples(index=False))
+            while todo:
+                repo, root, path = todo.popleft()
+                if listed >= most:
+                    rows.append((repo, root, path, None, None))
                     continue
+                listed += 1
                 store, base = fs.FileSystem.from_uri(root)
                 if path == '' and store.get_file_info(base).type != fs.FileType.Directory:
                     rows.append((repo, root, '', None, 'missing_root'))
                     continue
-                todo = [(path, 0)]
-                while todo:
-                    folder, level = todo.pop()
-                    for info in _children(store, f'{base}/{folder}'.rstrip('/')):
-                        below = f'{folder}/{info.base_name}'.lstrip('/')
-                        if info.type == fs.FileType.File:
-                            rows.append((repo, root, below, info.size, None))
-                        elif info.type == fs.FileType.Directory and info.base_name.lower() not in ignored:
-                            if depth is not None and level + 1 >= depth:
-                                rows.append((repo, root, below, None, None))
-                            else:
-                                todo.append((below, level + 1))
-                    if len(rows) >= BATCH_ROWS:
-                        yield _frame(rows)
-                        rows = []
+                try:
+                    held = _children(store, f'{base}/{path}'.rstrip('/'))
+                except OSError:
+                    rows.append((repo, root, path, None, 'unreadable_dir'))
+                    continue
+                for info, linked in held:
+                    below = f'{path}/{info.base_name}'.lstrip('/')
+                    if info.type == fs.FileType.File:
+                        rows.append((repo, root, below, info.size, None))
+                    elif info.type == fs.FileType.Directory and info.base_name.lower() not in ignored:
+                        if linked:
+                            rows.append((repo, root, below, None, 'linked_dir'))
+                        else:
+                            todo.append((repo, root, below))
+                if len(rows) >= BATCH_ROWS:
+                    yield _frame(rows)
+                    rows = []
         yield _frame(rows)
     return walk
 

@@ -4,6 +4,7 @@ import json
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from codefindings.dims import names
@@ -31,6 +32,33 @@ def test_tree_discovery(spark, tmp_path):
     assert upload['deep/a/b/c/__init__.py'] == PY and 'x/.env' in upload
 
 
+def test_linked_folders_have_a_row(spark, tmp_path):
+    (tmp_path / 'r' / 'src').mkdir(parents=True)
+    (tmp_path / 'r' / 'src' / 'a.py').write_text(PY)
+    (tmp_path / 'r' / 'loop').symlink_to(tmp_path / 'r')
+    (tmp_path / 'r' / 'node_modules').symlink_to(tmp_path)
+    roots = spark.createDataFrame([('r', (tmp_path / 'r').as_uri())], 'repo string, root string')
+    got = {r.path: (r.status, r.content is not None) for r in sources.report_trees(roots).collect()}
+    assert got == {'src/a.py': ('scanned', True), 'loop': ('linked_dir', False)}
+
+
+@pytest.mark.parametrize('most', [1, 3, 500])
+def test_deep_and_wide_trees_are_listed_whole(spark, tmp_path, most):
+    want, folder = {}, tmp_path
+    for i in range(12):
+        folder = folder / f'd{i}'
+        folder.mkdir()
+        (folder / 'x.py').write_text('x' * i)
+        want[str((folder / 'x.py').relative_to(tmp_path))] = i
+    for i in range(40):
+        (tmp_path / 'wide' / f'w{i}').mkdir(parents=True)
+        (tmp_path / 'wide' / f'w{i}' / 'y.py').write_text('y')
+        want[f'wide/w{i}/y.py'] = 1
+    roots = spark.createDataFrame([('r', tmp_path.as_uri()), ('s', (tmp_path / 'wide').as_uri())], 'repo string, root string')
+    found = trees.list_trees(roots, folders_per_task=most).collect()
+    assert {r.path: r.size for r in found if r.repo == 'r'} == want and len(found) == len(want) + 40
+
+
 def test_status_tells_what_was_not_scanned(spark, tmp_path):
     (tmp_path / 'logs').mkdir()
     for name, text in {'a.py': PY, 'b.py': PY * 40, 'logs/c.py': PY, 'd.bin': 'x', 'e.py': '', 'f.txt': '\x00' * 50, 'z.py': PY}.items():
