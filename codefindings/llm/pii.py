@@ -2,12 +2,16 @@
 
 Fixed patterns (``base_spans``) find e-mail addresses, IP addresses, card and phone numbers; they
 always count. Generators propose many more, overlapping spans. Boosted trees score a proposal from
-its form and the characters around it; the kind's threshold decides. Every document gives examples:
-matches of the fixed patterns are positive, and so are other spellings of them put in the same place;
-proposals apart from any match, and numbers that are no personal data put in the same place, are
-negative. The trees learn from a bounded number of examples per kind and label, drawn by hash from
-four fifths of all documents. The thresholds come from the scores of the examples of every document
-that gave the trees none.
+its form and the characters around it; the kind's threshold decides.
+
+No spans are labelled, so every document gives its own examples. Positive are the matches of the fixed
+patterns and other spellings of them put in the same place. Negative is only what something independent
+says no to (``evidence``: a failed checksum, an octet over 255, a date, a number inside a word, an order
+or version number) and look-alikes put in the place of a match. Any other proposal is *unlabelled*: it may
+well be personal data in a spelling the patterns do not know, so it teaches the trees nothing, however
+many of its kind there are. The trees learn from a bounded number of examples per kind and label, drawn
+by hash from four fifths of all documents. The thresholds come from the scores of the examples of every
+document that gave the trees none, and from those of the unlabelled proposals (``thresholds_of``).
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ FOLDS = 5
 PRECISION = 0.98
 #: Lower ends of the score bins: 0, then steps of 0.05 in log-odds.
 BINS = np.concatenate([[0.0], 1.0 / (1.0 + np.exp(-np.arange(-600, 601) / 20))])
+#: The draw keeps the lowest hashes of so many lots of tasks, then of fewer.
+DRAW_STEPS = (4096, 64, 1)
 #: Examples scored at a time.
 SCORED_AT_ONCE = 4096
 
@@ -51,10 +57,13 @@ DIGITS = re.compile(r'[0-9](?:[ -]?[0-9])+')
 PHONE = re.compile(r'\+[0-9][ ().0-9-]+[0-9]')
 DIGIT = re.compile(r'[0-9]')
 
-#: Proposals: kind and pattern. The text must contain a digit, or for e-mail one of the marks below.
+#: Marks of spelled-out addresses, and what follows one; what stands before is walked back to, without a bound.
+AT = re.compile(r' ?(?:\[at\]|\(at\)|\{at\}) ?| at ', re.I)
+SPELLED_DOMAIN = re.compile(r'[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]+)+', re.I)
+PLAIN_DOMAIN = re.compile(r'[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+', re.I)
+
+#: Other proposals: kind and pattern. The text must contain a digit.
 PROPOSALS = [
-    ('email', re.compile(r'[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]{1,64}(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]{1,64}){1,4}', re.I)),
-    ('email', re.compile(r'(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,64}(?:(?: dot |\.)[A-Za-z0-9-]{1,64}){1,4}(?![A-Za-z])', re.I)),
     ('phone', re.compile(r'\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])')),
     ('phone', re.compile(r'(?<![0-9.+-])(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-]|\.[0-9])')),
     ('phone', re.compile(r'(?<![0-9+])[0-9]{7,12}(?![0-9])')),
@@ -66,6 +75,8 @@ PROPOSALS = [
     ('ssn', re.compile(r'(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])')),
     ('secret', re.compile(r'(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])')),
 ]
+#: Places of the IPv6 patterns, which need colons.
+GROUPED, COMPRESSED = 4, 5
 #: Names of hexadecimal letters only: with :: between them they look like addresses.
 WORDS = ['Add', 'Bad', 'cafe', 'dead', 'Dad', 'face', 'fade', 'Bee', 'add', 'De']
 HINTS = [re.compile(p, re.I) for p in (
@@ -125,15 +136,27 @@ def proposals(text: str) -> list[Span]:
     """Overlapping spans of all generators; each needs what its pattern cannot do without."""
     digits = DIGIT.search(text) is not None
     low = text.lower()
-    gates = {0: any(mark in low for mark in ('[at]', '(at)', '{at}')), 1: ' at ' in low, 6: digits and text.count(':') >= 4,
-             7: '::' in text}
     found: set[Span] = set()
+    if any(mark in low for mark in ('[at]', '(at)', '{at}', ' at ')):
+        found.update(spelled_addresses(text))
+    gates = {GROUPED: digits and text.count(':') >= 4, COMPRESSED: '::' in text}
     for i, (kind, pattern) in enumerate(PROPOSALS):
         if gates.get(i, digits):
-            found.update((kind, m.start(), m.end()) for m in pattern.finditer(text) if i != 7 or _compressed(m.group()))
+            found.update((kind, m.start(), m.end()) for m in pattern.finditer(text) if i != COMPRESSED or _compressed(m.group()))
     return sorted(found)
 
 
+def spelled_addresses(text: str) -> Iterator[Span]:
+    """E-mail addresses with a spelled-out @, of any length: one walks outward from each mark."""
+    for mark in AT.finditer(text):
+        start = mark.start()
+        while start and text[start - 1] in LOCAL_CHARACTERS:
+            start -= 1
+        domain = (PLAIN_DOMAIN if mark.group().strip().lower() == 'at' else SPELLED_DOMAIN).match(text, mark.end())
+        if domain and start < mark.start():
+            yield 'email', start, domain.end()
+
+
 def _compressed(own: str) -> bool:
     """An IPv6 address with :: that stands for one group or more, and with at least one group written out."""
     return 1 <= sum(map(bool, own.split(':'))) <= 7
@@ -159,6 +182,7 @@ def described(text: str, span: Span) -> list[float]:
                float('-' in own), float('.' in own), float(' ' in own), float(':' in own),
                float(13 <= len(digits) <= 19 and luhn(digits)), float(bool(octets) and max(octets) <= 255),
                float(bool(re.fullmatch('[0-9a-f]+|[0-9A-F]+', own))), float(bool(re.search('[a-z]', own)) and bool(re.search('[A-Z]', own))),
+               float('[' in own or '{' in own), float(bool(re.search(r'\bdot\b', own, re.I))), float(kind == 'ssn' and ssn_ranges(digits)),
                _side(text[start - 1:start]), _side(text[end:end + 1]), float(before.rstrip()[-1:] in ('=', ':')),
                float(text[start - 1:start] in ('"', "'"))]
             + [float(bool(h.search(before))) for h in HINTS])
@@ -186,19 +210,51 @@ def placed(taken: list[tuple[int, int]], span: Span) -> bool:
     return free
 
 
-def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
-    """(text, span in it, label) from one document: its proposals, and rewritten base matches in their places."""
+def ssn_ranges(digits: str) -> bool:
+    """The nine digits lie in ranges that are given out."""
+    return digits[:3] not in ('000', '666') and digits[:1] != '9' and digits[3:5] != '00' and digits[5:] != '0000'
+
+
+NAMED_SECRET = re.compile(r'(?:token|key|secret|password|passwd|auth)\w*\s*[=:]\s*["\']?$', re.I)
+OTHER_NUMBER = re.compile(r'\b(?:order|invoice|version|isbn|issue|page|build|ticket|item|sku|ref|id|no|number)\W{0,3}$|#$', re.I)
+DAY = re.compile(r'(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])')
+
+
+def evidence(text: str, span: Span) -> int | None:
+    """1 or 0 if something besides its form tells whether a proposal is personal data, else None: it stays unlabelled."""
+    kind, start, end = span
+    own, before = text[start:end], text[max(0, start - 40):start]
+    digits = re.sub(r'\D', '', own)
+    if kind == 'secret':
+        if not any(c.isdigit() for c in own):
+            return 0
+        return 1 if NAMED_SECRET.search(before) else None
+    if kind == 'email':
+        # Two sentences with no blank between them.
+        return 0 if re.search(r'[a-z]\.[A-Z][a-z]*\Z', own) and ' at ' in own else None
+    if before[-1:].isalnum() or text[end:end + 1].isalnum() or '_' in (before[-1:], text[end:end + 1]):
+        return 0
+    if OTHER_NUMBER.search(before) or kind == 'card' and not (13 <= len(digits) <= 19 and luhn(digits)) \
+            or kind == 'phone' and DAY.fullmatch(own) or kind == 'ssn' and not ssn_ranges(digits) \
+            or kind == 'ip' and ('.' in own and max(map(int, own.split('.'))) > 255 or '::' in own and not digits):
+        return 0
+    return None
+
+
+def examples(text: str, seed: str, unlabelled: bool = False) -> Iterator[tuple[str, Span, int]]:
+    """(text, span in it, label) from one document: its proposals, and rewritten base matches in their places.
+
+    ``unlabelled`` adds the proposals without a label, as label 2.
+    """
     base, rng = base_spans(text), Random(seed)
     kept, cover = set(base), Cover(base)
     for span in proposals(text):
         if span in kept:
             yield text, span, 1
-        elif span[0] == 'secret':
-            before = text[max(0, span[1] - 40):span[1]]
-            named = re.search(r'(?:token|key|secret|password|passwd|auth)\w*\s*[=:]\s*["\']?$', before, re.I)
-            yield text, span, int(bool(named) and any(c.isdigit() for c in text[span[1]:span[2]]))
         elif not cover.touches(span):
-            yield text, span, 0
+            label = evidence(text, span)
+            if label is not None or unlabelled:
+                yield text, span, 2 if label is None else label
 
     def put(kind: str, start: int, end: int, own: str, label: int) -> tuple[str, Span, int]:
         at = min(start, 60)
@@ -224,6 +280,8 @@ def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
             plain = [''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(rng.randrange(2, 10))) for _ in range(3)]
             yield put('email', start, end, '{} [at] {}.{}'.format(*plain), 1)
             yield put('email', start, end, '{} at {} dot {}'.format(*plain), 1)
+            yield put('email', start, end, '{} at {}.{}'.format(*plain), 0)
+            yield put('email', start, end, '{} at {}.{}'.format(*plain[:2], plain[2].title()), 0)
         elif kind == 'ip':
             yield put('ip', start, end, ':'.join(f'{rng.randrange(65536):x}' for _ in range(8)), 1)
             groups = [f'{rng.randrange(1, 65536):x}' for _ in range(rng.randrange(2, 7))]
@@ -240,7 +298,10 @@ def examples(text: str, seed: str) -> Iterator[tuple[str, Span, int]]:
                 if len(number_) == 16:
                     yield put('card', start, end, ' '.join(number_[i:i + 4] for i in range(0, 16, 4)), label)
                     yield put('card', start, end, '-'.join(number_[i:i + 4] for i in range(0, 16, 4)), label)
-        yield put('ssn', start, end, f'{number(3)}-{number(2)}-{number(4)}', 1)
+        area, group, serial = f'{rng.randrange(1, 666):03d}', f'{rng.randrange(1, 100):02d}', f'{rng.randrange(1, 10000):04d}'
+        yield put('ssn', start, end, f'{area}-{group}-{serial}', 1)
+        never = rng.choice([('000', group, serial), ('666', group, serial), (f'9{number(2)}', group, serial), (area, '00', serial), (area, group, '0000')])
+        yield put('ssn', start, end, '-'.join(never), 0)
         yield put('phone', start, end, number(rng.randrange(7, 13)), 0)
         yield put('phone', start, end, f'{rng.randrange(1900, 2100)}{rng.randrange(1, 13):02d}{rng.randrange(1, 29):02d}', 0)
         yield put('secret', start, end, ''.join(rng.choice('abcdefghijklmnopqrstuvwxyz') for _ in range(rng.randrange(20, 40))), 0)
@@ -276,21 +337,21 @@ def learn(docs: DataFrame, most: int = FIT_EXAMPLES, precision: float = PRECISIO
     Per kind and label the trees get the ``most`` examples whose hash is lowest, of documents outside
     the fold kept back. A document that gave none counts for the thresholds, with all its examples;
     Spark sums them per kind and score bin, so the driver gets at most 2 * 6 * ``most`` examples and
-    6 * 1,202 sums. Equal texts share a fold and count once for the trees. A kind's threshold is the
-    lowest bin from which on at least ``precision`` of its examples are positive, and not under 0.5.
-    A kind without positive examples takes the threshold of all kinds together; one that never gets
-    that precise adds no spans. Both are logged. The result does not depend on the order of the rows.
+    18 * 1,202 sums. Equal texts share a fold and count once for the trees; the draw narrows in steps, so no
+    task sees more than some 130,000 examples. Thresholds: see :func:`thresholds_of`. The result does not
+    depend on the order of the rows.
     """
     texts = docs.select(whole_text().alias('text')).select(leading_bits(F.col('text'), 15).alias('_order'), 'text')
-    rank = F.dense_rank().over(Window.partitionBy('kind', 'label').orderBy('_hash'))
-    rows = (texts.mapInArrow(lambda batches: _drawn(batches, most),
-                             'kind int, label int, _hash bigint, _order bigint, x array<double>')
-            .withColumn('_rank', rank).filter(F.col('_rank') <= most)
-            .dropDuplicates(['kind', 'label', '_hash']).collect())
+    drawn = texts.mapInArrow(lambda batches: _drawn(batches, most), 'kind int, label int, _hash bigint, _order bigint, x array<double>')
+    drawn = drawn.withColumn('_task', F.spark_partition_id())
+    for lots in DRAW_STEPS:
+        rank = F.dense_rank().over(Window.partitionBy('kind', 'label', F.col('_task') % lots).orderBy('_hash'))
+        drawn = drawn.withColumn('_rank', rank).filter(F.col('_rank') <= most).drop('_rank')
+    rows = drawn.dropDuplicates(['kind', 'label', '_hash']).collect()
     rows = sorted((r.kind, r.label, r._hash, r._order, tuple(r.x)) for r in rows)
     trees = boost(np.array([r[4] for r in rows]), np.array([r[1] for r in rows], float))
     fitted = frozenset(r[3] for r in rows)
-    sums = np.zeros((len(KINDS), len(BINS), 2))
+    sums = np.zeros((len(KINDS), len(BINS), 3))
     for r in (texts.mapInArrow(lambda batches: _binned(batches, trees, fitted), 'kind int, bin int, label int, n bigint')
               .groupBy('kind', 'bin', 'label').agg(F.sum('n').alias('n')).collect()):
         sums[r.kind, r.bin, r.label] = r.n
@@ -298,11 +359,26 @@ def learn(docs: DataFrame, most: int = FIT_EXAMPLES, precision: float = PRECISIO
 
 
 def thresholds_of(sums: np.ndarray, precision: float) -> dict[str, float]:
-    """Per kind the threshold, from examples counted by kind, score bin and label; 2 if no bin is precise enough."""
+    """Per kind the threshold, from proposals counted by kind, score bin and label (negative, positive, unlabelled).
+
+    It is the lowest bin, and not under 0.5, from which on two shares reach ``precision``: the positives among
+    the labelled examples, and the estimated ones among the unlabelled. For the latter, the unlabelled
+    proposals are taken as a mixture of positives, which score 0.5 or more, and of negatives spread over
+    the scores as the labelled ones are; so those under 0.5 tell how many negatives there are, and how many
+    of these to expect above a threshold. A kind without positive examples takes the threshold of all kinds
+    together; one that never gets that precise adds no spans (2). Both are logged.
+    """
+    half = int(np.searchsorted(BINS, 0.5))
+
     def lowest(own: np.ndarray) -> float:
         above = own[::-1].cumsum(0)[::-1]
-        good = np.flatnonzero((above[:, 1] > 0) & (above[:, 1] >= precision * above.sum(1)))
-        return max(float(BINS[good[0]]), 0.5) if len(good) else 2.0
+        good = (above[:, 1] > 0) & (above[:, 1] >= precision * above[:, :2].sum(1))
+        if own.shape[1] > 2 and above[0, 2]:
+            low = max(above[0, 0] - above[half, 0], 1.0)
+            negatives = (above[0, 2] - above[half, 2]) / low * above[:, 0]
+            good &= (1 - precision) * above[:, 2] >= np.minimum(negatives, above[:, 2])
+        at = np.flatnonzero(good & (BINS >= 0.5))
+        return float(BINS[at[0]]) if len(at) else 2.0
 
     out = {}
     for kind, own in zip(KINDS, sums):
@@ -347,7 +423,7 @@ def _drawn(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
 
 def _binned(batches: Iterator[pa.RecordBatch], trees: Boosted, fitted: frozenset[int]) -> Iterator[pa.RecordBatch]:
     """Examples of documents that gave the trees none, counted by kind, bin of their score, and label."""
-    sums = np.zeros((len(KINDS), len(BINS), 2), np.int64)
+    sums = np.zeros((len(KINDS), len(BINS), 3), np.int64)
     kinds, labels, x = [], [], []
 
     def count() -> None:
@@ -359,7 +435,7 @@ def _binned(batches: Iterator[pa.RecordBatch], trees: Boosted, fitted: frozenset
     for order, text in _texts(batches):
         if order in fitted:
             continue
-        for around, span, label in examples(text, str(order)):
+        for around, span, label in examples(text, str(order), unlabelled=True):
             kinds.append(KINDS.index(span[0]))
             labels.append(label)
             x.append(described(around, span))
@@ -414,7 +490,8 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """``docs`` with all found spans of ``text`` replaced and ``n_chars``, if there, counted anew.
 
-    Every row and column stays; NULL texts stay NULL.
+    Every row and column stays; NULL texts stay NULL, empty ones empty. Repeated rows are redacted alike; an
+    empty table gives an empty one.
     """
     detector = detector or learn(docs)
 

@@ -327,7 +327,7 @@ def test_spans_of_a_corpus(spark):
     assert clean.columns == docs.columns and clean.count() == docs.count()
     left = [t for t in (r.text or '' for r in clean.collect()) if any(k != 'card' for k, _, _ in plain_spans(t))]
     assert not left and clean.filter('n_chars <> length(text)').count() == 0
-    assert pii.find(cases.empty(spark)).count() == 0
+    assert pii.find(cases.empty(spark)).count() == 0 and pii.redact(cases.empty(spark)).collect() == []
 
 
 def test_rare_kinds_get_trees_and_thresholds(spark):
@@ -344,9 +344,9 @@ def test_rare_kinds_get_trees_and_thresholds(spark):
 def test_thresholds_cover_all_examples_kept_back(spark):
     docs = spark.read.parquet('/root/testdata/sf0.001/documents.parquet').select('doc_id', 'text')
     texts = docs.select(pii.leading_bits(pii.whole_text(), 15), pii.whole_text()).collect()
-    sums = np.zeros((len(pii.KINDS), 2), int)
+    sums = np.zeros((len(pii.KINDS), 3), int)
     for order, text in texts:
-        for _, span, label in pii.examples(text, str(order)):
+        for _, span, label in pii.examples(text, str(order), unlabelled=True):
             sums[pii.KINDS.index(span[0]), label] += 1
     batch = pa.RecordBatch.from_arrays([pa.array([t[0] for t in texts]), pa.array([t[1] for t in texts])], names=['_order', 'text'])
     got = np.zeros_like(sums)
@@ -366,6 +366,67 @@ def test_kind_without_positive_examples_is_not_switched_off():
     assert pii.thresholds_of(sums, 0.98)['ssn'] == 2.0
 
 
+def test_unlabelled_proposals_teach_nothing():
+    text = 'so john [at] mail.com and 555-123-4567 and 123-45-6789 and 2001:db8::1 and ' + 'a1' * 12
+    assert list(pii.examples(text, '1')) == []
+    assert [label for *_, label in pii.examples(text, '1', unlabelled=True)] == [2] * 5
+    refused = 'x20240131y 4111111111111112 20240131 order no. 555-123-4567 000-12-3456 Add::Bad noon at end.Then 1.2.3.999'
+    assert {label for *_, label in pii.examples(refused, '1', unlabelled=True)} == {0}
+
+
+def test_thresholds_count_negatives_among_the_unlabelled():
+    sums = np.zeros((len(pii.KINDS), len(pii.BINS), 3))
+    high, top = int(np.searchsorted(pii.BINS, 0.9)), len(pii.BINS) - 1
+    sums[0, top, 1], sums[0, 5, 0], sums[0, high, 0] = 1000, 980, 15
+    assert pii.thresholds_of(sums, 0.98)['email'] == pii.BINS[int(np.searchsorted(pii.BINS, 0.5))]
+    sums[0, 5, 2], sums[0, high, 2] = 980, 15
+    assert pii.thresholds_of(sums, 0.98)['email'] > pii.BINS[high]
+    sums[0, top, 2] = 5000
+    assert pii.thresholds_of(sums, 0.98)['email'] <= pii.BINS[high]
+
+
+@pytest.mark.parametrize('share', [0.02, 0.25, 0.5])
+def test_other_spellings_are_found_at_any_share(spark, share):
+    rng = random.Random(int(share * 100))
+    names = ['john.doe', 'anna', 'mary_k', 'bob77', 'x.y-z', 'li']
+    rows, want, clean = [], {}, set()
+    for i in range(1500):
+        kind = ['email', 'phone', 'ssn'][i % 3]
+        other = rng.random() < share
+        user, host = rng.choice(names) + str(rng.randrange(99)), f'{rng.choice(["mail", "web", "corp"])}{rng.randrange(9)}.example.com'
+        a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+        if kind == 'ssn' and not other:
+            own = f'{user}@{host}'
+        elif kind == 'ssn':
+            own = f'{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{c}'
+        elif kind == 'email':
+            own = f'{user} [at] {host}' if other else f'{user}@{host}'
+        else:
+            own = f'({a}) {b}-{c}' if other else f'+1 {a} {b} {c}'
+        text = f'{cases.prose(15, i)} write to {own} soon {cases.prose(5, -i)}'
+        if other:
+            want[i] = (kind, text.index(own), text.index(own) + len(own))
+        rows.append((i, text))
+    for i in range(1500, 3000):
+        clean.add(i)
+        rows.append((i, f'{cases.prose(10, i)} we met at noon.Then order no. {rng.randrange(10**8)} of 20240{rng.randrange(1, 10)}11 and '
+                        f'{rng.randrange(10**15, 10**16)} or 1.2.3.{rng.randrange(256, 999)} {cases.prose(5, -i)}'))
+    docs = spark.createDataFrame(rows, 'doc_id long, text string').repartition(6)
+    spans = {r.doc_id: set(filter(None, r.spans.split(','))) for r in pii.find(docs).collect()}
+    found = [i for i, s in want.items() if pii.named([s]) in spans[i]]
+    base = {i: set(filter(None, pii.named(pii.base_spans(t)).split(','))) for i, t in rows}
+    wrong = [x for i in spans for x in spans[i] - base[i] if i in clean or (i not in want) or x != pii.named([want[i]])]
+    assert len(found) >= 0.9 * len(want)
+    assert len(wrong) <= 0.02 * max(50, len(found)), wrong[:20]
+
+
+def test_long_spelled_addresses_are_proposed_whole():
+    for user, host in (('u' * 300, 'mail.com'), ('a', 'h' * 200 + '.' + '.'.join('d' * 70 for _ in range(9)) + '.org')):
+        for mark in (' [at] ', '(at)', ' at ', '{AT}'):
+            own = user + mark + host
+            assert ('email', 4, 4 + len(own)) in pii.proposals(f'so, {own}, is it'), own
+
+
 @pytest.mark.parametrize('kind, own', [
     ('email', 'john [At] mail.com'), ('email', 'john at host.com'), ('email', 'JOHN AT HOST DOT COM'), ('email', 'john At mail Dot com'),
     ('ip', '2001:db8::1'), ('ip', 'fe80::1'), ('ip', '::1'), ('ip', '2001:db8::'), ('ip', '2001:0db8:0:0:0:0:0:1'),
