@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from codefindings.llm.common import stored
+from codefindings.llm.common import join_by_key, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -12,8 +12,14 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step hangs neighbours on the smallest node they can see and is written to the shared
     folder; the loop ends when a step changes nothing, after about log(longest path) steps. A node
-    with very many links is one row per link and is summed before the shuffle.
+    with very many links is one row per link: its smallest neighbour is found by partial sums and given
+    back to its rows where they are.
     """
+    def with_least(rows: DataFrame, least: Column) -> DataFrame:
+        """Rows (u, v) with m, the smallest of their u's ``least``."""
+        facts = stored(rows.groupBy(F.col('u').alias('_u')).agg(least.alias('m'), F.count(F.lit(1)).alias('n')), 'least')
+        return join_by_key(rows, facts, 'u', '_u', 'n').drop('n')
+
     edges = links.select(F.greatest('a', 'b').alias('u'), F.least('a', 'b').alias('v')).filter('u > v').distinct()
     state, before = stored(edges, 'links'), None
     while True:
@@ -22,11 +28,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = mark
         both = state.unionByName(state.select(F.col('v').alias('u'), F.col('u').alias('v')))
-        least = both.groupBy('u').agg(F.min('v').alias('m')).select(F.col('u').alias('_u'), F.least('u', 'm').alias('m'))
-        large = (both.join(least, F.col('u') == F.col('_u')).filter('v > u')
-                 .select(F.col('v').alias('u'), F.col('m').alias('v')).distinct())
-        least = large.groupBy('u').agg(F.min('v').alias('m')).withColumnRenamed('u', '_u')
-        small = (large.join(least, F.col('u') == F.col('_u'))
+        large = stored(with_least(both, F.min(F.least('u', 'v'))).filter('v > u')
+                       .select(F.col('v').alias('u'), F.col('m').alias('v')).distinct(), 'large')
+        small = (with_least(large, F.min('v'))
                  .select(F.explode(F.array(F.struct(F.col('v').alias('u'), F.col('m').alias('v')),
                                            F.struct(F.col('u').alias('u'), F.col('m').alias('v')))).alias('e'))
                  .select('e.*').filter('u > v').distinct())

@@ -25,9 +25,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from codefindings.llm.common import doc_id, documents, stored, whole_text
+from codefindings.llm.common import doc_id, documents, join_by_key, stored, whole_text
 from codefindings.llm.components import components
 from codefindings.llm.registry import query
 from codefindings.llm.words import buffer_of, distinct, mixed, shingle_hashes, slices, word_hashes
@@ -206,7 +206,8 @@ def verified_links(docs: DataFrame, members: DataFrame, how: Likeness) -> DataFr
     """(a, b): digests of sets in one cluster; a forest over all pairs that reach the threshold.
 
     ``members`` (id, text_hash, digest, cluster, weight) names one document per set. It goes to the
-    texts as a broadcast if it has at most ``BROADCAST_ROWS`` rows, else as a shuffled join.
+    texts as a broadcast if it has at most ``BROADCAST_ROWS`` rows; beyond that whole texts are shuffled to it,
+    as they are at a hundred times the size of the tests.
     """
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
@@ -297,12 +298,12 @@ def groups(docs: DataFrame, how: Likeness) -> DataFrame:
     full = rows.filter('signature IS NOT NULL')
     classes = stored(full.groupBy('digest').agg(
         F.min(F.struct(F.col('doc_id').isNull(), F.col('doc_id').alias('id'), 'text_hash')).alias('one'),
-        F.first('n_shingles').alias('n_shingles'), F.first('signature').alias('signature'))
-        .select('digest', 'one.id', 'one.text_hash', 'n_shingles', 'signature', F.xxhash64('signature').alias('node')),
+        F.first('n_shingles').alias('n_shingles'), F.first('signature').alias('signature'), F.count(F.lit(1)).alias('copies'))
+        .select('digest', 'one.id', 'one.text_hash', 'n_shingles', 'signature', 'copies', F.xxhash64('signature').alias('node')),
         'near-classes')
     nodes = classes.select('node', 'signature').dropDuplicates(['node'])
     near = components(candidate_links(nodes, how))
-    placed = (classes.drop('signature').join(near, 'node', 'left')
+    placed = (classes.drop('signature', 'copies').join(near, 'node', 'left')
               .withColumn('cluster', F.coalesce('component', 'node')).drop('component', 'node'))
     weights = (placed.groupBy('cluster').agg(F.count(F.lit(1)).alias('n'), F.sum('n_shingles').alias('total'))
                .filter('n > 1')
@@ -310,9 +311,18 @@ def groups(docs: DataFrame, how: Likeness) -> DataFrame:
     members = stored(placed.join(weights, 'cluster').select('id', 'text_hash', 'digest', 'cluster', 'weight'),
                      'near-members')
     joined = components(verified_links(docs, members, how))
-    return (rows.drop('signature').join(joined.withColumnRenamed('node', '_node'), F.col('digest') == F.col('_node'), 'left')
-            .withColumn('group', F.when(F.col('n_shingles') > 0, F.coalesce('component', 'digest')))
-            .drop('_node', 'component'))
+    named = stored(classes.select(F.col('digest').alias('_digest'), 'copies')
+                   .join(joined.withColumnRenamed('node', '_node'), F.col('_digest') == F.col('_node'), 'left')
+                   .select('_digest', 'copies', F.coalesce('component', '_digest').alias('group')), 'near-named')
+    rows = rows.drop('signature')
+    placed_rows = join_by_key(rows.filter('n_shingles > 0'), named, 'digest', '_digest', 'copies').drop('copies')
+    return placed_rows.unionByName(rows.filter('n_shingles = 0'), allowMissingColumns=True)
+
+
+def with_group_facts(rows: DataFrame, *facts: Column) -> DataFrame:
+    """``rows`` that have a group, with facts aggregated over it; rows of large groups stay where they are."""
+    per_group = stored(rows.groupBy(F.col('group').alias('_group')).agg(*facts, F.count(F.lit(1)).alias('n')), 'near-facts')
+    return join_by_key(rows, per_group, 'group', '_group', 'n')
 
 
 def near_duplicates(docs: DataFrame, how: Likeness) -> DataFrame:
@@ -322,12 +332,10 @@ def near_duplicates(docs: DataFrame, how: Likeness) -> DataFrame:
     count last, so it is NULL only if all ids of the component are. ``kept``: the row has that id.
     """
     rows = stored(groups(docs, how), 'near-groups')
-    least = rows.filter('group IS NOT NULL').groupBy('group').agg(F.min('doc_id').alias('_least')) \
-        .withColumnRenamed('group', '_group')
-    named = rows.join(least, F.col('group') == F.col('_group'), 'left').withColumn(
-        'component_id', F.when(F.col('group').isNull(), F.col('doc_id')).otherwise(F.col('_least')))
-    return named.select('doc_id', 'n_shingles', 'component_id',
-                        F.col('doc_id').eqNullSafe(F.col('component_id')).alias('kept'))
+    grouped = with_group_facts(rows.filter('group IS NOT NULL'), F.min('doc_id').alias('component_id')).drop('n')
+    alone = rows.filter('group IS NULL').withColumn('component_id', F.col('doc_id'))
+    return grouped.unionByName(alone).select('doc_id', 'n_shingles', 'component_id',
+                                             F.col('doc_id').eqNullSafe(F.col('component_id')).alias('kept'))
 
 
 def one_of_each(docs: DataFrame, how: Likeness) -> DataFrame:
@@ -339,9 +347,7 @@ def one_of_each(docs: DataFrame, how: Likeness) -> DataFrame:
     """
     rows = stored(groups(docs, how).filter('group IS NOT NULL'), 'near-groups')
     who = F.struct(F.col('doc_id').isNull(), F.col('doc_id').alias('id'), F.col('text_hash').alias('hash'))
-    best = rows.groupBy('group').agg(F.min(who).alias('best'), F.count(F.lit(1)).alias('n')).filter('n > 1')
-    best = best.withColumnRenamed('group', '_group')
-    crowd = rows.join(best, F.col('group') == F.col('_group'))
+    crowd = with_group_facts(rows, F.min(who).alias('best')).filter('n > 1')
     same = F.col('doc_id').eqNullSafe(F.col('best.id')) & (F.col('text_hash') == F.col('best.hash'))
     leave = stored(crowd.groupBy(F.col('doc_id').alias('_id'), F.col('text_hash').alias('_hash'))
                    .agg(F.bool_and(same).alias('_stays'), F.count(F.lit(1)).alias('_n'))

@@ -180,3 +180,22 @@ def test_license_files_with_and_without_heading(spark):
     got = {r.doc_id: r.license for r in licenses.scan(frame, licenses.known_digests(spark)).collect()}
     assert [got[i] for i in range(len(texts))] == [want for want, _ in texts]
     assert {'Apache-2.0', 'GPL-2.0', 'GPL-3.0', 'LGPL-3.0', 'MPL-2.0', 'BSD-3-Clause', 'Unlicense', 'CC0-1.0', 'CC-BY-SA-4.0'} <= set(got.values())
+
+
+@pytest.mark.parametrize('broadcast', [200_000, 0])
+def test_one_group_of_half_the_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(neardup, 'BROADCAST_ROWS', broadcast)
+    text = cases.prose(150, 1)
+    rows = [(i, cases.changed(text, 75, i) if i % 2 else text) for i in range(600)] + [(1000 + i, cases.prose(60, i)) for i in range(600)]
+    frame = spark.createDataFrame(rows, 'doc_id long, text string').repartition(7)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame, neardup.Likeness()).collect()}
+    assert got == {i: 0 if i < 600 else i for i, _ in rows}
+    assert sorted(r.doc_id for r in neardup.one_of_each(frame, neardup.Likeness()).collect()) == [0, *range(1000, 1600)]
+
+
+def test_components_of_hubs_and_chains(spark):
+    links = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(9000, 8000), (8000, 9000), (7, 7)]
+    found = components.components(spark.createDataFrame(links, 'a long, b long').repartition(5)).collect()
+    want = {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5041)} | {8000: 8000, 9000: 8000}
+    assert {r.node: r.component for r in found} == want and len(found) == len(want)
+    assert components.components(spark.createDataFrame([], 'a long, b long')).count() == 0
