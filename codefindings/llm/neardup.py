@@ -303,12 +303,12 @@ def groups(docs: DataFrame, how: Likeness) -> DataFrame:
         'near-classes')
     nodes = classes.select('node', 'signature').dropDuplicates(['node'])
     near = components(candidate_links(nodes, how))
-    placed = (classes.drop('signature', 'copies').join(near, 'node', 'left')
-              .withColumn('cluster', F.coalesce('component', 'node')).drop('component', 'node'))
+    placed = stored(classes.drop('signature', 'copies').join(near, 'node', 'left')
+                    .withColumn('cluster', F.coalesce('component', 'node')).drop('component', 'node'), 'near-placed')
     weights = (placed.groupBy('cluster').agg(F.count(F.lit(1)).alias('n'), F.sum('n_shingles').alias('total'))
                .filter('n > 1')
-               .select('cluster', F.greatest(F.col('n') / BLOCK_ROWS, F.col('total') / BLOCK_SHINGLES).alias('weight')))
-    members = stored(placed.join(weights, 'cluster').select('id', 'text_hash', 'digest', 'cluster', 'weight'),
+               .select(F.col('cluster').alias('_cluster'), 'n', F.greatest(F.col('n') / BLOCK_ROWS, F.col('total') / BLOCK_SHINGLES).alias('weight')))
+    members = stored(join_by_key(placed, stored(weights, 'near-weights'), 'cluster', '_cluster', 'n').select('id', 'text_hash', 'digest', 'cluster', 'weight'),
                      'near-members')
     joined = components(verified_links(docs, members, how))
     named = stored(classes.select(F.col('digest').alias('_digest'), 'copies')
