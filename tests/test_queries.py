@@ -24,5 +24,9 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+# Nesting and block ends have no SQL: tests/test_pysource.py holds them against Python's own parser.
+WITHOUT_SQL = {'py_structure'}
+
+
 def test_everything_has_sql():
-    assert set(QUERIES) == set(catalog.oracle_sql())
+    assert set(QUERIES) - WITHOUT_SQL == set(catalog.oracle_sql())
