@@ -364,9 +364,9 @@ def sink_alerts(spark, sf):
 
 # ---- streams -------------------------------------------------------------------------------
 def stream(spark, sf, name):
-    """The table as a file stream."""
+    """The table as a file stream. A table is one file or a folder of part files: a file stream takes both by a glob only."""
     schema = b.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option('pathGlobFilter', f'{name}.parquet').parquet(sf)
+    return spark.readStream.schema(schema).parquet(f'{sf}/{{{name}}}.parquet')
 
 
 def _run(spark, df, mode='append', sink=None):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from codefindings import catalog
 from codefindings.operators import ranking, scan
 from codefindings.streaming import jobs
 
@@ -102,3 +103,12 @@ def test_open_windows_are_read_back(spark, tmp_path):
     trend = jobs.severity_trend(source(spark, str(tmp_path / 'in'), 'ts timestamp, severity string'))
     jobs.run_available(trend, jobs.append_versions(str(tmp_path / 'out')), str(tmp_path / 'state'), 'update')
     assert sum(r.n for r in jobs.newest_versions(spark, str(tmp_path / 'out'), ['start', 'severity']).collect()) == 12
+
+
+def test_table_in_part_files_is_streamed_whole(spark, sf, tmp_path):
+    for name in ('documents', 'events'):
+        spark.read.parquet(f'{sf}/{name}.parquet').repartition(3).write.parquet(f'{tmp_path}/{name}.parquet')
+    for query in ('stream_scan', 'stream_latest_status'):
+        run = catalog.queries()[query]
+        got, want = (sorted(map(str, run(spark, folder).collect())) for folder in (str(tmp_path), sf))
+        assert got == want and got
