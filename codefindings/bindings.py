@@ -309,8 +309,8 @@ def _sql_template(text: str) -> str:
 
 
 def manifests(spark, sf) -> DataFrame:
-    """repo, manifest (path), filename, content: one manifest per part."""
-    p = table(spark, sf, 'part')
+    """repo, manifest (path), filename, content: one manifest per part, dealt to all cores as in :func:`code_files_of`."""
+    p = table(spark, sf, 'part').repartition(2 * spark.sparkContext.defaultParallelism, 'p_partkey')
     kind = F.col('p_partkey') % len(MANIFEST_NAMES)
     content = F.when(F.lit(False), '')
     for i, text in enumerate(MANIFEST_TEXTS):

@@ -128,9 +128,7 @@ def score_file(spark, sf):
 
 
 def dependency_risk(spark, sf):
-    hits = dependencies.advisories_for(dependencies.all_dependencies(b.manifests(spark, sf)),
-                                       b.advisories(spark, sf))
-    return dependencies.risk_by_repo(hits)
+    return dependencies.risk_by_repo(dependencies.all_dependencies(b.manifests(spark, sf)), b.advisories(spark, sf))
 
 
 @query('score_report', sql=with_sql(SCANS_SQL, body="""

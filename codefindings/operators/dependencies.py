@@ -134,13 +134,18 @@ def advisories_for(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     first; ranges become versions by :func:`intervals.meet`. Spark picks broadcast or sort-merge by size and
     splits skewed keys at run time.
     """
+    return dependencies.join(_by_version(dependencies, advisories), ['ecosystem', 'name', 'version'])
+
+
+def _by_version(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Facts of the advisories, a row per version they are about, '*' included; of ranges the versions in use only."""
     facts = ['ecosystem', 'name', 'id', 'summary', 'severity']
     known = advisories.withColumn('severity', cvss_bucket(F.col('severity')))
     listed = rows_of(known.withColumn('versions', F.array_union(
         F.coalesce('versions', F.expr('CAST(array() AS ARRAY<STRING>)')), F.array(F.lit(ANY_VERSION)))), facts, F.col('versions'), 'version')
     if 'ranges' in advisories.columns:
         listed = listed.unionByName(_in_ranges(dependencies, known, facts)).distinct()
-    return dependencies.join(listed, ['ecosystem', 'name', 'version'])
+    return listed
 
 
 def _in_ranges(dependencies: DataFrame, known: DataFrame, facts: list[str]) -> DataFrame:
@@ -156,6 +161,13 @@ def _in_ranges(dependencies: DataFrame, known: DataFrame, facts: list[str]) -> D
             .select(*facts, 'version').distinct())
 
 
-def risk_by_repo(hits: DataFrame, key: str = 'repo') -> DataFrame:
-    return hits.groupBy(key).agg(
-        F.sum(risk_weight(F.col('severity'))).cast('bigint').alias('dependency_risk'))
+def risk_by_repo(dependencies: DataFrame, advisories: DataFrame, key: str = 'repo') -> DataFrame:
+    """Summed risk weight of the advisories of each dependency, as :func:`advisories_for` finds them; ``key`` with hits only.
+
+    The hits grow with dependencies times advisories of a package, so they are not made: weights are summed per
+    version and dependencies counted per ``key`` and version before the two meet.
+    """
+    version = ['ecosystem', 'name', 'version']
+    weights = _by_version(dependencies, advisories).groupBy(*version).agg(F.sum(risk_weight(F.col('severity'))).alias('weight'))
+    uses = dependencies.groupBy(key, *version).agg(F.count(F.lit(1)).alias('n'))
+    return uses.join(weights, version).groupBy(key).agg(F.sum(F.col('n') * F.col('weight')).cast('bigint').alias('dependency_risk'))

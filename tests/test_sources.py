@@ -209,3 +209,20 @@ def test_ranges_meet_versions(spark):
     assert got == want and len(want) > 500
     assert dependencies.advisories_for(deps_.limit(0), advisories).count() == 0
     assert dependencies.advisories_for(deps_, advisories.limit(0)).count() == 0
+
+
+def test_risk_is_summed_without_making_the_hits(spark):
+    found = [('r1', 'm', 'npm', 'p', v) for v in ['1.0'] * 300 + ['1.1', '*', 'odd']] + [('r2', 'm', 'npm', 'p', '1.1'), ('r3', 'm', 'npm', 'q', '1.0')]
+    deps_ = spark.createDataFrame(found, 'repo string, manifest string, ecosystem string, name string, version string')
+    known = [(f'A{i}', 'npm', 'p', ['1.0'], [('1.1', None)] if i % 3 else None, [('CVSS_V3', '9.8' if i % 2 else '4.5')], 's') for i in range(200)]
+    advisories = spark.createDataFrame(known, 'id string, ecosystem string, name string, versions array<string>, ranges array<struct<introduced:string,'
+                                       'fixed:string>>, severity array<struct<type:string,score:string>>, summary string')
+    for some in (advisories, advisories.drop('ranges')):
+        risk = dependencies.risk_by_repo(deps_, some)
+        hits = Counter()
+        for r in dependencies.advisories_for(deps_, some).collect():
+            hits[r.repo] += {'CRITICAL': 10, 'MEDIUM': 2}[r.severity]
+        assert {r.repo: r.dependency_risk for r in risk.collect()} == hits and hits['r1'] > 300 * 200
+        plan = risk._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.index('Join Inner'):]
+        assert 'Aggregate [repo' in below and 'Aggregate [ecosystem' in below
