@@ -50,7 +50,9 @@ def translated(pattern: str, classes: dict[str, str], inside: dict[str, str]) ->
         if two[0] == '\\':
             table = classes if start < 0 else inside
             if two == r'\b' and start < 0 and re.match('[A-Za-z0-9_]', rest):
-                out.append(table.get('word_begins', two))
+                # The literal is looked at first: the look behind would else be tried at every character.
+                ahead = '' if re.match('.[?*{]', rest) else f'(?={rest[0]})'
+                out.append(ahead + table['word_begins'] if 'word_begins' in table else two)
             elif start >= 0 and two in (r'\W', r'\S', r'\D') and pattern[start:start + 2] == '[^':
                 raise UnsupportedPattern(f'{two} in a negated class: {pattern}')
             else:

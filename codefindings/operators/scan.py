@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +77,30 @@ _FOLDING = ('\u0130\u0131\u017f\u212a', 'iisk')
 
 def folded(text: Column) -> Column:
     """Text in which every character that equals an ASCII letter ignoring case is that letter."""
-    return F.lower(F.translate(text, *_FOLDING))
+    some = reduce(or_, [F.contains(text, F.lit(c)) for c in _FOLDING[0]])
+    return F.lower(F.when(some, F.translate(text, *_FOLDING)).otherwise(text))
 
 
-def match_counts(text: Column, pattern: Column) -> Column:
+def run_test(rule: Rule) -> str | None:
+    """For a rule that is nothing but a run of ASCII letters and digits: what a folded text it matches holds, else None.
+
+    A run is tried from its beginning only. The rule's own pattern tries it from each of its characters.
+    """
+    shape = re.fullmatch(r'\[((?:a-z|A-Z|0-9)+)\]\{(\d+)(?:,\d*)?\}', rule.pattern)
+    if not shape or not rule.ignore_case or not re.search('[a-zA-Z]', shape[1]):
+        return None
+    kind = shape[1].lower()
+    return f'(?<![{kind}])[{kind}]{{{shape[2]}}}'
+
+
+def match_counts(text: Column, pattern: Column, text_lines: Column | None = None) -> Column:
     """Array with the number of matches starting on each line."""
     marked = F.split(F.regexp_replace(text, pattern, F.lit('\x01$0')), '\n', -1)
-    return F.zip_with(lines(text), marked, lambda plain, mark: F.length(mark) - F.length(plain))
+    return F.zip_with(lines(text) if text_lines is None else text_lines, marked, lambda plain, mark: F.length(mark) - F.length(plain))
 
 
 def _hits_of(text: Column, rule: Column, text_lines: Column) -> Column:
-    numbered = F.transform(match_counts(text, rule['pattern']), lambda n, i: F.struct(
+    numbered = F.transform(match_counts(text, rule['pattern'], text_lines), lambda n, i: F.struct(
         (i + 1).alias('line_number'), n.alias('n_matches')))
     return F.transform(F.filter(numbered, lambda x: x['n_matches'] > 0), lambda x: F.struct(
         rule['rule_id'].alias('rule_id'), x['line_number'].cast('bigint').alias('line_number'),
@@ -155,18 +170,28 @@ class Literals:
 
 
 def candidates(rules: list[Rule], text: Column, language: Column) -> Column:
-    """The ids of the rules of the file's language all of whose literals the text holds."""
+    """The ids of the rules of the file's language all of whose literals, or whose run, the text holds."""
     literals = Literals(rules)
     tests = rule_array(rules, rule_id=lambda r: r.rule_id, language=lambda r: r.language)
     groups = literal_array('CAST(array(' + ', '.join(map(_sql, (literals.ways(n) for n in r.needles if n))) + ') AS array<array<string>>)'
                            for r in rules)
 
-    def those(held):
-        may = F.zip_with(tests, groups, lambda r, ways: F.when(
-            (r['language'].isNull() | (r['language'] == F.lower(language)))
-            & F.forall(ways, lambda some: F.arrays_overlap(held, some)), r['rule_id']))
-        return F.filter(may, lambda i: i.isNotNull())
-    return bind(bind(folded(text), literals.held), those)
+    runs: dict[str, list[int]] = {}
+    for r in rules:
+        if run_test(r):
+            runs.setdefault(run_test(r), []).append(r.rule_id)
+
+    def those(low):
+        def of(held):
+            may = F.zip_with(tests, groups, lambda r, ways: F.when(
+                (r['language'].isNull() | (r['language'] == F.lower(language)))
+                & F.forall(ways, lambda some: F.arrays_overlap(held, some)), r['rule_id']))
+            found = F.filter(may, lambda i: i.isNotNull())
+            for pattern, ids in runs.items():
+                found = F.when(F.rlike(low, F.lit(pattern)), found).otherwise(F.array_except(found, literal_array(map(str, ids))))
+            return found
+        return bind(literals.held(low), of)
+    return bind(folded(text), those)
 
 
 def _places_of(rules: list[Rule]):
@@ -209,18 +234,21 @@ def _per_file(files: DataFrame, rules: list[Rule], keep: Iterable[str]) -> DataF
 
         def found(ids):
             wanted = F.filter(patterns, lambda r: F.array_contains(ids, r['rule_id']) & F.rlike(text, r['pattern']))
-            return bind(lines(text), lambda text_lines: F.flatten(F.transform(wanted, lambda r: _hits_of(text, r, text_lines))))
+            return bind(wanted, lambda some: F.when(F.size(some) == 0, hits).otherwise(bind(lines(text), lambda text_lines: F.flatten(
+                F.transform(some, lambda r: _hits_of(text, r, text_lines))))))
         # Bound, as the optimizer would put a column's expression into the filter, once per rule.
-        hits = bind(F.col('_may') if linear else may, found)
+        matched = bind(F.col('_may') if linear else may, found)
+    else:
+        matched = hits
     if not linear:
-        return files.select(*keep, hits.alias('hits'))
+        return files.select(*keep, matched.alias('hits'))
     tried = files.select(*dict.fromkeys([*keep, 'content']), may.alias('_may'))
     some = F.arrays_overlap('_may', literal_array(str(r.rule_id) for r in linear))
     tried = tried.withColumn('_places', _places_of(linear)(F.when(some, text), F.when(some, F.col('_may'))))
     more = bind(lines(text), lambda text_lines: F.transform('_places', lambda p: F.struct(
         p['rule_id'].cast('int').alias('rule_id'), p['line_number'].alias('line_number'), p['n_matches'].alias('n_matches'),
         strip(F.element_at(text_lines, p['line_number'].cast('int'))).alias('code_snippet'))))
-    return tried.select(*keep, F.when(F.col('_places').isNull(), hits).otherwise(F.concat(hits, more)).alias('hits'))
+    return tried.select(*keep, F.when(F.col('_places').isNull(), matched).otherwise(F.concat(matched, more)).alias('hits'))
 
 
 def hits(files: DataFrame, rules: Iterable[Rule] | None = None, keep: Iterable[str] = ('path',)) -> DataFrame:

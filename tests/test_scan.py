@@ -190,3 +190,14 @@ def test_captures_equal_python(spark):
     want = Counter((p, next(g for g in m.groups() if g), t.count('\n', 0, m.start()) + 1)
                    for p, t in rows for m in re.finditer(structure.JS_FUNCTION, t))
     assert got == want
+
+
+def test_runs_and_words_are_tried_where_they_begin(spark):
+    run = [r for r in enabled_rules() if scan.run_test(r)]
+    assert [r.pattern for r in run] == ['[a-zA-Z0-9]{32,}']
+    texts = ['x' * 31, 'é' + 'A1' * 16 + '!', 'ſK' + 'a' * 30, 'a' * 20 + '_' + 'a' * 20, 'zz ' + 'b' * 40 + '\n' + 'c' * 64, '', None]
+    files = spark.createDataFrame([(str(i), 'go', t) for i, t in enumerate(texts)], 'path string, language string, content string')
+    may = {r.path: r.may for r in files.select('path', scan.candidates(run, F.col('content'), F.col('language')).alias('may')).collect()}
+    assert [p for p, ids in may.items() if ids] == ['1', '2', '4']
+    assert sorted((r.path, r.line_number) for r in scan.findings(files, run).collect()) == [('1', 1), ('2', 1), ('4', 1), ('4', 2)]
+    assert java_pattern(r'\beval').startswith('(?d)(?=e)') and '(?=' not in java_pattern(r'\bx?y')
