@@ -105,3 +105,11 @@ def test_structure_of_files(spark):
     got = [(r.path, r.kind, r.name, r.line_end, r.parent, r.args, r.bases, r.alias, r.ord) for r in pysource.structure(files).collect()]
     assert got == [('a', 'class', 'A', 2, None, None, ['B'], None, 1), ('a', 'function', 'f', 2, 'A', ['self', 'x'], None, None, 2),
                    ('a', 'import', 'a', 1, None, None, None, 'b', 1)]
+
+
+def test_from_import_ends_an_open_bracket():
+    text = 'call +1 (8\nfrom pickle import loads\nfrom . import sibling\nlist[1 (\nfrom ..a import b\nimport os\n'
+    assert [(s['name'], s['imported'], s['line_start']) for s in pysource.symbols(text)] == [
+        ('pickle', 'loads', 2), ('.', 'sibling', 3), ('..a', 'b', 5), ('os', None, 6)]
+    inside = 'def f():\n    x = (yield\n         from g(a,\n from_import))\n    import os\n'
+    assert [(s['kind'], s['line_start']) for s in pysource.symbols(inside)] == [('function', 1), ('import', 5)]
