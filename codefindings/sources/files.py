@@ -11,6 +11,10 @@ from codefindings.operators.snapshots import only_changed
 from codefindings.sources import trees
 from codefindings.sources.scratch import checkpointed
 
+#: Rows handed to Python at a time when contents are decoded.
+DECODE_ROWS = 500
+_BATCH = 'spark.sql.execution.arrow.maxRecordsPerBatch'
+
 
 def marked(files: DataFrame, keys=('repo',), variant: str = 'repository', max_file: int | None = None,
            max_tree: int | None = None) -> DataFrame:
@@ -100,8 +104,11 @@ def decode(df: DataFrame) -> DataFrame:
     """bytes ``content`` -> ``text`` and ``encoding``: UTF-8, else UTF-16, else Latin-1.
 
     Valid UTF-8 is decoded in the JVM; only the other contents are handed to Python, in the same
-    pass. There UTF-16 follows the byte order mark and, without one, little-endian order.
+    pass. There UTF-16 follows the byte order mark and, without one, little-endian order. From now on the
+    session hands at most ``DECODE_ROWS`` rows to Python at a time: whole files may be long.
     """
+    conf = df.sparkSession.conf
+    conf.set(_BATCH, str(min(DECODE_ROWS, int(conf.get(_BATCH)) if int(conf.get(_BATCH)) > 0 else DECODE_ROWS)))
     tried = df.withColumn('_utf8', F.try_validate_utf8(F.col('content').cast('string')))
     rest = tried.withColumn('_other', _fallback(F.when(F.col('_utf8').isNull(), F.col('content'))))
     return (rest.withColumn('text', F.coalesce('_utf8', '_other.text'))

@@ -226,3 +226,12 @@ def test_risk_is_summed_without_making_the_hits(spark):
         plan = risk._jdf.queryExecution().optimizedPlan().toString()
         below = plan[plan.index('Join Inner'):]
         assert 'Aggregate [repo' in below and 'Aggregate [ecosystem' in below
+
+
+def test_contents_are_decoded_in_small_batches(spark):
+    rows = [(i, ('é' * 50).encode('latin-1') + b'x') for i in range(1200)]
+    frame = spark.createDataFrame(rows, 'i int, content binary').coalesce(1)
+    spark.conf.set('spark.sql.execution.arrow.maxRecordsPerBatch', '10000')
+    text = sources.decode(frame)
+    assert int(spark.conf.get('spark.sql.execution.arrow.maxRecordsPerBatch')) <= 500
+    assert {(r.text, r.encoding) for r in text.collect()} == {('é' * 50 + 'x', 'latin-1')}
