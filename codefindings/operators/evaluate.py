@@ -99,8 +99,10 @@ def match(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     sizes = rows.groupBy(*own).agg(F.count(F.lit(1)).alias('n'), F.min('side').alias('a'), F.max('side').alias('b')).filter('a < b')
     rows = rows.join(sizes.select(*own, 'n'), own)
     parts = int(rows.sparkSession.conf.get('spark.sql.shuffle.partitions'))
+    # Dealt by a hash of the island, not by its columns: the join above is dealt by those, so Spark would leave this
+    # shuffle out and might then read the join's rows by mapper, which tears islands apart.
     dealt = (rows.filter(F.col('n') <= ISLAND_ROWS).select(*own, 'side', 'file', 'line', 'ord', 'truth_ord')
-             .repartition(parts, *own).sortWithinPartitions(*own, 'side', 'truth_ord', 'ord'))
+             .repartition(parts, F.xxhash64(*own)).sortWithinPartitions(*own, 'side', 'truth_ord', 'ord'))
     kinds = dict(dealt.dtypes)
     matched = dealt.mapInArrow(_greedy, f"ord {kinds['ord']}, truth_ord {kinds['truth_ord']}")
     large = checkpointed(rows.filter(F.col('n') > ISLAND_ROWS))

@@ -82,6 +82,13 @@ def test_long_chains_and_large_islands_equal_greedy(spark, monkeypatch, most):
     assert {r.ord: r.truth_ord for r in evaluate.match(p, g).collect()} == want and len(want) > n / 2
 
 
+def test_islands_are_dealt_by_a_shuffle_of_their_own(spark, capsys):
+    # Without it the rows come straight from the join with the sizes, which Spark may read by mapper at run time.
+    evaluate.match(*frames(spark, [('a.py', 'X', 5)], [('a.py', 'X', 5)])).explain()
+    plan = capsys.readouterr().out
+    assert 'MapInArrow _greedy' in plan and 'REPARTITION_BY_NUM' in plan
+
+
 def test_hot_place(spark):
     preds = [('a.py', 'X', 5)] * 60 + [('a.py', 'X', 6)] * 10
     check(spark, preds, [('a.py', 'X', 5)] * 40)
