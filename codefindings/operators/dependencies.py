@@ -131,10 +131,11 @@ def advisories_for(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     first on, before the second; a NULL is open, and introduced '0' too. Versions that are none, such as
     '^1.2', are met by lists only. Duplicated dependencies give duplicated hits. Listed versions, and '*' for
     all, become join keys, so a widely used package with many advisories is not paired with all of them
-    first; ranges become versions by :func:`intervals.meet`. Spark picks broadcast or sort-merge by size and
-    splits skewed keys at run time.
+    first; ranges become versions by :func:`intervals.meet`. The join is a sort-merge, which spills and which Spark
+    splits at skewed keys at run time: by size it would broadcast a row per advisory and version, as its estimate
+    does not count what ``explode`` adds.
     """
-    return dependencies.join(_by_version(dependencies, advisories), ['ecosystem', 'name', 'version'])
+    return dependencies.join(_by_version(dependencies, advisories).hint('merge'), ['ecosystem', 'name', 'version'])
 
 
 def _by_version(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:

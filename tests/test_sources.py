@@ -211,6 +211,18 @@ def test_ranges_meet_versions(spark):
     assert dependencies.advisories_for(deps_, advisories.limit(0)).count() == 0
 
 
+def test_advisories_are_not_broadcast_by_version(spark, capsys):
+    # One short row holds versions that make many rows, so its size says nothing about the join's.
+    deps_ = spark.createDataFrame([('r', 'm', 'npm', 'a', '1.7')], 'repo string, manifest string, ecosystem string, name string, version string')
+    advisories = spark.range(2).selectExpr("concat('A', id) AS id", "'npm' AS ecosystem", "'a' AS name", "transform(sequence(0, 999), i -> concat('1.', i)) AS versions",
+                                           "CAST(NULL AS array<struct<type: string, score: string>>) AS severity", "'s' AS summary")
+    found = dependencies.advisories_for(deps_, advisories)
+    assert found.count() == 2
+    found.explain()
+    plan = capsys.readouterr().out
+    assert 'SortMergeJoin' in plan and 'BroadcastHashJoin' not in plan
+
+
 def test_risk_is_summed_without_making_the_hits(spark):
     found = [('r1', 'm', 'npm', 'p', v) for v in ['1.0'] * 300 + ['1.1', '*', 'odd']] + [('r2', 'm', 'npm', 'p', '1.1'), ('r3', 'm', 'npm', 'q', '1.0')]
     deps_ = spark.createDataFrame(found, 'repo string, manifest string, ecosystem string, name string, version string')
