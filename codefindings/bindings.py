@@ -333,8 +333,8 @@ SCORES = ['9.8/AV:N', '7.0', '4.5/x', '3.9', 'CVSS:3.1/AV:N', 'NaN', '', '8.9']
 
 
 def advisories(spark, sf) -> DataFrame:
-    """id, ecosystem, name, versions, severity (array of type and score): one per supplier."""
-    s = table(spark, sf, 'supplier')
+    """id, ecosystem, name, versions, severity (array of type and score): one per supplier, dealt to all cores as in :func:`code_files_of`."""
+    s = table(spark, sf, 'supplier').repartition(2 * spark.sparkContext.defaultParallelism, 's_suppkey')
     k = F.col('s_suppkey')
 
     def score(kind, index):

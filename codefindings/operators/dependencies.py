@@ -12,11 +12,13 @@ from codefindings.functions.risk import cvss_bucket, risk_weight
 from codefindings.functions.text import SPACE, bind, java_pattern, rows_of, strip
 from codefindings.functions.versions import version_key
 from codefindings.operators.intervals import meet
+from codefindings.sources.scratch import checkpointed
 
 # Requirement line, ecosystems, package.json sections.
 REQUIREMENT = r'^([A-Za-z0-9_.\-]+)\s*(==|>=|<=|~=|!=)?\s*([A-Za-z0-9_.\-]+)?'
 SECTIONS = ('dependencies', 'devDependencies', 'peerDependencies')
 ANY_VERSION = '*'
+_PACKAGE = ['ecosystem', 'name']
 _ENTRIES = T.ArrayType(T.StructType().add('ecosystem', 'string').add('name', 'string').add('version', 'string'))
 
 
@@ -135,12 +137,15 @@ def advisories_for(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     splits at skewed keys at run time: by size it would broadcast a row per advisory and version, as its estimate
     does not count what ``explode`` adds.
     """
-    return dependencies.join(_by_version(dependencies, advisories).hint('merge'), ['ecosystem', 'name', 'version'])
+    if 'ranges' in advisories.columns:
+        # Read twice and costly to parse; most dependencies are of packages no advisory is about.
+        dependencies = checkpointed(dependencies.join(advisories.select(*_PACKAGE).distinct(), _PACKAGE, 'left_semi'))
+    return dependencies.join(_by_version(dependencies, advisories).hint('merge'), [*_PACKAGE, 'version'])
 
 
 def _by_version(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
     """Facts of the advisories, a row per version they are about, '*' included; of ranges the versions in use only."""
-    facts = ['ecosystem', 'name', 'id', 'summary', 'severity']
+    facts = [*_PACKAGE, 'id', 'summary', 'severity']
     known = advisories.withColumn('severity', cvss_bucket(F.col('severity')))
     listed = rows_of(known.withColumn('versions', F.array_union(
         F.coalesce('versions', F.expr('CAST(array() AS ARRAY<STRING>)')), F.array(F.lit(ANY_VERSION)))), facts, F.col('versions'), 'version')
@@ -150,16 +155,21 @@ def _by_version(dependencies: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def _in_ranges(dependencies: DataFrame, known: DataFrame, facts: list[str]) -> DataFrame:
-    """``facts`` of the advisories and the versions in use that lie in their ranges."""
-    package = ['ecosystem', 'name']
-    spans = rows_of(known, facts, F.col('ranges'), 'span').select(
-        *facts, F.when(F.coalesce(F.col('span.introduced'), F.lit('0')) == '0', '').otherwise(version_key(F.col('span.introduced'))).alias('low'),
-        F.when(F.col('span.fixed').isNull(), '~').otherwise(version_key(F.col('span.fixed'))).alias('high'))
-    spans = spans.withColumn('interval', F.struct('id', 'low', 'high')).filter('low IS NOT NULL AND high IS NOT NULL')
-    used = dependencies.select(*package, 'version').distinct().withColumn('at', version_key(F.col('version')))
-    met = meet(used, spans.select(*package, 'interval', 'low', 'high').distinct(), package, 'at', 'interval')
-    return (met.join(used, [*package, 'at']).join(spans.drop('low', 'high'), [*package, 'interval'])
-            .select(*facts, 'version').distinct())
+    """``facts`` of the advisories and the versions in use that lie in their ranges; one in two ranges comes twice.
+
+    Versions and ranges of a package are made distinct and stored before they get their keys, as Spark would
+    push the test for a key below ``distinct`` and make it for every dependency and advisory. The hint is for
+    the reason given in :func:`advisories_for`.
+    """
+    ranges = rows_of(known, facts, F.col('ranges'), 'span').select(*facts, F.struct(
+        F.coalesce(F.col('span.introduced'), F.lit('0')).alias('introduced'), F.col('span.fixed').alias('fixed')).alias('interval'))
+    low, high = F.col('interval.introduced'), F.col('interval.fixed')
+    spans = checkpointed(ranges.select(*_PACKAGE, 'interval').distinct()).select(
+        *_PACKAGE, 'interval', F.when(low == '0', '').otherwise(version_key(low)).alias('low'),
+        F.when(high.isNull(), '~').otherwise(version_key(high)).alias('high'))
+    used = checkpointed(dependencies.select(*_PACKAGE, 'version').distinct()).withColumn('at', version_key(F.col('version')))
+    met = meet(used, spans, _PACKAGE, 'at', 'interval').join(used, [*_PACKAGE, 'at'])
+    return ranges.hint('merge').join(met, [*_PACKAGE, 'interval']).select(*facts, 'version')
 
 
 def risk_by_repo(dependencies: DataFrame, advisories: DataFrame, key: str = 'repo') -> DataFrame:

@@ -223,6 +223,27 @@ def test_advisories_are_not_broadcast_by_version(spark, capsys):
     assert 'SortMergeJoin' in plan and 'BroadcastHashJoin' not in plan
 
 
+def test_ranges_make_version_keys_of_distinct_versions(spark, monkeypatch):
+    # Dependencies are parsed once, and only distinct versions and ranges of a package get keys.
+    parsed, keyed = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(counter):
+        def add(text):
+            counter.add(1)
+            return text
+        return F.udf(add)
+    monkeypatch.setattr(dependencies, 'version_key', lambda v: version_key(counted(keyed)(v)))
+    # Rows of names without advisories are as many, and two of the ranges overlap.
+    deps_ = spark.range(4000, numPartitions=2).select(
+        F.lit('r').alias('repo'), F.concat(F.lit('m'), F.col('id').cast('string')).alias('manifest'), F.lit('npm').alias('ecosystem'),
+        F.when(F.col('id') % 2 == 0, 'p').otherwise('q').alias('name'), counted(parsed)(F.lit('1.5')).alias('version'))
+    known = [(f'A{i}', 'npm', 'p', ['1.5'], [('1.1', None), ('0', '1.6'), (None, '1.2'), ('x', '1.9')], None, 's') for i in range(500)]
+    advisories = spark.createDataFrame(known, 'id string, ecosystem string, name string, versions array<string>, ranges array<struct<introduced:string,'
+                                       'fixed:string>>, severity array<struct<type:string,score:string>>, summary string')
+    assert dependencies.advisories_for(deps_, advisories).count() == 2000 * 500
+    assert parsed.value <= 4000 and 0 < keyed.value < 100
+
+
 def test_risk_is_summed_without_making_the_hits(spark):
     found = [('r1', 'm', 'npm', 'p', v) for v in ['1.0'] * 300 + ['1.1', '*', 'odd']] + [('r2', 'm', 'npm', 'p', '1.1'), ('r3', 'm', 'npm', 'q', '1.0')]
     deps_ = spark.createDataFrame(found, 'repo string, manifest string, ecosystem string, name string, version string')
